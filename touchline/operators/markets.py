@@ -2,94 +2,89 @@
 
 A corrected score matrix is a product of two Poisson vectors plus four changed cells, so
 each market is a short sum of products. Nothing is exploded unless a caller asks for cells.
+The sums are written as SQL text: one parse each, instead of hundreds of Column calls.
 """
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions import goals
+from touchline.functions.goals import MAX_GOALS, TAU_FLOOR
 
-N = goals.MAX_GOALS
+N = MAX_GOALS
 LINES = (0.5, 1.5, 2.5, 3.5, 4.5)
-HANDICAPS = (("0", 0.0), ("-0.5", -0.5), ("-1", -1.0), ("+0.5", 0.5), ("+1", 1.0))
-LOW = ((0, 0), (0, 1), (1, 0), (1, 1))
+HANDICAPS = ("0", "-0.5", "-1", "+0.5", "+1")
+LOW = {(0, 0): "1D - lam * mu * rho", (0, 1): "1D + lam * rho", (1, 0): "1D + mu * rho", (1, 1): "1D - rho"}
+
+
+def _sum(parts) -> str:
+    return "(" + " + ".join(parts) + ")"
+
 
+def _pmf(rate: str, k: int) -> str:
+    # multiply by 1/k! instead of dividing: division is nullable in Spark, products are not
+    return f"exp(-{rate}) * pow({rate}, {float(k)}D) * {1.0 / math.factorial(k)!r}D"
 
-def with_goal_vectors(df: DataFrame, lam="lam", mu="mu", rho="rho") -> DataFrame:
-    """Add h0..h10, a0..a10 (scaled so the matrix sums to one) and d00..d11.
+
+def with_goal_vectors(df: DataFrame) -> DataFrame:
+    """From lam, mu, rho: h0..h10, a0..a10 (scaled so the matrix sums to one) and d00..d11.
 
     Cell (i, j) is ``h_i * a_j``, plus ``d_ij`` for the four low scores.
     """
-    keep = [c for c in df.columns if c not in ("_l", "_m", "_r")]
-    base = df.filter(F.col(lam).isNotNull() & F.col(mu).isNotNull() & F.col(rho).isNotNull())
-    l, m, r = F.col(lam), F.col(mu), F.col(rho)
-    raw = base.select(
+    keep = [f"`{c}`" for c in df.columns]
+    ks = range(N + 1)
+    raw = df.filter("lam IS NOT NULL AND mu IS NOT NULL AND rho IS NOT NULL").selectExpr(
         *keep,
-        *[goals.poisson_pmf(l, k).alias(f"_h{k}") for k in range(N + 1)],
-        *[goals.poisson_pmf(m, k).alias(f"_a{k}") for k in range(N + 1)],
-        *[(goals.tau(i, j, l, m, r) - F.lit(1.0)).alias(f"_t{i}{j}") for i, j in LOW],
+        *[f"{_pmf('lam', k)} AS _h{k}" for k in ks],
+        *[f"{_pmf('mu', k)} AS _a{k}" for k in ks],
+        *[f"greatest({t}, {TAU_FLOOR}D) - 1D AS _t{i}{j}" for (i, j), t in LOW.items()],
     )
-    hs = sum((F.col(f"_h{k}") for k in range(1, N + 1)), F.col("_h0"))
-    as_ = sum((F.col(f"_a{k}") for k in range(1, N + 1)), F.col("_a0"))
-    fixes = sum((F.col(f"_h{i}") * F.col(f"_a{j}") * F.col(f"_t{i}{j}") for i, j in LOW[1:]),
-                F.col("_h0") * F.col("_a0") * F.col("_t00"))
-    scaled = raw.withColumn("_z", F.lit(1.0) / (hs * as_ + fixes))
-    return scaled.select(
+    mass = (_sum(f"_h{k}" for k in ks) + " * " + _sum(f"_a{k}" for k in ks) + " + "
+            + _sum(f"_h{i} * _a{j} * _t{i}{j}" for i, j in LOW))
+    scaled = raw.selectExpr("*", f"1D / ({mass}) AS _z")
+    return scaled.selectExpr(
         *keep,
-        *[(F.col(f"_h{k}") * F.col("_z")).alias(f"h{k}") for k in range(N + 1)],
-        *[F.col(f"_a{k}").alias(f"a{k}") for k in range(N + 1)],
-        *[(F.col(f"_h{i}") * F.col("_z") * F.col(f"_a{j}") * F.col(f"_t{i}{j}")).alias(f"d{i}{j}") for i, j in LOW],
+        *[f"_h{k} * _z AS h{k}" for k in ks],
+        *[f"_a{k} AS a{k}" for k in ks],
+        *[f"_h{i} * _z * _a{j} * _t{i}{j} AS d{i}{j}" for i, j in LOW],
     )
 
 
-def _cell(i: int, j: int) -> Column:
-    p = F.col(f"h{i}") * F.col(f"a{j}")
-    return p + F.col(f"d{i}{j}") if (i, j) in LOW else p
-
+def _cell(i: int, j: int) -> str:
+    return f"(h{i} * a{j} + d{i}{j})" if (i, j) in LOW else f"h{i} * a{j}"
 
-def _add(cols) -> Column:
-    cols = list(cols)
-    return sum(cols[1:], cols[0])
 
-
-def total_mass(k: int) -> Column:
+def total_mass(k: int) -> str:
     """P(home + away = k)."""
-    return _add(_cell(i, k - i) for i in range(max(0, k - N), min(N, k) + 1))
+    return _sum(_cell(i, k - i) for i in range(max(0, k - N), min(N, k) + 1))
 
 
-def margin_mass(k: int) -> Column:
+def margin_mass(k: int) -> str:
     """P(home - away = k)."""
-    return _add(_cell(i, i - k) for i in range(max(0, k), min(N, N + k) + 1))
+    return _sum(_cell(i, i - k) for i in range(max(0, k), min(N, N + k) + 1))
 
 
-def home_mass(k: int) -> Column:
-    row = F.col(f"h{k}") * _add(F.col(f"a{j}") for j in range(N + 1))
-    return row + F.col(f"d{k}0") + F.col(f"d{k}1") if k <= 1 else row
+def home_mass(k: int) -> str:
+    return _sum(_cell(k, j) for j in range(N + 1))
 
 
-def away_mass(k: int) -> Column:
-    col = F.col(f"a{k}") * _add(F.col(f"h{i}") for i in range(N + 1))
-    return col + F.col(f"d0{k}") + F.col(f"d1{k}") if k <= 1 else col
+def away_mass(k: int) -> str:
+    return _sum(_cell(i, k) for i in range(N + 1))
 
 
 def with_distributions(df: DataFrame) -> DataFrame:
     """Arrays of the total, margin and per-side goal distributions, for any line."""
-    vec = with_goal_vectors(df)
-    keep = df.columns
-    return vec.select(
-        *keep,
-        F.array(*[total_mass(k) for k in range(2 * N + 1)]).alias("total_pmf"),
-        F.array(*[margin_mass(k) for k in range(-N, N + 1)]).alias("margin_pmf"),
-        F.array(*[home_mass(k) for k in range(N + 1)]).alias("home_pmf"),
-        F.array(*[away_mass(k) for k in range(N + 1)]).alias("away_pmf"),
-    )
+    keep = [f"`{c}`" for c in df.columns]
 
+    def arr(parts, name):
+        return f"array({', '.join(parts)}) AS {name}"
 
-def _above(pmf: Column, first: int, line: Column) -> Column:
-    """P(X > line) + half of P(X = line); element 0 of ``pmf`` is P(X = first)."""
-    pos = F.transform(pmf, lambda p, i: F.struct(p.alias("p"), (i + F.lit(first)).cast("double").alias("x")))
-    return F.aggregate(
-        pos, F.lit(0.0),
-        lambda acc, s: acc + F.when(s["x"] > line, s["p"]).when(s["x"] == line, s["p"] * 0.5).otherwise(0.0),
+    return with_goal_vectors(df).selectExpr(
+        *keep,
+        arr((total_mass(k) for k in range(2 * N + 1)), "total_pmf"),
+        arr((margin_mass(k) for k in range(-N, N + 1)), "margin_pmf"),
+        arr((home_mass(k) for k in range(N + 1)), "home_pmf"),
+        arr((away_mass(k) for k in range(N + 1)), "away_pmf"),
     )
 
 
@@ -100,65 +95,62 @@ def component_lines(line: Column) -> Column:
     return F.when(quarter, F.array(line - 0.25, line + 0.25)).otherwise(F.array(line))
 
 
-def over_at(pmf: Column, line: Column, first: int = 0) -> Column:
-    """Over probability at any line (half, whole with split push, quarter)."""
-    parts = F.transform(component_lines(line), lambda l: _above(pmf, first, l))
-    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
+def over_at(pmf: str, line: str, first: int = 0) -> Column:
+    """Over probability at any line: half, whole (push split evenly) or quarter.
+
+    Element 0 of the array column ``pmf`` is P(X = first).
+    """
+    part = "abs({l} - floor({l}) - 0.25D) < 1e-9 OR abs({l} - floor({l}) - 0.75D) < 1e-9".format(l=f"({line})")
+    lines = f"IF({part}, array(({line}) - 0.25D, ({line}) + 0.25D), array(CAST(({line}) AS DOUBLE)))"
+    above = (f"aggregate(transform({pmf}, (p, i) -> CASE WHEN i + {first} > l THEN p WHEN i + {first} = l THEN p * 0.5D"
+             f" ELSE 0D END), 0D, (s, x) -> s + x)")
+    return F.expr(f"aggregate(transform({lines}, l -> {above}), 0D, (s, x) -> s + x) / size({lines})")
 
 
-def handicap_home_at(margin_pmf: Column, line: Column) -> Column:
+def handicap_home_at(margin_pmf: str, line: str) -> Column:
     """Home side of an Asian handicap: the margin must beat minus the line."""
-    return over_at(margin_pmf, -line, first=-N)
+    return over_at(margin_pmf, f"-({line})", first=-N)
 
 
 def wide_book(df: DataFrame) -> DataFrame:
     """All fixed markets of a match as one row; columns are named ``market|selection``."""
-    keep = df.columns
-    v = with_goal_vectors(df)
-    t = [f"_T{k}" for k in range(7)]
-    v = v.select(
+    keep = [f"`{c}`" for c in df.columns]
+    evens, odds = range(0, N + 1, 2), range(1, N + 1, 2)
+
+    def vec(side, ks):
+        return _sum(f"{side}{k}" for k in ks)
+
+    rows = range(N + 1)
+    v = with_goal_vectors(df).selectExpr(
         *keep,
-        *[total_mass(k).alias(t[k]) for k in range(7)],
-        _add(F.col(f"h{i}") * F.col(f"a{j}") for i in range(1, N + 1) for j in range(i)).alias("_hw0"),
-        margin_mass(0).alias("_D0"), margin_mass(1).alias("_D1"), margin_mass(-1).alias("_Dm1"),
-        _add(F.col(f"h{i}") for i in range(1, N + 1)).alias("_H1"),
-        _add(F.col(f"a{i}") for i in range(1, N + 1)).alias("_A1"),
-        _add(F.col(f"h{i}") for i in range(0, N + 1, 2)).alias("_He"),
-        _add(F.col(f"a{i}") for i in range(0, N + 1, 2)).alias("_Ae"),
-        *[F.col(c) for c in ("h0", "h1", "a0", "a1", "d00", "d01", "d10", "d11")],
+        *[f"{total_mass(k)} AS _T{k}" for k in range(7)],
+        _sum(f"h{i} * {vec('a', range(i))}" for i in range(1, N + 1)) + " + d10 AS _HW",
+        f"{margin_mass(0)} AS _D0", f"{margin_mass(1)} AS _D1", f"{margin_mass(-1)} AS _Dm1",
+        f"{vec('h', range(1, N + 1))} * {vec('a', range(1, N + 1))} + d11 AS _BT",
+        f"{vec('h', evens)} * {vec('a', odds)} + {vec('h', odds)} * {vec('a', evens)} + d01 + d10 AS _ODD",
+        f"(h0 + h1) * {vec('a', rows)} + d00 + d01 + d10 + d11 AS _HU",
+        f"(a0 + a1) * {vec('h', rows)} + d00 + d01 + d10 + d11 AS _AU",
     )
-    c = F.col
-    one = F.lit(1.0)
-    v = v.select(
-        *keep, *t, "_D0", "_D1", "_Dm1",
-        (c("_hw0") + c("d10")).alias("_HW"),
-        (c("_H1") * c("_A1") + c("d11")).alias("_BT"),
-        (c("_He") * (c("a0") + c("_A1") - c("_Ae")) + (c("h0") + c("_H1") - c("_He")) * c("_Ae")
-         + c("d01") + c("d10")).alias("_ODD"),
-        ((c("h0") + c("h1")) * (c("a0") + c("_A1")) + c("d00") + c("d01") + c("d10") + c("d11")).alias("_HU"),
-        ((c("a0") + c("a1")) * (c("h0") + c("_H1")) + c("d00") + c("d01") + c("d10") + c("d11")).alias("_AU"),
-    )
-    aw = one - c("_HW") - c("_D0")
-    out = {("1X2", "1"): c("_HW"), ("1X2", "X"): c("_D0"), ("1X2", "2"): aw,
-           ("double_chance", "1X"): c("_HW") + c("_D0"), ("double_chance", "12"): one - c("_D0"),
-           ("double_chance", "X2"): one - c("_HW")}
+    out = {
+        ("1X2", "1"): "_HW", ("1X2", "X"): "_D0", ("1X2", "2"): "1D - _HW - _D0",
+        ("double_chance", "1X"): "_HW + _D0", ("double_chance", "12"): "1D - _D0", ("double_chance", "X2"): "1D - _HW",
+    }
     for line in LINES:
-        under = _add(c(t[k]) for k in range(int(line) + 1))
-        out[(f"over_under_{line}", "over")] = one - under
-        out[(f"over_under_{line}", "under")] = under
-    out[("btts", "yes")], out[("btts", "no")] = c("_BT"), one - c("_BT")
-    out[("odd_even", "odd")], out[("odd_even", "even")] = c("_ODD"), one - c("_ODD")
-    low, mid = c("_T0") + c("_T1"), c("_T2") + c("_T3")
-    high = c("_T4") + c("_T5") + c("_T6")
-    out[("goal_range", "0-1")], out[("goal_range", "2-3")] = low, mid
-    out[("goal_range", "4-6")], out[("goal_range", "7+")] = high, one - low - mid - high
-    for label, home in (("0", c("_HW") + c("_D0") * 0.5), ("-0.5", c("_HW")), ("-1", c("_HW") - c("_D1") * 0.5),
-                        ("+0.5", c("_HW") + c("_D0")), ("+1", c("_HW") + c("_D0") + c("_Dm1") * 0.5)):
-        out[(f"asian_handicap_{label}", "home")] = home
-        out[(f"asian_handicap_{label}", "away")] = one - home
-    out[("home_over_under_1.5", "over")], out[("home_over_under_1.5", "under")] = one - c("_HU"), c("_HU")
-    out[("away_over_under_1.5", "over")], out[("away_over_under_1.5", "under")] = one - c("_AU"), c("_AU")
-    return v.select(*keep, *[e.alias(f"{m}|{s}") for (m, s), e in out.items()])
+        under = _sum(f"_T{k}" for k in range(int(line) + 1))
+        out[(f"over_under_{line}", "over")], out[(f"over_under_{line}", "under")] = f"1D - {under}", under
+    home_side = {"0": "_HW + _D0 * 0.5D", "-0.5": "_HW", "-1": "_HW - _D1 * 0.5D", "+0.5": "_HW + _D0",
+                 "+1": "_HW + _D0 + _Dm1 * 0.5D"}
+    out[("btts", "yes")], out[("btts", "no")] = "_BT", "1D - _BT"
+    out[("odd_even", "odd")], out[("odd_even", "even")] = "_ODD", "1D - _ODD"
+    out[("goal_range", "0-1")], out[("goal_range", "2-3")] = "_T0 + _T1", "_T2 + _T3"
+    out[("goal_range", "4-6")] = "_T4 + _T5 + _T6"
+    out[("goal_range", "7+")] = "1D - " + _sum(f"_T{k}" for k in range(7))
+    for h in HANDICAPS:
+        out[(f"asian_handicap_{h}", "home")] = home_side[h]
+        out[(f"asian_handicap_{h}", "away")] = f"1D - ({home_side[h]})"
+    for side, under in (("home", "_HU"), ("away", "_AU")):
+        out[(f"{side}_over_under_1.5", "over")], out[(f"{side}_over_under_1.5", "under")] = f"1D - {under}", under
+    return v.selectExpr(*keep, *[f"{e} AS `{m}|{s}`" for (m, s), e in out.items()])
 
 
 def book_columns(markets=None) -> list[tuple[str, str]]:
@@ -167,7 +159,7 @@ def book_columns(markets=None) -> list[tuple[str, str]]:
     pairs += [(f"over_under_{l}", s) for l in LINES for s in ("over", "under")]
     pairs += [("btts", "yes"), ("btts", "no"), ("odd_even", "odd"), ("odd_even", "even")]
     pairs += [("goal_range", s) for s in ("0-1", "2-3", "4-6", "7+")]
-    pairs += [(f"asian_handicap_{h}", s) for h, _ in HANDICAPS for s in ("home", "away")]
+    pairs += [(f"asian_handicap_{h}", s) for h in HANDICAPS for s in ("home", "away")]
     pairs += [(f"{side}_over_under_1.5", s) for side in ("home", "away") for s in ("over", "under")]
     return pairs if markets is None else [p for p in pairs if p[0] in markets]
 
@@ -177,15 +169,10 @@ ENUMERATED = ["1X2", "double_chance"] + [f"over_under_{l}" for l in LINES] + ["b
 
 def long_book(df: DataFrame, markets=None) -> DataFrame:
     """market_probs(keys..., market, selection, prob, ord): row-local expansion of the wide form."""
-    keep = df.columns
-    w = wide_book(df)
-    pairs = book_columns(markets)
-    items = [
-        F.struct(F.lit(m).alias("market"), F.lit(s).alias("selection"), F.col(f"`{m}|{s}`").alias("prob"),
-                 F.lit(o).alias("ord"))
-        for o, (m, s) in enumerate(pairs)
-    ]
-    return w.select(*keep, F.inline(F.array(*items)))
+    keep = [f"`{c}`" for c in df.columns]
+    items = ", ".join(f"struct('{m}' AS market, '{s}' AS selection, `{m}|{s}` AS prob, {o} AS ord)"
+                      for o, (m, s) in enumerate(book_columns(markets)))
+    return wide_book(df).selectExpr(*keep, f"inline(array({items}))")
 
 
 LABELS = sorted(f"{i}-{j}" for i in range(N + 1) for j in range(N + 1))
@@ -198,53 +185,45 @@ def top_scores(df: DataFrame, k: int = 10) -> DataFrame:
     Each cell is packed as probability (twelve digits) and label rank in one long, so a
     row sorts 121 plain numbers in place instead of shuffling 121 rows.
     """
-    keep = df.columns
-    v = with_goal_vectors(df)
-    scale = F.lit(1e12)
-    keys = [
-        F.floor(_cell(i, j) * scale + F.lit(0.5)) * F.lit(128) + F.lit(_RANK[f"{i}-{j}"])
-        for i in range(N + 1) for j in range(N + 1)
-    ]
-    labels = F.array(*[F.lit(s) for s in LABELS])
-    ranked = v.select(*keep, F.slice(F.sort_array(F.array(*keys), asc=False), 1, k).alias("_k"))
-    return ranked.select(
+    keep = [f"`{c}`" for c in df.columns]
+    packed = ", ".join(f"floor(({_cell(i, j)}) * 1e12D + 0.5D) * 128 + {_RANK[f'{i}-{j}']}"
+                       for i in range(N + 1) for j in range(N + 1))
+    labels = "array(" + ", ".join(f"'{s}'" for s in LABELS) + ")"
+    ranked = with_goal_vectors(df).selectExpr(*keep, f"slice(sort_array(array({packed}), false), 1, {k}) AS _k")
+    return ranked.selectExpr(
         *keep,
-        F.transform("_k", lambda x: F.struct(
-            F.element_at(labels, (x % 128 + 1).cast("int")).alias("score"),
-            (F.floor(x / F.lit(128.0)) / 1e12).alias("p"))).alias("top"),
-    )
+        f"transform(_k, x -> struct({labels}[CAST(x % 128 AS INT)] AS score, floor(x / 128D) / 1e12D AS p)) AS top")
 
 
 def cells(df: DataFrame) -> DataFrame:
     """Long score matrix (keys..., i, j, p): 121 rows per match, made inside the row."""
-    keep = df.columns
-    v = with_goal_vectors(df)
-    items = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), _cell(i, j).alias("p"))
-             for i in range(N + 1) for j in range(N + 1)]
-    return v.select(*keep, F.inline(F.array(*items)))
+    keep = [f"`{c}`" for c in df.columns]
+    items = ", ".join(f"struct({i} AS i, {j} AS j, {_cell(i, j)} AS p)" for i in range(N + 1) for j in range(N + 1))
+    return with_goal_vectors(df).selectExpr(*keep, f"inline(array({items}))")
 
 
 def payload_json(df: DataFrame) -> DataFrame:
     """keys..., payload: the nested prediction document, assembled only for the sink."""
-    keep = df.columns
+    keep = [f"`{c}`" for c in df.columns]
     w = wide_book(top_scores(df))
 
     def flat(market):
-        return F.struct(*[F.col(f"`{m}|{s}`").alias(s) for m, s in book_columns([market])])
+        return "struct(" + ", ".join(f"`{m}|{s}` AS `{s}`" for m, s in book_columns([market])) + ")"
 
-    parts = [flat(m).alias(m) for m in ("1X2", "double_chance", "btts", "odd_even", "goal_range")]
-    parts.append(F.struct(*[flat(f"over_under_{l}").alias(str(l)) for l in LINES]).alias("over_under"))
-    parts += [flat(f"asian_handicap_{h}").alias(f"asian_handicap_{h}") for h, _ in HANDICAPS]
-    parts += [flat(f"{s}_over_under_1.5").alias(f"{s}_over_under_1.5") for s in ("home", "away")]
-    parts.append(F.transform("top", lambda s: F.create_map(s["score"], s["p"])).alias("correct_score_top10"))
-    return w.select(*keep, F.to_json(F.struct(*parts)).alias("payload"))
+    single = ["1X2", "double_chance", "btts", "odd_even", "goal_range"] + [f"asian_handicap_{h}" for h in HANDICAPS]
+    single += [f"{s}_over_under_1.5" for s in ("home", "away")]
+    parts = [f"{flat(m)} AS `{m}`" for m in single]
+    lines = ", ".join(f"{flat(f'over_under_{l}')} AS `{l}`" for l in LINES)
+    parts.append(f"struct({lines}) AS over_under")
+    parts.append("transform(top, s -> map(s.score, s.p)) AS correct_score_top10")
+    return w.selectExpr(*keep, f"to_json(struct({', '.join(parts)})) AS payload")
 
 
 def payload_probs(df: DataFrame, payload: str = "payload") -> DataFrame:
     """The way back: flat numeric markets of a stored payload as long rows."""
-    doc = F.from_json(payload, "map<string,string>")
-    entries = df.select(*[c for c in df.columns if c != payload], F.explode(doc).alias("market", "body"))
+    keep = [c for c in df.columns if c != payload]
+    entries = df.select(*keep, F.explode(F.from_json(payload, "map<string,string>")).alias("market", "body"))
     flat = entries.withColumn("m", F.from_json("body", "map<string,double>"))
-    ok = F.col("m").isNotNull() & ~F.exists(F.map_values("m"), lambda v: v.isNull())
-    return flat.filter(F.col("body").startswith("{") & ok).select(
-        *[c for c in df.columns if c != payload], "market", F.explode("m").alias("selection", "prob"))
+    numeric = F.col("m").isNotNull() & ~F.exists(F.map_values("m"), lambda v: v.isNull())
+    return flat.filter(F.col("body").startswith("{") & numeric).select(
+        *keep, "market", F.explode("m").alias("selection", "prob"))

@@ -1,3 +1,3 @@
 """Import every query module so the registry is complete."""
-from touchline.plans import q_markets  # noqa: F401
+from touchline.plans import q_features, q_markets  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -34,28 +34,20 @@ def now(text: str = NOW) -> Column:
 
 
 def matches(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    played = F.col("o_orderstatus") != "P"
-    lg = (c % 5) * 100
-    fh, fa = (k * 7 + c * 3) % 5, (k * 11 + c * 5) % 4
-    drift = (k % 7 - 3) / F.lit(10.0)
+    played = "o_orderstatus <> 'P'"
+    lg, fh, fa = "(o_custkey % 5) * 100", "(o_orderkey * 7 + o_custkey * 3) % 5", "(o_orderkey * 11 + o_custkey * 5) % 4"
 
     def xg(goals):
-        return F.when(played & (k % 3 != 0), F.round(F.greatest(F.lit(0.05), goals + drift), 6))
-
-    return o.select(
-        k.alias("match_id"),
-        F.concat(F.lit("L"), (c % 5).cast("string")).alias("league"),
-        F.year("o_orderdate").cast("string").alias("season"),
-        F.col("o_orderdate").alias("kickoff"),
-        (lg + k % 20).alias("home_team_id"),
-        (lg + (k % 20 + 1 + c % 19) % 20).alias("away_team_id"),
-        F.when(played, "finished").otherwise("scheduled").alias("status"),
-        F.when(played, fh).alias("ft_home"),
-        F.when(played, fa).alias("ft_away"),
-        xg(fh).alias("xg_home"),
-        xg(fa).alias("xg_away"),
+        return (f"IF({played} AND o_orderkey % 3 <> 0, "
+                f"round(greatest(0.05D, {goals} + (o_orderkey % 7 - 3) / 10D), 6), NULL)")
+
+    return table(spark, d, "orders").selectExpr(
+        "o_orderkey AS match_id", "concat('L', o_custkey % 5) AS league",
+        "CAST(year(o_orderdate) AS STRING) AS season", "o_orderdate AS kickoff",
+        f"{lg} + o_orderkey % 20 AS home_team_id", f"{lg} + (o_orderkey % 20 + 1 + o_custkey % 19) % 20 AS away_team_id",
+        f"IF({played}, 'finished', 'scheduled') AS status",
+        f"IF({played}, {fh}, NULL) AS ft_home", f"IF({played}, {fa}, NULL) AS ft_away",
+        f"{xg(fh)} AS xg_home", f"{xg(fa)} AS xg_away",
     )
 
 
@@ -74,18 +66,14 @@ def live_matches(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def strength(team: Column, factor: int) -> Column:
-    return ((team * factor) % 21 - 10) / F.lit(25.0)
-
-
 def with_rates(df: DataFrame) -> DataFrame:
     """lam, mu, rho from the closed-form team strengths."""
-    h, a = F.col("home_team_id"), F.col("away_team_id")
-    return (
-        df.withColumn("lam", F.exp(strength(h, 37) + strength(a, 53) + F.lit(GAMMA + DELTA)))
-        .withColumn("mu", F.exp(strength(a, 37) + strength(h, 53) + F.lit(DELTA)))
-        .withColumn("rho", F.lit(RHO))
-    )
+    def s(team, factor):
+        return f"(({team} * {factor}) % 21 - 10) / 25D"
+
+    return df.selectExpr(
+        "*", f"exp({s('home_team_id', 37)} + {s('away_team_id', 53)} + {GAMMA + DELTA}D) AS lam",
+        f"exp({s('away_team_id', 37)} + {s('home_team_id', 53)} + {DELTA}D) AS mu", f"{RHO}D AS rho")
 
 
 def rates(spark: SparkSession, d: str) -> DataFrame:
@@ -93,20 +81,14 @@ def rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def odds(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), F.col("o_orderdate").alias("kickoff"))
-    prices = F.array(*[
-        F.struct(F.lit(src).alias("source"), F.lit(mk).alias("market"), F.lit(sel).alias("selection"),
-                 F.lit(sx).alias("sx"), F.lit(qx).alias("qx"))
-        for mk, sel, sx in PRICED for src, qx in SOURCES
-    ])
-    e = o.select("match_id", "kickoff", F.inline(prices)).filter((F.col("match_id") + F.col("qx")) % 3 != 0)
-    return e.select(
-        (F.col("match_id") * 100 + F.col("sx") * 10 + F.col("qx")).alias("odds_id"),
-        "match_id", "source", "market", "selection",
-        (F.lit(1.3) + ((F.col("match_id") * 13 + F.col("sx") * 37 + F.col("qx") * 11) % 300) / F.lit(100.0))
-        .alias("decimal_odds"),
-        (F.col("kickoff") - F.make_dt_interval(F.lit(0), F.col("qx"))).alias("fetched_at"),
-    )
+    items = ", ".join(f"struct('{src}' AS source, '{mk}' AS market, '{sel}' AS selection, {sx} AS sx, {qx} AS qx)"
+                      for mk, sel, sx in PRICED for src, qx in SOURCES)
+    return table(spark, d, "orders").selectExpr(
+        "o_orderkey AS match_id", "o_orderdate AS kickoff", f"inline(array({items}))",
+    ).filter("(match_id + qx) % 3 <> 0").selectExpr(
+        "match_id * 100 + sx * 10 + qx AS odds_id", "match_id", "source", "market", "selection",
+        "1.3D + ((match_id * 13 + sx * 37 + qx * 11) % 300) / 100D AS decimal_odds",
+        "kickoff - make_dt_interval(0, qx) AS fetched_at")
 
 
 def club(team: Column) -> Column:

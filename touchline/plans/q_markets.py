@@ -109,7 +109,7 @@ SELECT match_id, line, round(o, 6) AS over_prob, round(1 - o, 6) AS under_prob F
 def a7_over_under_lines(spark, d):
     dist = mk.with_distributions(D.rates(spark, d)).select("match_id", "total_pmf")
     e = dist.select("match_id", "total_pmf", F.explode(F.array(*[F.lit(float(l)) for l in OU_LINES])).alias("line"))
-    o = e.withColumn("o", mk.over_at(F.col("total_pmf"), F.col("line")))
+    o = e.withColumn("o", mk.over_at("total_pmf", "line"))
     return o.select("match_id", "line", r6("o", "over_prob"), r6(F.lit(1.0) - F.col("o"), "under_prob"))
 
 
@@ -121,7 +121,7 @@ SELECT match_id, line, round(h, 6) AS home_prob, round(1 - h, 6) AS away_prob FR
 def a11_asian_handicap_lines(spark, d):
     dist = mk.with_distributions(D.rates(spark, d)).select("match_id", "margin_pmf")
     e = dist.select("match_id", "margin_pmf", F.explode(F.array(*[F.lit(float(l)) for l in AH_LINES])).alias("line"))
-    o = e.withColumn("h", mk.handicap_home_at(F.col("margin_pmf"), F.col("line")))
+    o = e.withColumn("h", mk.handicap_home_at("margin_pmf", "line"))
     return o.select("match_id", "line", r6("h", "home_prob"), r6(F.lit(1.0) - F.col("h"), "away_prob"))
 
 
@@ -142,7 +142,7 @@ def f31_line_components(spark, d):
   FROM pair_cells)
 SELECT match_id, CAST(rnk AS INTEGER) AS rnk, score, round(p, 6) AS p FROM m JOIN t USING (home_team_id, away_team_id) WHERE rnk <= 10"""))
 def t1_top_correct_scores(spark, d):
-    t = mk.top_scores(D.rates(spark, d)).select("match_id", F.posexplode("top").alias("pos", "s"))
+    t = mk.top_scores(D.rates(spark, d)).select("match_id", F.posexplode_outer("top").alias("pos", "s"))
     return t.select("match_id", (F.col("pos") + 1).alias("rnk"), F.col("s.score").alias("score"), r6("s.p", "p"))
 
 
