@@ -74,6 +74,17 @@ CTE["form_full"] = (["form", "tm"], f"""
   USING (league, season, kickoff, team_id)""")
 
 
+# both sides' signals for a match row ``m`` (aliases h_/a_)
+SIG_JOIN = {
+    "cols": ", ".join(f"{p}m.relegation_risk AS {p}_rel, {p}m.title_push AS {p}_tit, {p}m.europe_push AS {p}_eur, {p}m.dead_rubber AS {p}_dead,"
+                      f" {p}m.intensity AS {p}_int, coalesce({p}f.form_delta, 0) AS {p}_fd" for p in "ha"),
+    "join": " ".join(
+        f"JOIN mot {p}m ON {p}m.league = m.league AND {p}m.season = m.season AND {p}m.kickoff = m.kickoff AND {p}m.team_id = m.{s}_team_id"
+        f" LEFT JOIN form_full {p}f ON {p}f.league = m.league AND {p}f.season = m.season AND {p}f.kickoff = m.kickoff AND {p}f.team_id = m.{s}_team_id"
+        for p, s in (("h", "home"), ("a", "away"))),
+}
+
+
 @query("w1_record_before_kickoff", sql("tm", f"""
 SELECT DISTINCT league, season, team_id, {DAY} AS day, played, wins, draws, losses, gf, ga FROM (
   SELECT league, season, team_id, kickoff, {_RUN} FROM tm) z"""))

@@ -39,3 +39,16 @@ def checkpoint(df):
             return df
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def literal_rows(spark: SparkSession, rows, columns: str):
+    """A constant table planned inside the JVM (no Python workers), e.g. report bins."""
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else str(v)
+
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
