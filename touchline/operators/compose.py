@@ -5,6 +5,9 @@ first: the greedy scan can only ever reach the best few matches of each (family,
 fallback the best few by score and by price, the variants the likeliest few. Everything beyond
 these is provably never chosen, and ranked filters cut it before the shuffle.
 """
+from itertools import combinations
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +69,53 @@ def _greedy(pool: list, legs: int, floor: float, diverse: bool, taken: set):
     return chosen if total() >= floor else None
 
 
+def _rows(found, kind_of):
+    """Legs of found coupons as output rows; ``kind_of`` names a coupon by its number."""
+    out = [(p["day"], kind_of(n), n, i + 1, p["match_id"], p["market"], p["selection"], p["prob"], p["odds"], p["composite"])
+           for n, legs in enumerate(found, 1) for i, p in enumerate(legs)]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in COMPOSE_SCHEMA.split(", ")])
+
+
+def _compose_pool(pdf, top, min_legs, max_coupons, min_odds, diverse):
+    rows = pdf.assign(_c=-pdf["composite"].round(9)).sort_values(["_c", "match_id", "ord"]).to_dict("records")
+    taken, found = set(), []
+    for size in range(top, max(min_legs, 1) - 1, -1):
+        while len(found) < max_coupons:
+            legs = _greedy(rows, size, min_odds, diverse, taken)
+            if legs is None:
+                break
+            found.append(legs)
+            taken |= {p["match_id"] for p in legs}
+    return found
+
+
+def _fallback_pool(pdf, num_legs, min_legs, min_odds):
+    by = lambda c: pdf[pdf[c].notna()].sort_values(c).to_dict("records")
+    ranked, priced = by("rk"), by("ro")
+    chosen = ranked[: max(min_legs, min(num_legs, len(ranked)))]
+    ids = {p["match_id"] for p in chosen}
+
+    def total():
+        out = 1.0
+        for p in chosen:
+            out *= p["odds"]
+        return out
+
+    for cand in priced:
+        if total() >= min_odds:
+            break
+        weak = min(range(len(chosen)), key=lambda i: chosen[i]["odds"])
+        if cand["match_id"] in ids or cand["odds"] <= chosen[weak]["odds"]:
+            continue
+        ids.discard(chosen[weak]["match_id"])
+        ids.add(cand["match_id"])
+        chosen[weak] = cand
+    return [chosen] if chosen and total() >= min_odds else []
+
+
+_POOL = ["day", "match_id", "market", "selection", "ord", "base", "prob", "odds", "composite"]
+
+
 def compose(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, max_legs: int = 4, max_coupons: int = 5,
             min_odds: float = 1.6, diverse: bool = True) -> DataFrame:
     """Greedy coupons per ``day``: primary first, then alternatives, no match used twice.
@@ -74,79 +124,59 @@ def compose(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, max_legs:
     found or stays under the price floor.
     """
     top = min(num_legs, max_legs)
-    pool = reachable(picks, max_coupons * top + top).select(
-        "day", "match_id", "market", "selection", "ord", "base", "prob", "odds", "composite")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.assign(_c=-pdf["composite"].round(9)).sort_values(["_c", "match_id", "ord"]).to_dict("records")
-        taken, out = set(), []
-        n = 0
-        for size in range(top, max(min_legs, 1) - 1, -1):
-            while n < max_coupons:
-                legs = _greedy(rows, size, min_odds, diverse, taken)
-                if legs is None:
-                    break
-                n += 1
-                taken |= {p["match_id"] for p in legs}
-                out += [(p["day"], "primary" if n == 1 else "alternative", n, i + 1, p["match_id"], p["market"],
-                         p["selection"], p["prob"], p["odds"], p["composite"]) for i, p in enumerate(legs)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COMPOSE_SCHEMA.split(", ")])
+        return _rows(_compose_pool(pdf, top, min_legs, max_coupons, min_odds, diverse),
+                     lambda n: "primary" if n == 1 else "alternative")
 
-    return pool.groupBy("day").applyInPandas(run, COMPOSE_SCHEMA)
+    return reachable(picks, max_coupons * top + top).select(*_POOL).groupBy("day").applyInPandas(run, COMPOSE_SCHEMA)
 
 
-def fallback(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, min_odds: float = 1.6) -> DataFrame:
-    """One coupon per day without an edge gate: best pick per match, real prices first.
+def fallback_pool(picks: DataFrame, k: int) -> DataFrame:
+    """What a day's fallback can use: best pick per match, first ``k`` by rank, first ``2k`` by price.
 
-    While the price floor is missed, the shortest price is swapped for the longest unused
-    one. A swap always takes the longest price left, so only the first ``k`` by rank and the
-    first ``2k`` by price can matter.
+    A swap always takes the longest price left and drops the shortest one, so after ``k``
+    swaps nothing longer remains.
     """
-    k = max(min_legs, num_legs)
     best = best_per_match(picks)
     by_rank = Window.partitionBy("day").orderBy("synthetic", F.round("composite", 9).desc(), "match_id")
     by_odds = Window.partitionBy("day").orderBy(F.round("odds", 9).desc(), "synthetic", F.round("composite", 9).desc(), "match_id")
-    a = best.withColumn("rk", F.row_number().over(by_rank)).filter(F.col("rk") <= k)
-    b = best.withColumn("ro", F.row_number().over(by_odds)).filter(F.col("ro") <= 2 * k)
-    cols = ["day", "match_id", "market", "selection", "prob", "odds", "composite"]
-    pool = a.select(*cols, F.col("rk"), F.lit(None).cast("int").alias("ro")).unionByName(
-        b.select(*cols, F.lit(None).cast("int").alias("rk"), F.col("ro")))
+    none = F.lit(None).cast("int")
+    # two ranked filters instead of one OR: each is cut before its shuffle
+    a = best.withColumn("rk", F.row_number().over(by_rank)).filter(F.col("rk") <= k).withColumn("ro", none)
+    b = best.withColumn("ro", F.row_number().over(by_odds)).filter(F.col("ro") <= 2 * k).withColumn("rk", none)
+    return a.select(*_POOL, "rk", "ro").unionByName(b.select(*_POOL, "rk", "ro"))
+
+
+def fallback(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, min_odds: float = 1.6) -> DataFrame:
+    """One coupon per day without an edge gate: best pick per match, real prices first.
 
+    While the price floor is missed, the shortest price is swapped for the longest unused one;
+    a day that cannot reach the floor gets no coupon.
+    """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = lambda c: pdf[pdf[c].notna()].sort_values(c).to_dict("records")
-        ranked, priced = by("rk"), by("ro")
-        chosen = ranked[: max(min_legs, min(num_legs, len(ranked)))]
-
-        def total():
-            out = 1.0
-            for p in chosen:
-                out *= p["odds"]
-            return out
-
-        ids = {p["match_id"] for p in chosen}
-        for cand in priced:
-            if total() >= min_odds:
-                break
-            weak = min(range(len(chosen)), key=lambda i: chosen[i]["odds"])
-            if cand["match_id"] in ids or cand["odds"] <= chosen[weak]["odds"]:
-                continue
-            ids.discard(chosen[weak]["match_id"])
-            ids.add(cand["match_id"])
-            chosen[weak] = cand
-        legs = chosen if chosen and total() >= min_odds else []
-        out = [(p["day"], "fallback", 1, i + 1, p["match_id"], p["market"], p["selection"], p["prob"], p["odds"], p["composite"])
-               for i, p in enumerate(legs)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COMPOSE_SCHEMA.split(", ")])
+        return _rows(_fallback_pool(pdf, num_legs, min_legs, min_odds), lambda n: "fallback")
 
-    return pool.groupBy("day").applyInPandas(run, COMPOSE_SCHEMA)
+    return fallback_pool(picks, max(min_legs, num_legs)).groupBy("day").applyInPandas(run, COMPOSE_SCHEMA)
+
+
+def suggest(strict: DataFrame, open_picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, max_legs: int = 4,
+            max_coupons: int = 5, min_odds: float = 1.6, diverse: bool = True) -> DataFrame:
+    """Composed coupons, and a fallback for the days that got none. Both bounded pools of a
+    day meet in one task, so neither enumeration runs twice."""
+    top = min(num_legs, max_legs)
+    none = F.lit(None).cast("int")
+    main = reachable(strict, max_coupons * top + top).select(*_POOL, none.alias("rk"), none.alias("ro"))
+    pool = main.unionByName(fallback_pool(open_picks, max(min_legs, num_legs)))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        spare = pdf["rk"].notna() | pdf["ro"].notna()
+        found = _compose_pool(pdf[~spare], top, min_legs, max_coupons, min_odds, diverse)
+        if found:
+            return _rows(found, lambda n: "primary" if n == 1 else "alternative")
+        return _rows(_fallback_pool(pdf[spare], num_legs, min_legs, min_odds), lambda n: "fallback")
 
-def suggest(strict: DataFrame, open_picks: DataFrame, **kw) -> DataFrame:
-    """Composed coupons, and a fallback for the days that got none."""
-    main = compose(strict, **kw)
-    empty_days = open_picks.join(main.select("day").distinct(), "day", "left_anti")
-    fb = fallback(empty_days, **{k: v for k, v in kw.items() if k in ("num_legs", "min_legs", "min_odds")})
-    return main.unionByName(fb)
+    return pool.groupBy("day").applyInPandas(run, COMPOSE_SCHEMA)
 
 
 def singles(picks: DataFrame, top: int = 5) -> DataFrame:
@@ -154,37 +184,42 @@ def singles(picks: DataFrame, top: int = 5) -> DataFrame:
     return best_per_match(picks).orderBy(F.round("composite", 9).desc(), "match_id").limit(top)
 
 
+VARIANT_SCHEMA = "day string, variant string, ids array<long>, combined_prob double, combined_odds double"
+
+
 def hit_variants(picks: DataFrame, num_legs: int = 2, variants=VARIANTS, pool: int = VARIANT_POOL) -> DataFrame:
     """Likeliest leg combination inside each odds window, per day, no match in two variants.
 
     Combinations are searched over the ``pool`` likeliest matches, one pick each, as the rule
     defines it. Earlier variants take at most ``num_legs`` matches each, so that many more are
-    kept in reserve and the pool of a later variant is still exact.
+    kept in reserve and a later variant's pool is still exact. A day's task therefore sees at
+    most ``pool + num_legs * (variants - 1)`` rows, whatever the day holds.
     """
     reserve = pool + num_legs * (len(variants) - 1)
     by_prob = Window.partitionBy("day").orderBy(F.round("prob", 9).desc(), "match_id")
     base = best_per_match(picks).withColumn("rn", F.row_number().over(by_prob)).filter(F.col("rn") <= reserve)
-    base = base.select("day", "rn", "match_id", "base", "market", "selection", "prob", "odds")
-    used, out = None, None
-    for key, min_prob, lo, hi in variants:
-        cand = base if used is None else base.join(used, ["day", "match_id"], "left_anti")
-        cand = cand.withColumn("rn", F.row_number().over(Window.partitionBy("day").orderBy("rn"))).filter(F.col("rn") <= pool)
-        combo = cand.selectExpr("day", "rn AS last", "array(match_id) AS ids", "array(base) AS fams", "prob AS cp", "odds AS co",
-                                "array(rn) AS rns")
-        for _ in range(num_legs - 1):
-            nxt = cand.selectExpr("day AS d2", "rn AS r2", "match_id AS m2", "base AS b2", "prob AS p2", "odds AS o2")
-            # the day's pool is at most ``pool`` rows, so are the partners of a partial combination
-            combo = combo.join(nxt, (F.col("day") == F.col("d2")) & (F.col("r2") > F.col("last"))
-                               & ~F.expr("array_contains(fams, b2)") & (F.col("co") * F.col("o2") <= hi)).selectExpr(
-                "day", "r2 AS last", "array_append(ids, m2) AS ids", "array_append(fams, b2) AS fams", "cp * p2 AS cp",
-                "co * o2 AS co", "array_append(rns, r2) AS rns")
-        ok = combo.filter((F.col("co") >= lo) & (F.col("co") <= hi) & (F.col("cp") >= min_prob))
-        best = ok.groupBy("day").agg(F.min(F.struct((-F.round("cp", 12)).alias("k"), "rns", "ids", "cp", "co")).alias("b"))
-        res = best.selectExpr("day", f"'{key}' AS variant", "b.ids AS ids", "b.cp AS combined_prob", "b.co AS combined_odds")
-        taken = res.selectExpr("day", "explode(ids) AS match_id")
-        used = taken if used is None else used.unionByName(taken)
-        out = res if out is None else out.unionByName(res)
-    return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn").reset_index(drop=True)
+        fam = pdf["base"].factorize()[0]
+        ids, prob, odds = (pdf[c].to_numpy() for c in ("match_id", "prob", "odds"))
+        taken, out = set(), []
+        for key, min_prob, lo, hi in variants:
+            free = [i for i in range(len(ids)) if ids[i] not in taken][:pool]
+            if len(free) < num_legs:
+                continue
+            combo = np.array(list(combinations(free, num_legs)))
+            fams = np.sort(fam[combo], axis=1)
+            cp, co = prob[combo].prod(axis=1), odds[combo].prod(axis=1)
+            ok = (co >= lo) & (co <= hi) & (cp >= min_prob) & (fams[:, 1:] != fams[:, :-1]).all(axis=1)
+            if not ok.any():
+                continue
+            best = int(np.argmax(np.where(ok, cp.round(12), -1.0)))
+            taken |= set(ids[combo[best]])
+            out.append((pdf["day"].iloc[0], key, ids[combo[best]].tolist(), float(cp[best]), float(co[best])))
+        return pd.DataFrame(out, columns=["day", "variant", "ids", "combined_prob", "combined_odds"])
+
+    return base.select("day", "rn", "match_id", "base", "prob", "odds").groupBy("day").applyInPandas(run, VARIANT_SCHEMA)
 
 
 def signature(legs: str = "legs") -> str:

@@ -41,9 +41,11 @@ def model_picks(df: DataFrame) -> DataFrame:
             f"WHEN {' AND '.join(f'{p[i]} >= {q}' for q in p[i + 1:])} THEN '{sel[i]}'" for i in range(len(sel) - 1))
         # a later selection is reached only when something later beat every earlier one
         raw = ", ".join(f"`{m}|{s}`" for s in sel)
-        items.append(f"struct('{m}' AS market, CASE {cases} ELSE '{sel[-1]}' END AS pick, greatest({raw}) AS pick_prob)")
-    items.append("struct('correct_score' AS market, top[0].score AS pick, top[0].p AS pick_prob)")
-    return mk.wide_book(mk.top_scores(df, 1)).selectExpr(*keep, f"inline(array({', '.join(items)}))")
+        items.append(f"struct(CASE {cases} ELSE '{sel[-1]}' END AS pick, greatest({raw}) AS prob) AS `{m}`")
+    items.append("struct(top[0].score AS pick, top[0].p AS prob) AS correct_score")
+    wide = mk.wide_book(mk.top_scores(df, 1)).selectExpr(*keep, *items)
+    long = wide.unpivot(df.columns, [f"`{m}`" for m in ARGMAX_MARKETS] + ["correct_score"], "market", "_p")
+    return long.selectExpr(*keep, "market", "_p.pick AS pick", "_p.prob AS pick_prob")
 
 
 def accuracy_rows(df: DataFrame) -> DataFrame:
@@ -65,19 +67,17 @@ def accuracy_summary(rows: DataFrame) -> DataFrame:
                     "picks", "hits", "hit_rate", "avg_prob")
 
 
-def _bin_of(p: Column, edges) -> Column:
-    """1-based left-closed bin; null outside the edges."""
-    b = F.lit(None).cast("int")
-    for i in range(len(edges) - 1, 0, -1):
-        b = F.when((p >= edges[i - 1]) & (p < edges[i]), i).otherwise(b)
-    return b
+def _bin_of(p: str, edges) -> str:
+    """SQL text: 1-based left-closed bin; null outside the edges."""
+    cases = " ".join(f"WHEN {p} >= {edges[i]}D AND {p} < {edges[i + 1]}D THEN {i + 1}" for i in range(len(edges) - 1))
+    return f"CASE {cases} END"
 
 
 def calibration_bins(rows: DataFrame, edges=ACCURACY_EDGES, prob: str = "pick_prob") -> DataFrame:
     """Hits and mean probability per bin; empty bins are kept."""
-    sums = rows.select(_bin_of(F.col(prob), edges).alias("bin"), "hit", F.col(prob).alias("p")).filter(
-        "bin IS NOT NULL").groupBy("bin").agg(
-            F.count("*").alias("n"), F.count_if("hit").alias("h"), F.sum("p").alias("s"))
+    inside = rows.filter(f"{prob} >= {edges[0]}D AND {prob} < {edges[-1]}D")
+    sums = inside.selectExpr(f"{_bin_of(prob, edges)} AS bin", "hit", f"{prob} AS p").groupBy("bin").agg(
+        F.count("*").alias("n"), F.count_if("hit").alias("h"), F.sum("p").alias("s"))
     label = lambda i: f"{int(edges[i] * 100)}-{int(edges[i + 1] * 100 if edges[i + 1] <= 1 else 100)}%"
     bins = literal_rows(rows.sparkSession, [(i + 1, label(i)) for i in range(len(edges) - 1)], "bin, range")
     j = bins.join(sums, "bin", "left")

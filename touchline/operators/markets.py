@@ -168,11 +168,17 @@ ENUMERATED = ["1X2", "double_chance"] + [f"over_under_{l}" for l in LINES] + ["b
 
 
 def long_book(df: DataFrame, markets=None) -> DataFrame:
-    """market_probs(keys..., market, selection, prob, ord): row-local expansion of the wide form."""
+    """market_probs(keys..., market, selection, prob, ord): row-local expansion of the wide form.
+
+    An unpivot, not an exploded array: it plans as Expand, which copies no arrays and keeps the
+    optimizer from carrying the long sums through every filter above it.
+    """
+    names = [f"{m}|{s}" for m, s in book_columns(markets)]
     keep = [f"`{c}`" for c in df.columns]
-    items = ", ".join(f"struct('{m}' AS market, '{s}' AS selection, `{m}|{s}` AS prob, {o} AS ord)"
-                      for o, (m, s) in enumerate(book_columns(markets)))
-    return wide_book(df).selectExpr(*keep, f"inline(array({items}))")
+    rows = wide_book(df).unpivot(df.columns, [f"`{n}`" for n in names], "_v", "prob")
+    order = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
+    return rows.selectExpr(*keep, "substring_index(_v, '|', 1) AS market", "substring_index(_v, '|', -1) AS selection", "prob",
+                           f"CAST(array_position({order}, _v) AS INT) AS ord")
 
 
 LABELS = sorted(f"{i}-{j}" for i in range(N + 1) for j in range(N + 1))

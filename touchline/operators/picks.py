@@ -133,7 +133,7 @@ def reasons() -> str:
 def key_absence(absences: str) -> str:
     """SQL text: first absence in a decisive position, by name (or position when unnamed)."""
     test = " OR ".join(f"startswith(lower(x.position), '{p}')" for p in KEY_POSITIONS)
-    return f"element_at(transform(filter({absences}, x -> {test}), x -> coalesce(nullif(x.name, ''), x.position)), 1)"
+    return f"try_element_at(transform(filter({absences}, x -> {test}), x -> coalesce(nullif(x.name, ''), x.position)), 1)"
 
 
 def with_neutral_signals(df: DataFrame) -> DataFrame:

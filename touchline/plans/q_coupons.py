@@ -21,7 +21,7 @@ def with_context(spark, d, m):
     """Matches with rates and both sides' motivation, form and availability."""
     full = D.matches(spark, d)
     x = ft.attach_sides(D.with_rates(m), ft.motivation_before(full), ft.SIGNALS, "mot")
-    form = ft.form_before(full).withColumn("form_reason", F.expr(f"element_at({ft.form_reasons()}, 1)"))
+    form = ft.form_before(full).withColumn("form_reason", F.expr(f"try_element_at({ft.form_reasons()}, 1)"))
     x = ft.attach_sides(x, form, ["form_delta", "form_reason"], "form")
     av = pk.absence_summary(D.absences(spark, d)).selectExpr("match_id", "team_id", "absent", f"{pk.key_absence('key_absences')} AS key_name")
     for side, p in (("home", "h"), ("away", "a")):
