@@ -53,17 +53,13 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
 
 def live_matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches where two thirds of the open rows are stuck in play or at half time."""
-    m = matches(spark, d)
-    k = F.col("match_id")
-    open_ = F.col("status") == "scheduled"
-    running = open_ & (k % 3 != 0)
-    return (
-        m.withColumn("status", F.when(open_ & (k % 3 == 1), "in_play").when(open_ & (k % 3 == 2), "paused")
-                     .otherwise(F.col("status")))
-        .withColumn("live_minute", F.when(running, k % 90 + 1))
-        .withColumn("live_home", F.when(running & (k % 5 != 0), k % 4))
-        .withColumn("live_away", F.when(running & (k % 5 != 0), (k * 3) % 3))
-    )
+    running = "status = 'scheduled' AND match_id % 3 <> 0"
+    return matches(spark, d).selectExpr(
+        "match_id", "league", "season", "kickoff", "home_team_id", "away_team_id", "ft_home", "ft_away",
+        f"CASE WHEN {running} THEN IF(match_id % 3 = 1, 'in_play', 'paused') ELSE status END AS status",
+        f"IF({running}, match_id % 90 + 1, NULL) AS live_minute",
+        f"IF({running} AND match_id % 5 <> 0, match_id % 4, NULL) AS live_home",
+        f"IF({running} AND match_id % 5 <> 0, (match_id * 3) % 3, NULL) AS live_away")
 
 
 def with_rates(df: DataFrame) -> DataFrame:
