@@ -77,7 +77,7 @@ def entity_core(name: Column, stopwords: list = ENTITY_STOPWORDS, synonyms: bool
 
 
 def slug(name: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(F.lower(fold(name)), r"[^\p{L}\p{N}]+", "-"))
+    return F.trim(F.regexp_replace(F.lower(fold(name)), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
 
 
 def team_ref(league: Column, name: Column) -> Column:

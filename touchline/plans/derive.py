@@ -131,7 +131,7 @@ def provider_rows(spark: SparkSession, d: str) -> DataFrame:
 
     return m.select(
         (k * 10).alias("row_id"), k.alias("true_match_id"), "league",
-        spell(F.col("home_team_id"), 0).alias("home_name"), spell(F.col("away_team_id"), 2).alias("away_name"),
+        spell(F.col("home_team_id"), 0).alias("home_name"), spell(F.col("away_team_id"), 1).alias("away_name"),
         (F.col("kickoff") + F.make_dt_interval(F.lit(0), F.lit(0), shift.cast("int"))).alias("kickoff"),
         (k % 5).alias("home_goals"), (k % 3).alias("away_goals"),
     )

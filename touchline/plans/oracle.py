@@ -115,7 +115,7 @@ CTE = {
       SELECT match_id * 10 AS row_id, match_id AS true_match_id, league,
         CASE (match_id) % 6 WHEN 0 THEN hn WHEN 1 THEN ha WHEN 2 THEN upper(hn) || ' FC' WHEN 3 THEN hn || ' City'
           WHEN 4 THEN hn || 'x' ELSE 'Unknown ' || CAST(match_id % 97 AS VARCHAR) END AS home_name,
-        CASE (match_id + 2) % 6 WHEN 0 THEN an WHEN 1 THEN aa WHEN 2 THEN upper(an) || ' FC' WHEN 3 THEN an || ' City'
+        CASE (match_id + 1) % 6 WHEN 0 THEN an WHEN 1 THEN aa WHEN 2 THEN upper(an) || ' FC' WHEN 3 THEN an || ' City'
           WHEN 4 THEN an || 'x' ELSE 'Unknown ' || CAST(match_id % 97 AS VARCHAR) END AS away_name,
         kickoff + to_minutes((match_id % 11 - 5) * 60) AS kickoff, match_id % 5 AS home_goals, match_id % 3 AS away_goals
       FROM (SELECT *, {{alias_h}} AS ha, {{alias_a}} AS aa FROM (

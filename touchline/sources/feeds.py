@@ -164,8 +164,8 @@ def race_sessions(df: DataFrame) -> DataFrame:
 
 
 # Classes and sessions of the two-wheel calendars (local hours, UTC+3).
-MOTO_CLASSES = [("motogp", "MotoGP", 15), ("moto2", "Moto2", 13), ("moto3", "Moto3", 12)]
-WSBK_SESSIONS = [("Race1", "Yarış 1", -1, 16), ("Superpole", "Superpole Yarışı", 0, 13), ("Race2", "Yarış 2", 0, 16)]
+MOTO_CLASSES = [("motogp", "MotoGP", 14), ("moto2", "Moto2", 12), ("moto3", "Moto3", 11)]
+WSBK_SESSIONS = [("Race1", "Yarış 1", -1, 14), ("Superpole", "Superpole Yarış", 0, 13), ("Race2", "Yarış 2", 0, 16)]
 
 
 def class_calendar(rounds: DataFrame, year: int = 2026, classes=MOTO_CLASSES) -> DataFrame:

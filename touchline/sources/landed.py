@@ -70,17 +70,16 @@ def _whole(name):
 
 
 def _price_columns(one_x_two, ou=None):
-    def price(col):
-        v = field(col).try_cast("double")
-        return F.when(v > 0, v)
-
+    """Price structs of every source whose columns are all filled."""
     items = []
-    for src, cols in one_x_two.items():
-        items += [F.struct(F.lit(src).alias("source"), F.lit("1X2").alias("market"), F.lit(s).alias("selection"), price(c).alias("decimal_odds"))
-                  for s, c in zip(("1", "X", "2"), cols)]
-    for src, cols in (ou or {}).items():
-        items += [F.struct(F.lit(src).alias("source"), F.lit("OU_2.5").alias("market"), F.lit(s).alias("selection"), price(c).alias("decimal_odds"))
-                  for s, c in zip(("over", "under"), cols)]
+    for market, sels, table in (("1X2", ("1", "X", "2"), one_x_two), ("OU_2.5", ("over", "under"), ou or {})):
+        for src, cols in table.items():
+            prices = [field(c).try_cast("double") for c in cols]
+            complete = prices[0].isNotNull()
+            for p in prices[1:]:
+                complete = complete & p.isNotNull()
+            items += [F.struct(F.lit(src).alias("source"), F.lit(market).alias("market"), F.lit(s).alias("selection"),
+                               F.when(complete, p).alias("decimal_odds")) for s, p in zip(sels, prices)]
     return F.filter(F.array(*items), lambda x: x["decimal_odds"].isNotNull()).alias("prices")
 
 
