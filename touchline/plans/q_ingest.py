@@ -430,3 +430,76 @@ def j10_xg_same_day(spark, d):
     x = feed_with_ids(spark, d, m).withColumn("day", F.to_date("kickoff"))
     g = D.matches(spark, d).select("league", "home_team_id", "away_team_id", F.to_date("kickoff").alias("day"), "match_id")
     return x.join(g, ["league", "home_team_id", "away_team_id", "day"]).groupBy("row_id").agg(F.min("match_id").alias("match_id"))
+
+
+# ---- landed files: the same lines a file reader delivers, derived from the match table ----
+
+_MAIN_HEAD = "Div,Date,Time,HomeTeam,AwayTeam,FTHG,FTAG,HTHG,HTAG,B365H,B365D,B365A,PSCH,PSCD,PSCA,B365>2.5,B365<2.5"
+_NEW_HEAD = "Country,League,Season,Date,Time,Home,Away,HG,AG,PSCH,PSCD,PSCA"
+
+
+def landed_lines(spark, d, head, line, file):
+    """One header line per file plus one line per match; every 13th line carries a field too many."""
+    m = D.matches(spark, d)
+    body = m.selectExpr(f"{file} AS file", f"concat({line}, IF(match_id % 13 = 0, repeat(',x', 20), '')) AS line")
+    heads = m.selectExpr(f"{file} AS file").distinct().selectExpr("file", f"'{head}' AS line")
+    return heads.unionByName(body)
+
+
+_CODE = "array('E0', 'D1', 'I1', 'SP1', 'ZZ')[CAST(substr(league, 2) AS INT)]"
+_LAND = "array('Austria', 'sweden', 'NORWAY', 'Finland', 'Atlantis')[CAST(substr(league, 2) AS INT)]"
+_CODE_SQL = "(['E0', 'D1', 'I1', 'SP1', 'ZZ'])[CAST(substr(league, 2) AS INTEGER) + 1]"
+_NEW_SQL = "(['AUT', 'SWE', 'NOR', 'FIN', NULL])[CAST(substr(league, 2) AS INTEGER) + 1]"
+_MAIN_LINE = """concat_ws(',', 'X', date_format(kickoff, IF(match_id % 2 = 0, 'dd/MM/yyyy', 'dd/MM/yy')), IF(match_id % 4 = 0, '19:45', ''), concat('T', home_team_id), IF(match_id % 17 = 0, '', concat('T', away_team_id)),
+   coalesce(CAST(ft_home AS STRING), ''), coalesce(CAST(ft_away AS STRING), ''), '0', '', '1.9', IF(match_id % 3 = 0, '', '3.4'), '4.1', '2.05', '3.3', '3.9', '1.8', '2.0')"""
+_YEAR2 = "CASE WHEN match_id % 2 = 0 THEN 0 ELSE 1 END"
+
+
+def main_lines(spark, d):
+    return landed_lines(spark, d, _MAIN_HEAD, _MAIN_LINE, f"concat('landed/', season, '/', {_CODE}, '.csv')")
+
+
+# a two-digit year is read as 2000-2099, so 1995 written as 95 becomes 2095
+_MAIN_KICK = "kickoff + CASE WHEN match_id % 2 = 1 AND year(kickoff) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END + CASE WHEN match_id % 4 = 0 THEN to_minutes(1185) ELSE to_minutes(0) END"
+
+
+@query("s1_season_files", sql("m", f"""
+SELECT {_CODE_SQL} AS league, season, strftime({_MAIN_KICK}, '%Y-%m-%d %H:%M:%S') AS kickoff, 'T' || home_team_id AS home_team, 'T' || away_team_id AS away_team, ft_home, ft_away, CASE WHEN match_id % 3 = 0 THEN 5 ELSE 8 END AS prices, count(*) AS n
+FROM m WHERE ft_home IS NOT NULL AND match_id % 17 <> 0 AND match_id % 13 <> 0 GROUP BY ALL"""))
+def s1_season_files(spark, d):
+    r = landed.season_results(main_lines(spark, d))
+    return r.groupBy("league", "season", ts("kickoff", "kickoff"), "home_team", "away_team", "ft_home", "ft_away", F.size("prices").alias("prices")).agg(F.count("*").alias("n"))
+
+
+def country_lines(spark, d, season="IF(match_id % 5 = 0, '', concat(season, '/', CAST(season AS INT) + 1))"):
+    line = f"""concat_ws(',', {_LAND}, 'Top', {season}, date_format(kickoff, 'yyyy-MM-dd'), '18:00', concat('T', home_team_id), concat('T', away_team_id),
+       coalesce(CAST(ft_home AS STRING), ''), coalesce(CAST(ft_away AS STRING), ''), '2.05', '3.3', '3.9')"""
+    return landed_lines(spark, d, _NEW_HEAD, line, f"concat('landed/', {_LAND}, '.csv')")
+
+
+@query("s2_country_files", sql("m", """
+SELECT (['Austria', 'sweden', 'NORWAY', 'Finland', 'Atlantis'])[CAST(substr(league, 2) AS INTEGER) + 1] AS league, season || '/' || (CAST(season AS INTEGER) + 1) AS season, 'T' || home_team_id AS home_team, count(*) AS n, CAST(sum(ft_home) AS BIGINT) AS goals
+FROM m WHERE ft_home IS NOT NULL AND match_id % 13 <> 0 AND match_id % 5 <> 0 AND season IN ('1996', '1997', '1998', '1999') GROUP BY ALL"""))
+def s2_country_files(spark, d):
+    """Seasons are wanted by year: any of the years inside the label is enough."""
+    r = landed.country_results(country_lines(spark, d), seasons=["1997", "1999"])
+    return r.groupBy("league", "season", "home_team").agg(F.count("*").alias("n"), F.sum("ft_home").alias("goals"))
+
+
+@query("s3_main_fixtures", sql("m", f"""
+SELECT {_CODE_SQL} AS league, lpad(CAST((year(kickoff) - CASE WHEN month(kickoff) >= 8 THEN 0 ELSE 1 END) % 100 AS VARCHAR), 2, '0') || lpad(CAST((year(kickoff) + CASE WHEN month(kickoff) >= 8 THEN 1 ELSE 0 END) % 100 AS VARCHAR), 2, '0') AS season,
+  'T' || home_team_id AS home_team, count(*) AS n FROM m WHERE league <> 'L4' AND match_id % 13 <> 0 GROUP BY ALL"""))
+def s3_main_fixtures(spark, d):
+    """Unknown league codes (ZZ) drop out by a semi join with the catalog."""
+    line = f"concat_ws(',', {_CODE}, date_format(kickoff, 'dd/MM/yyyy'), '20:00', concat('T', home_team_id), concat('T', away_team_id))"
+    f = landed.main_fixtures(landed_lines(spark, d, "Div,Date,Time,HomeTeam,AwayTeam", line, "'landed/fixtures.csv'"))
+    return f.groupBy("league", "season", "home_team").agg(F.count("*").alias("n"))
+
+
+@query("s4_new_fixtures", sql("m", f"""
+SELECT {_NEW_SQL} AS league, CASE WHEN match_id % 5 = 0 THEN CAST(year(kickoff) AS VARCHAR) ELSE season || '/' || (CAST(season AS INTEGER) + 1) END AS season, 'T' || home_team_id AS home_team, count(*) AS n
+FROM m WHERE league <> 'L4' AND match_id % 13 <> 0 GROUP BY ALL"""))
+def s4_new_fixtures(spark, d):
+    """Leagues come from the country name in any case; a missing season falls back to the kickoff year."""
+    f = landed.new_fixtures(country_lines(spark, d))
+    return f.groupBy("league", "season", "home_team").agg(F.count("*").alias("n"))

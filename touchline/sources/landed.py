@@ -44,13 +44,18 @@ def strip_wrapper(text: Column) -> Column:
     return F.when(at > 0, body).otherwise(text)
 
 
-def named_lines(spark: SparkSession, paths, required) -> DataFrame:
-    """(file, header, fields): data lines of every file that has the required columns."""
-    raw = (
+def read_lines(spark: SparkSession, paths) -> DataFrame:
+    """(file, line) of landed text files in Latin-1, read in splittable form."""
+    return (
         spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("encoding", "ISO-8859-1")
-        .csv(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("line", "^ï»¿", "").alias("line"))
+        .csv(paths).select(F.col("_metadata.file_path").alias("file"), "line")
     )
-    cells = raw.withColumn("fields", F.split(F.regexp_replace("line", "\r$", ""), ",", -1))
+
+
+def named_lines(lines: DataFrame, required) -> DataFrame:
+    """(file, header, fields): data lines of every file that has the required columns."""
+    clean = F.regexp_replace("line", "^(ï»¿|\ufeff)|\r$", "")
+    cells = lines.select("file", F.split(clean, ",", -1).alias("fields"))
     need = F.array(*[F.lit(c) for c in required])
     is_header = F.size(F.array_except(need, F.col("fields"))) == 0
     # one header per file: a table as small as the list of files
@@ -83,9 +88,9 @@ def _price_columns(one_x_two, ou=None):
     return F.filter(F.array(*items), lambda x: x["decimal_odds"].isNotNull()).alias("prices")
 
 
-def season_results(spark: SparkSession, paths) -> DataFrame:
+def season_results(lines: DataFrame) -> DataFrame:
     """Main-format season files ``.../<season>/<league>.csv`` as finished matches with prices."""
-    x = named_lines(spark, paths, ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG"])
+    x = named_lines(lines, ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG"])
     m = x.select(
         F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("league"), F.regexp_extract("file", r"([^/]+)/[^/]+\.csv$", 1).alias("season"),
         times.kickoff(field("Date"), F.coalesce(field("Time"), F.lit(""))).alias("kickoff"),
@@ -95,9 +100,9 @@ def season_results(spark: SparkSession, paths) -> DataFrame:
     return m.dropna(subset=["home_team", "away_team", "ft_home", "ft_away", "kickoff"])
 
 
-def country_results(spark: SparkSession, paths, seasons=None) -> DataFrame:
+def country_results(lines: DataFrame, seasons=None) -> DataFrame:
     """Per-country files ``.../<league>.csv`` with every season inside; optional year filter by substring."""
-    x = named_lines(spark, paths, ["Date", "Home", "Away", "HG", "AG"])
+    x = named_lines(lines, ["Date", "Home", "Away", "HG", "AG"])
     m = x.select(
         F.regexp_extract("file", r"([^/]+)\.csv$", 1).alias("league"), F.coalesce(field("Season"), F.lit("unknown")).alias("season"),
         times.kickoff(field("Date"), F.coalesce(field("Time"), F.lit(""))).alias("kickoff"),
@@ -113,10 +118,10 @@ def price_rows(results: DataFrame) -> DataFrame:
     return results.select("league", "season", "kickoff", "home_team", "away_team", F.inline("prices"))
 
 
-def main_fixtures(spark: SparkSession, paths, codes=None) -> DataFrame:
+def main_fixtures(lines: DataFrame, codes=None) -> DataFrame:
     """Upcoming fixtures, main format: known league codes only, season from the kickoff."""
-    x = named_lines(spark, paths, ["Div", "Date", "HomeTeam", "AwayTeam"])
-    known = catalog(spark).filter("format = 'main'").select(F.col("code").alias("league"))
+    x = named_lines(lines, ["Div", "Date", "HomeTeam", "AwayTeam"])
+    known = catalog(lines.sparkSession).filter("format = 'main'").select(F.col("code").alias("league"))
     m = x.select(field("Div").alias("league"), times.kickoff(field("Date"), F.coalesce(field("Time"), F.lit(""))).alias("kickoff"),
                  field("HomeTeam").alias("home_team"), field("AwayTeam").alias("away_team"))
     m = m.join(known, "league", "left_semi").dropna(subset=["home_team", "away_team", "kickoff"])
@@ -124,10 +129,10 @@ def main_fixtures(spark: SparkSession, paths, codes=None) -> DataFrame:
     return m.withColumns({"season": times.season_of(F.col("kickoff")), "status": F.lit("scheduled")})
 
 
-def new_fixtures(spark: SparkSession, paths, codes=None) -> DataFrame:
+def new_fixtures(lines: DataFrame, codes=None) -> DataFrame:
     """Upcoming fixtures, new format: league by country name in any case, season or kickoff year."""
-    x = named_lines(spark, paths, ["Country", "Date", "Home", "Away"])
-    known = catalog(spark).filter("format = 'new'").select(F.lower("country").alias("c"), F.col("code").alias("league"))
+    x = named_lines(lines, ["Country", "Date", "Home", "Away"])
+    known = catalog(lines.sparkSession).filter("format = 'new'").select(F.lower("country").alias("c"), F.col("code").alias("league"))
     m = x.select(F.lower(field("Country")).alias("c"), times.kickoff(field("Date"), F.coalesce(field("Time"), F.lit(""))).alias("kickoff"),
                  field("Home").alias("home_team"), field("Away").alias("away_team"), field("Season").alias("s"))
     m = m.join(known, "c").dropna(subset=["home_team", "away_team", "kickoff"])
