@@ -95,12 +95,13 @@ def temperature_nll(df: DataFrame, keys, temps) -> DataFrame:
     return agg.selectExpr(*keys, "n", f"inline(array({items}))")
 
 
-def fit_temperature(df: DataFrame, keys, passes: int = 4, points: int = 16, lo: float = 0.05, hi: float = 20.0) -> DataFrame:
+def fit_temperature(df: DataFrame, keys, passes: int = 3, points: int = 16, lo: float = 0.05, hi: float = 20.0) -> DataFrame:
     """(keys..., T, n): the temperature with the least negative log likelihood per group.
 
-    The likelihood is convex in 1/T, so each pass evaluates a small log grid as plain
-    aggregate columns (no row is copied) and the next pass looks between the neighbours of
-    the best point. Partial sums shrink a hot group before the shuffle.
+    The likelihood is convex in 1/T, so each pass evaluates a small log grid as plain aggregate
+    columns (no row is copied), the next pass looks between the neighbours of the best point,
+    and the last one ends on the parabola through them. Partial sums shrink a hot group before
+    the shuffle.
     """
     keys = list(keys)
     bounds = None
@@ -108,18 +109,17 @@ def fit_temperature(df: DataFrame, keys, passes: int = 4, points: int = 16, lo:
         if bounds is None:
             x = df.selectExpr("*", f"ln({lo}D) AS _lo", f"ln({hi}D) AS _hi")
         else:
-            x = df.join(bounds, keys) if keys else df.crossJoin(F.broadcast(bounds))
+            x = df.join(bounds, keys)
         step = f"(_hi - _lo) / {points - 1}D"
         sums = x.groupBy(*keys, "_lo", "_hi").agg(
             F.count("*").alias("n"),
-            *[F.expr(f"sum({_nll(f'exp(-(_lo + {i}D * {step}))')}) AS s{i}") for i in range(points)])
-        arr = "array(" + ", ".join(f"s{i}" for i in range(points)) + ")"
-        best = sums.selectExpr(*keys, "n", "_lo", f"{step} AS _st", f"array_position({arr}, array_min({arr})) - 1 AS _i")
-        bounds_full = best.selectExpr(
-            *keys, "n", f"_lo + greatest(_i - 1, 0) * _st AS _lo", f"_lo + least(_i + 1, {points - 1}) * _st AS _hi",
-            "exp(_lo + _i * _st) AS T")
-        bounds = bounds_full.select(*keys, "_lo", "_hi")
-    return bounds_full.select(*keys, "T", "n")
+            F.array(*[F.expr(f"sum({_nll(f'exp(-(_lo + {i}D * {step}))')})") for i in range(points)]).alias("_s"))
+        at = sums.selectExpr(*keys, "n", "_lo", f"{step} AS _st", "_s", "array_position(_s, array_min(_s)) - 1 AS _i")
+        at = at.selectExpr(*keys, "n", "_lo", "_st", "_i", "_s[CAST(_i AS INT)] AS _f", "get(_s, CAST(_i - 1 AS INT)) AS _l",
+                           "get(_s, CAST(_i + 1 AS INT)) AS _r")
+        bounds = at.selectExpr(*keys, "_lo + greatest(_i - 1, 0) * _st AS _lo", f"_lo + least(_i + 1, {points - 1}) * _st AS _hi")
+    vertex = "coalesce(try_divide(0.5D * (_l - _r), _l - 2 * _f + _r), 0D)"
+    return at.selectExpr(*keys, f"exp(_lo + (_i + {vertex}) * _st) AS T", "n")
 
 
 def rolling_chunks(rows: DataFrame, group, index: str, window: int = 500, minimum: int = 100, refit: int = 50) -> DataFrame:

@@ -5,7 +5,7 @@ first: the greedy scan can only ever reach the best few matches of each (family,
 fallback the best few by score and by price, the variants the likeliest few. Everything beyond
 these is provably never chosen, and ranked filters cut it before the shuffle.
 """
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -70,14 +70,32 @@ def _greedy(pool: list, legs: int, floor: float, diverse: bool, taken: set):
 
 
 def _rows(found, kind_of):
-    """Legs of found coupons as output rows; ``kind_of`` names a coupon by its number."""
-    out = [(p["day"], kind_of(n), n, i + 1, p["match_id"], p["market"], p["selection"], p["prob"], p["odds"], p["composite"])
-           for n, legs in enumerate(found, 1) for i, p in enumerate(legs)]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in COMPOSE_SCHEMA.split(", ")])
+    """Legs of found coupons as output tuples; ``kind_of`` names a coupon by its number."""
+    return [(p["day"], kind_of(n), n, i + 1, p["match_id"], p["market"], p["selection"], p["prob"], p["odds"], p["composite"])
+            for n, legs in enumerate(found, 1) for i, p in enumerate(legs)]
 
 
-def _compose_pool(pdf, top, min_legs, max_coupons, min_odds, diverse):
-    rows = pdf.assign(_c=-pdf["composite"].round(9)).sort_values(["_c", "match_id", "ord"]).to_dict("records")
+def _per_day(pool: DataFrame, one_day, schema: str) -> DataFrame:
+    """Run ``one_day(records) -> tuples`` on every day of an already bounded pool.
+
+    A task group is a calendar month, so at most 31 bounded days; the fixed partition count
+    keeps small pools from being packed into one Python worker.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        recs = pdf.assign(_c=-pdf["composite"].round(9)).sort_values(["day", "_c", "match_id", "ord"]).to_dict("records")
+        out = []
+        for _, day in groupby(recs, key=lambda r: r["day"]):
+            out += one_day(list(day))
+        return pd.DataFrame(out, columns=columns)
+
+    n = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    month = pool.withColumn("_month", F.substring("day", 1, 7))
+    return month.repartition(n, "_month").groupBy("_month").applyInPandas(run, schema)
+
+
+def _compose_pool(rows, top, min_legs, max_coupons, min_odds, diverse):
     taken, found = set(), []
     for size in range(top, max(min_legs, 1) - 1, -1):
         while len(found) < max_coupons:
@@ -89,9 +107,9 @@ def _compose_pool(pdf, top, min_legs, max_coupons, min_odds, diverse):
     return found
 
 
-def _fallback_pool(pdf, num_legs, min_legs, min_odds):
-    by = lambda c: pdf[pdf[c].notna()].sort_values(c).to_dict("records")
-    ranked, priced = by("rk"), by("ro")
+def _fallback_pool(rows, num_legs, min_legs, min_odds):
+    ranked = sorted((r for r in rows if r["rk"] == r["rk"]), key=lambda r: r["rk"])  # missing ranks are NaN
+    priced = sorted((r for r in rows if r["ro"] == r["ro"]), key=lambda r: r["ro"])
     chosen = ranked[: max(min_legs, min(num_legs, len(ranked)))]
     ids = {p["match_id"] for p in chosen}
 
@@ -125,11 +143,11 @@ def compose(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, max_legs:
     """
     top = min(num_legs, max_legs)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rows(_compose_pool(pdf, top, min_legs, max_coupons, min_odds, diverse),
+    def one_day(rows):
+        return _rows(_compose_pool(rows, top, min_legs, max_coupons, min_odds, diverse),
                      lambda n: "primary" if n == 1 else "alternative")
 
-    return reachable(picks, max_coupons * top + top).select(*_POOL).groupBy("day").applyInPandas(run, COMPOSE_SCHEMA)
+    return _per_day(reachable(picks, max_coupons * top + top).select(*_POOL), one_day, COMPOSE_SCHEMA)
 
 
 def fallback_pool(picks: DataFrame, k: int) -> DataFrame:
@@ -154,10 +172,10 @@ def fallback(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, min_odds
     While the price floor is missed, the shortest price is swapped for the longest unused one;
     a day that cannot reach the floor gets no coupon.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _rows(_fallback_pool(pdf, num_legs, min_legs, min_odds), lambda n: "fallback")
+    def one_day(rows):
+        return _rows(_fallback_pool(rows, num_legs, min_legs, min_odds), lambda n: "fallback")
 
-    return fallback_pool(picks, max(min_legs, num_legs)).groupBy("day").applyInPandas(run, COMPOSE_SCHEMA)
+    return _per_day(fallback_pool(picks, max(min_legs, num_legs)), one_day, COMPOSE_SCHEMA)
 
 
 def suggest(strict: DataFrame, open_picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, max_legs: int = 4,
@@ -169,14 +187,14 @@ def suggest(strict: DataFrame, open_picks: DataFrame, *, num_legs: int = 3, min_
     main = reachable(strict, max_coupons * top + top).select(*_POOL, none.alias("rk"), none.alias("ro"))
     pool = main.unionByName(fallback_pool(open_picks, max(min_legs, num_legs)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spare = pdf["rk"].notna() | pdf["ro"].notna()
-        found = _compose_pool(pdf[~spare], top, min_legs, max_coupons, min_odds, diverse)
+    def one_day(rows):
+        is_spare = lambda r: r["rk"] == r["rk"] or r["ro"] == r["ro"]
+        found = _compose_pool([r for r in rows if not is_spare(r)], top, min_legs, max_coupons, min_odds, diverse)
         if found:
             return _rows(found, lambda n: "primary" if n == 1 else "alternative")
-        return _rows(_fallback_pool(pdf[spare], num_legs, min_legs, min_odds), lambda n: "fallback")
+        return _rows(_fallback_pool([r for r in rows if is_spare(r)], num_legs, min_legs, min_odds), lambda n: "fallback")
 
-    return pool.groupBy("day").applyInPandas(run, COMPOSE_SCHEMA)
+    return _per_day(pool, one_day, COMPOSE_SCHEMA)
 
 
 def singles(picks: DataFrame, top: int = 5) -> DataFrame:
@@ -199,10 +217,11 @@ def hit_variants(picks: DataFrame, num_legs: int = 2, variants=VARIANTS, pool: i
     by_prob = Window.partitionBy("day").orderBy(F.round("prob", 9).desc(), "match_id")
     base = best_per_match(picks).withColumn("rn", F.row_number().over(by_prob)).filter(F.col("rn") <= reserve)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn").reset_index(drop=True)
-        fam = pdf["base"].factorize()[0]
-        ids, prob, odds = (pdf[c].to_numpy() for c in ("match_id", "prob", "odds"))
+    def one_day(rows):
+        rows = sorted(rows, key=lambda r: r["rn"])
+        names = {b: i for i, b in enumerate({r["base"] for r in rows})}
+        fam = np.array([names[r["base"]] for r in rows])
+        ids, prob, odds = (np.array([r[c] for r in rows]) for c in ("match_id", "prob", "odds"))
         taken, out = set(), []
         for key, min_prob, lo, hi in variants:
             free = [i for i in range(len(ids)) if ids[i] not in taken][:pool]
@@ -216,10 +235,10 @@ def hit_variants(picks: DataFrame, num_legs: int = 2, variants=VARIANTS, pool: i
                 continue
             best = int(np.argmax(np.where(ok, cp.round(12), -1.0)))
             taken |= set(ids[combo[best]])
-            out.append((pdf["day"].iloc[0], key, ids[combo[best]].tolist(), float(cp[best]), float(co[best])))
-        return pd.DataFrame(out, columns=["day", "variant", "ids", "combined_prob", "combined_odds"])
+            out.append((rows[0]["day"], key, ids[combo[best]].tolist(), float(cp[best]), float(co[best])))
+        return out
 
-    return base.select("day", "rn", "match_id", "base", "prob", "odds").groupBy("day").applyInPandas(run, VARIANT_SCHEMA)
+    return _per_day(base.select("day", "rn", "match_id", "ord", "base", "prob", "odds", "composite"), one_day, VARIANT_SCHEMA)
 
 
 def signature(legs: str = "legs") -> str:

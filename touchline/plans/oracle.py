@@ -153,7 +153,7 @@ def sql(names, body: str) -> str:
 
     for n in names.split():
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n][1]})" for n in order) + ("\n" if not body.lstrip().startswith(",") else "") + body
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n][1]})" for n in order) + ("\n" if not body.lstrip().startswith(",") else "") + body
 
 
 def hit_sql(market="market", selection="selection", fh="ft_home", fa="ft_away") -> str:

@@ -414,11 +414,11 @@ def j8_stale_by_day_window(spark, d):
 
 
 @query("j9_absence_to_match", sql("absn tm", """
-SELECT row_id, match_id FROM (SELECT a.match_id * 1000 + a.team_id * 10 + a.idx AS row_id, t.match_id, row_number() OVER (PARTITION BY a.match_id, a.team_id, a.idx ORDER BY t.match_id) AS rn
+SELECT row_id, match_id FROM (SELECT a.match_id * 10000 + a.team_id * 10 + a.idx AS row_id, t.match_id, row_number() OVER (PARTITION BY a.match_id, a.team_id, a.idx ORDER BY t.match_id) AS rn
   FROM absn a JOIN tm t ON t.team_id = a.team_id AND abs(epoch_us(t.kickoff) - epoch_us(a.kickoff) - 3600000000) < 4 * 3600000000) z WHERE rn = 1"""))
 def j9_absence_to_match(spark, d):
     """The team plays at home or away: matches are unpivoted to one row per team, no OR join."""
-    a = D.absences(spark, d).selectExpr("match_id * 1000 + team_id * 10 + idx AS row_id", "team_id", "kickoff + INTERVAL 1 HOUR AS kickoff")
+    a = D.absences(spark, d).selectExpr("match_id * 10000 + team_id * 10 + idx AS row_id", "team_id", "kickoff + INTERVAL 1 HOUR AS kickoff")
     return rs.interval_join(a, rs.by_team(D.matches(spark, d)), ["team_id"], 4, strict=True, rank=["0 AS z"])
 
 
