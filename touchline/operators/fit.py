@@ -195,7 +195,9 @@ def fit_folds(stats: DataFrame, l2: float = 2.0) -> DataFrame:
             "grp": key[0], "fold": key[1], "league": leagues[lg], "team_id": teams, "attack": att, "defence": dfn,
             "gamma": gam[lg], "delta": dlt[lg], "rho": theta[-1], "nll": value, "iterations": it})
 
-    return stats.groupBy("grp", "fold").applyInPandas(run, "grp string, " + PARAM_SCHEMA)
+    # a fixed partition count keeps small tables from being packed into one Python worker
+    n = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stats.repartition(n, "grp", "fold").groupBy("grp", "fold").applyInPandas(run, "grp string, " + PARAM_SCHEMA)
 
 
 def gauge_fix(teams: DataFrame) -> DataFrame:

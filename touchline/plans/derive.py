@@ -29,6 +29,15 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when a table comes in fewer pieces than there are (one small file).
+
+    A table with enough splits, as any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def now(text: str = NOW) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -41,7 +50,7 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
         return (f"IF({played} AND o_orderkey % 3 <> 0, "
                 f"round(greatest(0.05D, {goals} + (o_orderkey % 7 - 3) / 10D), 6), NULL)")
 
-    return table(spark, d, "orders").selectExpr(
+    return spread(table(spark, d, "orders"), "o_orderkey").selectExpr(
         "o_orderkey AS match_id", "concat('L', o_custkey % 5) AS league",
         "CAST(year(o_orderdate) AS STRING) AS season", "o_orderdate AS kickoff",
         f"{lg} + o_orderkey % 20 AS home_team_id", f"{lg} + (o_orderkey % 20 + 1 + o_custkey % 19) % 20 AS away_team_id",
@@ -79,7 +88,7 @@ def rates(spark: SparkSession, d: str) -> DataFrame:
 def odds(spark: SparkSession, d: str) -> DataFrame:
     items = ", ".join(f"struct('{src}' AS source, '{mk}' AS market, '{sel}' AS selection, {sx} AS sx, {qx} AS qx)"
                       for mk, sel, sx in PRICED for src, qx in SOURCES)
-    return table(spark, d, "orders").selectExpr(
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").selectExpr(
         "o_orderkey AS match_id", "o_orderdate AS kickoff", f"inline(array({items}))",
     ).filter("(match_id + qx) % 3 <> 0").selectExpr(
         "match_id * 100 + sx * 10 + qx AS odds_id", "match_id", "source", "market", "selection",
