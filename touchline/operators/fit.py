@@ -174,7 +174,7 @@ def fit_folds(stats: DataFrame, l2: float = 2.0) -> DataFrame:
 
     A task holds one fold's pair table, at most teams squared rows per league.
     """
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["league", "home_team_id", "away_team_id"])
         teams, leagues, theta, value, it, ix, s = solve_pairs(pdf, l2)
         n, nl = len(teams), len(leagues)

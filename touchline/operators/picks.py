@@ -158,9 +158,12 @@ def _policy(pos: int, policy: dict, default: str) -> str:
 
 def enumerate_picks(matches: DataFrame, best: DataFrame, curve: DataFrame | None = None, *, min_prob: float = 0.55,
                     require_edge: bool = True, allowed=None, policy=None, compat_base_market: bool = False,
-                    with_reasons: bool = True) -> DataFrame:
+                    with_reasons: bool = True, context=None) -> DataFrame:
     """All picks of the given matches (needs lam, mu, rho; h_*/a_* signals are optional).
 
+    ``context`` is a function that joins the signals onto rows of picks. It runs after every
+    gate, so only surviving picks travel through its joins.
+
     The strict pass keeps only leagues with a verified strategy and prices that beat the
     market; the open pass takes every pick above the probability floor and prices a missing
     one at 1/prob.
@@ -189,7 +192,7 @@ def enumerate_picks(matches: DataFrame, best: DataFrame, curve: DataFrame | None
         "IF(synthetic, 0D, prob / ((1D / odds) / coalesce(overround, 1D)) - 1D) AS edge")
     if require_edge:
         x = x.filter(F.expr(f"edge >= greatest({MIN_VALUE_EDGE}D, {_policy(1, policy, '0D')})"))
-    x = with_neutral_signals(x)
+    x = with_neutral_signals(context(x) if context else x)
     x = x.selectExpr("*", f"{motivation_score()} AS motivation_score", f"{form_score()} AS form_score",
                      f"{availability_score()} AS availability_score")
     out = ["match_id", "league", "kickoff", "market", "selection", "ord", "base", "prob", "odds", "edge", "synthetic",

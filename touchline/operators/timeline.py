@@ -2,7 +2,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_BUCKETS = 256
+ID_BUCKETS = 1024
 
 
 def with_row_index(df: DataFrame, time: str, key: str, group=None, name: str = "idx") -> DataFrame:

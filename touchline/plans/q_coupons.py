@@ -17,16 +17,18 @@ from touchline.plans.registry import query
 POLICY = {"L0": (["over_under"], 0.03, 0.55), "L1": (["over_under"], 0.03, 0.60), "L2": (["1X2"], 0.01, 0.50)}
 
 
-def with_context(spark, d, m):
-    """Matches with rates and both sides' motivation, form and availability."""
+def with_context(spark, d, rows):
+    """Both sides' motivation, form and availability on rows that carry the match's keys."""
     full = D.matches(spark, d)
-    x = ft.attach_sides(D.with_rates(m), ft.motivation_before(full), ft.SIGNALS, "mot")
     form = ft.form_before(full).withColumn("form_reason", F.expr(f"try_element_at({ft.form_reasons()}, 1)"))
-    x = ft.attach_sides(x, form, ["form_delta", "form_reason"], "form")
+    keys = ["league", "season", "kickoff", "team_id"]
+    # one feature row per team and kickoff, so each side costs one join
+    side = ft.motivation_before(full).select(*keys, *ft.SIGNALS).join(form.select(*keys, "form_delta", "form_reason"), keys, "left")
+    x = ft.attach_sides(rows, side, [*ft.SIGNALS, "form_delta", "form_reason"], "context")
     av = pk.absence_summary(D.absences(spark, d)).selectExpr("match_id", "team_id", "absent", f"{pk.key_absence('key_absences')} AS key_name")
-    for side, p in (("home", "h"), ("away", "a")):
-        x = x.join(av.selectExpr("match_id", f"team_id AS {side}_team_id", f"absent AS {p}_absent", f"key_name AS {p}_key_name"),
-                   ["match_id", f"{side}_team_id"], "left")
+    for s, p in (("home", "h"), ("away", "a")):
+        x = x.join(av.selectExpr("match_id", f"team_id AS {s}_team_id", f"absent AS {p}_absent", f"key_name AS {p}_key_name"),
+                   ["match_id", f"{s}_team_id"], "left")
     return x.withColumns({"h_team": F.concat(F.lit("T"), F.col("home_team_id").cast("string")),
                           "a_team": F.concat(F.lit("T"), F.col("away_team_id").cast("string"))})
 
@@ -36,8 +38,8 @@ def played(spark, d):
 
 
 def strict_picks(spark, d, context=False, reasons=False):
-    m = with_context(spark, d, played(spark, d)) if context else D.with_rates(played(spark, d))
-    x = pk.enumerate_picks(m, od.best_prices(D.odds(spark, d)), policy=POLICY, with_reasons=reasons)
+    x = pk.enumerate_picks(D.with_rates(played(spark, d)), od.best_prices(D.odds(spark, d)), policy=POLICY, with_reasons=reasons,
+                           context=(lambda rows: with_context(spark, d, rows)) if context else None)
     return x.withColumn("day", F.date_format("kickoff", "yyyy-MM-dd"))
 
 
