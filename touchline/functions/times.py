@@ -23,8 +23,9 @@ def kickoff(date: Column, time: Column) -> Column:
 
 
 def iso_utc(text: Column) -> Column:
-    """ISO text with Z or an offset, as UTC without zone (the session zone is UTC)."""
-    return text.try_cast("timestamp").cast("timestamp_ntz")
+    """ISO text with Z or an offset, as UTC without zone, whatever the session's zone is."""
+    local = text.try_cast("timestamp").cast("timestamp_ntz")
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), local)
 
 
 def yymm(start_year: Column) -> Column:

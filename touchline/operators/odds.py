@@ -51,7 +51,8 @@ def with_overround(best: DataFrame) -> DataFrame:
     w = Window.partitionBy("match_id", "market")
     priced = F.count(F.when(F.col("odds") > 0, 1)).over(w)
     total = F.sum(F.when(F.col("odds") > 0, F.lit(1.0) / F.col("odds"))).over(w)
-    return best.withColumn(
+    # one hash by match serves this window and any other window by match behind it
+    return best.repartition("match_id").withColumn(
         "overround", F.when(priced >= expected_count(F.col("market")), total).otherwise(F.lit(1.0)))
 
 

@@ -15,10 +15,10 @@ def with_row_index(df: DataFrame, time: str, key: str, group=None, name: str = "
     group = [] if group is None else [group] if isinstance(group, str) else list(group)
     span = df.agg(F.min(key).alias("k0"), F.max(key).alias("k1"))
     x = df.withColumns({
-        "_day": F.to_date(time), "_k0": span.select("k0").scalar(), "_k1": span.select("k1").scalar()})
+        "_day": F.to_date(time), "_k": span.select(F.struct("k0", "k1")).scalar()})
     # order inside a day is by time first, so the range is taken over (second of day, key)
     x = x.withColumn("_sec", F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)) \
-        .withColumn("_b", F.expr(f"CAST(floor(({key} - _k0) / greatest(1D, (_k1 - _k0 + 1) / {ID_BUCKETS}D)) AS INT)"))
+        .withColumn("_b", F.expr(f"CAST(floor(({key} - _k.k0) / greatest(1D, (_k.k1 - _k.k0 + 1) / {ID_BUCKETS}D)) AS INT)"))
     part = [*group, "_day", "_sec", "_b"]
     counts = x.groupBy(*part).agg(F.count("*").alias("_n"))
     day_n = counts.groupBy(*group, "_day").agg(F.sum("_n").alias("_dn"))

@@ -13,6 +13,7 @@ from touchline.plans.oracle import CTE, hit_sql, sql
 from touchline.plans.q_features import day
 from touchline.plans.q_markets import r6
 from touchline.plans.registry import query
+from touchline.session import checkpoint
 
 _ENUM = "(market IN ('1X2', 'double_chance', 'btts', 'odd_even') OR market LIKE 'over_under_%')"
 CTE["picked"] = (["mp", "pair_cells"], f"""
@@ -297,7 +298,7 @@ def j26_calibrated_probs(spark, d):
 def w13_rolling_calibration(spark, d):
     """Temperature per league from the last 500 predictions, refitted every 50."""
     rows = tl.with_row_index(temperature_rows(spark, d), "kickoff", "match_id", "league")
-    return cal.fit_temperature(cal.rolling_chunks(rows, "league", "idx"), ["league", "chunk"]).select(
+    return cal.fit_temperature(checkpoint(cal.rolling_chunks(rows, "league", "idx")), ["league", "chunk"]).select(
         "league", "chunk", r6("T", "T"), "n")
 
 

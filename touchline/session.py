@@ -34,7 +34,7 @@ def checkpoint(df):
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
             return df
         sc.setCheckpointDir(folder)
