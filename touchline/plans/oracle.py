@@ -1,5 +1,4 @@
 """DuckDB text of the derived tables, shared by the checking SQL."""
-from touchline.functions import naming
 from touchline.plans import derive
 
 _CLUBS = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in derive.CLUBS) + "]"
