@@ -5,10 +5,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bottomk, packing
+from touchline.llm import bottomk, langid, packing, quality
 from touchline.llm.shared import documents
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
+
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.scored(docs, quality.learn(docs, documents(spark, sf_dir, "labels")))
+
+
+def op8_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predicted(docs, langid.learn(docs, langid.public_pieces(PIECES)))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +31,5 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op9_best_fit_packing, op10_bottom_k_fingerprints)}
+    op3_compression_quality, op8_segmentation_langid, op9_best_fit_packing, op10_bottom_k_fingerprints)}
 ORACLES: dict[str, str] = {}
