@@ -5,18 +5,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bottomk, langid, packing, quality
+from touchline.llm import bottomk, decontaminate, langid, packing, pii, quality
 from touchline.llm.shared import documents
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.found(docs, pii.learn(docs))
+
+
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.scored(docs, quality.learn(docs, documents(spark, sf_dir, "labels")))
 
 
+def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op8_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.predicted(docs, langid.learn(docs, langid.public_pieces(PIECES)))
@@ -31,5 +40,5 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op3_compression_quality, op8_segmentation_langid, op9_best_fit_packing, op10_bottom_k_fingerprints)}
+    op1_personal_data, op3_compression_quality, op4_template_decontamination, op8_segmentation_langid, op9_best_fit_packing, op10_bottom_k_fingerprints)}
 ORACLES: dict[str, str] = {}
