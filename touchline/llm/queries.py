@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bottomk, chunk_dedup, decontaminate, langid, near_dups, packing, pii, quality
+from touchline.llm import bottomk, chunk_dedup, decontaminate, langid, near_dups, packing, pii, pseudo_likelihood, quality
 from touchline.llm.shared import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,11 @@ def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.repeated(documents(spark, sf_dir))
 
 
+def op7_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pseudo_likelihood.scored(docs, pseudo_likelihood.learn(docs))
+
+
 def op8_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.predicted(docs, langid.learn(docs, langid.public_pieces(PIECES)))
@@ -49,5 +54,5 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_personal_data, op3_compression_quality, op4_template_decontamination, op5_weighted_minhash,
-    op6_chunk_dedup, op8_segmentation_langid, op9_best_fit_packing, op10_bottom_k_fingerprints)}
+    op6_chunk_dedup, op7_masked_pseudo_likelihood, op8_segmentation_langid, op9_best_fit_packing, op10_bottom_k_fingerprints)}
 ORACLES: dict[str, str] = {}

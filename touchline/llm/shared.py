@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,7 +44,7 @@ def map_columns(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def pieces_of(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, one row at least: bounds the working memory, drops nothing."""
-    sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > limit:
