@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bottomk, chunk_dedup, decontaminate, langid, near_dups, packing, pii, pseudo_likelihood, quality
+from touchline.llm import bottomk, chat_collapse, chunk_dedup, decontaminate, langid, near_dups, packing, pii, pseudo_likelihood, quality
 from touchline.llm.shared import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +17,10 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(docs, pii.learn(docs))
 
 
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.rendered(documents(spark, sf_dir, "conversations"))
+
+
 def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.scored(docs, quality.learn(docs, documents(spark, sf_dir, "labels")))
@@ -53,6 +57,6 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_personal_data, op3_compression_quality, op4_template_decontamination, op5_weighted_minhash,
+    op1_personal_data, op2_snapshot_collapse, op3_compression_quality, op4_template_decontamination, op5_weighted_minhash,
     op6_chunk_dedup, op7_masked_pseudo_likelihood, op8_segmentation_langid, op9_best_fit_packing, op10_bottom_k_fingerprints)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat_collapse.ORACLE}
