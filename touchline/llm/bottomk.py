@@ -101,7 +101,7 @@ def in_ranges(docs: DataFrame, parts: int | None = None) -> DataFrame:
     cuts = sorted({c for c in found["cuts"] or [] if c != found["lo"]}) if parts > 1 else []
     smallest = None if found["nulls"] else found["lo"]
     follows = {c: i for i, c in enumerate(cuts)}  # the range that each cut's first row follows
-    part = F.coalesce(_range_of(cuts), F.lit(0)).cast("int")
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(cuts)).cast("int")
     home = rows.select("doc_id", "text", part.alias("part"), F.lit(False).alias("tail"))
     ends = rows.where(F.col("doc_id").isNull() if smallest is None else F.col("doc_id") == smallest) \
         .groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("part", F.lit(len(cuts)))
