@@ -104,14 +104,14 @@ def test_suggest_falls_back_only_on_empty_days(spark):
 
 def test_variants_three_legs(spark):
     rows = day_rows(days=2, matches=20, seed=11)
-    got = co.hit_variants(spark.createDataFrame(rows, SCHEMA), num_legs=3, pool=25).collect()
+    got = co.hit_variants(spark.createDataFrame(rows, SCHEMA), num_legs=3, first=4).collect()
     for day in ("2000-01-01", "2000-01-02"):
         best = {}
         for p in order([p for p in dicts(rows) if p["day"] == day]):
             best.setdefault(p["match_id"], p)
         pool, taken = sorted(best.values(), key=lambda p: (-p["prob"], p["match_id"])), set()
         for key, least, lo, hi in co.VARIANTS:
-            free = [p for p in pool if p["match_id"] not in taken][:25]
+            free = [p for p in pool if p["match_id"] not in taken]
             ok = [c for c in itertools.combinations(free, 3) if len({x["base"] for x in c}) == 3
                   and lo <= np.prod([x["odds"] for x in c]) <= hi and np.prod([x["prob"] for x in c]) >= least]
             row = [r for r in got if r.day == day and r.variant == key]

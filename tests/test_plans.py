@@ -34,4 +34,4 @@ def test_scan_reads_only_what_it_needs(spark):
 
 def test_ranked_filters_are_cut_before_their_shuffle(spark):
     assert plan(spark, "a3_form").count("WindowGroupLimit") >= 2
-    assert "WindowGroupLimit" in plan(spark, "t5_composed_legs")
+    assert "WindowGroupLimit" in plan(spark, "w9_best_pick_per_match")

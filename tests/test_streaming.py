@@ -30,7 +30,7 @@ def drain(stream, mode, name, tmp):
 
 
 def test_live_states(spark, tmp_path):
-    feed = D.live_feed(spark, SF).filter("event_time < TIMESTAMP_NTZ '2024-01-02 00:00:00'")
+    feed = D.live_feed(spark, SF)  # all days: matches run across midnight
     want = {r.match_id: tuple(r) for r in sy.fold_live(feed).select("match_id", "status", "live_home", "live_away", "ft_home", "ft_away").collect()}
     s = as_stream(spark, feed.withColumn("event_time", F.col("event_time").cast("timestamp")), tmp_path / "feed", order="event_id")
     drain(live.live_states(s).withColumn("at", F.lit(1)), "complete", "live_states", tmp_path)
@@ -80,19 +80,44 @@ def test_settlement_and_notifications(spark, tmp_path):
     q = (live.settled_coupons(s, static).writeStream.outputMode("update").foreachBatch(twice)
          .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     q.awaitTermination()
-    got = spark.read.parquet(out + "/batch=*").select("coupon_id", F.col("title").startswith("✅").alias("hit"))
+    got = spark.read.parquet(out + "/run=*/batch=*").select("coupon_id", F.col("title").startswith("✅").alias("hit"))
     want = qc.coupons(spark, SF).filter("hit IS NOT NULL AND coupon_id < 200").select("coupon_id", "hit")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_versioned_state_and_timeout(spark, tmp_path):
+def test_a_match_across_midnight_is_one_row(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 23, 30)
+    rows = [(1, t, 1, "IN_PLAY", "20", 1, 0, t), (1, t + dt.timedelta(minutes=25), 2, "FINISHED", None, None, 1, t), (1, t + dt.timedelta(minutes=45), 3, "IN_PLAY", "90", 2, 1, t),
+            (1, t + dt.timedelta(hours=2), 4, "FINISHED", None, 2, 1, t), (2, t, 5, "PAUSED", "45", 0, 0, t)]
+    feed = spark.createDataFrame(rows, "match_id long, event_time timestamp, event_id long, status string, minute string, home_goals long, away_goals long, kickoff timestamp")
+    want = {r.match_id: tuple(r) for r in sy.fold_live(feed).select("match_id", "status", "ft_home", "ft_away").collect()}
+    assert want == {1: (1, "finished", 2, 1), 2: (2, "paused", None, None)}
+    s = as_stream(spark, feed, tmp_path / "feed", parts=4, order="event_id")
+    drain(live.live_states(s, "kickoff"), "complete", "midnight", tmp_path)
+    assert {r.match_id: tuple(r) for r in spark.table("midnight").select("match_id", "status", "ft_home", "ft_away").collect()} == want
+
+
+def test_stored_keys_survive_a_new_checkpoint_folder(spark, tmp_path):
+    out = str(tmp_path / "once")
+    rows = lambda *k: spark.createDataFrame([(x, i) for i, x in enumerate(k)], "key long, at long")
+    live.append_once(out, ["key"], order=["at"])(rows(1, 2, 2), 0)
+    live.append_once(out, ["key"], run="second", order=["at"])(rows(3, 9, 2), 0)
+    live.append_once(out, ["key"], run="second", order=["at"])(rows(3, 9, 2), 0)
+    got = spark.read.parquet(out + "/run=*/batch=*")
+    assert sorted(r.key for r in got.collect()) == [1, 2, 3, 9]
+
+
+def test_keyed_state_and_timeout(spark, tmp_path):
     cols = ["status", "kickoff", "live_minute", "live_home", "live_away", "ft_home", "ft_away"]
     t = dt.datetime(2024, 1, 1)
     schema = "match_id long, status string, kickoff timestamp_ntz, live_minute int, live_home int, live_away int, ft_home int, ft_away int"
-    write = live.versioned_upsert(str(tmp_path / "state"), "match_id", cols)
-    write(spark.createDataFrame([(1, "in_play", t, 80, 1, 0, None, None), (2, "paused", t, 45, None, None, None, None)], schema), 0)
+    path = str(tmp_path / "state")
+    write = live.keyed_table(path, "match_id", cols, buckets=4)
+    first = spark.createDataFrame([(1, "in_play", t, 80, 1, 0, None, None), (2, "paused", t, 45, None, None, None, None)], schema)
+    write(first, 0)
     for _ in range(2):
         write(spark.createDataFrame([(3, "in_play", t + dt.timedelta(hours=5), 10, 0, 0, None, None)], schema), 1)
-    live.finalise_each(str(tmp_path / "state"), str(tmp_path / "final"), D.now("2024-01-01 07:00:00"))(spark.range(0), 1)
-    got = {r.match_id: (r.status, r.ft_home, r.live_home) for r in spark.read.parquet(str(tmp_path / "final" / "version=1")).collect()}
+    live.finalise_each(path, "match_id", cols, D.now("2024-01-01 07:00:00"), buckets=4)(spark.range(0), 1)
+    write(first, 0)  # the same rows again, as under a new checkpoint folder: nothing goes back
+    got = {r.match_id: (r.status, r.ft_home, r.live_home) for r in spark.read.parquet(path).collect()}
     assert got == {1: ("finished", 1, None), 2: ("paused", None, None), 3: ("in_play", None, 0)}

@@ -1,13 +1,15 @@
 """Names: market aliases, team-name normalisation, slugs, display labels."""
+import unicodedata
 from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their base letter. Letters that carry no accent mark
-# (dotless i, sharp s, crossed l and o) are not in it: each key below says what it does to them.
-FOLD_FROM = "áàâäãåāçčćéèêëēěęğíìîïīñńňóòôöõōřśşšúùûüūůýźżžÁÀÂÄÃÅÇČĆÉÈÊËĘĞÍÌÎÏİÑŃÓÒÔÖÕŘŚŞŠÚÙÛÜÝŹŻŽť"
-FOLD_TO = "aaaaaaaccceeeeeeegiiiiinnnoooooorsssuuuuuuyzzzAAAAAACCCEEEEEGIIIIINNOOOOORSSSUUUUYZZZt"
+# Every letter of the Latin blocks that decomposes into a base letter and marks. Letters that carry no accent
+# mark (dotless i, sharp s, crossed l and o) are not in it: each key below says what it does to them.
+_MARKED = [(c, b) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])
+           if (b := unicodedata.normalize("NFD", c)[0]) != c and b.isascii()]
+FOLD_FROM, FOLD_TO = "".join(c for c, _ in _MARKED), "".join(b for _, b in _MARKED)
 
 # Words that carry no identity, per matching ladder.
 FEED_STOPWORDS = ["fc", "cf", "afc", "sc", "ac", "as", "ss", "club", "de", "el", "la", "le", "the"]

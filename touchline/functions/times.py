@@ -7,12 +7,18 @@ SEASON_START_NORMALISE = 7  # ... and in July when old labels are cleaned up
 SINGLE_YEAR_LEAGUES = ["FIN", "IRL", "NOR", "SWE"]
 
 
+def _full_year(d: Column) -> Column:
+    """d/M/yy with the century written out: 69 to 99 are in the 1900s, as in POSIX."""
+    century = F.when(F.right(d, F.lit(2)).try_cast("int") >= 69, "19").otherwise("20")
+    return F.concat(F.regexp_extract(d, r"^(.*/)\d{2}$", 1), century, F.right(d, F.lit(2)))
+
+
 def kickoff(date: Column, time: Column) -> Column:
     """dd/MM/yyyy, dd/MM/yy or yyyy-MM-dd, with an optional HH:mm; bad text gives null."""
     d = F.trim(date)
     day = (
         F.when(d.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(d, F.lit("d/M/yyyy")))
-        .when(d.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_timestamp(d, F.lit("d/M/yy")))
+        .when(d.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_timestamp(_full_year(d), F.lit("d/M/yyyy")))
         .when(d.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(d, F.lit("yyyy-M-d")))
     ).cast("timestamp_ntz")
     hh = F.regexp_extract(F.trim(time), r"^(\d{1,2}):(\d{1,2})$", 1)

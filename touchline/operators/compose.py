@@ -1,169 +1,81 @@
-"""Coupons: greedy composer, fallback, singles, hit-probability variants, signatures, settlement.
+"""Coupons: composer, fallback, singles, hit-probability variants, signatures, settlement.
 
-A day may hold any number of picks, so a day is never collected as it is. Exact bounds come
-first: the greedy scan can only ever reach the best few matches of each (family, price), the
-fallback the best few by score and by price, the variants the likeliest few. Everything beyond
-these is provably never chosen, and ranked filters cut it before the shuffle.
+The composer and the fallback run in ranked rounds: one row per day says what the day's coupon in hand still
+needs, and a round finds the best pick that meets it as one grouped minimum over all picks. Days advance
+together, a day's picks are never gathered, and no pick is left out.
 """
-from itertools import combinations, groupby
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.picks import best_per_match
+from touchline.session import stored
 
-COMPOSE_SCHEMA = "day string, kind string, coupon_no int, leg_no int, match_id long, market string, selection string, prob double, odds double, composite double"
 # The variants' least combined probability and odds window.
 VARIANTS = [("safe", 0.60, 1.40, 2.20), ("balanced", 0.40, 2.20, 3.50), ("bold", 0.20, 3.50, 6.00)]
-VARIANT_POOL = 60
+_LEG = "struct(match_id, market, selection, ord, base, prob, odds, composite)"
+_BEST_FIRST = "struct(-round(composite, 9), match_id, ord)"
+_LONGEST_FIRST = "struct(-round(odds, 9), synthetic, -round(composite, 9), match_id)"
+_PRICE = "aggregate({0}, 1D, (p, l) -> p * l.odds)"
+_SHORTEST = "array_position(transform(legs, l -> l.odds), array_min(transform(legs, l -> l.odds)))"
+ROUNDS_A_TABLE = 3   # rounds planned as one job before the state is stored
 
 
-def reachable(picks: DataFrame, used: int) -> DataFrame:
-    """Picks a greedy composer over ``day`` can reach when at most ``used`` matches are taken.
+def _round(picks: DataFrame, state: DataFrame, rank: str, floor: float, coupons: int, diverse: bool, shrink: bool) -> DataFrame:
+    """One step of every open day.
 
-    The scan skips a pick only because its match is taken, its family is taken, or its price
-    is not above a bound. Within one (family, price) these tests agree for all picks but for
-    the match, so nothing behind the first ``used + 1`` distinct matches can be chosen.
-    """
-    first = Window.partitionBy("day", "match_id", "base", "odds").orderBy(F.round("composite", 9).desc(), "ord")
-    rank = Window.partitionBy("day", "base", "odds").orderBy(F.round("composite", 9).desc(), "match_id", "ord")
-    one = picks.withColumn("_r", F.row_number().over(first)).filter("_r = 1")
-    return one.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= used + 1).drop("_r")
-
-
-def _greedy(pool: list, legs: int, floor: float, diverse: bool, taken: set):
-    """One coupon from picks in rank order: best first, then up to ``legs`` price swaps."""
-    open_ = [p for p in pool if p["match_id"] not in taken]
-    chosen, fams, ids = [], set(), set()
-    for p in open_:
-        if p["match_id"] in ids or (diverse and p["base"] in fams):
-            continue
-        chosen.append(p)
-        ids.add(p["match_id"])
-        fams.add(p["base"])
-        if len(chosen) == legs:
-            break
-    if len(chosen) < legs:
-        return None
-
-    def total():
-        out = 1.0
-        for p in chosen:
-            out *= p["odds"]
-        return out
-
-    for _ in range(legs):
-        if total() >= floor:
-            break
-        weak = min(range(legs), key=lambda i: chosen[i]["odds"])
-        others = {p["base"] for p in chosen} - {chosen[weak]["base"]}
-        swap = next((p for p in open_ if p["match_id"] not in ids and not (diverse and p["base"] in others)
-                     and p["odds"] > chosen[weak]["odds"]), None)
-        if swap is None:
-            break
-        ids.discard(chosen[weak]["match_id"])
-        ids.add(swap["match_id"])
-        chosen[weak] = swap
-    return chosen if total() >= floor else None
-
-
-def _rows(found, kind_of):
-    """Legs of found coupons as output tuples; ``kind_of`` names a coupon by its number."""
-    return [(p["day"], kind_of(n), n, i + 1, p["match_id"], p["market"], p["selection"], p["prob"], p["odds"], p["composite"])
-            for n, legs in enumerate(found, 1) for i, p in enumerate(legs)]
-
-
-def _per_day(pool: DataFrame, one_day, schema: str) -> DataFrame:
-    """Run ``one_day(records) -> tuples`` on every day of an already bounded pool.
-
-    A task group is a calendar month, so at most 31 bounded days; the fixed partition count
-    keeps small pools from being packed into one Python worker.
+    A coupon short of legs takes the best pick of a free match (and family); a full one below the price floor
+    replaces its shortest price by the best pick that is longer. No such pick, or as many replacements as legs
+    where sizes may ``shrink``: the coupon is given up and the next smaller one is tried.
     """
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        recs = pdf.assign(_c=-pdf["composite"].round(9)).sort_values(["day", "_c", "match_id", "ord"]).to_dict("records")
-        out = []
-        for _, day in groupby(recs, key=lambda r: r["day"]):
-            out += one_day(list(day))
-        return pd.DataFrame(out, columns=columns)
-
-    n = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    month = pool.withColumn("_month", F.substring("day", 1, 7))
-    return month.repartition(n, "_month").groupBy("_month").applyInPandas(run, schema)
-
-
-def _compose_pool(rows, top, min_legs, max_coupons, min_odds, diverse):
-    taken, found = set(), []
-    for size in range(top, max(min_legs, 1) - 1, -1):
-        while len(found) < max_coupons:
-            legs = _greedy(rows, size, min_odds, diverse, taken)
-            if legs is None:
-                break
-            found.append(legs)
-            taken |= {p["match_id"] for p in legs}
-    return found
-
-
-def _fallback_pool(rows, num_legs, min_legs, min_odds):
-    ranked = sorted((r for r in rows if r["rk"] == r["rk"]), key=lambda r: r["rk"])  # missing ranks are NaN
-    priced = sorted((r for r in rows if r["ro"] == r["ro"]), key=lambda r: r["ro"])
-    chosen = ranked[: max(min_legs, min(num_legs, len(ranked)))]
-    ids = {p["match_id"] for p in chosen}
-
-    def total():
-        out = 1.0
-        for p in chosen:
-            out *= p["odds"]
-        return out
-
-    for cand in priced:
-        if total() >= min_odds:
-            break
-        weak = min(range(len(chosen)), key=lambda i: chosen[i]["odds"])
-        if cand["match_id"] in ids or cand["odds"] <= chosen[weak]["odds"]:
-            continue
-        ids.discard(chosen[weak]["match_id"])
-        ids.add(cand["match_id"])
-        chosen[weak] = cand
-    return [chosen] if chosen and total() >= min_odds else []
-
-
-_POOL = ["day", "match_id", "market", "selection", "ord", "base", "prob", "odds", "composite"]
+    rivals = f"IF(full, filter(legs, (l, i) -> i <> {_SHORTEST} - 1), legs)" if diverse else "filter(legs, l -> FALSE)"
+    need = state.filter("NOT done").withColumn("full", F.expr("size(legs) = size")).selectExpr(
+        "day", "concat(taken, transform(legs, l -> l.match_id)) AS barred", f"transform({rivals}, l -> l.base) AS families",
+        "IF(full, array_min(transform(legs, l -> l.odds)), NULL) AS above")
+    fits = picks.join(need, "day").filter("NOT array_contains(barred, match_id) AND NOT array_contains(families, base) AND (above IS NULL OR odds > above)")
+    best = fits.groupBy("day").agg(F.expr(f"min_by({_LEG}, {rank}) AS pick"))
+    new = state.join(best, "day", "left").withColumn("hand", F.expr(
+        f"CASE WHEN pick IS NULL THEN legs WHEN size(legs) < size THEN concat(legs, array(pick)) ELSE transform(legs, (l, i) -> IF(i = {_SHORTEST} - 1, pick, l)) END"))
+    new = new.withColumn("turns", F.expr("swaps + IF(pick IS NOT NULL AND size(legs) = size, 1, 0)")) \
+        .withColumn("made", F.expr(f"NOT done AND pick IS NOT NULL AND size(hand) = size AND {_PRICE.format('hand')} >= {floor}D"))
+    given_up = "pick IS NULL" + (" OR (size(hand) = size AND turns >= size)" if shrink else "")
+    new = new.withColumn("lost", F.expr(f"NOT done AND NOT made AND ({given_up})"))
+    after = "size - IF(lost, 1, 0)"
+    return new.selectExpr("day", f"{after} AS size", "least_size", "IF(made OR lost, filter(hand, l -> FALSE), hand) AS legs",
+                          "IF(made, concat(taken, transform(hand, l -> l.match_id)), taken) AS taken", "IF(made, concat(found, array(hand)), found) AS found",
+                          "IF(made OR lost, 0, turns) AS swaps", f"done OR size(found) + IF(made, 1, 0) >= {coupons} OR {after} < least_size AS done")
+
+
+def _rounds(picks: DataFrame, state: DataFrame, **how) -> DataFrame:
+    """Rounds until no day is open; every round either adds or replaces a leg or ends a try, so they end."""
+    picks, state = stored(picks), stored(state)
+    while not state.filter("NOT done").isEmpty():
+        for _ in range(ROUNDS_A_TABLE):
+            state = _round(picks, state, **how)
+        state = stored(state)
+    return state
+
+
+def _legs_of(state: DataFrame, kind: str) -> DataFrame:
+    coupons = state.select("day", F.posexplode("found").alias("c", "coupon"))
+    return coupons.select("day", "c", F.posexplode("coupon").alias("i", "l")).selectExpr(
+        "day", f"{kind} AS kind", "c + 1 AS coupon_no", "i + 1 AS leg_no", "l.match_id", "l.market", "l.selection", "l.prob", "l.odds", "l.composite")
 
 
 def compose(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, max_legs: int = 4, max_coupons: int = 5,
             min_odds: float = 1.6, diverse: bool = True) -> DataFrame:
-    """Greedy coupons per ``day``: primary first, then alternatives, no match used twice.
+    """Coupons per ``day``, best picks first: primary, then alternatives, no match used twice.
 
     Leg counts go from the wanted size down; a size stops at the first coupon that is not
     found or stays under the price floor.
     """
-    top = min(num_legs, max_legs)
-
-    def one_day(rows):
-        return _rows(_compose_pool(rows, top, min_legs, max_coupons, min_odds, diverse),
-                     lambda n: "primary" if n == 1 else "alternative")
-
-    return _per_day(reachable(picks, max_coupons * top + top).select(*_POOL), one_day, COMPOSE_SCHEMA)
-
-
-def fallback_pool(picks: DataFrame, k: int) -> DataFrame:
-    """What a day's fallback can use: best pick per match, first ``k`` by rank, first ``2k`` by price.
-
-    A swap always takes the longest price left and drops the shortest one, so after ``k``
-    swaps nothing longer remains.
-    """
-    best = best_per_match(picks)
-    by_rank = Window.partitionBy("day").orderBy("synthetic", F.round("composite", 9).desc(), "match_id")
-    by_odds = Window.partitionBy("day").orderBy(F.round("odds", 9).desc(), "synthetic", F.round("composite", 9).desc(), "match_id")
-    none = F.lit(None).cast("int")
-    # two ranked filters instead of one OR: each is cut before its shuffle
-    a = best.withColumn("rk", F.row_number().over(by_rank)).filter(F.col("rk") <= k).withColumn("ro", none)
-    b = best.withColumn("ro", F.row_number().over(by_odds)).filter(F.col("ro") <= 2 * k).withColumn("rk", none)
-    return a.select(*_POOL, "rk", "ro").unionByName(b.select(*_POOL, "rk", "ro"))
+    top, least = min(num_legs, max_legs), max(min_legs, 1)
+    state = picks.groupBy("day").agg(F.expr(f"filter(array(any_value({_LEG})), l -> FALSE) AS legs")).selectExpr(
+        "day", f"{top} AS size", f"{least} AS least_size", "legs", "transform(legs, l -> l.match_id) AS taken", "filter(array(legs), x -> FALSE) AS found", "0 AS swaps",
+        f"{top} < {least} AS done")
+    done = _rounds(picks, state, rank=_BEST_FIRST, floor=min_odds, coupons=max_coupons, diverse=diverse, shrink=True)
+    return _legs_of(done, "IF(c = 0, 'primary', 'alternative')")
 
 
 def fallback(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, min_odds: float = 1.6) -> DataFrame:
@@ -172,29 +84,23 @@ def fallback(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, min_odds
     While the price floor is missed, the shortest price is swapped for the longest unused one;
     a day that cannot reach the floor gets no coupon.
     """
-    def one_day(rows):
-        return _rows(_fallback_pool(rows, num_legs, min_legs, min_odds), lambda n: "fallback")
-
-    return _per_day(fallback_pool(picks, max(min_legs, num_legs)), one_day, COMPOSE_SCHEMA)
+    best = best_per_match(picks)
+    order = Window.partitionBy("day").orderBy("synthetic", F.round("composite", 9).desc(), "match_id")
+    first = best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(min_legs, num_legs))
+    hand = first.groupBy("day").agg(F.expr(f"transform(array_sort(collect_list(struct(r, {_LEG} AS l))), x -> x.l) AS legs"))
+    good = f"{_PRICE.format('legs')} >= {min_odds}D"
+    state = hand.selectExpr("day", "size(legs) AS size", "size(legs) AS least_size", "legs", "filter(transform(legs, l -> l.match_id), x -> FALSE) AS taken",
+                            f"IF({good}, array(legs), filter(array(legs), x -> FALSE)) AS found", "0 AS swaps", f"{good} AS done")
+    done = _rounds(best, state, rank=_LONGEST_FIRST, floor=min_odds, coupons=1, diverse=False, shrink=False)
+    return _legs_of(done, "'fallback'")
 
 
 def suggest(strict: DataFrame, open_picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, max_legs: int = 4,
             max_coupons: int = 5, min_odds: float = 1.6, diverse: bool = True) -> DataFrame:
-    """Composed coupons, and a fallback for the days that got none. Both bounded pools of a
-    day meet in one task, so neither enumeration runs twice."""
-    top = min(num_legs, max_legs)
-    none = F.lit(None).cast("int")
-    main = reachable(strict, max_coupons * top + top).select(*_POOL, none.alias("rk"), none.alias("ro"))
-    pool = main.unionByName(fallback_pool(open_picks, max(min_legs, num_legs)))
-
-    def one_day(rows):
-        is_spare = lambda r: r["rk"] == r["rk"] or r["ro"] == r["ro"]
-        found = _compose_pool([r for r in rows if not is_spare(r)], top, min_legs, max_coupons, min_odds, diverse)
-        if found:
-            return _rows(found, lambda n: "primary" if n == 1 else "alternative")
-        return _rows(_fallback_pool([r for r in rows if is_spare(r)], num_legs, min_legs, min_odds), lambda n: "fallback")
-
-    return _per_day(pool, one_day, COMPOSE_SCHEMA)
+    """Composed coupons, and a fallback for the days that got none."""
+    main = compose(strict, num_legs=num_legs, min_legs=min_legs, max_legs=max_legs, max_coupons=max_coupons, min_odds=min_odds, diverse=diverse)
+    rest = open_picks.join(main.select("day").distinct(), "day", "left_anti")
+    return main.unionByName(fallback(rest, num_legs=num_legs, min_legs=min_legs, min_odds=min_odds))
 
 
 def singles(picks: DataFrame, top: int = 5) -> DataFrame:
@@ -202,43 +108,76 @@ def singles(picks: DataFrame, top: int = 5) -> DataFrame:
     return best_per_match(picks).orderBy(F.round("composite", 9).desc(), "match_id").limit(top)
 
 
-VARIANT_SCHEMA = "day string, variant string, ids array<long>, combined_prob double, combined_odds double"
+VARIANT_SCHEMA = "day string, variant string, ids array<long>, combined_prob double, combined_odds double, proven boolean"
+
+
+def likeliest(prob: np.ndarray, odds: np.ndarray, family: np.ndarray, legs: int, least: float, lo: float, hi: float):
+    """Rows of the likeliest combination of different families inside the odds window, and its probability; (None, 0) without one.
+
+    Rows come likeliest first, prices are at least 1. Partial combinations grow one leg at a time and stop where
+    even the likeliest rows could not bring them to ``least``, or where they are already too long.
+    """
+    combo = np.arange(len(prob))[:, None]
+    p, o = prob.copy(), odds.copy()
+    for size in range(1, legs):
+        ahead = p * prob[0] ** (legs - size) >= least - 2e-9
+        combo, p, o = combo[ahead & (o <= hi)], p[ahead & (o <= hi)], o[ahead & (o <= hi)]
+        many = len(prob) - 1 - combo[:, -1]
+        row = np.repeat(np.arange(len(combo)), many)
+        nxt = combo[row, -1] + 1 + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        new = (family[combo[row]] != family[nxt][:, None]).all(axis=1)
+        row, nxt = row[new], nxt[new]
+        combo, p, o = np.column_stack([combo[row], nxt]), p[row] * prob[nxt], o[row] * odds[nxt]
+    ok = (o >= lo) & (o <= hi) & (p >= least)
+    if not ok.any():
+        return None, 0.0
+    best = int(np.argmax(np.where(ok, p.round(12), -1.0)))
+    return combo[best], float(p[best])
+
+
+def _search(limit: int, num_legs: int, variants):
+    """One day's variants over its ``limit`` likeliest matches, or a row that says more are needed."""
+    columns = [c.split()[0] for c in VARIANT_SCHEMA.split(", ")]
+
+    def one_day(key, day):
+        day = day.sort_values("rn")
+        beyond = float(day.prob.iloc[limit]) if len(day) > limit else 0.0
+        day = day.head(limit)
+        out, taken = [], set()
+        for name, least, lo, hi in variants:
+            free = day[~day.match_id.isin(taken)]
+            prob, odds, family = free.prob.to_numpy(float), free.odds.to_numpy(float), pd.factorize(free.base)[0]
+            combo, p = likeliest(prob, odds, family, num_legs, least, lo, hi) if len(free) >= num_legs else (None, 0.0)
+            reach = beyond * (prob[0] if len(prob) else 1.0) ** (num_legs - 1)
+            if beyond and reach >= least - 2e-9 and reach >= p - 2e-9:
+                return pd.DataFrame([(key[0], None, None, None, None, False)], columns=columns)
+            if combo is not None:
+                ids = free.match_id.to_numpy()[combo]
+                taken |= set(ids.tolist())
+                out.append((key[0], name, ids.tolist(), p, float(odds[combo].prod()), True))
+        return pd.DataFrame(out, columns=columns)
+
+    return one_day
 
 
-def hit_variants(picks: DataFrame, num_legs: int = 2, variants=VARIANTS, pool: int = VARIANT_POOL) -> DataFrame:
-    """Likeliest leg combination inside each odds window, per day, no match in two variants.
+def hit_variants(picks: DataFrame, num_legs: int = 2, variants=VARIANTS, first: int = 60) -> DataFrame:
+    """Likeliest leg combination inside each odds window, per day, no match in two variants; all of a day's matches count.
 
-    Combinations are searched over the ``pool`` likeliest matches, one pick each, as the rule
-    defines it. Earlier variants take at most ``num_legs`` matches each, so that many more are
-    kept in reserve and a later variant's pool is still exact. A day's task therefore sees at
-    most ``pool + num_legs * (variants - 1)`` rows, whatever the day holds.
+    A day is searched over its ``first`` likeliest matches, one pick each. The answer is proven when no combination with
+    a match beyond these can be likelier, or reach the variant's least probability; days without
+    that proof are searched again over twice as many.
     """
-    reserve = pool + num_legs * (len(variants) - 1)
     by_prob = Window.partitionBy("day").orderBy(F.round("prob", 9).desc(), "match_id")
-    base = best_per_match(picks).withColumn("rn", F.row_number().over(by_prob)).filter(F.col("rn") <= reserve)
-
-    def one_day(rows):
-        rows = sorted(rows, key=lambda r: r["rn"])
-        names = {b: i for i, b in enumerate({r["base"] for r in rows})}
-        fam = np.array([names[r["base"]] for r in rows])
-        ids, prob, odds = (np.array([r[c] for r in rows]) for c in ("match_id", "prob", "odds"))
-        taken, out = set(), []
-        for key, min_prob, lo, hi in variants:
-            free = [i for i in range(len(ids)) if ids[i] not in taken][:pool]
-            if len(free) < num_legs:
-                continue
-            combo = np.array(list(combinations(free, num_legs)))
-            fams = np.sort(fam[combo], axis=1)
-            cp, co = prob[combo].prod(axis=1), odds[combo].prod(axis=1)
-            ok = (co >= lo) & (co <= hi) & (cp >= min_prob) & (fams[:, 1:] != fams[:, :-1]).all(axis=1)
-            if not ok.any():
-                continue
-            best = int(np.argmax(np.where(ok, cp.round(12), -1.0)))
-            taken |= set(ids[combo[best]])
-            out.append((rows[0]["day"], key, ids[combo[best]].tolist(), float(cp[best]), float(co[best])))
-        return out
-
-    return _per_day(base.select("day", "rn", "match_id", "ord", "base", "prob", "odds", "composite"), one_day, VARIANT_SCHEMA)
+    ranked = stored(best_per_match(picks).withColumn("rn", F.row_number().over(by_prob)).select("day", "rn", "match_id", "base", "prob", "odds"))
+    answers, left, limit = None, ranked, first
+    while True:
+        answers_of = _search(limit, num_legs, variants)
+        found = stored(left.filter(F.col("rn") <= limit + 1).groupBy("day").applyInPandas(answers_of, VARIANT_SCHEMA))
+        answers = found if answers is None else answers.unionByName(found)
+        again = found.filter("NOT proven").select("day").distinct()
+        if again.isEmpty():
+            return answers.filter("proven").drop("proven")
+        left, limit = stored(left.join(again, "day")), 2 * limit
 
 
 def signature(legs: str = "legs") -> str:

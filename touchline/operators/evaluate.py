@@ -13,6 +13,9 @@ from touchline.session import literal_rows
 # Report bins and thresholds.
 ACCURACY_EDGES = [0.50, 0.60, 0.70, 0.80, 0.90, 1.01]
 STRATEGY_EDGES = [0.55, 0.65, 0.75, 0.85, 1.01]
+# How the bins are shown.
+ACCURACY_LABELS = ["50-60%", "60-70%", "70-80%", "80-90%", "90-100%"]
+STRATEGY_LABELS = ["55-65%", "65-75%", "75-85%", "85-100%"]
 EDGE_THRESHOLDS = [0.0, 0.01, 0.02, 0.03, 0.05, 0.08]
 PROB_FLOORS = [0.50, 0.55, 0.60]
 MARKET_GROUPS = {
@@ -73,13 +76,12 @@ def _bin_of(p: str, edges) -> str:
     return f"CASE {cases} END"
 
 
-def calibration_bins(rows: DataFrame, edges=ACCURACY_EDGES, prob: str = "pick_prob") -> DataFrame:
+def calibration_bins(rows: DataFrame, edges=ACCURACY_EDGES, prob: str = "pick_prob", labels=ACCURACY_LABELS) -> DataFrame:
     """Hits and mean probability per bin; empty bins are kept."""
     inside = rows.filter(f"{prob} >= {edges[0]}D AND {prob} < {edges[-1]}D")
     sums = inside.selectExpr(f"{_bin_of(prob, edges)} AS bin", "hit", f"{prob} AS p").groupBy("bin").agg(
         F.count("*").alias("n"), F.count_if("hit").alias("h"), F.sum("p").alias("s"))
-    label = lambda i: f"{int(edges[i] * 100)}-{int(edges[i + 1] * 100 if edges[i + 1] <= 1 else 100)}%"
-    bins = literal_rows(rows.sparkSession, [(i + 1, label(i)) for i in range(len(edges) - 1)], "bin, range")
+    bins = literal_rows(rows.sparkSession, list(enumerate(labels, 1)), "bin, range")
     j = bins.join(sums, "bin", "left")
     n = F.coalesce("n", F.lit(0))
     return j.select("range", n.alias("picks"), F.coalesce("h", F.lit(0)).alias("hits"),

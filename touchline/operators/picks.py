@@ -130,10 +130,10 @@ def reasons() -> str:
            WHEN market = '1X2' AND selection = '2' AND h_key_name IS NOT NULL AND h_absent >= 2 THEN concat('Ev sahibinde ', h_key_name, ' yok') END))"""
 
 
-def key_absence(absences: str) -> str:
-    """SQL text: first absence in a decisive position, by name (or position when unnamed)."""
-    test = " OR ".join(f"startswith(lower(x.position), '{p}')" for p in KEY_POSITIONS)
-    return f"try_element_at(transform(filter({absences}, x -> {test}), x -> coalesce(nullif(x.name, ''), x.position)), 1)"
+def key_absence() -> str:
+    """SQL text, an aggregate over all absences of a team: the first in a decisive position, by name (or position when unnamed)."""
+    test = " OR ".join(f"startswith(lower(position), '{p}')" for p in KEY_POSITIONS)
+    return f"min_by(coalesce(nullif(name, ''), position), IF({test}, idx, NULL))"
 
 
 def with_neutral_signals(df: DataFrame) -> DataFrame:
@@ -216,13 +216,13 @@ def best_per_match(picks: DataFrame) -> DataFrame:
 
 
 def absence_summary(rows: DataFrame) -> DataFrame:
-    """(match_id, team_id): absent count and the first five as an array.
+    """(match_id, team_id): absent count, the key player among all of them, and the first five for display.
 
-    The count is a plain aggregate; only five ranked rows per team are ever collected, so a
+    Count and key player are plain aggregates; only five ranked rows per team are ever collected, so a
     team with any number of rows stays small.
     """
     from pyspark.sql import Window
-    counts = rows.groupBy("match_id", "team_id").agg(F.count("*").alias("absent"))
+    counts = rows.groupBy("match_id", "team_id").agg(F.count("*").alias("absent"), F.expr(key_absence()).alias("key_name"))
     w = Window.partitionBy("match_id", "team_id").orderBy("idx")
     top = rows.withColumn("rn", F.row_number().over(w)).filter("rn <= 5").groupBy("match_id", "team_id").agg(
         F.expr("transform(array_sort(collect_list(struct(rn, name, position, reason))),"

@@ -33,6 +33,27 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str, cols) -> DataFram
     return diff(existing, incoming, key, cols).select(key, *cols)
 
 
+def upsert_matches(existing: DataFrame, incoming: DataFrame, key: str, cols) -> DataFrame:
+    """Upsert of match rows that never goes back: a row of a lower status changes nothing, and a final score is written once.
+
+    Several incoming rows of a key: the one furthest in status counts, of these the last by ``cols``.
+    """
+    e = existing.select(F.col(key).alias("_k1"), *[F.col(c).alias(f"_old_{c}") for c in cols])
+    last = incoming.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(status_rank(F.col("status")), *cols)).alias("_n"))
+    w = last.select(F.col(key).alias("_k2"), *[F.col(f"_n.{c}").alias(f"_new_{c}") for c in cols])
+    j = e.join(w, F.col("_k1") == F.col("_k2"), "full_outer")
+    forward = F.col("_k1").isNull() | (F.col("_k2").isNotNull() & (status_rank(F.col("_new_status")) >= status_rank(F.col("_old_status"))))
+    out = []
+    for c in cols:
+        new = F.when(forward, F.col(f"_new_{c}")).otherwise(F.col(f"_old_{c}"))
+        out.append((F.coalesce(f"_old_{c}", f"_new_{c}") if c in ("ft_home", "ft_away") else new).alias(c))
+    return j.select(F.coalesce("_k1", "_k2").alias(key), *out)
+
+
+def status_rank(status: Column) -> Column:
+    return F.coalesce(*[F.when(status == s, r) for s, r in STATUS_RANK.items()], F.lit(0))
+
+
 def upsert_counts(existing: DataFrame, incoming: DataFrame, key: str, cols) -> DataFrame:
     return diff(existing, incoming, key, cols).filter("action <> 'absent'").groupBy("action").agg(F.count("*").alias("n"))
 
@@ -45,6 +66,17 @@ def upsert_fixtures(existing: DataFrame, fixtures: DataFrame, key) -> DataFrame:
         "outcome", F.when(F.col("_s").isNull(), "inserted").when(F.col("_s") == "finished", "skipped").otherwise("updated")).drop("_s")
 
 
+def fixture_table(existing: DataFrame, fixtures: DataFrame, key, cols) -> DataFrame:
+    """The match table after a fixture load: new rows come in as scheduled, open rows take the fixture's ``cols``, finished rows stay."""
+    key = list(key)
+    f = fixtures.select(*key, *[F.col(c).alias(f"_f_{c}") for c in cols], F.lit(True).alias("_listed"))
+    j = existing.join(f, key, "full_outer")
+    take = F.col("_listed").isNotNull() & (F.coalesce(F.col("status"), F.lit("")) != "finished")
+    kept = [c for c in existing.columns if c not in key and c not in cols and c != "status"]
+    return j.select(*key, *[F.when(take, F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c) for c in cols],
+                    F.coalesce("status", F.lit("scheduled")).alias("status"), *kept)
+
+
 def keep_first(df: DataFrame, key, order) -> DataFrame:
     """One row per key, the first in ``order``; a ranked filter cut before the shuffle."""
     from pyspark.sql import Window
@@ -52,10 +84,14 @@ def keep_first(df: DataFrame, key, order) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def append_new(existing: DataFrame, incoming: DataFrame, key) -> DataFrame:
-    """Rows of ``incoming`` whose key is not stored yet, each key once: replay adds nothing."""
+def append_new(existing: DataFrame, incoming: DataFrame, key, order=()) -> DataFrame:
+    """Rows of ``incoming`` whose key is not stored yet, of each key the first in ``order``: replay adds nothing.
+
+    Without an order, rows of one key must be equal (any of them is taken).
+    """
     key = list(key)
-    return incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti")
+    once = keep_first(incoming, key, order) if order else incoming.dropDuplicates(key)
+    return once.join(existing.select(*key), key, "left_anti")
 
 
 def replace_predictions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -64,7 +100,7 @@ def replace_predictions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def write_predictions(fresh: DataFrame, path: str, buckets: int = 64) -> None:
-    """Sink by match bucket; only the touched buckets are rewritten, atomically per bucket.
+    """Sink by match bucket (``buckets`` fixes the layout and the most tasks of a write); only touched buckets are rewritten.
 
     The stored rows of those buckets are merged in first, so a replay leaves the same table.
     """
@@ -74,8 +110,8 @@ def write_predictions(fresh: DataFrame, path: str, buckets: int = 64) -> None:
     try:
         stored = spark.read.parquet(path).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")
         new = replace_predictions(stored.select(*new.columns), new)
-        from touchline.session import checkpoint
-        new = checkpoint(new)  # the old files are read before they are replaced
+        from touchline.session import stored
+        new = stored(new)  # the old files are read before they are replaced
     except Exception as exc:  # first write: nothing stored yet
         if "PATH_NOT_FOUND" not in str(exc):
             raise
@@ -144,8 +180,8 @@ LIVE_SCHEMA = "match_id long, status string, live_minute int, live_home long, li
 def fold_live(feed: DataFrame) -> DataFrame:
     """Live state per match after all its feed rows, in event order, as one aggregate.
 
-    The first finished row closes a match and fixes its score; before that the newest running
-    row counts. Max/min by time combine map-side, so a match with any number of rows is cheap.
+    A finished row closes a match; each side's final goals are the first ones that a finished row carries. Before
+    that the newest running row counts. Max/min by time combine map-side, so a match with any number of rows is cheap.
     """
     f = feed.filter("status IN ('IN_PLAY', 'PAUSED', 'FINISHED')").selectExpr(
         "match_id", "struct(event_time, event_id) AS at", "status",
@@ -154,9 +190,10 @@ def fold_live(feed: DataFrame) -> DataFrame:
     run = "status <> 'FINISHED'"
     g = f.groupBy("match_id").agg(*[F.expr(x) for x in (
         "count_if(status = 'FINISHED') > 0 AS closed",
-        "min_by(IF(status = 'FINISHED', struct(home_goals AS h, away_goals AS a), NULL), IF(status = 'FINISHED', at, NULL)) AS ft",
+        "min_by(home_goals, IF(status = 'FINISHED' AND home_goals IS NOT NULL, at, NULL)) AS fh",
+        "min_by(away_goals, IF(status = 'FINISHED' AND away_goals IS NOT NULL, at, NULL)) AS fa",
         f"max_by(IF({run}, struct(status, minute, coalesce(home_goals, 0) AS h, coalesce(away_goals, 0) AS a), NULL), IF({run}, at, NULL)) AS live")])
     return g.selectExpr(
         "match_id", "CASE WHEN closed THEN 'finished' WHEN live.status = 'PAUSED' THEN 'paused' ELSE 'in_play' END AS status",
         "IF(closed, NULL, live.minute) AS live_minute", "IF(closed, NULL, live.h) AS live_home", "IF(closed, NULL, live.a) AS live_away",
-        "ft.h AS ft_home", "ft.a AS ft_away")
+        "fh AS ft_home", "fa AS ft_away")

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.operators import fit, timeline
-from touchline.session import checkpoint
+from touchline.session import stored
 
 
 def numbered(matches: DataFrame, *, pooled: bool, min_train: int, refit_every: int, xg_mode: str = "off") -> DataFrame:
@@ -20,7 +20,7 @@ def walk_forward(matches: DataFrame, *, pooled: bool = False, min_train: int = 2
     A prediction uses the last fit at or before its position, trained on strictly earlier
     positions; a match with a team the fit has not seen is left out.
     """
-    # numbering is read three times below: kept on reliable storage where the cluster names a folder
-    rows = checkpoint(numbered(matches, pooled=pooled, min_train=min_train, refit_every=refit_every, xg_mode=xg_mode))
+    # numbering is read three times below
+    rows = stored(numbered(matches, pooled=pooled, min_train=min_train, refit_every=refit_every, xg_mode=xg_mode))
     params = fit.fit_folds(fit.fold_stats(rows, xi), l2)
     return fit.with_fitted_rates(rows.filter("fold >= 0"), params)

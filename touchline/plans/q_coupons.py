@@ -25,7 +25,7 @@ def with_context(spark, d, rows):
     # one feature row per team and kickoff, so each side costs one join
     side = ft.motivation_before(full).select(*keys, *ft.SIGNALS).join(form.select(*keys, "form_delta", "form_reason"), keys, "left")
     x = ft.attach_sides(rows, side, [*ft.SIGNALS, "form_delta", "form_reason"], "context")
-    av = pk.absence_summary(D.absences(spark, d)).selectExpr("match_id", "team_id", "absent", f"{pk.key_absence('key_absences')} AS key_name")
+    av = pk.absence_summary(D.absences(spark, d)).select("match_id", "team_id", "absent", "key_name")
     for s, p in (("home", "h"), ("away", "a")):
         x = x.join(av.selectExpr("match_id", f"team_id AS {s}_team_id", f"absent AS {p}_absent", f"key_name AS {p}_key_name"),
                    ["match_id", f"{s}_team_id"], "left")
@@ -151,7 +151,7 @@ def _variant_sql():
     parts, used = [], []
     for key, mp_, lo, hi in co.VARIANTS:
         anti = "".join(f" AND NOT EXISTS (SELECT 1 FROM b_{u} u WHERE u.day = o.day AND (u.m1 = o.match_id OR u.m2 = o.match_id))" for u in used)
-        parts.append(f"""p_{key} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(prob, 9) DESC, match_id) AS r FROM openbest o WHERE TRUE{anti}) z WHERE r <= 60)""")
+        parts.append(f"""p_{key} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY round(prob, 9) DESC, match_id) AS r FROM openbest o WHERE TRUE{anti}) z)""")
         parts.append(f"""b_{key} AS (SELECT * FROM (SELECT a.day, a.match_id AS m1, b.match_id AS m2, a.prob * b.prob AS cp, a.odds * b.odds AS co,
           row_number() OVER (PARTITION BY a.day ORDER BY round(a.prob * b.prob, 12) DESC, a.r, b.r) AS k
           FROM p_{key} a JOIN p_{key} b ON a.day = b.day AND a.r < b.r AND a.base <> b.base
@@ -318,7 +318,7 @@ def a23_strategy_overall(spark, d):
 
 @query("a16_strategy_bins")
 def a16_strategy_bins(spark, d):
-    return ev.calibration_bins(strategy_legs(spark, d), ev.STRATEGY_EDGES, "prob")
+    return ev.calibration_bins(strategy_legs(spark, d), ev.STRATEGY_EDGES, "prob", ev.STRATEGY_LABELS)
 
 
 @query("a29_absences", sql("absn", """
@@ -329,13 +329,13 @@ def a29_absences(spark, d):
 
 
 @query("j11_availability_lookup", sql("absn m", """,
- av AS (SELECT match_id, team_id, count(*) AS absent, min(idx) FILTER (WHERE position IN ('Goalkeeper', 'Forward') AND idx <= 5) AS ki FROM absn GROUP BY match_id, team_id)
+ av AS (SELECT match_id, team_id, count(*) AS absent, min(idx) FILTER (WHERE position IN ('Goalkeeper', 'Forward')) AS ki FROM absn GROUP BY match_id, team_id)
 SELECT m.match_id, coalesce(h.absent, 0) AS h_absent, coalesce(a.absent, 0) AS a_absent, 'P' || h.team_id || '-' || h.ki AS h_key_name
 FROM m LEFT JOIN av h ON h.match_id = m.match_id AND h.team_id = m.home_team_id LEFT JOIN av a ON a.match_id = m.match_id AND a.team_id = m.away_team_id"""))
 def j11_availability_lookup(spark, d):
     """Also F33: any/filter/slice on the absence list."""
     m = D.matches(spark, d)
-    av = pk.absence_summary(D.absences(spark, d)).selectExpr("match_id", "team_id", "absent", f"{pk.key_absence('key_absences')} AS key_name")
+    av = pk.absence_summary(D.absences(spark, d)).select("match_id", "team_id", "absent", "key_name")
     h = av.selectExpr("match_id", "team_id AS home_team_id", "absent AS h_absent", "key_name AS h_key_name")
     a = av.selectExpr("match_id", "team_id AS away_team_id", "absent AS a_absent")
     j = m.join(h, ["match_id", "home_team_id"], "left").join(a, ["match_id", "away_team_id"], "left")

@@ -13,7 +13,7 @@ from touchline.plans.oracle import CTE, hit_sql, sql
 from touchline.plans.q_features import day
 from touchline.plans.q_markets import r6
 from touchline.plans.registry import query
-from touchline.session import checkpoint
+from touchline.session import stored
 
 _ENUM = "(market IN ('1X2', 'double_chance', 'btts', 'odd_even') OR market LIKE 'over_under_%')"
 CTE["picked"] = (["mp", "pair_cells"], f"""
@@ -96,15 +96,14 @@ def a15_accuracy_summary(spark, d):
     return s.select("market", "picks", "hits", r6("hit_rate", "hit_rate"), r6("avg_prob", "avg_prob"))
 
 
-def _bins_sql(table, prob, edges):
-    rows = ", ".join(f"('{int(edges[i] * 100)}-{int(edges[i + 1] * 100 if edges[i + 1] <= 1 else 100)}%', {edges[i]}e0, {edges[i + 1]}e0)"
-                     for i in range(len(edges) - 1))
+def _bins_sql(table, prob, edges, labels):
+    rows = ", ".join(f"('{name}', {lo}e0, {hi}e0)" for name, lo, hi in zip(labels, edges, edges[1:]))
     return f"""SELECT range, count({prob}) AS picks, count(*) FILTER (WHERE hit) AS hits,
       round(coalesce(count(*) FILTER (WHERE hit) / nullif(count({prob}), 0), 0), 6) AS hit_rate, round(coalesce(avg({prob}), 0), 6) AS avg_prob
       FROM (VALUES {rows}) b(range, lo, hi) LEFT JOIN {table} s ON s.{prob} >= b.lo AND s.{prob} < b.hi GROUP BY range"""
 
 
-@query("a16_calibration_bins", sql("scored", _bins_sql("scored", "pick_prob", ev.ACCURACY_EDGES)))
+@query("a16_calibration_bins", sql("scored", _bins_sql("scored", "pick_prob", ev.ACCURACY_EDGES, ev.ACCURACY_LABELS)))
 def a16_calibration_bins(spark, d):
     b = ev.calibration_bins(acc_rows(spark, d))
     return b.select("range", "picks", "hits", r6("hit_rate", "hit_rate"), r6("avg_prob", "avg_prob"))
@@ -298,7 +297,7 @@ def j26_calibrated_probs(spark, d):
 def w13_rolling_calibration(spark, d):
     """Temperature per league from the last 500 predictions, refitted every 50."""
     rows = tl.with_row_index(temperature_rows(spark, d), "kickoff", "match_id", "league")
-    return cal.fit_temperature(checkpoint(cal.rolling_chunks(rows, "league", "idx")), ["league", "chunk"]).select(
+    return cal.fit_temperature(stored(cal.rolling_chunks(rows, "league", "idx")), ["league", "chunk"]).select(
         "league", "chunk", r6("T", "T"), "n")
 
 

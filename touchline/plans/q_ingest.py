@@ -201,7 +201,7 @@ def f19_display_names(spark, d):
 @query("f20_kickoff_texts", sql("m", """
 SELECT match_id, CASE WHEN match_id % 5 = 4 THEN NULL ELSE strftime(kickoff + CASE WHEN match_id % 2 = 0 THEN to_minutes(15 * 60 + 30) ELSE to_minutes(0) END, '%Y-%m-%d %H:%M:%S') END AS kickoff FROM m"""))
 def f20_kickoff_texts(spark, d):
-    x = D.matches(spark, d).selectExpr("match_id", """CASE match_id % 5 WHEN 0 THEN date_format(kickoff, 'dd/MM/yyyy') WHEN 1 THEN date_format(kickoff, 'yyyy-MM-dd')
+    x = D.matches(spark, d).selectExpr("match_id", """CASE match_id % 5 WHEN 0 THEN date_format(kickoff, 'dd/MM/yyyy') WHEN 1 THEN date_format(kickoff, 'yyyy-MM-dd') WHEN 2 THEN date_format(kickoff, 'dd/MM/yy')
       WHEN 4 THEN 'postponed' ELSE date_format(kickoff, 'dd/MM/yyyy') END AS dt""", "IF(match_id % 2 = 0, '15:30', '') AS tm")
     return x.select("match_id", ts(times.kickoff(F.col("dt"), F.col("tm")), "kickoff"))
 
@@ -450,7 +450,7 @@ _CODE = "array('E0', 'D1', 'I1', 'SP1', 'ZZ')[CAST(substr(league, 2) AS INT)]"
 _LAND = "array('Austria', 'sweden', 'NORWAY', 'Finland', 'Atlantis')[CAST(substr(league, 2) AS INT)]"
 _CODE_SQL = "(['E0', 'D1', 'I1', 'SP1', 'ZZ'])[CAST(substr(league, 2) AS INTEGER) + 1]"
 _NEW_SQL = "(['AUT', 'SWE', 'NOR', 'FIN', NULL])[CAST(substr(league, 2) AS INTEGER) + 1]"
-_MAIN_LINE = """concat_ws(',', 'X', date_format(kickoff, IF(match_id % 2 = 0, 'dd/MM/yyyy', 'dd/MM/yy')), IF(match_id % 4 = 0, '19:45', ''), concat('T', home_team_id), IF(match_id % 17 = 0, '', concat('T', away_team_id)),
+_MAIN_LINE = """concat_ws(',', 'X', date_format(kickoff, IF(match_id % 2 = 0, 'dd/MM/yyyy', 'dd/MM/yy')), IF(match_id % 4 = 0, '19:45', ''), concat('T', home_team_id), CASE WHEN match_id % 17 = 0 THEN '' WHEN match_id % 19 = 0 THEN concat('"T', away_team_id, ', ""City""', '"') ELSE concat('T', away_team_id) END,
    coalesce(CAST(ft_home AS STRING), ''), coalesce(CAST(ft_away AS STRING), ''), '0', '', '1.9', IF(match_id % 3 = 0, '', '3.4'), '4.1', '2.05', '3.3', '3.9', '1.8', '2.0')"""
 _YEAR2 = "CASE WHEN match_id % 2 = 0 THEN 0 ELSE 1 END"
 
@@ -459,12 +459,12 @@ def main_lines(spark, d):
     return landed_lines(spark, d, _MAIN_HEAD, _MAIN_LINE, f"concat('landed/', season, '/', {_CODE}, '.csv')")
 
 
-# a two-digit year is read as 2000-2099, so 1995 written as 95 becomes 2095
-_MAIN_KICK = "kickoff + CASE WHEN match_id % 2 = 1 AND year(kickoff) < 2000 THEN INTERVAL 100 YEAR ELSE INTERVAL 0 YEAR END + CASE WHEN match_id % 4 = 0 THEN to_minutes(1185) ELSE to_minutes(0) END"
+# every second date has a two-digit year, and some away teams stand in quotes with a comma and quotes inside
+_MAIN_KICK = "kickoff + CASE WHEN match_id % 4 = 0 THEN to_minutes(1185) ELSE to_minutes(0) END"
 
 
 @query("s1_season_files", sql("m", f"""
-SELECT {_CODE_SQL} AS league, season, strftime({_MAIN_KICK}, '%Y-%m-%d %H:%M:%S') AS kickoff, 'T' || home_team_id AS home_team, 'T' || away_team_id AS away_team, ft_home, ft_away, CASE WHEN match_id % 3 = 0 THEN 5 ELSE 8 END AS prices, count(*) AS n
+SELECT {_CODE_SQL} AS league, season, strftime({_MAIN_KICK}, '%Y-%m-%d %H:%M:%S') AS kickoff, 'T' || home_team_id AS home_team, 'T' || away_team_id || CASE WHEN match_id % 19 = 0 THEN ', "City"' ELSE '' END AS away_team, ft_home, ft_away, CASE WHEN match_id % 3 = 0 THEN 5 ELSE 8 END AS prices, count(*) AS n
 FROM m WHERE ft_home IS NOT NULL AND match_id % 17 <> 0 AND match_id % 13 <> 0 GROUP BY ALL"""))
 def s1_season_files(spark, d):
     r = landed.season_results(main_lines(spark, d))

@@ -1,4 +1,7 @@
 """Queries: fits, walk-forward, predictions, training frames, match listings (M5, U6, P1-P7)."""
+import datetime
+import zoneinfo
+
 from pyspark.sql import functions as F
 
 from touchline.functions import times
@@ -150,8 +153,13 @@ def p16_training_frame_modes(spark, d):
 VIRTUAL = {"live": ("in_play", "paused")}
 
 
-def list_matches(m, *, league=None, status=None, upcoming=True, limit=50, now=D.NOW):
-    """Listing by league and status; ``live`` covers both running states; finished is newest first."""
+def list_matches(m, *, league=None, status=None, upcoming=True, limit=50, now=D.NOW, most=200):
+    """Listing by league and status; ``live`` covers both running states; finished is newest first.
+
+    A page holds 1 to ``most`` rows; a limit outside of that is an error.
+    """
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be 1 to {most}, not {limit}")
     if league:
         m = m.filter(F.col("league") == league)
     order = [F.asc("kickoff"), F.asc("match_id")]
@@ -161,12 +169,12 @@ def list_matches(m, *, league=None, status=None, upcoming=True, limit=50, now=D.
             order = [F.desc("kickoff"), F.asc("match_id")]
     elif upcoming:
         m = m.filter(F.col("kickoff") >= D.now(now))
-    return m.orderBy(*order).limit(min(limit, 200))
+    return m.orderBy(*order).limit(limit)
 
 
 @query("p1_list_finished", sql("lm", "SELECT match_id, league, status FROM lm WHERE league = 'L1' AND status = 'finished' ORDER BY kickoff DESC, match_id LIMIT 200"))
 def p1_list_finished(spark, d):
-    return list_matches(D.live_matches(spark, d), league="L1", status="finished", limit=500).select("match_id", "league", "status")
+    return list_matches(D.live_matches(spark, d), league="L1", status="finished", limit=200).select("match_id", "league", "status")
 
 
 @query("p1_list_upcoming", sql("lm", f"SELECT match_id, league, status FROM lm WHERE kickoff >= {NOW_SQL} ORDER BY kickoff, match_id LIMIT 50"))
@@ -187,8 +195,17 @@ def p2_match_by_id(spark, d):
 @query("p3_sport_events", sql("sev", """
 SELECT event_id, sport, league FROM sev WHERE sport = 'basketball' AND league = 'NBA' AND kickoff >= TIMESTAMP '2024-01-30 00:00:00' ORDER BY kickoff, event_id LIMIT 200"""))
 def p3_sport_events(spark, d):
-    e = D.sport_events(spark, d).filter((F.col("sport") == "basketball") & (F.col("league") == "NBA") & (F.col("kickoff") >= D.now(D.NOW_LIVE)))
-    return e.orderBy("kickoff", "event_id").limit(200).select("event_id", "sport", "league")
+    return list_events(D.sport_events(spark, d), sport="basketball", league="NBA", limit=200).select("event_id", "sport", "league")
+
+
+def list_events(e, *, sport=None, league=None, limit=200, now=D.NOW_LIVE, most=500):
+    """Events still to come by sport and league, at most ``most`` a page."""
+    if not 1 <= limit <= most:
+        raise ValueError(f"limit must be 1 to {most}, not {limit}")
+    e = e.filter(F.col("kickoff") >= D.now(now))
+    e = e.filter(F.col("sport") == sport) if sport else e
+    e = e.filter(F.col("league") == league) if league else e
+    return e.orderBy("kickoff", "event_id").limit(limit)
 
 
 @query("p4_horizon", sql("m", f"SELECT match_id FROM m WHERE status = 'scheduled' AND kickoff > {NOW_SQL} AND kickoff <= {NOW_SQL} + INTERVAL 14 DAY"))
@@ -312,14 +329,32 @@ def u_2_older_plus_window(spark, d):
     return older.unionByName(m.filter(F.col("kickoff") >= cut).select("match_id", F.lit("window").alias("part")))
 
 
+def _summer_time(zone="Europe/Istanbul", years=range(1990, 2011)):
+    """SQL text: whether a UTC kickoff falls into the zone's summer time, from the public time zone database."""
+    tz, spans, start = zoneinfo.ZoneInfo(zone), [], None
+    hour = datetime.datetime(years[0], 1, 1, tzinfo=datetime.UTC)
+    while hour.year <= years[-1]:
+        summer = bool(hour.astimezone(tz).dst())
+        if summer and start is None:
+            start = hour
+        if not summer and start is not None:
+            spans.append(f"(kickoff >= TIMESTAMP '{start:%Y-%m-%d %H:%M:%S}' AND kickoff < TIMESTAMP '{hour:%Y-%m-%d %H:%M:%S}')")
+            start = None
+        hour += datetime.timedelta(hours=1)
+    return "(" + " OR ".join(spans) + ")"
+
+
+_SUMMER = _summer_time()
+
+
 @query("f29_display_texts", sql("mp", """
 SELECT match_id, printf('%.0f%%', prob * 100) AS pct, printf('%.2f%%', prob * 100) AS pct2,
   strftime(l, '%d') || ' ' || (['Oca','Şub','Mar','Nis','May','Haz','Tem','Ağu','Eyl','Eki','Kas','Ara'])[CAST(month(l) AS INTEGER)] || ' ' ||
   (['Paz','Pzt','Sal','Çar','Per','Cum','Cmt'])[CAST(dayofweek(l) AS INTEGER) + 1] || strftime(l, ' %H:%M') AS local
-FROM (SELECT match_id, prob, kickoff + CASE WHEN month(kickoff) BETWEEN 4 AND 10 AND (month(kickoff) > 4) AND (month(kickoff) < 9) THEN INTERVAL 3 HOUR ELSE INTERVAL 2 HOUR END AS l
-  FROM mp WHERE market = '1X2' AND selection = '1' AND month(kickoff) IN (1, 2, 5, 6, 7, 8, 11, 12)) z"""))
+FROM (SELECT match_id, prob, kickoff + CASE WHEN """ + _SUMMER + """ THEN INTERVAL 3 HOUR ELSE INTERVAL 2 HOUR END AS l
+  FROM mp WHERE market = '1X2' AND selection = '1') z"""))
 def f29_display_texts(spark, d):
-    m = D.with_rates(D.matches(spark, d).filter("month(kickoff) IN (1, 2, 5, 6, 7, 8, 11, 12)"))
+    m = D.with_rates(D.matches(spark, d))
     w = mk.wide_book(m.select("match_id", "kickoff", "lam", "mu", "rho"))
     p = F.col("`1X2|1`")
     return w.select("match_id", times.percent(p).alias("pct"), times.percent(p, 2).alias("pct2"), times.local_display(F.col("kickoff")).alias("local"))

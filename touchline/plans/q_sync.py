@@ -168,7 +168,7 @@ CTE["folded"] = (["feed"], """
     CASE WHEN closed THEN NULL ELSE lh END AS live_home, CASE WHEN closed THEN NULL ELSE la END AS live_away, fh AS ft_home, fa AS ft_away FROM (
    SELECT match_id, bool_or(status = 'FINISHED') AS closed, arg_max(status, event_id) FILTER (WHERE status <> 'FINISHED') AS ls,
     arg_max(event_id % 90 + CASE WHEN event_id % 5 = 0 THEN 2 ELSE 0 END, event_id) FILTER (WHERE status <> 'FINISHED') AS lm, arg_max(home_goals, event_id) FILTER (WHERE status <> 'FINISHED') AS lh,
-    arg_max(away_goals, event_id) FILTER (WHERE status <> 'FINISHED') AS la, arg_min(home_goals, event_id) FILTER (WHERE status = 'FINISHED') AS fh, arg_min(away_goals, event_id) FILTER (WHERE status = 'FINISHED') AS fa
+    arg_max(away_goals, event_id) FILTER (WHERE status <> 'FINISHED') AS la, arg_min(home_goals, event_id) FILTER (WHERE status = 'FINISHED' AND home_goals IS NOT NULL) AS fh, arg_min(away_goals, event_id) FILTER (WHERE status = 'FINISHED' AND away_goals IS NOT NULL) AS fa
    FROM feed WHERE status IN ('IN_PLAY', 'PAUSED', 'FINISHED') GROUP BY match_id) z""")
 
 
@@ -186,13 +186,36 @@ def st3_finalise_stuck(spark, d):
     return sy.finalise_stuck(D.live_matches(spark, d), D.now()).select("match_id", "status", "ft_home", "ft_away", "live_home")
 
 
-@query("st5_insert_once_prices", sql("odds", "SELECT match_id, source, market, selection, count(*) AS n FROM odds GROUP BY 1, 2, 3, 4"))
+@query("st5_insert_once_prices", sql("odds", """
+SELECT match_id, source, market, selection, count(*) AS n, round(arg_min(decimal_odds, odds_id), 6) AS odds FROM odds GROUP BY 1, 2, 3, 4"""))
 def st5_insert_once_prices(spark, d):
-    """Every price arrives twice; each key is stored once."""
-    o = D.odds(spark, d).select("match_id", "source", "market", "selection", "decimal_odds")
+    """Every price arrives again later with another value; each key is stored once, with its first price."""
+    o = D.odds(spark, d).select("match_id", "source", "market", "selection", "decimal_odds", "fetched_at", "odds_id")
     key = ["match_id", "source", "market", "selection"]
-    kept = sy.append_new(o.filter("FALSE"), o.unionByName(o), key)
-    return kept.groupBy(*key).agg(F.count("*").alias("n"))
+    again = o.withColumns({"decimal_odds": F.col("decimal_odds") + 1, "fetched_at": F.col("fetched_at") + F.expr("INTERVAL 5 HOURS")})
+    kept = sy.append_new(o.filter("FALSE"), again.unionByName(o), key, ["fetched_at", "odds_id"])
+    return kept.groupBy(*key).agg(F.count("*").alias("n"), F.round(F.first("decimal_odds"), 6).alias("odds"))
+
+
+@query("st5_status_guard", sql("lm", """
+SELECT match_id, CASE WHEN status = 'finished' OR match_id % 2 = 0 THEN 'finished' ELSE 'in_play' END AS status, CASE WHEN status = 'finished' THEN ft_home WHEN match_id % 2 = 0 THEN 7 ELSE ft_home END AS ft_home FROM lm"""))
+def st5_status_guard(spark, d):
+    """A running row comes for every match and a final one for every even match, twice: finished rows and their scores stay."""
+    m = D.live_matches(spark, d).select("match_id", "status", F.col("ft_home").cast("int").alias("ft_home"), F.col("ft_away").cast("int").alias("ft_away"))
+    late = m.selectExpr("match_id", "'in_play' AS status", "CAST(NULL AS INT) AS ft_home", "CAST(NULL AS INT) AS ft_away")
+    final = m.filter("match_id % 2 = 0").selectExpr("match_id", "'finished' AS status", "7 AS ft_home", "7 AS ft_away")
+    cols = ["status", "ft_home", "ft_away"]
+    once = sy.upsert_matches(m, late.unionByName(final).unionByName(late), "match_id", cols)
+    return sy.upsert_matches(once, late, "match_id", cols).select("match_id", "status", "ft_home")
+
+
+@query("s18_fixture_table", sql("lm", """
+SELECT match_id AS k, CASE WHEN match_id % 4 = 0 THEN 'scheduled' ELSE status END AS status, CASE WHEN match_id % 4 <> 0 AND status = 'finished' THEN 'old' ELSE 'new' END AS league FROM lm"""))
+def s18_fixture_table(spark, d):
+    """The table a fixture load leaves: a quarter of the rows is new, finished rows stay as they are."""
+    m = D.live_matches(spark, d)
+    before = m.filter("match_id % 4 <> 0").selectExpr("match_id AS k", "status", "'old' AS league")
+    return sy.fixture_table(before, m.selectExpr("match_id AS k", "'new' AS league"), ["k"], ["league"]).select("k", "status", "league")
 
 
 @query("st6_closed_coupons", sql("coup", "SELECT coupon_id, CAST(hit AS INTEGER) AS hit FROM coup WHERE hit IS NOT NULL"))

@@ -1,4 +1,7 @@
 """Session defaults the operators rely on (cluster settings win when present)."""
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,19 +29,23 @@ def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> Spa
     return spark
 
 
-def checkpoint(df):
-    """Cut lineage through reliable storage shared by all executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="touchline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Where it names none
-    the plan is returned unchanged: correct, only longer.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return df
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+def stored(df):
+    """Cut lineage, always: a Parquet table in the shared folder, deleted when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/touchline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def literal_rows(spark: SparkSession, rows, columns: str):

@@ -52,10 +52,17 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def split_cells(line: Column) -> Column:
+    """Cells of a comma-separated line; a cell in quotes may hold commas, and doubled quotes stand for one."""
+    outside = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    bare = F.transform(outside, lambda c: F.when(F.trim(c).rlike('^".*"$'), F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(F.split(line, ",", -1))
+
+
 def named_lines(lines: DataFrame, required) -> DataFrame:
     """(file, header, fields): data lines of every file that has the required columns."""
     clean = F.regexp_replace("line", "^(ï»¿|\ufeff)|\r$", "")
-    cells = lines.select("file", F.split(clean, ",", -1).alias("fields"))
+    cells = lines.select("file", split_cells(clean).alias("fields"))
     need = F.array(*[F.lit(c) for c in required])
     is_header = F.size(F.array_except(need, F.col("fields"))) == 0
     # one header per file: a table as small as the list of files
