@@ -6,7 +6,6 @@ so every row is computed and nothing is collected.
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -40,8 +39,6 @@ def main() -> None:
     d = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus)
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="touchline-bench-"))  # local runs only
     # start the JVM, one Python worker per core and the parquet reader before the clock
     derive.table(spark, d, "orders").groupBy("o_orderstatus").count().collect()
     spark.range(0, 64, 1, int(cpus)).mapInPandas(lambda it: it, "id long").count()
