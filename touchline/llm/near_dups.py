@@ -8,8 +8,9 @@ a key are candidates, and the exact weighted Jaccard similarity of their whole t
 
 Texts with the same words are one node from the start, so copies cost one sketch row each and no pairs. In a
 bucket all members are compared with one leader, not with each other; buckets that still hold members of
-different components are compared with a second leader, and what then remains is joined within the bucket
-under the condition that the sketches agree, so no pair that could be a link is left out.
+different components are compared with a second leader. Of the members that remain, two can only be alike if they
+share one of the rarest shingles that make up a fifth of their weight; they are joined on these, so a passage
+that many texts hold brings no pairs, and no pair that could be a link is left out.
 
 Edge cases: null and empty texts are copies of each other (no words); texts of one to four words have one
 shingle; rows with equal ids are told apart by their text; a null doc_id is a row like others and sorts
@@ -34,6 +35,7 @@ THRESHOLD = 0.8
 SAMPLES, BANDS = 64, 16
 SLOTS_LOG = 16
 POOL = 1 << 14
+RARE_LOG = 18
 AGREE = 36            # of 64 samples: at similarity 0.8 fewer agree once in a million pairs
 SKETCH = "doc_id long, text_key long, node string, bands array<long>, samples array<short>"
 
@@ -203,13 +205,57 @@ def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: flo
     pairs = open_.where("node <> second").join(second, "key").where("root <> second_root").select(F.col("second").alias("u"), F.col("node").alias("v")).distinct()
     links = written(links.unionByName(verified(pairs, texts, weights, threshold)))
     found = written(components(links))
-    rest = written(open_members(done.unionByName(open_.select("key", F.col("second").alias("node")).distinct())).drop("second")
-                   .join(wanted.select("node", "samples"), "node"))
-    a, b = rest.alias("a"), rest.alias("b")
+    rest = open_members(done.unionByName(open_.select("key", F.col("second").alias("node")).distinct()))
+    rest = written(rest.select("node", "root").distinct().join(wanted.select("node", "samples"), "node"))
+    links = links.unionByName(verified(rare_pairs(rest, texts, weights, threshold), texts, weights, threshold))
+    return components(links)
+
+
+def rare_pairs(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that share a shingle of both their prefixes and whose sketches agree.
+
+    A text's prefix are its rarest shingles, just over 1 - threshold of its weight: texts that are as alike as the
+    threshold share more weight than lies outside a prefix. Any order common to all texts will do; shingles are
+    ordered by how many of these texts hold their hashed slot, a table of fixed size.
+    """
+    spark = rest.sparkSession
+    own = texts.join(rest.select("node"), "node")
+    spread = spark.sparkContext.broadcast(weights)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RARE_LOG, np.int64)
+        for batch in batches:
+            for a, b in pieces_of(batch["text"]):
+                np.add.at(counts, (weighted_sets(batch["text"][a:b], spread.value)[0] >> np.uint64(64 - RARE_LOG)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        for a in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[a:a + 50_000], pa.int32()), pa.array(counts[at[a:a + 50_000]])], names=["slot", "n"])
+
+    found = own.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 2**18 rows at most
+    counts = np.zeros(1 << RARE_LOG, np.int64)
+    counts[found.slot.to_numpy()] = found.n.to_numpy()
+    rarity = spark.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in pieces_of(batch["text"]):
+                e, w, off, _ = weighted_sets(batch["text"][a:b], spread.value)
+                row = np.repeat(np.arange(b - a), np.diff(off))
+                order = np.lexsort((e, rarity.value[(e >> np.uint64(64 - RARE_LOG)).astype(np.int64)], row))
+                e, w = e[order], w[order].astype(np.float64)
+                total = np.append(0.0, np.cumsum(w))
+                before = total[:-1] - total[off[:-1]][row]
+                whole = (total[off[1:]] - total[off[:-1]])[row]
+                keep = np.flatnonzero(before <= (1 - threshold) * whole + 1e-4 * whole)
+                yield pa.RecordBatch.from_arrays([batch["node"][a:b].take(pa.array(row[keep])), pa.array(e[keep].view(np.int64))], names=["node", "rare"])
+
+    held = own.select("node", "text").mapInArrow(prefixes, "node string, rare long")
+    several = held.groupBy("rare").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rare")
+    rows = written(held.join(several, "rare").join(rest, "node"))
+    a, b = rows.alias("a"), rows.alias("b")
     agree = F.aggregate(F.zip_with("a.samples", "b.samples", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (agree >= AGREE)) \
+    return a.join(b, (F.col("a.rare") == F.col("b.rare")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (agree >= AGREE)) \
         .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    return components(links.unionByName(verified(pairs, texts, weights, threshold)))
 
 
 def _classed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
