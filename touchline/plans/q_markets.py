@@ -241,12 +241,12 @@ def f5_value_tags(spark, d):
 
 @query("f6_kelly", sql("mp best", """
 SELECT match_id, market, selection, round(CASE WHEN odds - 1 <= 0 THEN 0 ELSE greatest(0, ((odds - 1) * prob - (1 - prob)) / (odds - 1)) END, 6) AS kelly,
-  round(1000 * 0.25e0 * greatest(0, ((odds - 1) * prob - (1 - prob)) / (odds - 1)), 1) AS stake
+  round_even(1000 * 0.25e0 * greatest(0, ((odds - 1) * prob - (1 - prob)) / (odds - 1)), 2) AS stake
 FROM mp JOIN best USING (match_id, market, selection)"""))
 def f6_kelly(spark, d):
     x = od.priced(mk.long_book(D.rates(spark, d), ["1X2", "over_under_2.5"]), od.best_prices(D.odds(spark, d)))
     k = value.kelly(F.col("prob"), F.col("odds"))
-    return x.select("match_id", "market", "selection", r6(k, "kelly"), F.round(F.lit(1000) * 0.25 * k, 1).alias("stake"))
+    return x.select("match_id", "market", "selection", r6(k, "kelly"), value.kelly_stake(F.col("prob"), F.col("odds"), F.lit(1000.0), F.lit(0.25)).alias("stake"))
 
 
 @query("p10_value_view", sql("mp best", """
