@@ -76,6 +76,16 @@ def test_tagger_finds_respelt_spans(spark):
     assert not any(b or a for b, a in clean)
 
 
+def test_respelling_moves_the_labels_along():
+    text = "mail a.b@c.example.com and call +1 (499) 555-6503, card 4111 1111 1111 1111."
+    spans, rng = pii.base_spans(text), np.random.default_rng(4)
+    new, moved = pii.beside(text, spans, [("10.0.0.1", 1)], rng)
+    assert [new[a:b] for a, b, _ in moved] == [x for a, b, _ in spans for x in (text[a:b], "10.0.0.1")]
+    new, moved = pii.respelt(text, spans, rng)
+    assert [k for *_, k in moved] == [k for *_, k in spans] and all(new[a:b].strip() == new[a:b] for a, b, _ in moved)
+    assert pii.masked(text, spans) == "mail [EMAIL] and call [PHONE], card [CARD]."
+
+
 def test_found_and_redacted_on_odd_rows(spark):
     df, data = odd(spark)
     out = pii.found(df, None).collect()

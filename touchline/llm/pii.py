@@ -1,9 +1,9 @@
 """Personal data: fixed patterns first, then a bidirectional LSTM-CRF for what their spelling misses.
 
 Base spans (e-mail, IP, card, phone) come from fixed patterns over the whole text. The tagger is trained
-on spans that the patterns label in a bounded sample of documents, half of them respelt (a phone number
-without its plus, an address with spaces at its @, a card number in dotted groups), so it learns the
-surroundings and shapes rather than the patterns. It reads overlapping windows; a window's tags are
+on spans that the patterns label in a bounded sample of documents: as they are, respelt (a phone number
+without its plus, an address with spaces at its @, a card number in dotted groups), and with another right
+behind, where the patterns may read two numbers as one. So it learns surroundings and shapes rather than the patterns. It reads overlapping windows; a window's tags are
 decoded by the CRF, and all windows' spans of a text are reconciled at once: parts of one span cut by
 window edges are joined, and of overlapping candidates the set with the largest total confidence stays.
 A span of any kind holds a digit or an @, so windows with neither are decoded as empty without being read.
@@ -106,14 +106,27 @@ def respelt(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str
     return out + text[done:], moved
 
 
+def beside(text: str, spans: list[Span], pool: list[tuple[str, int]], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with another labelled piece right behind each span, where the patterns may read the two as one."""
+    out, moved, done = "", [], 0
+    for a, b, kind in spans:
+        piece, other = pool[rng.integers(len(pool))]
+        out += text[done:b]
+        moved += [(len(out) - (b - a), len(out), kind), (len(out) + 1, len(out) + 1 + len(piece), other)]
+        out += " " + piece
+        done = b
+    return out + text[done:], moved
+
+
 def fit(texts: list[str], seed: int = 7, steps: int = 400) -> Tagger | None:
     """Train on the spans the patterns label, plain and respelt, and on windows with digits that are no span."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
+    pool = [(t[a:b], k) for t in texts for a, b, k in base_spans(t)]
     for text in texts:
         labelled = base_spans(text)
         spans = [s for i, s in enumerate(labelled) if not i or s[0] >= labelled[i - 1][1]]
-        for t, s in ((text, spans), respelt(text, spans, rng)) if spans else ((text, spans),):
+        for t, s in ((text, spans), respelt(text, spans, rng), beside(text, spans, pool, rng)) if spans else ((text, spans),):
             x, y = window_rows(t, s)
             digit = (((x >= 20) & (x < 30)) | (x == 36)).any(axis=1)  # symbols of 0-9 and @
             xs.append(x[digit])
