@@ -2,25 +2,36 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_BUCKETS = 1024
+from touchline.session import stored
+
+ID_RANGES = 256
+
+
+def _range_of(key: str, cuts):
+    """How many cuts lie at or below the key: a balanced CASE."""
+    def between(a: int, b: int):
+        if a == b:
+            return F.lit(a)
+        m = (a + b) // 2
+        return F.when(F.col(key) < F.lit(cuts[m]), between(a, m)).otherwise(between(m + 1, b))
+
+    return between(0, len(cuts))
 
 
 def with_row_index(df: DataFrame, time: str, key: str, group=None, name: str = "idx") -> DataFrame:
     """0-based position in (time, key) order, overall or per ``group``.
 
-    Rows are ranked inside (group, day, key range); the ranges are counted apart and turned
-    into offsets: key ranges inside a day (at most ID_BUCKETS), days on the calendar. No task
-    sorts more than one key range of one day, and a hot day is split by key.
+    Rows are ranked inside (group, day, second, key range); the ranges are cut at quantiles of the key, counted in
+    one pass, and turned into offsets: ranges inside a day, days on the calendar. No task sorts more than
+    one key range of one second, and a hot second is split by key.
     """
     group = [] if group is None else [group] if isinstance(group, str) else list(group)
-    span = df.agg(F.min(key).alias("k0"), F.max(key).alias("k1"))
-    x = df.withColumns({
-        "_day": F.to_date(time), "_k": span.select(F.struct("k0", "k1")).scalar()})
-    # order inside a day is by time first, so the range is taken over (second of day, key)
-    x = x.withColumn("_sec", F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)) \
-        .withColumn("_b", F.expr(f"CAST(floor(({key} - _k.k0) / greatest(1D, (_k.k1 - _k.k0 + 1) / {ID_BUCKETS}D)) AS INT)"))
+    found = df.agg(F.percentile_approx(key, [i / ID_RANGES for i in range(1, ID_RANGES)], 10000).alias("cuts")).first()
+    # order inside a day is by time first, so the range is taken inside the second of the day
+    x = df.withColumns({"_day": F.to_date(time), "_sec": F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time),
+                        "_b": _range_of(key, sorted(set(found["cuts"] or [])))})
     part = [*group, "_day", "_sec", "_b"]
-    counts = x.groupBy(*part).agg(F.count("*").alias("_n"))
+    counts = stored(x.groupBy(*part).agg(F.count("*").alias("_n")))
     day_n = counts.groupBy(*group, "_day").agg(F.sum("_n").alias("_dn"))
     by_day = Window.partitionBy(*group).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     day_off = day_n.select(*group, "_day", F.coalesce(F.sum("_dn").over(by_day), F.lit(0)).alias("_doff"))
