@@ -18,7 +18,6 @@ broken by doc_id and piece; an empty table packs to an empty one; a null doc_id
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +169,6 @@ def bins_needed(counts: dict[int, int], capacity: int = CAPACITY) -> int:
 def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
     """No packing has fewer bins (Martello-Toth L2)."""
     sizes = sorted(counts)
-    many = list(accumulate(counts[s] for s in sizes))
     best = -(-sum(s * n for s, n in counts.items()) // capacity)
     for a in [0, *[s for s in sizes if 2 * s <= capacity]]:
         one = sum(counts[s] for s in sizes if s > capacity - a)
@@ -178,4 +176,4 @@ def lower_bound(counts: dict[int, int], capacity: int = CAPACITY) -> int:
         room = two * capacity - sum(s * counts[s] for s in sizes if capacity - a >= s > capacity / 2)
         small = sum(s * counts[s] for s in sizes if capacity / 2 >= s >= a)
         best = max(best, one + two + max(0, -(-(small - room) // capacity)))
-    return best if many else 0
+    return best
