@@ -9,8 +9,8 @@ a key are candidates, and the exact weighted Jaccard similarity of their whole t
 Texts with the same words are one node from the start, so copies cost one sketch row each and no pairs. In a
 bucket all members are compared with one leader, not with each other; buckets that still hold members of
 different components are compared with a second leader. Of the members that remain, two can only be alike if they
-share one of the rarest shingles that make up a fifth of their weight; they are joined on these, so a passage
-that many texts hold brings no pairs, and no pair that could be a link is left out.
+share one of the rarest shingles that make up a fifth of their weight, with enough weight behind it in both; they
+are joined on these, so a passage that many texts hold brings no pairs, and no pair that could be a link is left out.
 
 Edge cases: null and empty texts are copies of each other (no words); texts of one to four words have one
 shingle; rows with equal ids are told apart by their text; a null doc_id is a row like others and sorts
@@ -216,7 +216,9 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold
 
     A text's prefix are its rarest shingles, just over 1 - threshold of its weight: texts that are as alike as the
     threshold share more weight than lies outside a prefix. Any order common to all texts will do; shingles are
-    ordered by how many of these texts hold their hashed slot, a table of fixed size.
+    ordered by how many of these texts hold their hashed slot, a table of fixed size. From a pair's first common
+    shingle on, the lighter rest bounds what the two share; it must reach t / (1 + t) of their weights, for that is
+    what similarity t means.
     """
     spark = rest.sparkSession
     own = texts.join(rest.select("node"), "node")
@@ -247,14 +249,16 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold
                 before = total[:-1] - total[off[:-1]][row]
                 whole = (total[off[1:]] - total[off[:-1]])[row]
                 keep = np.flatnonzero(before <= (1 - threshold) * whole + 1e-4 * whole)
-                yield pa.RecordBatch.from_arrays([batch["node"][a:b].take(pa.array(row[keep])), pa.array(e[keep].view(np.int64))], names=["node", "rare"])
+                yield pa.RecordBatch.from_arrays([batch["node"][a:b].take(pa.array(row[keep])), pa.array(e[keep].view(np.int64)),
+                                                  pa.array((whole - before)[keep]), pa.array(whole[keep])], names=["node", "rare", "behind", "weight"])
 
-    held = own.select("node", "text").mapInArrow(prefixes, "node string, rare long")
+    held = own.select("node", "text").mapInArrow(prefixes, "node string, rare long, behind double, weight double")
     several = held.groupBy("rare").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rare")
     rows = written(held.join(several, "rare").join(rest, "node"))
     a, b = rows.alias("a"), rows.alias("b")
     agree = F.aggregate(F.zip_with("a.samples", "b.samples", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return a.join(b, (F.col("a.rare") == F.col("b.rare")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (agree >= AGREE)) \
+    enough = F.least("a.behind", "b.behind") >= (threshold / (1 + threshold) - 1e-4) * (F.col("a.weight") + F.col("b.weight"))
+    return a.join(b, (F.col("a.rare") == F.col("b.rare")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & enough & (agree >= AGREE)) \
         .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
