@@ -85,6 +85,26 @@ def test_a_large_bucket_is_not_cut(spark):
     assert got[:200] == [0] * 200 and got[200:206] == [200] * 6 and got[206:] == list(range(206, 216))
 
 
+def test_rare_shingles_find_every_link(spark):
+    """Texts that share a long passage, each its own component: the prefix join finds all links and few other pairs."""
+    passage = prose(500, 60)
+    texts = [f"{passage} {prose(i, 20)}" for i in range(40)]
+    texts += [t + f" tail{i}" for i, t in enumerate(texts[:6])] + [f"lead{i} " + t for i, t in enumerate(texts[3:9])]
+    data = pa.array(texts)
+    weights = np.ones(1 << near_dups.SLOTS_LOG, np.float32)
+    e, w, off, nodes = near_dups.weighted_sets(data, weights)
+    sets = [(e[off[i]:off[i + 1]], w[off[i]:off[i + 1]]) for i in range(len(texts))]
+    sampler = near_dups.Sampler()
+    rest = spark.createDataFrame([(n, n, (sampler.of(*s) >> np.uint64(48)).astype(np.uint16).view(np.int16).tolist()) for n, s in zip(nodes, sets)],
+                                 "node string, root string, samples array<short>")
+    table = spark.createDataFrame(list(zip(nodes, texts)), "node string, text string")
+    pairs = near_dups.rare_pairs(rest, table, weights)
+    want = {tuple(sorted((nodes[i], nodes[j]))) for i, j in itertools.combinations(range(len(texts)), 2) if near_dups.weighted_jaccard(sets[i], sets[j]) >= 0.8}
+    got = {(r["u"], r["v"]) for r in pairs.collect()}
+    assert want and want <= got and len(got) < len(texts) * 3
+    assert {(r["u"], r["v"]) for r in near_dups.verified(pairs, table, weights).collect()} == want
+
+
 def test_near_duplicates_on_odd_rows(spark):
     df, data = odd(spark)
     got = [(r["doc_id"], r["class_id"], r["class_size"]) for r in near_dups.classes(df).collect()]

@@ -7,7 +7,7 @@ their weighted Jaccard similarity. They form ``BANDS`` keys of ``SAMPLES // BAND
 a key are candidates, and the exact weighted Jaccard similarity of their whole texts decides.
 
 Texts with the same words are one node from the start, so copies cost one sketch row each and no pairs. In a
-bucket all members are compared with one leader, not with each other; buckets that still hold members of
+bucket all members of like weight are compared with one leader, not with each other; buckets that still hold members of
 different components are compared with a second leader. Of the members that remain, two can only be alike if they
 share one of the rarest shingles that make up a fifth of their weight, with enough weight behind it in both; they
 are joined on these, so a passage that many texts hold brings no pairs, and no pair that could be a link is left out.
@@ -37,7 +37,7 @@ SLOTS_LOG = 16
 POOL = 1 << 14
 RARE_LOG = 18
 AGREE = 36            # of 64 samples: at similarity 0.8 fewer agree once in a million pairs
-SKETCH = "doc_id long, text_key long, node string, bands array<long>, samples array<short>"
+SKETCH = "doc_id long, text_key long, node string, weight double, bands array<long>, samples array<short>"
 
 
 def word_slots(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -129,6 +129,7 @@ def sketches(docs: DataFrame, weights: np.ndarray, samples: int = SAMPLES, bands
             for a, b in pieces_of(batch["text"]):
                 e, w, off, nodes = weighted_sets(batch["text"][a:b], spread.value)
                 keys, short = [], []
+                total = np.append(0.0, np.cumsum(w, dtype=np.float64))
                 for i in range(b - a):
                     if off[i] == off[i + 1]:
                         keys.append([])
@@ -140,8 +141,9 @@ def sketches(docs: DataFrame, weights: np.ndarray, samples: int = SAMPLES, bands
                         band = mix(band * np.uint64(0xD6E8FEB86659FD93) + code[j::rows][:bands])
                     keys.append(band.view(np.int64))
                     short.append((code >> np.uint64(48)).astype(np.uint16).view(np.int16))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], batch["text_key"][a:b], pa.array(nodes, pa.string()), pa.array(keys, pa.list_(pa.int64())),
-                                                  pa.array(short, pa.list_(pa.int16()))], names=["doc_id", "text_key", "node", "bands", "samples"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][a:b], batch["text_key"][a:b], pa.array(nodes, pa.string()), pa.array(total[off[1:]] - total[off[:-1]]),
+                                                  pa.array(keys, pa.list_(pa.int64())),
+                                                  pa.array(short, pa.list_(pa.int16()))], names=["doc_id", "text_key", "node", "weight", "bands", "samples"])
 
     return _rows(docs).mapInArrow(work, SKETCH)
 
@@ -183,26 +185,32 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
 
 def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of every node that is linked to another; ``rows``: the stored sketches."""
-    nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.min(F.struct("doc_id", "text_key")).alias("one"))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
+    nodes = rows.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.min(F.struct("doc_id", "text_key")).alias("one"))
+    keyed = nodes.select("node", "weight", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "weight")).alias("first")).where("n > 1") \
+        .select("key", F.col("first.node").alias("leader"), F.col("first.weight").alias("leader_weight"))
     members = written(keyed.join(shared, "key"))
+
+    def weighty(a: str, b: str):
+        """Sets whose weights differ too much cannot be as alike as the threshold."""
+        return F.least(a, b) >= (threshold - 1e-4) * F.greatest(a, b)
+
     wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "one", "samples"))
     ids = wanted.select("node", F.col("one.doc_id").alias("d"), F.col("one.text_key").alias("k"))
     texts = written(_rows(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["node"]).select("node", "text"))
-    links = written(verified(members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), texts, weights, threshold))
+    links = written(verified(members.where(F.expr("node <> leader") & weighty("weight", "leader_weight")).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), texts, weights, threshold))
     found = written(components(links))
 
     def open_members(done: DataFrame) -> DataFrame:
         """Members not yet compared with all others of their bucket, where the bucket still holds several components."""
-        left = members.join(done, ["key", "node"], "left_anti").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        left = members.join(done, ["key", "node"], "left_anti").join(found, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
         several = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("second")).where("a <> b").drop("a", "b")
         return left.join(several, "key")
 
     done = members.select("key", F.col("leader").alias("node")).distinct()
     open_ = written(open_members(done))
-    second = open_.where("node = second").select("key", F.col("root").alias("second_root"))
-    pairs = open_.where("node <> second").join(second, "key").where("root <> second_root").select(F.col("second").alias("u"), F.col("node").alias("v")).distinct()
+    second = open_.where("node = second").select("key", F.col("root").alias("second_root"), F.col("weight").alias("second_weight"))
+    pairs = open_.where("node <> second").join(second, "key").where(F.expr("root <> second_root") & weighty("weight", "second_weight")).select(F.col("second").alias("u"), F.col("node").alias("v")).distinct()
     links = written(links.unionByName(verified(pairs, texts, weights, threshold)))
     found = written(components(links))
     rest = open_members(done.unionByName(open_.select("key", F.col("second").alias("node")).distinct()))
