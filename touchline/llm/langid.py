@@ -218,9 +218,14 @@ def fit(texts: list[str], langs: list[str], pieces: list[str], rounds: int = ROU
 def learn(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, rounds: int = ROUNDS) -> LanguageModel:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")) \
         .where("doc_id is not null and lang is not null and text is not null").where(_fold() != HELD_OUT)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
+    if not counts:
+        return LanguageModel([], None, None)
+    # ids whose hash lies in the share of all that holds about four samples; of these the exact sample is ranked
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * sample / r["n"]))])[F.col("lang")]
+    some = rows.select("lang", "doc_id").where((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) <= share)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the rank filter runs before the shuffle, so a language sends `sample` ids a task at most
-    ids = rows.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("doc_id").distinct()
+    ids = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).select("doc_id").distinct()
     found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text", "lang"])
     return fit(found.text.tolist(), found.lang.tolist(), pieces, rounds)
 
