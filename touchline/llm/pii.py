@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.shared import pieces_of
 from touchline.llm.tagger import KINDS, WINDOW, Tagger, symbols, window_rows, windows_of
 
 SAMPLE = 800          # documents the tagger is trained on, at most
@@ -255,12 +256,19 @@ def written_spans(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of text, so few texts are held in Python at a time."""
+    for batch in batches:
+        for a, b in pieces_of(batch["text"], limit):
+            yield batch.slice(a, b - a)
+
+
 def found(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans."""
     spread = docs.sparkSession.sparkContext.broadcast(tagger)  # 80 KB of weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for base, added in all_spans(spread.value, [t or "" for t in batch["text"].to_pylist()]):
                 many = [sum(k == kind for *_, k in base) for kind in range(len(KINDS))]
@@ -293,7 +301,7 @@ def redacted(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             old = batch["text"].to_pylist()
             new = [t if t is None else masked(t, base + added) if base or added else t
                    for t, (base, added) in zip(old, all_spans(spread.value, [t or "" for t in old]))]
