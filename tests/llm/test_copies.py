@@ -196,6 +196,14 @@ def test_reparameterised_items_are_found(spark):
     assert leaked(spark, texts) == {(0, 0), (1, 0), (3, 0), (6, 0)}
 
 
+def test_copies_are_found_however_slots_are_read(spark):
+    """Items full of slots, and names that the copy's surroundings or case turn into words or words into names."""
+    items = ["What is 17 + 25?", "Compute 12 + 15 + 18 + 20 + 22", "Tom gives Ann 5 kg of 7 lb", "Find 3 boxes of Ann near 4 trees now"]
+    texts = [f"so What is 17 + 25? {prose(1)}", f"question: Compute 12 + 15 + 18 + 20 + 22. {prose(2)}", f"{prose(3)}\n\nquestion: tom gives\nann 5 kg  of 7 lb", f"question: Find 5 boxes of ann near 6 trees now {prose(4)}",
+             f"it is that What is 18 + 25? {prose(5)}", f"{prose(6)} compute 12 + 15 + 18 + 20 + 23", ITEM.lower(), f"we ask: {ITEM.replace(' Mary', '  Mary').replace('12', '45')}"]
+    assert leaked(spark, texts, [*items, ITEM]) == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 4), (7, 4)}
+
+
 def test_leaks_equal_brute_force(spark):
     d = SF.replace("0.001", "0.01")
     docs, bench = documents(spark, d), documents(spark, d, "benchmark")

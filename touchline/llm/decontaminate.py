@@ -2,16 +2,18 @@
 
 Numbers, names (capitalised words that begin no sentence) and units (a known unit after a number) become typed
 slots, the other words are lower-cased and stripped of punctuation. Windows of eight tokens of the benchmark items and of
-every whole text are joined on the hash of their templates. Where enough windows of an item follow each
+every whole text are joined on three hashes: of their templates, of their templates with names spelt out, and of their plain
+words with all values. So a copy is looked up by its words however its surroundings or case let a name be read. Where enough windows of an item follow each
 other in a text, the slots of the matched stretch are aligned: one value of the item must always stand for
 the same value of the text. So a question is also found with other numbers, names or units in it, and two
 texts that merely share a form are not.
 
 A text holds an item if, on one alignment, ``run`` tokens in a row (of a shorter item: all but two, a window's at
 least) match as templates, at least half of these are words that match literally or slots with equal values, and the slots are consistent.
+A name and the same word read as no name are equal.
 
-Windows with fewer than three words outside slots are no evidence and are not looked up. An item shorter than a
-window is looked up whole.
+Windows with fewer than three words outside slots are no evidence as templates: they are looked up with the values of their slots.
+An item shorter than a window is looked up whole.
 
 Edge cases: null and empty texts and items hold nothing; repeated rows are each reported alike; a null doc_id
 is reported as null; other columns are ignored by ``leaks`` and kept by ``clean``; empty tables give empty results.
@@ -37,6 +39,7 @@ UNITS = ("km", "m", "cm", "mm", "mi", "mile", "miles", "meter", "meters", "metre
 def tokens(text: Column) -> Column:
     """Words in order; a slot is its type's control character followed by its value."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + UNIT + NAME + JOINT, "    ")
+    t = F.regexp_replace(t, r"[^\S ]\s*| \s+", " ")
     t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", NAME + "$1")
     t = F.regexp_replace(F.lower(t), r"(?<=[0-9])[.,:/](?=[0-9])", JOINT)
     t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{JOINT}])([0-9][0-9{JOINT}]*)", f" {NUMBER}$1 ")
@@ -45,27 +48,46 @@ def tokens(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
+def value(word: Column) -> Column:
+    """The plain word of a token, whatever slot it was read as."""
+    return F.when(word < JOINT, F.substring(word, 2, 1 << 30)).otherwise(word)
+
+
 def template_hashes(words: Column) -> Column:
     """One number a token: 1 to 3 for a slot's type, else a hash of the word."""
     return F.transform(words, lambda w: F.when(w < JOINT, F.ascii(w).cast("long")).otherwise(F.xxhash64(w)))
 
 
+def named_hashes(words: Column) -> Column:
+    """As ``template_hashes``, but a name is a word like any other."""
+    return F.transform(words, lambda w: F.when(w < NAME, F.ascii(w).cast("long")).otherwise(F.xxhash64(value(w))))
+
+
+def plain_hashes(words: Column) -> Column:
+    """A hash of every token's plain word."""
+    return F.transform(words, lambda w: F.xxhash64(value(w)))
+
+
+FORMS = {"template": template_hashes, "named": named_hashes, "plain": plain_hashes}
+
+
 def windows(hashes: Column, size: int) -> Column:
     """Template hash of the window at every position, in order."""
     last = F.size(hashes) - size
     return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(hashes, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _windows_of_sizes(hashes: Column, sizes: list[int]) -> Column:
-    def of(size: int) -> Column:
-        return F.transform(windows(hashes, size), lambda h, i: F.struct(F.lit(size).alias("size"), i.cast("int").alias("pos"), h.alias("key")))
+def _windows_of_sizes(forms: dict[str, Column], sizes: list[int]) -> Column:
+    """Every window's size, position and, for each form it is looked up in, key. A window without slots has one key in all forms."""
+    def of(name: str, size: int) -> Column:
+        return F.transform(windows(forms[name], size), lambda h, i: F.struct(F.lit(name).alias("form"), F.lit(size).alias("size"), i.cast("int").alias("pos"), h.alias("key")))
 
-    return F.flatten(F.array(*map(of, sizes))) if len(sizes) > 1 else of(sizes[0])
+    return F.flatten(F.array(*[of(name, size) for name in forms for size in sizes]))
 
 
 def _items(benchmark: DataFrame, window: int) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
-    return items.withColumn("item_hashes", template_hashes(F.col("item_words"))).withColumn("size", F.least(F.lit(window), F.size("item_words")))
+    return items.withColumn("size", F.least(F.lit(window), F.size("item_words")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -80,15 +102,20 @@ def candidates(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run:
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most `window` values
     if not sizes:
         sizes = [window]
-    own = F.slice("item_hashes", F.col("w.pos") + 1, F.col("w.size"))
-    index = items.select("item_id", F.size("item_words").alias("item_size"), "size", "item_hashes", F.explode(_windows_of_sizes(F.col("item_hashes"), sizes)).alias("w")) \
-        .where((F.col("w.size") == F.col("size")) & (F.size(F.filter(own, lambda h: ~h.between(1, 3))) >= F.least(F.lit(LITERALS), F.col("size")))) \
-        .select("item_id", "item_size", F.col("w.size").alias("size"), F.col("w.pos").alias("item_pos"), F.col("w.key").alias("key"))
-    found = _keyed(docs).withColumn("hashes", template_hashes(tokens(F.col("text")))).select(
-        "doc_id", "row_key", F.explode(_windows_of_sizes(F.col("hashes"), sizes)).alias("w")) \
+    def keyed(words: DataFrame, *columns: str) -> DataFrame:
+        forms = words.select("*", *[f(F.col("words")).alias(name) for name, f in FORMS.items()])
+        return forms.select(*columns, F.explode(_windows_of_sizes({name: F.col(name) for name in FORMS}, sizes)).alias("w"))
+
+    literals = F.size(F.filter(F.slice("words", F.col("w.pos") + 1, F.col("w.size")), lambda w: w >= JOINT))
+    spelt = F.size(F.filter(F.slice("words", F.col("w.pos") + 1, F.col("w.size")), lambda w: w >= NAME))
+    enough = F.least(F.lit(LITERALS), F.col("w.size"))
+    index = keyed(items.withColumn("words", F.col("item_words")), "item_id", "words", F.col("size").alias("item_window")).where(F.col("w.size") == F.col("item_window")) \
+        .where(F.when(F.col("w.form") == "template", literals >= enough).when(F.col("w.form") == "named", spelt >= enough).otherwise(True)) \
+        .select("item_id", F.col("w.size").alias("size"), F.col("w.pos").alias("item_pos"), F.col("w.key").alias("key")).distinct()
+    found = keyed(_keyed(docs).withColumn("words", tokens(F.col("text"))), "doc_id", "row_key") \
         .select("doc_id", "row_key", F.col("w.size").alias("size"), F.col("w.pos").alias("pos"), F.col("w.key").alias("key"))
     hits = found.join(index, ["size", "key"])
-    # of 13 tokens in a row at least one window is whole, and all but slot-heavy ones are; the exact run is counted later
+    # of 13 tokens in a row at least one window is whole; the exact run is counted later
     return hits.groupBy("doc_id", "row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count(F.lit(1)).alias("n")).drop("n")
 
 
@@ -106,7 +133,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
     many = F.least(F.size("item_words"), F.size("doc_words") - F.col("shift")) - first
     # aligned tokens: the same word, the same slot with an equal value (2), a slot of the same type (1), or neither (0)
     pairs = F.arrays_zip(F.slice("item_words", first + 1, many).alias("i"), F.slice("doc_words", first + F.col("shift") + 1, many).alias("d"))
-    aligned = both.withColumn("pairs", F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.when(p["i"] == p["d"], 2).when(
+    aligned = both.withColumn("pairs", F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.when(value(p["i"]) == value(p["d"]), 2).when(
         (p["i"] < JOINT) & (F.substring(p["i"], 1, 1) == F.substring(p["d"], 1, 1)), 1).otherwise(0).alias("same"))))
     # the longest run without a 0: where it ends and how long it is
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("end"))
@@ -119,7 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
         .withColumn("inside", F.slice("pairs", F.col("r.end") - F.col("r.best") + 1, F.col("r.best")))
     slots = F.filter("inside", lambda p: p["i"] < JOINT)
     same = F.size(F.filter("inside", lambda p: p["same"] == 2))
-    consistent = F.size(F.array_distinct(F.transform(slots, lambda p: F.struct(p["i"], p["d"])))) == F.size(F.array_distinct(F.transform(slots, lambda p: p["i"])))
+    consistent = F.size(F.array_distinct(F.transform(slots, lambda p: F.struct(p["i"], value(p["d"]))))) == F.size(F.array_distinct(F.transform(slots, lambda p: p["i"])))
     held = runs.where(consistent & (2 * same >= F.col("r.best"))).select("doc_id", "row_key", "item_id", F.col("r.best").alias("run"), F.size("item_words").alias("item_tokens"),
                                                                         (same == F.col("r.best")).alias("verbatim"))
     return held.groupBy("doc_id", "row_key", "item_id").agg(F.max("run").alias("matched_tokens"), F.max("item_tokens").alias("item_tokens"), F.max("verbatim").alias("verbatim"))
