@@ -204,6 +204,42 @@ def test_copies_are_found_however_slots_are_read(spark):
     assert leaked(spark, texts, [*items, ITEM]) == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 4), (7, 4)}
 
 
+def held_stretch(item, words, need):
+    """(length, all equal) of the longest stretches of equal-length token lists that hold the item, by trying all; slots are upper case or digits."""
+    best = (0, False)
+    for a in range(len(item)):
+        seen, same = {}, 0
+        for e in range(a, len(item)):
+            i, d = item[e], words[e]
+            slot = i.isdigit()
+            if i != d and not (slot and d.isdigit()) or slot and seen.setdefault(i, d) != d:
+                break
+            same += i == d
+            if e + 1 - a >= need and 2 * same >= e + 1 - a:
+                best = max(best, (e + 1 - a, same == e + 1 - a))
+    return best
+
+
+def test_an_edit_does_not_hide_a_long_copy(spark):
+    rng = np.random.default_rng(9)
+    items, docs = [], []
+    for k in range(40):
+        item = [str(rng.integers(10, 14)) if rng.random() < 0.4 else f"w{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10]}{'uvwxyzabcd'[k % 10]}{'efgh'[k // 10]}" for j in range(50)]
+        words = list(item)
+        for j in rng.choice(50, rng.integers(1, 7), replace=False):
+            words[j] = str(rng.integers(10, 16)) if words[j].isdigit() else words[j] if rng.random() < 0.7 else "other"
+        items.append(item)
+        docs.append(words)
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame(rows([" ".join(d) for d in docs]), COLUMNS)
+    got = {r["doc_id"]: (r["matched_tokens"], r["verbatim"]) for r in decontaminate.leaks(df, bench, stretches=True).collect() if r["doc_id"] == r["item_id"]}
+    want = {k: s for k in range(40) if (s := held_stretch(items[k], docs[k], 13))[0]}
+    assert got == want and set(want) > {r["doc_id"] for r in decontaminate.leaks(df, bench).collect()}
+    assert queries.op4_template_decontamination(spark, SF).columns == ["doc_id", "item_id", "matched_tokens", "item_tokens", "verbatim"]
+    edited = f"{prose(5)} {ITEM.replace('gives 12', 'gives 99')} {prose(6)}"
+    assert decontaminate.clean(spark.createDataFrame(rows([edited, prose(7)]), COLUMNS), spark.createDataFrame([(0, ITEM)], "item_id long, text string")).count() == 1
+
+
 def test_leaks_equal_brute_force(spark):
     d = SF.replace("0.001", "0.01")
     docs, bench = documents(spark, d), documents(spark, d, "benchmark")

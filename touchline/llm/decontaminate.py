@@ -10,7 +10,8 @@ texts that merely share a form are not.
 
 A text holds an item if, on one alignment, ``run`` tokens in a row (of a shorter item: all but two, a window's at
 least) match as templates, at least half of these are words that match literally or slots with equal values, and the slots are consistent.
-A name and the same word read as no name are equal.
+A name and the same word read as no name are equal. The queries test every stretch of at least that many tokens (``stretches``), so an
+edit that breaks the consistency of a long copy doesn't hide what is copied around it; without it only the longest run is tested.
 
 Windows with fewer than three words outside slots are no evidence as templates: they are looked up with the values of their slots.
 An item shorter than a window is looked up whole.
@@ -119,7 +120,7 @@ def candidates(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run:
     return hits.groupBy("doc_id", "row_key", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count(F.lit(1)).alias("n")).drop("n")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN, stretches: bool = False) -> DataFrame:
     """One row per document row and item it holds: the longest matched run, the item's size and whether all slots are equal."""
     near = written(candidates(docs, benchmark, window, run))
     ids = near.select("doc_id", "row_key").distinct()
@@ -142,19 +143,67 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
         now = F.when(p["same"] > 0, s["now"] + 1).otherwise(0)
         return F.struct((s["at"] + 1).alias("at"), now.alias("now"), F.greatest(s["best"], now).alias("best"), F.when(now > s["best"], s["at"] + 1).otherwise(s["end"]).alias("end"))
 
-    runs = aligned.withColumn("r", F.aggregate("pairs", start, step)).where(F.col("r.best") >= F.least(F.lit(run), F.greatest(F.size("item_words") - 2, F.least(F.lit(window), F.size("item_words"))))) \
-        .withColumn("inside", F.slice("pairs", F.col("r.end") - F.col("r.best") + 1, F.col("r.best")))
+    need = F.least(F.lit(run), F.greatest(F.size("item_words") - 2, F.least(F.lit(window), F.size("item_words"))))
+    runs = aligned.withColumn("r", F.aggregate("pairs", start, step)).where(F.col("r.best") >= need)
+    if stretches:
+        held = _longest_stretch(runs.withColumn("need", need)).select("doc_id", "row_key", "item_id", F.col("s.run").alias("run"), F.size("item_words").alias("item_tokens"), F.col("s.verbatim").alias("verbatim"))
+        return _per_item(held)
+    runs = runs.withColumn("inside", F.slice("pairs", F.col("r.end") - F.col("r.best") + 1, F.col("r.best")))
     slots = F.filter("inside", lambda p: p["i"] < JOINT)
     same = F.size(F.filter("inside", lambda p: p["same"] == 2))
     consistent = F.size(F.array_distinct(F.transform(slots, lambda p: F.struct(p["i"], value(p["d"]))))) == F.size(F.array_distinct(F.transform(slots, lambda p: p["i"])))
     held = runs.where(consistent & (2 * same >= F.col("r.best"))).select("doc_id", "row_key", "item_id", F.col("r.best").alias("run"), F.size("item_words").alias("item_tokens"),
                                                                         (same == F.col("r.best")).alias("verbatim"))
+    return _per_item(held)
+
+
+def _per_item(held: DataFrame) -> DataFrame:
     return held.groupBy("doc_id", "row_key", "item_id").agg(F.max("run").alias("matched_tokens"), F.max("item_tokens").alias("item_tokens"), F.max("verbatim").alias("verbatim"))
 
 
+def _longest_stretch(runs: DataFrame) -> DataFrame:
+    """Rows with a stretch of at least ``need`` aligned tokens, none a 0, with consistent slots and half of it equal: s is the longest.
+
+    For each end, a stretch may begin behind the last 0 and behind the last slot that contradicts one in it (``low``). With 1 for an
+    equal token and -1 for another, half are equal where the sum doesn't fall. Sums move in steps of one, so the first start from
+    which it doesn't is ``low`` itself or the first with just the end's sum.
+    """
+    marked = F.transform("pairs", lambda p, k: F.struct(k.alias("at"), p["i"].alias("i"), value(p["d"]).alias("d"), p["same"].alias("same")))
+    slots = F.filter("marked", lambda p: (p["i"] < JOINT) & (p["same"] > 0))
+
+    def low(p: Column) -> Column:
+        against = F.filter("slots", lambda q: (q["at"] < p["at"]) & (q["i"] == p["i"]) & (q["d"] != p["d"]))
+        return F.struct(p["same"].alias("same"), F.when(p["same"] == 0, p["at"] + 1).when(p["i"] < JOINT, F.coalesce(F.array_max(F.transform(against, lambda q: q["at"] + 1)), F.lit(0))).otherwise(0).alias("low"))
+
+    def step(s: Column, p: Column) -> Column:
+        end, total = s["end"] + 1, F.element_at(s["sums"], -1) + F.when(p["same"] == 2, 1).otherwise(-1)
+        return F.struct(end.alias("end"), F.greatest(s["low"], p["low"]).alias("low"), F.concat(s["sums"], F.array(total)).alias("sums"), s["run"].alias("run"), s["verbatim"].alias("verbatim"))
+
+    def found(s: Column) -> Column:
+        first = s["low"] + F.when(F.element_at(s["sums"], s["low"] + 1) <= F.element_at(s["sums"], -1), 0).otherwise(
+            F.array_position(F.slice(s["sums"], s["low"] + 1, s["end"] - s["low"] + 1), F.element_at(s["sums"], -1)).cast("int") - 1)
+        return first
+
+    def kept(s: Column, first: Column) -> Column:
+        longer = s["end"] - first > s["run"]
+        equal = F.element_at(s["sums"], -1) - F.element_at(s["sums"], first + 1) == s["end"] - first
+        return F.struct(s["end"].alias("end"), s["low"].alias("low"), s["sums"].alias("sums"), F.when(longer, s["end"] - first).otherwise(s["run"]).alias("run"),
+                        F.when(longer, equal).otherwise(s["verbatim"] | ((s["end"] - first == s["run"]) & equal)).alias("verbatim"))
+
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("low"), F.array(F.lit(0)).alias("sums"), F.lit(0).alias("run"), F.lit(False).alias("verbatim"))
+    return runs.withColumn("marked", marked).withColumn("slots", slots).withColumn("lows", F.transform("marked", low)) \
+        .withColumn("s", F.aggregate("lows", start, lambda s, p: bound(step(s, p), lambda t: bound(F.struct(t.alias("t"), found(t).alias("first")), lambda x: kept(x["t"], x["first"]))))) \
+        .where(F.col("s.run") >= F.col("need"))
+
+
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, all columns, that hold no benchmark item."""
-    bad = written(leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id"), F.col("row_key").alias("leak_key")).distinct())
+    bad = written(leaks(docs, benchmark, stretches=True).select(F.col("doc_id").alias("leak_id"), F.col("row_key").alias("leak_key")).distinct())
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     doc_id = docs["doc_id"].cast("long")
     return docs.join(bad, doc_id.eqNullSafe(bad["leak_id"]) & (F.xxhash64(doc_id, text) == bad["leak_key"]), "left_anti")

@@ -27,7 +27,7 @@ def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("row_key")
+    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), stretches=True).drop("row_key")
 
 
 def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
