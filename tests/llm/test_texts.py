@@ -137,6 +137,34 @@ def test_segmentations_are_all_summed():
         assert np.allclose(got[0], np.log(total[-1]))
 
 
+def test_all_letters_pieces_and_long_words_take_part():
+    """More letters than fit a byte, a piece of 14 letters, words of 60: sums and expected counts equal those over all segmentations."""
+    many = "".join(chr(0x4E00 + i) for i in range(900))
+    trie = langid.Trie(many + "xyz", [langid.MARK + many[:14], many[3:5], "xy", "yz", many[895:898], "zx"])
+    assert langid.MARK + many[:14] in trie.pieces
+    rng = np.random.default_rng(2)
+    prob = rng.random((len(trie.pieces) + 1, 2)) * [[1e-7, 1e-9]]
+    prob[0] = 0
+    table = trie.symbols()
+    for word in (many[:14] + "xyzxy", "xyz" * 20, many[890:900] + "xyzx" + many[:20]):
+        text = langid.MARK + word
+        ahead, back = [[np.zeros(2, np.longdouble) for _ in range(len(text) + 1)] for _ in range(2)]
+        ahead[0] = back[-1] = np.ones(2, np.longdouble)
+        edges = [(i, j, trie.pieces.index(text[i:j]) + 1) for j in range(len(text) + 1) for i in range(j) if text[i:j] in trie.pieces]
+        for i, j, k in edges:
+            ahead[j] = ahead[j] + ahead[i] * prob[k]
+        for i, j, k in sorted(edges, reverse=True):
+            back[i] = back[i] + back[j] * prob[k]
+        symbols = np.array([[2, *table[[ord(c) for c in word]].tolist()]], table.dtype)
+        assert np.allclose(langid.forward(trie, prob, symbols)[0], np.log(ahead[-1]).astype(float))
+        want = np.zeros_like(prob)
+        for i, j, k in edges:
+            want[k] += (ahead[i] * prob[k] * back[j] / ahead[-1]).astype(float) * [2, 3]
+        assert np.allclose(langid.expected(trie, prob, symbols, np.array([[2.0, 3.0]])), want)
+    model = langid.fit([many[i:i + 45] for i in range(0, 450, 9)] + [many[i:i + 45] for i in range(450, 850, 8)], ["aa"] * 50 + ["bb"] * 50, [])
+    assert langid.Reader(model).predict(pa.array([many[20:25], many[860:866]]))[0] == ["aa", "bb"]
+
+
 def test_language_held_out_accuracy(spark):
     docs = documents(spark, SF01)
     model = langid.learn(docs, langid.public_pieces("piece_bpe_32k.model"), sample=150)

@@ -5,8 +5,8 @@ a word's probability is the sum over all ways of cutting it into pieces (forward
 probabilities are fitted by expectation-maximisation on labelled texts. A text's language is the one
 whose product over all its words is largest; the score is that language's share of the sum.
 
-A word is a run of letters, lower case, with a word-begin mark before it. Letters that the learning texts
-don't hold have a small fixed probability in every language.
+A word is a run of letters of any length, lower case, with a word-begin mark before it. All letters of the vocabulary and
+of the learning texts are told apart and all pieces of letters take part; other letters have a small fixed probability in every language.
 
 Learning rows: a known ``lang`` and ``crc32(doc_id as text) mod 4`` other than 2; of these the ``sample``
 rows with the smallest hash per language (the bound of the fit). Whole texts are predicted.
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,8 +34,9 @@ from touchline.llm.words import _powers, mix
 FOLDS, HELD_OUT = 4, 2
 SAMPLE = 800
 ROUNDS = 3
-LONGEST = 12       # letters in a piece
-FLOOR = 1e-7       # probability of a letter no learning text holds
+FLOOR = 1e-7       # probability of a letter that neither the vocabulary nor a learning text holds
+RESCALE = 16       # positions between two rescalings of a word's sums
+CELLS = 800_000    # symbols of words at a time
 MARK = "▁"
 NONE = "und"
 COLUMNS = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -63,16 +64,20 @@ def letter_table() -> np.ndarray:
 
 @dataclass
 class Trie:
-    """Pieces over an alphabet of at most 253 letters. Symbols: 0 none, 1 unknown letter, 2 the mark, 3.. letters."""
+    """Pieces over an alphabet. Symbols: 0 none, 1 unknown letter, 2 the mark, 3.. letters. The transitions of all nodes lie in one table."""
     alphabet: str
     pieces: list[str]
-    step: np.ndarray = field(init=False)    # (node with children, symbol) -> node
-    piece: np.ndarray = field(init=False)   # node -> piece + 1, 0: none
+    longest: int = field(init=False)        # symbols in a piece
+    base: np.ndarray = field(init=False)    # node + symbol -> place
+    owner: np.ndarray = field(init=False)   # place -> node it belongs to
+    target: np.ndarray = field(init=False)  # place -> next node
+    piece: np.ndarray = field(init=False)   # node -> piece + 1, 0: none; the last node is dead
 
     def __post_init__(self) -> None:
         symbol = {MARK: 2} | {c: i + 3 for i, c in enumerate(self.alphabet)}
         # every single symbol is a piece, so that each word has a segmentation
-        self.pieces = sorted({p for p in self.pieces if len(p.lstrip(MARK)) <= LONGEST and all(c in symbol for c in p)} | set(symbol))
+        self.pieces = sorted({p for p in self.pieces if p and all(c in symbol for c in p)} | set(symbol))
+        self.longest = max(map(len, self.pieces))
         children: list[dict[int, int]] = [{}]
         piece = [0]
         for k, text in enumerate(self.pieces):
@@ -85,21 +90,40 @@ class Trie:
                     piece.append(0)
                 node = nxt
             piece[node] = k + 1
-        # nodes with children first; the node after the last is dead
-        inner = sorted(range(len(children)), key=lambda i: not children[i])
-        place = {old: new for new, old in enumerate(inner)}
-        many = sum(bool(c) for c in children) or 1
-        dead = len(children)
-        self.step = np.full((many + 1, len(self.alphabet) + 3), dead, np.int32)
-        for old, row in enumerate(children):
-            for c, nxt in row.items():
-                self.step[place[old], c] = place[nxt]
-        self.piece = np.append(np.array(piece, np.int32)[inner], 0).astype(np.int32)
-        self.last = many
+        self.piece = np.array([*piece, 0], np.int32)
+        self._place(children, len(symbol) + 2)
+
+    def _place(self, children: list[dict[int, int]], many: int) -> None:
+        """Each node's row of transitions goes where its symbols fall on free places, the largest first; places below ``many`` stay free."""
+        self.base = np.zeros(len(children) + 1, np.int32)
+        free = np.ones(2 * (many + 1) + 2 * len(children), bool)
+        self.owner, self.target = np.full(len(free), -1, np.int32), np.full(len(free), len(children), np.int32)
+        low = many + 1
+        for node in sorted((i for i, c in enumerate(children) if c), key=lambda i: (-len(children[i]), i)):
+            own = np.array(sorted(children[node]))
+            reach, begin = own - own[0], low
+            while True:
+                if begin + 4096 + many >= len(free):
+                    more = len(free) + 4096
+                    free = np.append(free, np.ones(more, bool))
+                    self.owner, self.target = np.append(self.owner, np.full(more, -1, np.int32)), np.append(self.target, np.full(more, len(children), np.int32))
+                at = begin + np.flatnonzero(free[begin:begin + 4096])
+                at = at[:1] if len(own) == 1 else at[free[at[:, None] + reach].all(axis=1)] if len(at) else at
+                if len(at):
+                    break
+                begin += 4096
+            self.base[node] = at[0] - own[0]
+            put = at[0] + reach
+            free[put] = False
+            self.owner[put], self.target[put] = node, [children[node][c] for c in own.tolist()]
+            while not free[low]:
+                low += 1
+        used = int(self.base.max()) + many + 1
+        self.owner, self.target = self.owner[:used].copy(), self.target[:used].copy()
 
     def symbols(self) -> np.ndarray:
         """Code point -> symbol."""
-        out = letter_table().astype(np.uint8)
+        out = letter_table().astype(np.uint16 if len(self.alphabet) + 3 <= 1 << 16 else np.uint32)
         for i, c in enumerate(self.alphabet):
             out[ord(c)] = i + 3
         return out
@@ -109,9 +133,10 @@ class Trie:
         width = words.shape[1]
         for i in range(width):
             node = np.zeros(len(words), np.int32)
-            for k in range(1, min(LONGEST + 1, width - i) + 1):
-                node = self.step[np.minimum(node, self.last), words[:, i + k - 1]]
-                if k > 1 and (node >= len(self.piece) - 1).all():
+            for k in range(1, min(self.longest, width - i) + 1):
+                place = self.base[node] + words[:, i + k - 1]
+                node = np.where(self.owner[place] == node, self.target[place], len(self.piece) - 1)
+                if k > 1 and (node == len(self.piece) - 1).all():
                     break
                 yield i, k, self.piece[node]
 
@@ -124,53 +149,60 @@ def word_groups(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> It
     for group in np.split(order, cut):
         if len(group):
             n = int(length[group[0]])
-            out = np.full((len(group), n + 1), 2, np.uint8)
+            out = np.full((len(group), n + 1), 2, symbols.dtype)
             out[:, 1:] = symbols[starts[group][:, None] + np.arange(n)]
             yield group, out
 
 
-def forward(trie: Trie, prob: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Log-probability of each word (rows) in each language: all segmentations summed. prob: (pieces + 1, languages), row 0 is 0."""
+def chunks(group: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    many = max(1, CELLS // matrix.shape[1])
+    for a in range(0, len(group), many):
+        yield group[a:a + many], matrix[a:a + many]
+
+
+def alphas(steps: Iterable[tuple[int, int, np.ndarray]], prob: np.ndarray, words: np.ndarray, longest: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Sums over the segmentations of every beginning of the words; what lies at or behind a key of the second result is divided by its value."""
     many, width = words.shape
     alpha = np.zeros((width + 1, many, prob.shape[1]))
     alpha[0] = 1
-    logs = np.zeros(many)
+    scale: dict[int, np.ndarray] = {}
     unknown = words == 1
-    at = 0
-    for i, k, piece in trie.matches(words):
-        if i != at:
-            at = i
-            if i % 16 == 0:  # keeps very long words within range
-                top = np.maximum(alpha[i:i + LONGEST + 2].max(axis=(0, 2)), 1e-300)
-                alpha[i:i + LONGEST + 2] /= top[:, None]
-                logs += np.log(top)
+    for i, k, piece in steps:
+        if i and i % RESCALE == 0 and i not in scale:  # keeps very long words within range
+            scale[i] = np.maximum(alpha[i:i + longest].max(axis=0), 1e-300)
+            alpha[i:i + longest] /= scale[i]
         alpha[i + k] += alpha[i] * prob[piece]
         if k == 1 and unknown[:, i].any():
             alpha[i + 1][unknown[:, i]] += alpha[i][unknown[:, i]] * FLOOR
-    return np.log(np.maximum(alpha[width], 1e-300)) + logs[:, None]
+    return alpha, scale
+
+
+def forward(trie: Trie, prob: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Log-probability of each word (rows) in each language: all segmentations summed. prob: (pieces + 1, languages), row 0 is 0."""
+    alpha, scale = alphas(trie.matches(words), prob, words, trie.longest)
+    return np.log(np.maximum(alpha[-1], 1e-300)) + sum(np.log(x) for x in scale.values())
 
 
 def expected(trie: Trie, prob: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Expected piece counts of words (with their counts per language) over all segmentations."""
-    many, width = words.shape
-    langs = prob.shape[1]
-    alpha, beta = np.zeros((width + 1, many, langs)), np.zeros((width + 1, many, langs))
-    alpha[0] = beta[width] = 1
+    width = words.shape[1]
     steps = list(trie.matches(words))
     unknown = words == 1
-    for i, k, piece in steps:
-        alpha[i + k] += alpha[i] * prob[piece]
-        if k == 1:
-            alpha[i + 1][unknown[:, i]] += alpha[i][unknown[:, i]] * FLOOR
-    for i, k, piece in reversed(steps):
-        beta[i] += prob[piece] * beta[i + k]
-        if k == 1:
-            beta[i][unknown[:, i]] += beta[i + 1][unknown[:, i]] * FLOOR
-    share = counts / np.maximum(alpha[width], 1e-300)
+    alpha, scale = alphas(steps, prob, words, trie.longest)
+    # beta is divided by the word's sum and multiplied by what alpha was divided by, so alpha * beta is a position's share
+    beta = np.zeros_like(alpha)
+    beta[width] = 1 / np.maximum(alpha[width], 1e-300)
     out = np.zeros_like(prob)
-    for i, k, piece in steps:
-        part = alpha[i] * prob[piece] * beta[i + k] * share
-        for g in range(langs):
+    for i, k, piece in reversed(steps):
+        behind = beta[i + k]
+        for c in range(i // RESCALE * RESCALE + RESCALE, i + k + 1, RESCALE):
+            if c in scale:
+                behind = behind / scale[c]
+        beta[i] += prob[piece] * behind
+        if k == 1 and unknown[:, i].any():
+            beta[i][unknown[:, i]] += behind[unknown[:, i]] * FLOOR
+        part = alpha[i] * prob[piece] * behind * counts
+        for g in range(prob.shape[1]):
             out[:, g] += np.bincount(piece, part[:, g], minlength=len(prob))
     out[0] = 0
     return out
@@ -196,8 +228,8 @@ def fit(texts: list[str], langs: list[str], pieces: list[str], rounds: int = ROU
                 letters[x] += n
     if not letters:
         return LanguageModel(names, None, None)
-    trie = Trie("".join(sorted(c for c, _ in letters.most_common(253))), pieces)
-    vocabulary = sorted({w for c in words.values() for w in c if len(w) <= 40})
+    trie = Trie("".join(sorted(set(letters) | {c for p in pieces for c in p if letter[ord(c)]})), pieces)
+    vocabulary = sorted({w for c in words.values() for w in c})
     counts = np.array([[words[g][w] for g in names] for w in vocabulary], float)
     table = trie.symbols()
     flat = table[np.frombuffer("".join(vocabulary).encode("utf-32-le"), np.uint32)]
@@ -208,8 +240,8 @@ def fit(texts: list[str], langs: list[str], pieces: list[str], rounds: int = ROU
     for _ in range(rounds):
         found = np.zeros_like(prob)
         for group, matrix in word_groups(flat, starts, ends):
-            for a in range(0, len(group), 20_000):
-                found += expected(trie, prob, matrix[a:a + 20_000], counts[group[a:a + 20_000]])
+            for some, part in chunks(group, matrix):
+                found += expected(trie, prob, part, counts[some])
         found[1:] += 0.05
         prob = found / found[1:].sum(axis=0)
     return LanguageModel(names, trie, prob)
@@ -270,8 +302,8 @@ class Reader:
         logs = np.zeros((len(index), out.shape[1]))
         s, e = starts[index], ends[index]
         for group, matrix in word_groups(flat, s, e):
-            for a in range(0, len(group), 20_000):
-                logs[group[a:a + 20_000]] = forward(self.model.trie, self.model.prob, matrix[a:a + 20_000])
+            for some, part in chunks(group, matrix):
+                logs[some] = forward(self.model.trie, self.model.prob, part)
         text = np.repeat(np.arange(len(texts)), np.diff(bound))
         for g in range(out.shape[1]):
             out[:, g] = np.bincount(text, logs[back, g], minlength=len(texts))
