@@ -72,18 +72,21 @@ def plain_hashes(words: Column) -> Column:
 FORMS = {"template": template_hashes, "named": named_hashes, "plain": plain_hashes}
 
 
-def windows(hashes: Column, size: int) -> Column:
-    """Template hash of the window at every position, in order."""
-    last = F.size(hashes) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(hashes, i, size)))).otherwise(F.array().cast("array<bigint>"))
-
-
 def _windows_of_sizes(forms: dict[str, Column], sizes: list[int]) -> Column:
-    """Every window's size, position and, for each form it is looked up in, key. A window without slots has one key in all forms."""
+    """Every window's size, position and keys. A window has a key of its own as "named" if it holds a name, as "plain" if it holds a number or unit."""
+    def key(name: str, size: int, i: Column) -> Column:
+        return F.struct(F.lit(name).alias("form"), F.lit(size).alias("size"), (i - 1).cast("int").alias("pos"), F.xxhash64(F.slice(forms[name], i, size)).alias("key"))
+
     def of(name: str, size: int) -> Column:
-        return F.transform(windows(forms[name], size), lambda h, i: F.struct(F.lit(name).alias("form"), F.lit(size).alias("size"), i.cast("int").alias("pos"), h.alias("key")))
+        last = F.size(forms["template"]) - size + 1
+        if name == "template":
+            at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        else:
+            slots = F.filter(forms["slots"], lambda s: (s["kind"] == 3) if name == "named" else (s["kind"] < 3))
+            at = F.array_distinct(F.flatten(F.transform(F.filter(slots, lambda s: last >= 1), lambda s: F.sequence(F.least(F.greatest(F.lit(1), s["at"] - size + 1), last), F.least(s["at"], last)))))
+        return F.transform(at, lambda i: key(name, size, i))
 
-    return F.flatten(F.array(*[of(name, size) for name in forms for size in sizes]))
+    return F.flatten(F.array(*[of(name, size) for name in FORMS for size in sizes]))
 
 
 def _items(benchmark: DataFrame, window: int) -> DataFrame:
@@ -104,8 +107,12 @@ def candidates(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run:
     if not sizes:
         sizes = [window]
     def keyed(words: DataFrame, *columns: str) -> DataFrame:
-        forms = words.select("*", *[f(F.col("words")).alias(name) for name, f in FORMS.items()])
-        return forms.select(*columns, F.explode(_windows_of_sizes({name: F.col(name) for name in FORMS}, sizes)).alias("w"))
+        # hashes of the further forms only where a slot makes them differ
+        at = F.filter(F.transform("template", lambda h, k: F.struct((k + 1).alias("at"), h.alias("kind"))), lambda s: s["kind"].between(1, 3))
+        forms = words.withColumn("template", template_hashes(F.col("words"))).withColumn("slots", at)
+        for name in ("named", "plain"):
+            forms = forms.withColumn(name, F.when(F.size("slots") > 0, FORMS[name](F.col("words"))).otherwise(F.col("template")))
+        return forms.select(*columns, F.explode(_windows_of_sizes({name: F.col(name) for name in ("slots", *FORMS)}, sizes)).alias("w"))
 
     literals = F.size(F.filter(F.slice("words", F.col("w.pos") + 1, F.col("w.size")), lambda w: w >= JOINT))
     spelt = F.size(F.filter(F.slice("words", F.col("w.pos") + 1, F.col("w.size")), lambda w: w >= NAME))
