@@ -45,11 +45,18 @@ def _behind(n: int) -> np.ndarray:
     return _tables(x)
 
 
-def joined(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """CRC-32 of first + second from both CRCs and the length in bytes of the second."""
-    sizes, which = np.unique(length, return_inverse=True)
-    table = np.stack([_behind(int(n)) for n in sizes]) if len(sizes) else np.zeros((0, 4, 256), np.uint32)
-    return table[which, 0, first & 255] ^ table[which, 1, first >> 8 & 255] ^ table[which, 2, first >> 16 & 255] ^ table[which, 3, first >> 24] ^ second
+class Parts:
+    """Strings known by their CRC-32 and length in bytes, to be put behind others."""
+
+    def __init__(self, crc: np.ndarray, length: np.ndarray) -> None:
+        self.crc = crc.astype(np.uint32)
+        sizes, self.which = np.unique(length, return_inverse=True)
+        self.tables = np.stack([_behind(int(n)) for n in sizes]) if len(sizes) else np.zeros((0, 4, 256), np.uint32)
+
+    def behind(self, first: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """CRC-32 of the strings that begin with those of CRC ``first`` and end with the parts of these numbers."""
+        w, t = self.which[part], self.tables
+        return t[w, 0, first & 255] ^ t[w, 1, first >> 8 & 255] ^ t[w, 2, first >> 16 & 255] ^ t[w, 3, first >> 24] ^ self.crc[part]
 
 
 CRC_TABLE = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (

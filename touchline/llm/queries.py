@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bottomk, chat_collapse, chunk_dedup, decontaminate, langid, near_dups, packing, pii, pseudo_likelihood, quality, spelling
+from touchline.llm import bottomk, chat_collapse, chunk_dedup, decontaminate, langid, near_dups, packing, pii, pseudo_likelihood, quality, resample, \
+    secrets, spelling
 from touchline.llm.shared import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,8 +61,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_personal_data, op2_snapshot_collapse, op3_compression_quality, op4_template_decontamination, op5_weighted_minhash,
     op6_chunk_dedup, op7_masked_pseudo_likelihood, op8_segmentation_langid, op9_best_fit_packing, op10_bottom_k_fingerprints,
-    op11_spelling_variants)}
-ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat_collapse.ORACLE, "op11_spelling_variants": spelling.ORACLE}
+    op11_spelling_variants, op12_secret_scan, op13_importance_resampling)}
+ORACLES: dict[str, str] = {"op2_snapshot_collapse": chat_collapse.ORACLE,
+                           "op11_spelling_variants": spelling.ORACLE, "op13_importance_resampling": resample.ORACLE}
