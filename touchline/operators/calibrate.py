@@ -82,15 +82,30 @@ def mean_rates(points: DataFrame) -> DataFrame:
                                         F.avg(F.col("hit").cast("double")).alias("actual"))
 
 
+OUTCOMES = 3  # most outcomes of a market whose temperature is fitted
+
+
+def _with_logs(df: DataFrame, keys) -> DataFrame:
+    """keys, the logs of ``p`` as columns l0.. (null beyond the market's outcomes) and ``ly``, the one that came true (``y``, from 1)."""
+    more = f"IF(size(p) > {OUTCOMES}, raise_error('a market has too many outcomes'), p)"
+    slot = [f"ln(greatest(get(_p, {i}), 1e-12D)) AS l{i}" for i in range(OUTCOMES)]  # no lambda, so this stays in generated code
+    x = df.selectExpr(*keys, f"{more} AS _p", "y")
+    return x.selectExpr(*keys, *[e if i < 2 else f"IF(size(_p) > {i}, {e.rsplit(' AS ', 1)[0]}, NULL) AS l{i}" for i, e in enumerate(slot)],
+                        "ln(greatest(element_at(_p, y), 1e-12D)) AS ly")
+
+
+def _over_logs(term) -> str:
+    return "(" + " + ".join(f"coalesce({term(f'l{i}')}, 0D)" for i in range(OUTCOMES)) + ")"
+
+
 def _nll(beta: str) -> str:
-    """Mean-able negative log likelihood at 1/T = beta; ``p`` array, ``y`` 1-based label."""
-    logs = "transform(p, q -> ln(greatest(q, 1e-12D)))"
-    return f"ln(aggregate({logs}, 0D, (s, q) -> s + exp({beta} * q))) - {beta} * element_at({logs}, y)"
+    """Mean-able negative log likelihood at 1/T = beta."""
+    return f"ln({_over_logs(lambda q: f'exp({beta} * {q})')}) - {beta} * ly"
 
 
 def temperature_nll(df: DataFrame, keys, temps) -> DataFrame:
     """Mean negative log likelihood of every temperature, all in one aggregate pass."""
-    agg = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.expr(f"avg({_nll(f'{1.0 / t!r}D')}) AS t{i}") for i, t in enumerate(temps)])
+    agg = _with_logs(df, keys).groupBy(*keys).agg(F.count("*").alias("n"), *[F.expr(f"avg({_nll(f'{1.0 / t!r}D')}) AS t{i}") for i, t in enumerate(temps)])
     items = ", ".join(f"struct({float(t)}D AS t, t{i} AS nll)" for i, t in enumerate(temps))
     return agg.selectExpr(*keys, "n", f"inline(array({items}))")
 
@@ -104,7 +119,7 @@ def fit_temperature(df: DataFrame, keys, passes: int = 3, points: int = 16, lo:
     the shuffle.
     """
     keys = list(keys)
-    bounds = None
+    df, bounds = _with_logs(df, keys), None
     for _ in range(passes):
         if bounds is None:
             x = df.selectExpr("*", f"ln({lo}D) AS _lo", f"ln({hi}D) AS _hi")
@@ -119,27 +134,9 @@ def fit_temperature(df: DataFrame, keys, passes: int = 3, points: int = 16, lo:
                            "get(_s, CAST(_i + 1 AS INT)) AS _r")
         bounds = at.selectExpr(*keys, "_lo + greatest(_i - 1, 0) * _st AS _lo", f"_lo + least(_i + 1, {points - 1}) * _st AS _hi")
     vertex = "coalesce(try_divide(0.5D * (_l - _r), _l - 2 * _f + _r), 0D)"
-    return at.selectExpr(*keys, f"exp(_lo + (_i + {vertex}) * _st) AS T", "n")
-
-
-def rolling_chunks(rows: DataFrame, group, index: str, window: int = 500, minimum: int = 100, refit: int = 50) -> DataFrame:
-    """Training rows of each rolling calibrator fit: (group..., chunk, rows of the last ``window``).
-
-    Predictions are numbered per group from 0. Fit ``c`` happens once ``minimum + c * refit``
-    predictions are known and serves the predictions that follow, up to the next fit. A row
-    is in at most ``window / refit`` fits, a fixed factor.
-    """
-    group = [group] if isinstance(group, str) else list(group)
-    last = rows.groupBy(*group).agg(F.max(index).alias("_max"))
-    x = rows.join(last, group)
-    first_fit = f"greatest(0, ceil(({index} + 1 - {minimum}) / {refit}D))"
-    last_fit = f"floor(({index} + {window} - {minimum}) / {refit}D)"
-    known = f"floor((_max + 1 - {minimum}) / {refit}D)"
-    return x.filter(f"_max + 1 >= {minimum} AND {first_fit} <= least({last_fit}, {known})").selectExpr(
-        *[f"`{c}`" for c in rows.columns],
-        f"explode(sequence(CAST({first_fit} AS BIGINT), CAST(least({last_fit}, {known}) AS BIGINT))) AS chunk")
-
-
-def chunk_of(index: str, minimum: int = 100, refit: int = 50) -> str:
-    """SQL text: the fit that serves prediction ``index`` (null before the first fit)."""
-    return f"IF({index} >= {minimum}, CAST(floor(({index} - {minimum}) / {refit}D) AS BIGINT), NULL)"
+    near = at.selectExpr(*keys, f"exp(-(_lo + (_i + {vertex}) * _st)) AS _b", "n")
+    # one Newton step on 1/T from there: mean and variance of the logs under the scaled probabilities
+    total = lambda f: _over_logs(lambda q: f"exp(_b * {q}){f.format(q=q)}")
+    x = df.join(near, keys).selectExpr(*keys, "_b", "n", f"{total('')} AS _z", f"{total(' * {q}')} AS _m", f"{total(' * {q} * {q}')} AS _v", "ly AS _y")
+    g = x.groupBy(*keys, "_b", "n").agg(F.expr("sum(_m / _z - _y) AS _d"), F.expr("sum(_v / _z - (_m / _z) * (_m / _z)) AS _dd"))
+    return g.selectExpr(*keys, f"1D / least({1 / lo!r}D, greatest({1 / hi!r}D, _b - coalesce(try_divide(_d, _dd), 0D))) AS T", "n")

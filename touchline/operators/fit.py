@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.session import stored
+
 STATS = ["w", "wh", "wa", "w00", "w01", "w10", "w11"]
 BASE_DAY = 10957  # 2000-01-01, keeps exp(xi t) near one
 # Start, bounds and stopping rule of the fit.
@@ -108,22 +110,18 @@ def _gradient_hessian(theta, n, nl, ix, s, l2):
     gm = wa - w * mu - w00 * u * rho / t00 + w10 * mu * rho / t10
     gr = (-w00 * u / t00 + w01 * lam / t01 + w10 * mu / t10 - w11 / t11).sum()
     m = len(theta)
-    grad = np.zeros(m)
-    np.add.at(grad, cols_l, gl[:, None])
-    np.add.at(grad, cols_m, gm[:, None])
+    grad = np.bincount(np.append(cols_l, cols_m), np.append(np.repeat(gl, 4), np.repeat(gm, 3)), m)
     grad[-1] += gr
     cross = -w00 * u * rho / t00 ** 2
     hll, hmm = -w * lam + cross + w01 * lam * rho / t01 ** 2, -w * mu + cross + w10 * mu * rho / t10 ** 2
     hlr, hmr = -w00 * u / t00 ** 2 + w01 * lam / t01 ** 2, -w00 * u / t00 ** 2 + w10 * mu / t10 ** 2
     hrr = (-w00 * u ** 2 / t00 ** 2 - w01 * lam ** 2 / t01 ** 2 - w10 * mu ** 2 / t10 ** 2 - w11 / t11 ** 2).sum()
-    hess = np.zeros((m, m))
-    for left, right, v in ((cols_l, cols_l, hll), (cols_m, cols_m, hmm), (cols_l, cols_m, cross), (cols_m, cols_l, cross)):
-        np.add.at(hess, (left[:, :, None], right[:, None, :]), v[:, None, None])
-    for cols, v in ((cols_l, hlr), (cols_m, hmr)):
-        side = np.zeros(m)
-        np.add.at(side, cols, v[:, None])
-        hess[-1] += side
-        hess[:, -1] += side
+    parts = ((cols_l, cols_l, hll), (cols_m, cols_m, hmm), (cols_l, cols_m, cross), (cols_m, cols_l, cross))
+    at = np.concatenate([(left[:, :, None] * m + right[:, None, :]).ravel() for left, right, _ in parts])
+    hess = np.bincount(at, np.concatenate([np.repeat(v, left.shape[1] * right.shape[1]) for left, right, v in parts]), m * m).reshape(m, m)
+    side = np.bincount(np.append(cols_l, cols_m), np.append(np.repeat(hlr, 4), np.repeat(hmr, 3)), m)
+    hess[-1] += side
+    hess[:, -1] += side
     hess[-1, -1] += hrr
     grad, hess = -grad, -hess
     grad[:2 * n] += 2 * l2 * theta[:2 * n]
@@ -131,8 +129,8 @@ def _gradient_hessian(theta, n, nl, ix, s, l2):
     return grad, hess
 
 
-def solve_pairs(pdf: pd.DataFrame, l2: float):
-    """Bounded damped Newton on the pair statistics of one fold."""
+def solve_pairs(pdf: pd.DataFrame, l2: float, start: np.ndarray | None = None, rho: float | None = None):
+    """Bounded damped Newton on the pair statistics of one fold; ``rho`` holds the shared parameter at a value."""
     teams = np.unique(np.concatenate([pdf["home_team_id"], pdf["away_team_id"]]))
     leagues = np.unique(pdf["league"])
     n, nl = len(teams), len(leagues)
@@ -142,11 +140,15 @@ def solve_pairs(pdf: pd.DataFrame, l2: float):
     theta = np.concatenate([np.zeros(2 * n), np.full(nl, START_GAMMA), np.zeros(nl), [START_RHO]])
     lo = np.concatenate([np.full(2 * n, -np.inf), np.full(nl, GAMMA_BOUNDS[0]), np.full(nl, DELTA_BOUNDS[0]), [RHO_BOUNDS[0]]])
     hi = np.concatenate([np.full(2 * n, np.inf), np.full(nl, GAMMA_BOUNDS[1]), np.full(nl, DELTA_BOUNDS[1]), [RHO_BOUNDS[1]]])
+    if start is not None and len(start) == len(theta):
+        theta = np.clip(start, lo, hi)
+    if rho is not None:
+        theta[-1] = lo[-1] = hi[-1] = rho
     value, damp, it = neg_log_likelihood(theta, n, nl, ix, s, l2), 1e-6, 0
     while it < MAX_ITER:
         it += 1
         g, hs = _gradient_hessian(theta, n, nl, ix, s, l2)
-        free = ~(((theta <= lo) & (g > 0)) | ((theta >= hi) & (g < 0)))
+        free = ~(((theta <= lo) & (g > 0)) | ((theta >= hi) & (g < 0)) | (lo == hi))
         if np.abs(g[free]).max() < 1e-6 * max(1.0, s[0].sum()) * 1e-3:
             break
         scale, done, before = np.maximum(np.abs(np.diag(hs)), 1e-8), False, value
@@ -200,6 +202,99 @@ def fit_folds(stats: DataFrame, l2: float = 2.0) -> DataFrame:
     return stats.repartition(n, "grp", "fold").groupBy("grp", "fold").applyInPandas(run, "grp string, " + PARAM_SCHEMA)
 
 
+RHO_STEP, RHO_ROUNDS = 1e-9, 60  # the shared parameter is found when it moves less; rounds, at most (halving alone needs 30)
+_BLOCK = ("grp string, fold long, league string, teams array<long>, theta array<double>, rho double, lo double, hi double,"
+          " value double, slope double, curve double, iterations int")
+
+
+def _league_block(l2: float):
+    """One league's own parameters at a given rho, and how its best likelihood moves with rho."""
+    def run(key: tuple, pdf: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[c.split()[0] for c in _BLOCK.split(", ")])
+        pdf = pdf.sort_values(["home_team_id", "away_team_id"])
+        first = pdf.iloc[0]
+        start = None if before is None or not len(before) else np.asarray(before["theta"].iloc[0], float)
+        teams, _, theta, value, it, ix, s = solve_pairs(pdf, l2, start, float(first["rho"]))
+        g, h = _gradient_hessian(theta, len(teams), 1, ix, s, l2)
+        gamma, delta = 2 * len(teams), 2 * len(teams) + 1
+        free = np.ones(len(theta) - 1, bool)  # a parameter at its bound does not follow rho
+        for at, (lo, hi) in ((gamma, GAMMA_BOUNDS), (delta, DELTA_BOUNDS)):
+            free[at] = lo < theta[at] < hi
+        free = np.flatnonzero(free)
+        cross = h[-1, free]
+        curve = h[-1, -1] - cross @ np.linalg.lstsq(h[np.ix_(free, free)], cross, rcond=None)[0]
+        return pd.DataFrame([(*key, teams, theta, first["rho"], first["lo"], first["hi"], value, g[-1], curve, it)], columns=[c.split()[0] for c in _BLOCK.split(", ")])
+
+    return run
+
+
+def fit_pooled(stats: DataFrame, l2: float = 2.0) -> DataFrame:
+    """Fits of several leagues that share rho, by block elimination: parameters as of ``fit_folds``.
+
+    Leagues meet in rho alone. Given rho, every (fold, league) is solved by itself, and its likelihood's slope and curvature
+    along rho (its own parameters eliminated) are three numbers; their sums give each fold's Newton step on rho, kept inside a
+    shrinking bracket. So no task holds two leagues, and a round ends in one small aggregate. Blocks start from their
+    last round; folds that are done leave.
+    """
+    keys, block = ["grp", "fold", "league"], _league_block(l2)
+    spark = stats.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stats = stored(stats.repartition(n, *keys))
+    lo, hi = RHO_BOUNDS
+    folds = stats.select("grp", "fold").distinct().selectExpr("grp", "fold", f"{START_RHO}D AS rho", f"{lo}D AS lo", f"{hi}D AS hi")
+    blocks, done = None, None
+    for _ in range(RHO_ROUNDS):
+        open_ = stats.join(folds, ["grp", "fold"]).repartition(n, *keys).groupBy(*keys)
+        if blocks is None:
+            blocks = open_.applyInPandas(lambda key, pdf: block(key, pdf), _BLOCK)
+        else:
+            last = blocks.join(folds.select("grp", "fold"), ["grp", "fold"], "left_semi").select(*keys, "theta").repartition(n, *keys)
+            blocks = open_.cogroup(last.groupBy(*keys)).applyInPandas(lambda key, pdf, before: block(key, pdf, before), _BLOCK)
+        blocks = stored(blocks)
+        total = blocks.groupBy("grp", "fold", "rho", "lo", "hi").agg(*[F.sum(c).alias(c) for c in ("value", "slope", "curve")])
+        # at a bound that the slope points beyond, the bracket closes on it
+        step = total.selectExpr("*", "IF(slope > 0, lo, rho) AS _lo", "IF(slope > 0, rho, hi) AS _hi", "IF(curve > 0, rho - slope / curve, NULL) AS _new")
+        step = step.withColumn("_new", F.expr(f"CASE WHEN _new > _lo AND _new < _hi THEN _new WHEN _new <= _lo AND _lo = {lo}D THEN _lo WHEN _new >= _hi AND _hi = {hi}D THEN _hi"
+                                              " ELSE (_lo + _hi) / 2 END"))
+        step = stored(step.withColumn("found", F.abs(F.col("_new") - F.col("rho")) <= RHO_STEP))
+        now = blocks.join(step.filter("found").select("grp", "fold", F.col("value").alias("nll")), ["grp", "fold"])
+        done = now if done is None else done.unionByName(now)
+        folds = step.filter("NOT found").selectExpr("grp", "fold", "_new AS rho", "_lo AS lo", "_hi AS hi")
+        if folds.isEmpty():
+            break
+    else:
+        raise RuntimeError("rho did not settle")
+    k = "size(teams)"
+    mean = lambda a: f"aggregate({a}, 0D, (s, x) -> s + x) / {k}"
+    x = done.selectExpr(*keys, "teams", f"slice(theta, 1, {k}) AS a", f"slice(theta, {k} + 1, {k}) AS d", f"theta[2 * {k}] AS gamma", f"theta[2 * {k} + 1] AS delta", "rho", "nll", "iterations")
+    x = x.selectExpr("*", f"{mean('a')} AS ma", f"{mean('d')} AS md")
+    return x.selectExpr(*keys, "inline(arrays_zip(teams, transform(a, v -> v - ma), transform(d, v -> v - md)))", "gamma", "delta + ma + md AS delta", "rho", "nll", "iterations").toDF(
+        *keys, "team_id", "attack", "defence", "gamma", "delta", "rho", "nll", "iterations")
+
+
+def slopes(stats: DataFrame, params: DataFrame, l2: float = 2.0) -> DataFrame:
+    """(grp, fold, league, parameter, slope, weight): derivatives of the penalised likelihood at fitted parameters.
+
+    ``parameter`` is attack or defence with ``team_id``, gamma, delta, or rho (of the fold: league null).
+    """
+    fold = ["grp", "fold"]
+    h = params.selectExpr(*fold, "team_id AS home_team_id", "attack AS _ah", "defence AS _dh", "gamma AS _g", "delta AS _d", "rho")
+    a = params.selectExpr(*fold, "team_id AS away_team_id", "attack AS _aa", "defence AS _da")
+    x = stats.join(h, [*fold, "home_team_id"]).join(a, [*fold, "away_team_id"]).selectExpr("*", "exp(_ah + _da + _g + _d) AS lam", "exp(_aa + _dh + _d) AS mu")
+    x = x.selectExpr("*", "greatest(1 - lam * mu * rho, 1e-10D) AS t00", "greatest(1 + lam * rho, 1e-10D) AS t01", "greatest(1 + mu * rho, 1e-10D) AS t10", "greatest(1 - rho, 1e-10D) AS t11")
+    x = x.selectExpr("*", "wh - w * lam - w00 * lam * mu * rho / t00 + w01 * lam * rho / t01 AS gl", "wa - w * mu - w00 * lam * mu * rho / t00 + w10 * mu * rho / t10 AS gm",
+                     "-w00 * lam * mu / t00 + w01 * lam / t01 + w10 * mu / t10 - w11 / t11 AS gr")
+    parts = x.selectExpr(*fold, "league", "w", """inline(array(
+        named_struct('parameter', 'attack', 'team_id', home_team_id, 'g', gl, 'v', _ah), named_struct('parameter', 'defence', 'team_id', away_team_id, 'g', gl, 'v', _da),
+        named_struct('parameter', 'attack', 'team_id', away_team_id, 'g', gm, 'v', _aa), named_struct('parameter', 'defence', 'team_id', home_team_id, 'g', gm, 'v', _dh),
+        named_struct('parameter', 'gamma', 'team_id', NULL, 'g', gl, 'v', 0D), named_struct('parameter', 'delta', 'team_id', NULL, 'g', gl + gm, 'v', 0D)))""")
+    own = parts.groupBy(*fold, "league", "parameter", "team_id").agg((F.sum("g") - 2 * l2 * F.first("v")).alias("slope"), F.sum("w").alias("weight"))
+    shared = x.groupBy(*fold).agg(F.sum("gr").alias("slope"), F.sum("w").alias("weight")).selectExpr(
+        *fold, "CAST(NULL AS STRING) AS league", "'rho' AS parameter", "CAST(NULL AS BIGINT) AS team_id", "slope", "weight")
+    return own.unionByName(shared)
+
+
 def gauge_fix(teams: DataFrame) -> DataFrame:
     """Centre attack and defence per league and move the means into delta (league, team_id, attack, defence, delta)."""
     w = "OVER (PARTITION BY league)"

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from touchline.session import stored
 
-ID_RANGES = 256
+RANGE_ROWS = 1 << 20  # rows of one second that are ranked in one task
 
 
 def _range_of(key: str, cuts):
@@ -21,17 +21,20 @@ def _range_of(key: str, cuts):
 def with_row_index(df: DataFrame, time: str, key: str, group=None, name: str = "idx") -> DataFrame:
     """0-based position in (time, key) order, overall or per ``group``.
 
-    Rows are ranked inside (group, day, second, key range); the ranges are cut at quantiles of the key, counted in
-    one pass, and turned into offsets: ranges inside a day, days on the calendar. No task sorts more than
-    one key range of one second, and a hot second is split by key.
+    Rows are ranked inside (group, day, second, key range); these are counted in one pass and turned into offsets:
+    ranges inside a day, days on the calendar. Where a second holds more than RANGE_ROWS rows, the ranges are cut
+    at quantiles of the key, so no task sorts much more than that. ``time`` is whole seconds wherever that happens.
     """
     group = [] if group is None else [group] if isinstance(group, str) else list(group)
-    found = df.agg(F.percentile_approx(key, [i / ID_RANGES for i in range(1, ID_RANGES)], 10000).alias("cuts")).first()
-    # order inside a day is by time first, so the range is taken inside the second of the day
-    x = df.withColumns({"_day": F.to_date(time), "_sec": F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time),
-                        "_b": _range_of(key, sorted(set(found["cuts"] or [])))})
+    x = df.withColumns({"_day": F.to_date(time), "_sec": F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time), "_b": F.lit(0)})
     part = [*group, "_day", "_sec", "_b"]
     counts = stored(x.groupBy(*part).agg(F.count("*").alias("_n")))
+    most = counts.agg(F.max("_n").alias("n")).first()["n"] or 0
+    if most > RANGE_ROWS:
+        n = 2 * -(-most // RANGE_ROWS)
+        found = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10000).alias("cuts")).first()
+        x = x.withColumn("_b", _range_of(key, sorted(set(found["cuts"] or []))))
+        counts = stored(x.groupBy(*part).agg(F.count("*").alias("_n")))
     day_n = counts.groupBy(*group, "_day").agg(F.sum("_n").alias("_dn"))
     by_day = Window.partitionBy(*group).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     day_off = day_n.select(*group, "_day", F.coalesce(F.sum("_dn").over(by_day), F.lit(0)).alias("_doff"))

@@ -1,4 +1,6 @@
 """DuckDB text of the derived tables, shared by the checking SQL."""
+import re
+
 from touchline.plans import derive
 
 _CLUBS = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in derive.CLUBS) + "]"
@@ -152,7 +154,8 @@ def sql(names, body: str) -> str:
 
     for n in names.split():
         visit(n)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n][1]})" for n in order) + ("\n" if not body.lstrip().startswith(",") else "") + body
+    own = {n: re.search(rf"\b(?:FROM|JOIN) {n}\b", CTE[n][1]) for n in order}  # a table that reads itself is recursive
+    return f"WITH {'RECURSIVE ' if any(own.values()) else ''}" + ",\n".join(f"{n} AS {'' if own[n] else 'MATERIALIZED '}({CTE[n][1]})" for n in order) + ("\n" if not body.lstrip().startswith(",") else "") + body
 
 
 def hit_sql(market="market", selection="selection", fh="ft_home", fa="ft_away") -> str:

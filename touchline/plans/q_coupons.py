@@ -273,7 +273,7 @@ def j20_coupon_documents(spark, d):
 
 
 @query("a25_monthly_pnl", sql("coup", """
-SELECT coalesce(kind, 'all') AS kind, coalesce(month, 'all') AS month, count(*) AS coupons, round(sum(pnl), 6) AS pnl, round(avg(pnl), 6) AS roi FROM (
+SELECT coalesce(kind, 'all') AS kind, coalesce(month, 'all') AS month, count(*) AS coupons, round(sum(pnl), 6) AS pnl, round(avg(pnl), 9) AS roi FROM (
   SELECT kind, substr(generated_on, 1, 7) AS month, CASE WHEN hit THEN coalesce(combined_odds, 1) - 1 ELSE -1 END AS pnl FROM coup WHERE hit IS NOT NULL) z
 GROUP BY GROUPING SETS ((month), (kind), ())"""))
 def a25_monthly_pnl(spark, d):
@@ -281,7 +281,7 @@ def a25_monthly_pnl(spark, d):
     c = coupons(spark, d).filter("hit IS NOT NULL").selectExpr(
         "kind", "substr(generated_on, 1, 7) AS month", "IF(hit, coalesce(combined_odds, 1D) - 1D, -1D) AS pnl")
     g = c.groupingSets([[F.col("month")], [F.col("kind")], []], "kind", "month").agg(F.count("*").alias("coupons"), F.sum("pnl").alias("pnl"), F.avg("pnl").alias("roi"))
-    return g.select(F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("month", F.lit("all")).alias("month"), "coupons", r6("pnl", "pnl"), r6("roi", "roi"))
+    return g.select(F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("month", F.lit("all")).alias("month"), "coupons", r6("pnl", "pnl"), F.round("roi", 9).alias("roi"))
 
 
 @query("a25_leg_hit_rates", sql("slegs", """

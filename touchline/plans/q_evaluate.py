@@ -249,7 +249,15 @@ def u4_temperature_nll(spark, d):
     return g.select("league", "t", "n", r6("nll", "nll"))
 
 
-@query("u4_temperature_fit")
+@query("u4_temperature_fit", sql("mp", f""",
+ rows AS (SELECT league, match_id, list(ln(greatest(prob, 1e-12))) AS l, max(CASE WHEN selection = {_RESULT} THEN ln(greatest(prob, 1e-12)) END) AS ly
+   FROM mp WHERE market = '1X2' AND ft_home IS NOT NULL GROUP BY league, match_id),
+ halved AS (SELECT league, 0 AS step, 0.05e0 AS lo, 20e0 AS hi FROM rows GROUP BY league
+   UNION ALL SELECT league, step + 1, CASE WHEN s < 0 THEN mid ELSE lo END, CASE WHEN s < 0 THEN hi ELSE mid END FROM (
+     SELECT h.league, h.step, h.lo, h.hi, (h.lo + h.hi) / 2 AS mid,
+       sum(list_sum(list_transform(l, lambda x: exp((h.lo + h.hi) / 2 * x) * x)) / list_sum(list_transform(l, lambda x: exp((h.lo + h.hi) / 2 * x))) - ly) AS s
+     FROM halved h JOIN rows r USING (league) WHERE h.step < 45 GROUP BY h.league, h.step, h.lo, h.hi) z)
+SELECT league, round(2 / (lo + hi), 6) AS T, n FROM halved JOIN (SELECT league, count(*) AS n FROM rows GROUP BY league) c USING (league) WHERE step = 45""").replace("WITH ", "WITH RECURSIVE ", 1))
 def u4_temperature_fit(spark, d):
     return cal.fit_temperature(temperature_rows(spark, d), ["league"]).select("league", r6("T", "T"), "n")
 
@@ -293,14 +301,6 @@ def j26_calibrated_probs(spark, d):
     return p.select("match_id", "market", "selection", r6("prob", "prob"))
 
 
-@query("w13_rolling_calibration")
-def w13_rolling_calibration(spark, d):
-    """Temperature per league from the last 500 predictions, refitted every 50."""
-    rows = tl.with_row_index(temperature_rows(spark, d), "kickoff", "match_id", "league")
-    return cal.fit_temperature(stored(cal.rolling_chunks(rows, "league", "idx")), ["league", "chunk"]).select(
-        "league", "chunk", r6("T", "T"), "n")
-
-
 @query("t2_recent_details", sql("scored", """
 SELECT match_id, market, CAST(ft_home AS VARCHAR) || '-' || CAST(ft_away AS VARCHAR) AS score, pick, CAST(hit AS INTEGER) AS hit
 FROM scored ORDER BY kickoff DESC, match_id DESC, market LIMIT 200"""))

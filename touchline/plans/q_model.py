@@ -16,15 +16,44 @@ from touchline.plans.oracle import CTE, sql
 from touchline.plans.q_features import SIG_JOIN
 from touchline.plans.q_markets import NOW_SQL, r6
 from touchline.plans.registry import query
+from touchline.session import stored
 
 XI, L2 = 0.0018, 2.0
 
 
+def full_fit(spark, d):
+    """One pooled fit on everything finished before NOW, goal signal from xG where both sides have it: (statistics, parameters)."""
+    m = D.matches(spark, d).filter(F.col("kickoff") < D.now())
+    stats = stored(fit.pair_stats(fit.training_frame(m), XI, D.NOW))
+    return stats, fit.fit_pooled(stats, L2)
+
+
 @query("u1_full_fit")
 def u1_full_fit(spark, d):
-    """One pooled fit on everything finished before NOW, goal signal from xG where both sides have it."""
-    m = D.matches(spark, d).filter(F.col("kickoff") < D.now())
-    return fit.fit_folds(fit.pair_stats(fit.training_frame(m), XI, D.NOW), L2).drop("fold")
+    return full_fit(spark, d)[1].drop("fold")
+
+
+@query("u1_fit_properties", sql("m", f"""
+SELECT coalesce(league, 'all') AS league, parameter, count(*) AS parameters, 1 AS flat FROM (
+  SELECT league, unnest(['attack', 'defence']) AS parameter FROM (SELECT league, home_team_id AS t FROM m WHERE status = 'finished' AND kickoff < {NOW_SQL}
+    UNION SELECT league, away_team_id FROM m WHERE status = 'finished' AND kickoff < {NOW_SQL}) z
+  UNION ALL SELECT DISTINCT league, unnest(['gamma', 'delta']) FROM m WHERE status = 'finished' AND kickoff < {NOW_SQL}
+  UNION ALL SELECT NULL, 'rho') y GROUP BY 1, 2"""))
+def u1_fit_properties(spark, d):
+    """At the fitted parameters the likelihood is flat in every direction, seen by Spark's own sums over the pair statistics."""
+    g = fit.slopes(*full_fit(spark, d), L2)
+    return g.groupBy(F.coalesce("league", F.lit("all")).alias("league"), "parameter").agg(
+        F.count("*").alias("parameters"), F.min((F.abs("slope") <= 1e-6 * F.greatest("weight", F.lit(1.0))).cast("int")).alias("flat"))
+
+
+@query("u1_fit_beats_start", sql("m", "SELECT DISTINCT 'all' AS grp, 1 AS better FROM m"))
+def u1_fit_beats_start(spark, d):
+    """The fitted likelihood against the one at the starting values."""
+    stats, params = full_fit(spark, d)
+    lam, mu, rho = f"exp({fit.START_GAMMA}D)", "1D", f"{fit.START_RHO}D"
+    start = stats.groupBy("grp").agg(F.expr(
+        f"-sum(wh * ln({lam}) - w * {lam} - w * {mu} + w00 * ln(1 - {lam} * {mu} * {rho}) + w01 * ln(1 + {lam} * {rho}) + w10 * ln(1 + {mu} * {rho}) + w11 * ln(1 - {rho}))").alias("at_start"))
+    return params.groupBy("grp").agg(F.first("nll").alias("nll")).join(start, "grp").selectExpr("grp", "CAST(nll < at_start AS INT) AS better")
 
 
 @query("u1_pair_statistics", sql("m", f"""
@@ -77,19 +106,6 @@ def t8_strongest_teams(spark, d):
     return a.unionByName(b)
 
 
-@query("u3_walk_forward_league")
-def u3_walk_forward_league(spark, d):
-    """Per-league walk-forward: Brier and log loss of out-of-sample predictions."""
-    x = bt.walk_forward(D.matches(spark, d), min_train=100, refit_every=200)
-    return ev.loss_summary(ev.with_score_losses(mk.wide_book(x.select("league", "ft_home", "ft_away", "lam", "mu", "rho"))))
-
-
-@query("u3_walk_forward_pooled")
-def u3_walk_forward_pooled(spark, d):
-    x = bt.walk_forward(D.matches(spark, d), pooled=True, min_train=500, refit_every=1000)
-    return ev.loss_summary(ev.with_score_losses(mk.wide_book(x.select("league", "ft_home", "ft_away", "lam", "mu", "rho"))))
-
-
 CTE["adj"] = (["r", "mot"], """
   SELECT r.match_id, r.rho, r.lam * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * h.relegation_risk) * (1 + 0.06e0 * h.title_push) * (1 + 0.04e0 * h.europe_push) * (1 - 0.1e0 * h.dead_rubber)))
       * (1 + 0.05e0 * a.dead_rubber) AS lam,

@@ -1,5 +1,4 @@
 """Session defaults the operators rely on (cluster settings win when present)."""
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,12 +29,15 @@ def local_session(cores: str = "8", shuffle: int = 8, memory: str = "8g") -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; without it the checkpoint folder set on the context, else one in the warehouse.
+
+    All of these are shared by driver and executors; no machine-local folder is ever made up.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="touchline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/touchline-stored"
 
 
 def stored(df):
