@@ -114,9 +114,9 @@ def test_pooled_fit_equals_the_joint_newton(spark):
 
 def test_pooled_fit_at_the_bound_of_rho(spark):
     stats = pair_table(2)
-    stats["w00"] = stats["w11"] = stats["w"] * 0.4  # far more low draws than any rho inside the bounds gives
+    stats["w00"], stats["w11"], stats["w01"], stats["w10"] = 0.0, 0.0, stats["w"] * 0.4, stats["w"] * 0.4  # only scores that a large rho favours
     got = fit.fit_pooled(spark.createDataFrame(stats)).toPandas()
-    assert got["rho"].nunique() == 1 and abs(got["rho"].iloc[0] - fit.RHO_BOUNDS[0]) < 1e-6
+    assert got["rho"].nunique() == 1 and abs(got["rho"].iloc[0] - fit.RHO_BOUNDS[1]) < 1e-6
 
 
 def test_fitted_parameters_are_flat(spark):

@@ -53,10 +53,11 @@ def calibrate(rated: DataFrame, *, minimum: int = rolling.MINIMUM, every: int =
 
     ``idx`` is the clock between refits: the league's own timeline, or the one all leagues share.
     """
+    rated = stored(rated)  # numbering reads it twice, and fits may stand behind it
     marked = stored(rolling.refits(with_books(rated), "league", "seq", "idx", minimum, every))
     fits = stored(rolling.temperatures(marked, "league", "seq", window))
     long = marked.select("match_id", "league", "kickoff", "idx", "ft_home", "ft_away", "serves", F.inline("books"))
-    return rolling.calibrated(long, fits, "league"), fits
+    return stored(rolling.calibrated(long, fits, "league")), fits
 
 
 def bets(cal: DataFrame, odds: DataFrame, least: float = 0.0, priority=od.OPENING_PRIORITY) -> DataFrame:

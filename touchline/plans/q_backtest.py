@@ -9,6 +9,7 @@ from touchline.plans import derive as D
 from touchline.plans.oracle import CTE, hit_sql, sql
 from touchline.plans.q_markets import r6
 from touchline.plans.registry import query
+from touchline.session import stored
 
 # Predictions with given rates: matches past the training start of their league; pairs of teams whose numbers add up to a
 # multiple of nine stand for teams a fit has not seen, so the timelines have holes.
@@ -120,7 +121,7 @@ def u3_reliability(spark, d):
 
 def _walked(spark, d, **how):
     cal, fits = bt.calibrate(bt.walk_forward(D.matches(spark, d), **how))
-    x = bt.report(cal, fits, bt.bets(cal, D.odds(spark, d)))
+    x = bt.report(cal, fits, stored(bt.bets(cal, D.odds(spark, d))))
     return x.select("league", "n", *[r6(c, c) for c in ("brier", "logloss")], "fits", *[r6(c, c) for c in ("t_1x2", "t_ou25")], "bets", *[r6(c, c) for c in ("roi", "best_roi")])
 
 
