@@ -5,7 +5,7 @@ needs, and a round finds the best pick that meets it as one grouped minimum over
 together, a day's picks are never gathered, and no pick is left out.
 """
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +19,27 @@ _BEST_FIRST = "struct(-round(composite, 9), match_id, ord)"
 _LONGEST_FIRST = "struct(-round(odds, 9), synthetic, -round(composite, 9), match_id)"
 _PRICE = "aggregate({0}, 1D, (p, l) -> p * l.odds)"
 _SHORTEST = "array_position(transform(legs, l -> l.odds), array_min(transform(legs, l -> l.odds)))"
-ROUNDS_A_TABLE = 3   # rounds planned as one job before the state is stored
+ROUNDS_A_TABLE = 4   # rounds planned as one job before the state is stored
+_STATE = ["size", "least_size", "legs", "taken", "found", "swaps", "done"]
 
 
-def _round(picks: DataFrame, state: DataFrame, rank: str, floor: float, coupons: int, diverse: bool, shrink: bool) -> DataFrame:
+def _round(picks: DataFrame, state: DataFrame, floor: float, coupons: int, diverse: bool, shrink: bool) -> DataFrame:
     """One step of every open day.
 
     A coupon short of legs takes the best pick of a free match (and family); a full one below the price floor
     replaces its shortest price by the best pick that is longer. No such pick, or as many replacements as legs
     where sizes may ``shrink``: the coupon is given up and the next smaller one is tried.
+
+    The state rides along with the picks it meets and comes back out of the same aggregate, so a round is one
+    join and one grouped minimum, and rounds planned together stay a chain. Every day has a pick, so none is lost.
     """
     rivals = f"IF(full, filter(legs, (l, i) -> i <> {_SHORTEST} - 1), legs)" if diverse else "filter(legs, l -> FALSE)"
-    need = state.filter("NOT done").withColumn("full", F.expr("size(legs) = size")).selectExpr(
-        "day", "concat(taken, transform(legs, l -> l.match_id)) AS barred", f"transform({rivals}, l -> l.base) AS families",
-        "IF(full, array_min(transform(legs, l -> l.odds)), NULL) AS above")
-    fits = picks.join(need, "day").filter("NOT array_contains(barred, match_id) AND NOT array_contains(families, base) AND (above IS NULL OR odds > above)")
-    best = fits.groupBy("day").agg(F.expr(f"min_by({_LEG}, {rank}) AS pick"))
-    new = state.join(best, "day", "left").withColumn("hand", F.expr(
+    need = state.withColumn("full", F.expr("size(legs) = size")).selectExpr(
+        "day", "done", f"struct({', '.join(_STATE)}) AS state", "concat(taken, transform(legs, l -> l.match_id)) AS barred", f"transform({rivals}, l -> l.base) AS families",
+        "IF(full, array_min(transform(legs, l -> l.odds)), 0D) AS above")
+    fits = "NOT done AND pick.odds > above AND NOT array_contains(barred, pick.match_id) AND NOT array_contains(families, pick.base)"
+    best = picks.join(need, "day").groupBy("day").agg(F.first("state").alias("state"), F.expr(f"min_by(pick, IF({fits}, rank, NULL)) AS pick"))
+    new = best.selectExpr("day", "pick", "state.*").withColumn("hand", F.expr(
         f"CASE WHEN pick IS NULL THEN legs WHEN size(legs) < size THEN concat(legs, array(pick)) ELSE transform(legs, (l, i) -> IF(i = {_SHORTEST} - 1, pick, l)) END"))
     new = new.withColumn("turns", F.expr("swaps + IF(pick IS NOT NULL AND size(legs) = size, 1, 0)")) \
         .withColumn("made", F.expr(f"NOT done AND pick IS NOT NULL AND size(hand) = size AND {_PRICE.format('hand')} >= {floor}D"))
@@ -47,14 +51,17 @@ def _round(picks: DataFrame, state: DataFrame, rank: str, floor: float, coupons:
                           "IF(made OR lost, 0, turns) AS swaps", f"done OR size(found) + IF(made, 1, 0) >= {coupons} OR {after} < least_size AS done")
 
 
-def _rounds(picks: DataFrame, state: DataFrame, **how) -> DataFrame:
+def _rounds(picks: DataFrame, state: DataFrame, rank: str, **how) -> DataFrame:
     """Rounds until no day is open; every round either adds or replaces a leg or ends a try, so they end."""
-    picks, state = stored(picks), stored(state)
+    picks, state = stored(picks.selectExpr("day", f"{_LEG} AS pick", f"{rank} AS rank")), stored(state)
+    closed = state.filter("done")
     while not state.filter("NOT done").isEmpty():
+        state = state.filter("NOT done")
         for _ in range(ROUNDS_A_TABLE):
             state = _round(picks, state, **how)
         state = stored(state)
-    return state
+        closed = closed.unionByName(state.filter("done"))
+    return closed
 
 
 def _legs_of(state: DataFrame, kind: str) -> DataFrame:
@@ -74,7 +81,7 @@ def compose(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, max_legs:
     state = picks.groupBy("day").agg(F.expr(f"filter(array(any_value({_LEG})), l -> FALSE) AS legs")).selectExpr(
         "day", f"{top} AS size", f"{least} AS least_size", "legs", "transform(legs, l -> l.match_id) AS taken", "filter(array(legs), x -> FALSE) AS found", "0 AS swaps",
         f"{top} < {least} AS done")
-    done = _rounds(picks, state, rank=_BEST_FIRST, floor=min_odds, coupons=max_coupons, diverse=diverse, shrink=True)
+    done = _rounds(picks, state, _BEST_FIRST, floor=min_odds, coupons=max_coupons, diverse=diverse, shrink=True)
     return _legs_of(done, "IF(c = 0, 'primary', 'alternative')")
 
 
@@ -91,7 +98,7 @@ def fallback(picks: DataFrame, *, num_legs: int = 3, min_legs: int = 1, min_odds
     good = f"{_PRICE.format('legs')} >= {min_odds}D"
     state = hand.selectExpr("day", "size(legs) AS size", "size(legs) AS least_size", "legs", "filter(transform(legs, l -> l.match_id), x -> FALSE) AS taken",
                             f"IF({good}, array(legs), filter(array(legs), x -> FALSE)) AS found", "0 AS swaps", f"{good} AS done")
-    done = _rounds(best, state, rank=_LONGEST_FIRST, floor=min_odds, coupons=1, diverse=False, shrink=False)
+    done = _rounds(best, state, _LONGEST_FIRST, floor=min_odds, coupons=1, diverse=False, shrink=False)
     return _legs_of(done, "'fallback'")
 
 
@@ -138,24 +145,30 @@ def likeliest(prob: np.ndarray, odds: np.ndarray, family: np.ndarray, legs: int,
 def _search(limit: int, num_legs: int, variants):
     """One day's variants over its ``limit`` likeliest matches, or a row that says more are needed."""
     columns = [c.split()[0] for c in VARIANT_SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.bool_()]
+
+    def table(rows):
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=columns)
 
     def one_day(key, day):
-        day = day.sort_values("rn")
-        beyond = float(day.prob.iloc[limit]) if len(day) > limit else 0.0
-        day = day.head(limit)
-        out, taken = [], set()
+        order = np.argsort(day["rn"].to_numpy(), kind="stable")
+        prob, odds, ids = (day[c].to_numpy()[order] for c in ("prob", "odds", "match_id"))
+        name_of_day = key[0].as_py()
+        beyond = float(prob[limit]) if len(order) > limit else 0.0
+        prob, odds, ids = prob[:limit].astype(float), odds[:limit].astype(float), ids[:limit]
+        family = np.unique(day["base"].to_numpy().astype(str), return_inverse=True)[1][order[:limit]]
+        free, out = np.ones(len(ids), bool), []
         for name, least, lo, hi in variants:
-            free = day[~day.match_id.isin(taken)]
-            prob, odds, family = free.prob.to_numpy(float), free.odds.to_numpy(float), pd.factorize(free.base)[0]
-            combo, p = likeliest(prob, odds, family, num_legs, least, lo, hi) if len(free) >= num_legs else (None, 0.0)
-            reach = beyond * (prob[0] if len(prob) else 1.0) ** (num_legs - 1)
+            rows = np.flatnonzero(free)
+            combo, p = likeliest(prob[rows], odds[rows], family[rows], num_legs, least, lo, hi) if len(rows) >= num_legs else (None, 0.0)
+            reach = beyond * (prob[rows[0]] if len(rows) else 1.0) ** (num_legs - 1)
             if beyond and reach >= least - 2e-9 and reach >= p - 2e-9:
-                return pd.DataFrame([(key[0], None, None, None, None, False)], columns=columns)
+                return table([(name_of_day, None, None, None, None, False)])
             if combo is not None:
-                ids = free.match_id.to_numpy()[combo]
-                taken |= set(ids.tolist())
-                out.append((key[0], name, ids.tolist(), p, float(odds[combo].prod()), True))
-        return pd.DataFrame(out, columns=columns)
+                at = rows[combo]
+                free[at] = False
+                out.append((name_of_day, name, ids[at].tolist(), p, float(odds[at].prod()), True))
+        return table(out)
 
     return one_day
 
@@ -169,10 +182,12 @@ def hit_variants(picks: DataFrame, num_legs: int = 2, variants=VARIANTS, first:
     """
     by_prob = Window.partitionBy("day").orderBy(F.round("prob", 9).desc(), "match_id")
     ranked = stored(best_per_match(picks).withColumn("rn", F.row_number().over(by_prob)).select("day", "rn", "match_id", "base", "prob", "odds"))
+    # a fixed partition count keeps small tables from being packed into one Python worker
+    parts = int(picks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     answers, left, limit = None, ranked, first
     while True:
         answers_of = _search(limit, num_legs, variants)
-        found = stored(left.filter(F.col("rn") <= limit + 1).groupBy("day").applyInPandas(answers_of, VARIANT_SCHEMA))
+        found = stored(left.filter(F.col("rn") <= limit + 1).repartition(parts, "day").groupBy("day").applyInArrow(answers_of, VARIANT_SCHEMA))
         answers = found if answers is None else answers.unionByName(found)
         again = found.filter("NOT proven").select("day").distinct()
         if again.isEmpty():
