@@ -38,15 +38,20 @@ UNITS = ("km", "m", "cm", "mm", "mi", "mile", "miles", "meter", "meters", "metre
 
 
 def tokens(text: Column) -> Column:
-    """Words in order; a slot is its type's control character followed by its value."""
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), NUMBER + UNIT + NAME + JOINT, "    ")
+    """Words in order; a slot is its type's control character followed by its value.
+
+    Passes that can change nothing are left out: text without a digit has no number and no unit. Patterns look behind a
+    character only where that character itself fits.
+    """
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    t = F.when(t.rlike(f"[{NUMBER}-{JOINT}]"), F.translate(t, NUMBER + UNIT + NAME + JOINT, "    ")).otherwise(t)
     t = F.regexp_replace(t, r"[^\S ]\s*| \s+", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", NAME + "$1")
-    t = F.regexp_replace(F.lower(t), r"(?<=[0-9])[.,:/](?=[0-9])", JOINT)
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}{JOINT}])([0-9][0-9{JOINT}]*)", f" {NUMBER}$1 ")
-    t = F.regexp_replace(t, rf"({NUMBER}[0-9{JOINT}]+ +)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
-    t = F.trim(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{NUMBER}-{JOINT}]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    t = F.lower(F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", NAME + "$1"))
+    n = F.regexp_replace(t, r"[.,:/](?=[0-9])(?<=[0-9][.,:/])", JOINT)
+    n = F.regexp_replace(n, rf"(?=[0-9])(?<![\p{{L}}\p{{N}}{JOINT}])([0-9][0-9{JOINT}]*)", f" {NUMBER}$1 ")
+    n = F.regexp_replace(n, rf"({NUMBER}[0-9{JOINT}]+ +)({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")
+    t = F.when(t.rlike("[0-9]"), n).otherwise(t)
+    return F.array_remove(F.split(t, rf"[^\p{{L}}\p{{N}}{NUMBER}-{JOINT}]+"), "")
 
 
 def value(word: Column) -> Column:
