@@ -2,6 +2,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.session import stored
+
 STATUS_RANK = {"scheduled": 0, "in_play": 1, "paused": 1, "finished": 2}
 
 
@@ -94,9 +96,9 @@ def append_new(existing: DataFrame, incoming: DataFrame, key, order=()) -> DataF
     return once.join(existing.select(*key), key, "left_anti")
 
 
-def replace_predictions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+def replace_predictions(before: DataFrame, fresh: DataFrame) -> DataFrame:
     """Delete-then-insert per match: fresh rows win for their matches."""
-    return stored.join(fresh.select("match_id").distinct(), "match_id", "left_anti").unionByName(fresh)
+    return before.join(fresh.select("match_id").distinct(), "match_id", "left_anti").unionByName(fresh)
 
 
 def write_predictions(fresh: DataFrame, path: str, buckets: int = 64) -> None:
@@ -108,13 +110,13 @@ def write_predictions(fresh: DataFrame, path: str, buckets: int = 64) -> None:
     bucket = F.pmod(F.hash("match_id"), F.lit(buckets)).alias("bucket")
     new = fresh.select("*", bucket)
     try:
-        stored = spark.read.parquet(path).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")
-        new = replace_predictions(stored.select(*new.columns), new)
-        from touchline.session import stored
-        new = stored(new)  # the old files are read before they are replaced
+        before = spark.read.parquet(path)
     except Exception as exc:  # first write: nothing stored yet
         if "PATH_NOT_FOUND" not in str(exc):
             raise
+    else:
+        before = before.join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")
+        new = stored(replace_predictions(before.select(*new.columns), new))  # the old files are read before they are replaced
     new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

@@ -57,10 +57,10 @@ def fixture_rows(df: DataFrame, league: Column, season: Column) -> DataFrame:
 FIXTURE2 = "struct<utcDate:string,status:string,minute:string,season:struct<startDate:string>,homeTeam:struct<name:string>,awayTeam:struct<name:string>,score:struct<fullTime:struct<home:int,away:int>>>"
 
 
-def second_fixture_rows(df: DataFrame) -> DataFrame:
-    """Fixtures and live scores of the second provider; season label from the season's start date."""
-    x = df.select(F.from_json("doc", FIXTURE2).alias("f"))
-    return x.select(
+def second_fixture_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """Fixtures and live scores of the second provider; season label from the season's start date. Columns ``keep`` stay."""
+    x = df.select(*keep, F.from_json("doc", FIXTURE2).alias("f"))
+    return x.select(*keep,
         times.season_from_start(F.coalesce("f.season.startDate", F.lit(""))).alias("season"), times.iso_utc(F.col("f.utcDate")).alias("kickoff"),
         F.col("f.homeTeam.name").alias("home_name"), F.col("f.awayTeam.name").alias("away_name"), F.col("f.status").alias("status"),
         times.minute(F.col("f.minute")).alias("minute"), F.col("f.score.fullTime.home").alias("home_goals"), F.col("f.score.fullTime.away").alias("away_goals"))

@@ -84,21 +84,26 @@ def _rows_of(spark, path, like: DataFrame, but: str | None = None) -> DataFrame:
     return found.filter(~F.col("_metadata.file_path").contains(f"/{but}/")) if but else found
 
 
-def append_once(path: str, key, run: str = "first", order=()):
+def query_id(spark) -> str:
+    """The id of the running stream, which its checkpoint folder keeps over restarts; outside of a stream ``none``."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
+def append_once(path: str, key, run: str | None = None, order=()):
     """A foreachBatch sink that adds only keys not stored yet; a replayed batch adds nothing.
 
-    Each batch of a ``run`` owns one folder, so a retry overwrites its own half-written rows only. Batches are
-    numbered by the stream's checkpoint folder: a stream with a new one needs a new ``run`` name.
+    Each batch of a run owns one folder, so a retry overwrites its own half-written rows only. The run is the stream's id
+    unless named: a new checkpoint folder makes a new run, so batches numbered from 0 again never meet old folders.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        own = f"run={run}/batch={batch_id}"
+        own = f"run={run or query_id(batch.sparkSession)}/batch={batch_id}"
         before = _rows_of(batch.sparkSession, f"{path}/run=*/batch=*", batch, but=own)
         sync.append_new(before.select(*batch.columns), batch, key, order).write.mode("overwrite").parquet(f"{path}/{own}")
 
     return write
 
 
-def notify_once(path: str, run: str = "first"):
+def notify_once(path: str, run: str | None = None):
     """A foreachBatch sink of message rows for coupons that closed, one per coupon."""
     sink = append_once(path, ["coupon_id"], run)
     return lambda batch, batch_id: sink(compose.notifications(batch), batch_id)
