@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import naming
+from touchline.operators import markets as mk
 
 # Which bookmaker's price counts first.
 API_PRIORITY = ["B365C", "PSC", "B365", "PS", "WH"]
@@ -33,6 +34,12 @@ def best_prices(odds: DataFrame, priority=API_PRIORITY, tie: str = "last") -> Da
     )
 
 
+def priced_markets(odds: DataFrame) -> list[str]:
+    """The modelled markets that have a price at all: a handful of names, so only these are expanded."""
+    found = {r["market"] for r in odds.select(naming.price_market(F.col("market")).alias("market")).distinct().collect()}
+    return sorted(found & {m for m, _ in mk.book_columns()})
+
+
 def latest_prices(odds: DataFrame) -> DataFrame:
     """The newest price of each selection, whatever its source."""
     return (

@@ -262,42 +262,52 @@ def u4_temperature_fit(spark, d):
     return cal.fit_temperature(temperature_rows(spark, d), ["league"]).select("league", r6("T", "T"), "n")
 
 
+EQUAL = 12  # digits; probabilities that differ by less are one point, whatever an engine's last bits are
+
+
 def iso_points(spark, d):
-    return market_points(spark, d).select("market", F.round("prob", 3).alias("prob"), "hit")
+    return market_points(spark, d).select("market", F.round("prob", EQUAL).alias("prob"), "hit")
+
+
+# pools all falling stretches of block means at once, again and again until none falls: any order of pooling ends in the same blocks
+_ISO = f""", pts AS MATERIALIZED (SELECT market, round(prob, {EQUAL}) AS prob, sum(hit) AS h, count(*) AS n FROM ({_PTS}) q GROUP BY 1, 2),
+ blocks AS (
+   SELECT 0 AS step, market, prob AS lo, prob AS hi, h, n, TRUE AS moved FROM pts
+   UNION ALL
+   SELECT step + 1, market, min(lo), max(hi), sum(h), sum(n), bool_or(falls) FROM (
+     SELECT *, sum(CASE WHEN falls THEN 0 ELSE 1 END) OVER (PARTITION BY market ORDER BY lo) AS b FROM (
+       SELECT *, coalesce(lag(h) OVER w * n >= h * lag(n) OVER w, FALSE) AS falls FROM blocks WINDOW w AS (PARTITION BY market ORDER BY lo)) x) y
+   WHERE market IN (SELECT market FROM blocks GROUP BY market HAVING bool_or(moved)) GROUP BY step, market, b),
+ iso AS MATERIALIZED (SELECT p.market, p.prob, b.h / b.n AS y FROM (SELECT * FROM blocks QUALIFY step = max(step) OVER (PARTITION BY market)) b
+   JOIN pts p ON p.market = b.market AND p.prob BETWEEN b.lo AND b.hi)"""
 
 
-_ISO = f""", pts AS (SELECT market, prob, sum(h) OVER w AS cs, sum(n) OVER w AS cn, sum(h) OVER w - h AS cs0, sum(n) OVER w - n AS cn0
-   FROM (SELECT market, round(prob, 3) AS prob, sum(hit) AS h, count(*) AS n FROM ({_PTS}) q GROUP BY 1, 2) g
-   WINDOW w AS (PARTITION BY market ORDER BY prob)),
- -- min-max form: y(b) = max over starts a of min over ends c of the mean of [a, c]
- iso AS (SELECT market, prob, max(v) AS y FROM (
-    SELECT a.market, b.prob, a.prob AS ap, min(m2.v) AS v FROM pts a JOIN pts b ON a.market = b.market AND a.prob <= b.prob
-      JOIN (SELECT a.market, a.prob AS ap, c.prob AS cp, min((c.cs - a.cs0) / (c.cn - a.cn0)) OVER (PARTITION BY a.market, a.prob ORDER BY c.prob ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v
-            FROM pts a JOIN pts c ON a.market = c.market AND c.prob >= a.prob) m2 ON m2.market = a.market AND m2.ap = a.prob AND m2.cp = b.prob
-    GROUP BY a.market, b.prob, a.prob) z GROUP BY market, prob)"""
+def _recursive(names: str, body: str) -> str:
+    text = sql(names, body)
+    return text if text.startswith("WITH RECURSIVE") else text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("u5_isotonic_fit", sql("mp", _ISO + """
-SELECT market, round(prob, 3) AS prob, round(y, 6) AS y FROM iso"""))
+@query("u5_isotonic_fit", _recursive("mp", _ISO + """
+SELECT market, round(prob, 9) AS prob, round(y, 6) AS y FROM iso"""))
 def u5_isotonic_fit(spark, d):
     """Fit per market, evaluated at every distinct raw probability (a constant inside a pooled block)."""
     pts = iso_points(spark, d)
     curve = cal.fit_isotonic(pts)
     at = pts.select("market", "prob").distinct().withColumn("y", F.col("prob"))
     seg = cal.apply_curve(at, curve.withColumn("n_train", F.lit(cal.MIN_SAMPLES).cast("long")), "y")
-    return seg.select("market", F.round("prob", 3).alias("prob"), r6("y", "y"))
+    return seg.select("market", F.round("prob", 9).alias("prob"), r6("y", "y"))
 
 
-@query("j26_calibrated_probs", sql("mp", _ISO + """
-SELECT match_id, market, selection, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN x1 = x0 THEN y1 ELSE y0 + (prob - x0) / (x1 - x0) * (y1 - y0) END, 6) AS prob
-FROM (SELECT p.match_id, p.market, p.selection, p.prob, p.x0, p.x1, a.y AS y0, b.y AS y1 FROM (
-   SELECT q.*, (SELECT max(i.prob) FROM pts i WHERE i.market = q.market AND i.prob < q.prob) AS x0, (SELECT min(i.prob) FROM pts i WHERE i.market = q.market AND i.prob >= q.prob) AS x1
-   FROM (SELECT match_id, market, selection, prob FROM mp WHERE status = 'scheduled' AND market IN ('1X2', 'over_under_2.5')) q) p
-  LEFT JOIN iso a ON a.market = p.market AND a.prob = p.x0 LEFT JOIN iso b ON b.market = p.market AND b.prob = p.x1) z"""))
+@query("j26_calibrated_probs", _recursive("mp", _ISO + f""",
+ q AS (SELECT match_id, market, selection, round(prob, {EQUAL}) AS prob FROM mp WHERE status = 'scheduled'),
+ z AS (SELECT q.*, a.prob AS x0, a.y AS y0, b.prob AS x1, b.y AS y1 FROM q ASOF LEFT JOIN iso a ON a.market = q.market AND q.prob > a.prob
+   ASOF LEFT JOIN iso b ON b.market = q.market AND q.prob <= b.prob)
+SELECT match_id, market, selection, round(CASE WHEN x0 IS NULL AND x1 IS NULL THEN prob WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN x1 = x0 THEN y1 ELSE y0 + (prob - x0) / (x1 - x0) * (y1 - y0) END, 6) AS prob FROM z"""))
 def j26_calibrated_probs(spark, d):
+    """Every market of what is still to play, under the curve of its market; a market without a curve keeps its value."""
     curve = cal.fit_isotonic(iso_points(spark, d))
     up = D.with_rates(D.matches(spark, d).filter("status = 'scheduled'")).select("match_id", "lam", "mu", "rho")
-    p = cal.apply_curve(mk.long_book(up, ["1X2", "over_under_2.5"]), curve)
+    p = cal.apply_curve(mk.long_book(up).withColumn("prob", F.round("prob", EQUAL)), curve)
     return p.select("match_id", "market", "selection", r6("prob", "prob"))
 
 

@@ -223,7 +223,7 @@ def j3_probs_with_prices(spark, d):
 SELECT match_id, market, selection, round(prob * odds - 1, 6) AS raw_edge, round(prob / ((1 / odds) / vig) - 1, 6) AS fair_edge
 FROM mp JOIN best USING (match_id, market, selection) JOIN overround USING (match_id, market)"""))
 def f4_edges(spark, d):
-    probs = mk.long_book(D.rates(spark, d), ["1X2", "over_under_2.5"])
+    probs = mk.long_book(D.rates(spark, d), od.priced_markets(D.odds(spark, d)))
     x = od.priced(probs, od.with_overround(od.best_prices(D.odds(spark, d))))
     return x.select("match_id", "market", "selection", r6(value.edge(F.col("prob"), F.col("odds")), "raw_edge"),
                     r6(value.fair_edge(F.col("prob"), F.lit(1.0) / F.col("odds"), F.col("overround")), "fair_edge"))
@@ -234,7 +234,7 @@ SELECT tag, count(*) AS n FROM (SELECT CASE WHEN prob >= 0.7e0 AND prob * odds -
        WHEN prob >= 0.35e0 AND prob < 0.7e0 AND prob * odds - 1 >= 0.05e0 THEN 'kombine_value' ELSE 'no_value' END AS tag
 FROM mp JOIN best USING (match_id, market, selection)) z GROUP BY tag"""))
 def f5_value_tags(spark, d):
-    x = od.priced(mk.long_book(D.rates(spark, d), ["1X2", "over_under_2.5"]), od.best_prices(D.odds(spark, d)))
+    x = od.priced(mk.long_book(D.rates(spark, d), od.priced_markets(D.odds(spark, d))), od.best_prices(D.odds(spark, d)))
     t = value.tag(F.col("prob"), value.edge(F.col("prob"), F.col("odds")))
     return x.groupBy(t.alias("tag")).agg(F.count("*").alias("n"))
 
@@ -244,7 +244,7 @@ SELECT match_id, market, selection, round(CASE WHEN odds - 1 <= 0 THEN 0 ELSE gr
   round_even(1000 * 0.25e0 * greatest(0, ((odds - 1) * prob - (1 - prob)) / (odds - 1)), 2) AS stake
 FROM mp JOIN best USING (match_id, market, selection)"""))
 def f6_kelly(spark, d):
-    x = od.priced(mk.long_book(D.rates(spark, d), ["1X2", "over_under_2.5"]), od.best_prices(D.odds(spark, d)))
+    x = od.priced(mk.long_book(D.rates(spark, d), od.priced_markets(D.odds(spark, d))), od.best_prices(D.odds(spark, d)))
     k = value.kelly(F.col("prob"), F.col("odds"))
     return x.select("match_id", "market", "selection", r6(k, "kelly"), value.kelly_stake(F.col("prob"), F.col("odds"), F.lit(1000.0), F.lit(0.25)).alias("stake"))
 
@@ -256,7 +256,7 @@ SELECT match_id, market, selection, round(prob, 6) AS model_prob, odds, round(pr
   FROM mp JOIN best USING (match_id, market, selection)) z WHERE tag = 'banko_value'"""))
 def p10_value_view(spark, d, mode="banko"):
     """Mode all / banko / kombine of the value surface."""
-    x = od.priced(mk.long_book(D.rates(spark, d), ["1X2", "over_under_2.5"]), od.best_prices(D.odds(spark, d)))
+    x = od.priced(mk.long_book(D.rates(spark, d), od.priced_markets(D.odds(spark, d))), od.best_prices(D.odds(spark, d)))
     e = value.edge(F.col("prob"), F.col("odds"))
     x = x.withColumn("edge", e).withColumn("tag", value.tag(F.col("prob"), F.col("edge")))
     x = x.filter(F.col("tag") != "no_value") if mode == "all" else x.filter(F.col("tag") == f"{mode}_value")
@@ -264,11 +264,10 @@ def p10_value_view(spark, d, mode="banko"):
 
 
 @query("w16_share_of_max", sql("mp", """
-SELECT match_id, market, selection, round(prob / max(prob) OVER (PARTITION BY match_id, market), 6) AS bar FROM mp
-WHERE market IN ('1X2', 'goal_range')"""))
+SELECT match_id, market, selection, round(prob / max(prob) OVER (PARTITION BY match_id, market), 6) AS bar FROM mp"""))
 def w16_share_of_max(spark, d):
     from pyspark.sql import Window
-    p = mk.long_book(D.rates(spark, d), ["1X2", "goal_range"])
+    p = mk.long_book(D.rates(spark, d))
     top = F.max("prob").over(Window.partitionBy("match_id", "market"))
     return p.select("match_id", "market", "selection", r6(F.col("prob") / top, "bar"))
 
@@ -285,9 +284,9 @@ def f16_market_names(spark, d):
 
 @query("f30_temperature_apply", sql("mp", """
 SELECT match_id, market, selection, round(q / sum(q) OVER (PARTITION BY match_id, market), 6) AS prob
-FROM (SELECT *, pow(greatest(prob, 1e-12), 1 / 1.8e0) AS q FROM mp WHERE market IN ('1X2', 'over_under_2.5')) z"""))
+FROM (SELECT *, pow(greatest(prob, 1e-12), 1 / 1.8e0) AS q FROM mp) z"""))
 def f30_temperature_apply(spark, d):
     from pyspark.sql import Window
-    p = mk.long_book(D.rates(spark, d), ["1X2", "over_under_2.5"])
+    p = mk.long_book(D.rates(spark, d))
     w = Window.partitionBy("match_id", "market")
     return p.select("match_id", "market", "selection", r6(goals.temperature(F.col("prob"), F.lit(1.8), w), "prob"))

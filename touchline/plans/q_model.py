@@ -116,18 +116,18 @@ CTE["adj"] = (["r", "mot"], """
   WHERE r.status <> 'finished' AND r.kickoff >= TIMESTAMP '2001-01-01 00:00:00'""")
 
 
-@query("u6_prediction_batch", sql("adj", """,
- c AS (SELECT match_id, i, j, w / sum(w) OVER (PARTITION BY match_id) AS p FROM (SELECT match_id, i, j,
-    exp(-lam) * pow(lam, i) / factorial(CAST(i AS INTEGER)) * exp(-mu) * pow(mu, j) / factorial(CAST(j AS INTEGER))
-     * CASE WHEN i = 0 AND j = 0 THEN 1 - lam * mu * rho WHEN i = 0 AND j = 1 THEN 1 + lam * rho WHEN i = 1 AND j = 0 THEN 1 + mu * rho WHEN i = 1 AND j = 1 THEN 1 - rho ELSE 1 END AS w
-    FROM adj, range(0, 11) a(i), range(0, 11) b(j)) z)
-SELECT match_id, '1X2' AS market, CASE WHEN i > j THEN '1' WHEN i = j THEN 'X' ELSE '2' END AS selection, round(sum(p), 6) AS prob FROM c GROUP BY 1, 2, 3
-UNION ALL SELECT match_id, 'over_under_2.5', CASE WHEN i + j > 2.5 THEN 'over' ELSE 'under' END, round(sum(p), 6) FROM c GROUP BY 1, 2, 3"""))
+# the markets of the pair tables, for the adjusted rates of single matches
+for _name in ("cells", "wide", "long"):
+    _text = CTE[f"pair_{_name}"][1].replace("w.home_team_id, w.away_team_id", "w.match_id").replace("home_team_id, away_team_id", "match_id")
+    CTE[f"adj_{_name}"] = ([{"cells": "adj", "wide": "adj_cells", "long": "adj_wide"}[_name]],
+                           _text.replace("pair_rates", "adj").replace("pair_cells", "adj_cells").replace("pair_wide", "adj_wide"))
+
+
+@query("u6_prediction_batch", sql("adj_long", "SELECT match_id, market, selection, round(prob, 6) AS prob FROM adj_long"))
 def u6_prediction_batch(spark, d):
-    """Rates, motivation, matrix, markets of everything still to play."""
+    """Rates, motivation, matrix and all markets of everything still to play."""
     m = D.matches(spark, d)
-    rates = pr.predict(D.with_rates(pr.select_targets(m, D.NOW)), m)
-    p = mk.long_book(rates.select("match_id", "lam", "mu", "rho"), ["1X2", "over_under_2.5"])
+    p = pr.market_rows(pr.predict(D.with_rates(pr.select_targets(m, D.NOW)), m))
     return p.select("match_id", "market", "selection", r6("prob", "prob"))
 
 
