@@ -2,18 +2,19 @@
 from pyspark.sql import functions as F
 
 from touchline.operators import evaluate as ev
+from touchline.operators import odds as od
 from touchline.operators import rolling
 from touchline.operators import timeline as tl
 from touchline.plans import backtest as bt
 from touchline.plans import derive as D
-from touchline.plans.oracle import CTE, hit_sql, sql
+from touchline.plans.oracle import CTE, sql
 from touchline.plans.q_markets import r6
 from touchline.plans.registry import query
 from touchline.session import stored
 
 # Predictions with given rates: matches past the training start of their league; pairs of teams whose numbers add up to a
 # multiple of nine stand for teams a fit has not seen, so the timelines have holes.
-CTE["preds"] = (["mp"], """
+CTE["outs"] = (["mp"], """
   SELECT *, row_number() OVER (PARTITION BY league ORDER BY kickoff, match_id) - 1 AS seq FROM (
     SELECT match_id, league, kickoff, ft_home, ft_away, idx, gidx, max(CASE WHEN k = '1X21' THEN prob END) AS p1, max(CASE WHEN k = '1X2X' THEN prob END) AS px,
       max(CASE WHEN k = '1X22' THEN prob END) AS p2, max(CASE WHEN k = 'over_under_2.5over' THEN prob END) AS po, max(CASE WHEN k = 'over_under_2.5under' THEN prob END) AS pu
@@ -24,18 +25,18 @@ CTE["preds"] = (["mp"], """
 
 def _chain(clock):
     return f"""
-  SELECT league, CAST(0 AS BIGINT) AS k, min({clock}) AS c FROM preds WHERE seq >= {rolling.MINIMUM - 1} GROUP BY league
-  UNION ALL SELECT f.league, f.k + 1, min(p.{clock}) FROM {{me}} f JOIN preds p ON p.league = f.league AND p.{clock} >= f.c + {rolling.EVERY} GROUP BY f.league, f.k, f.c"""
+  SELECT league, CAST(0 AS BIGINT) AS k, min({clock}) AS c FROM outs WHERE seq >= {rolling.MINIMUM - 1} GROUP BY league
+  UNION ALL SELECT f.league, f.k + 1, min(p.{clock}) FROM {{me}} f JOIN outs p ON p.league = f.league AND p.{clock} >= f.c + {rolling.EVERY} GROUP BY f.league, f.k, f.c"""
 
 
-CTE["fitted"] = (["preds"], _chain("idx").format(me="fitted"))
-CTE["gfitted"] = (["preds"], _chain("gidx").format(me="gfitted"))
-CTE["book"] = (["preds", "fitted"], """
-  SELECT p.match_id, p.league, p.idx, p.seq, f.k AS serves, x.market, x.l, x.y FROM preds p ASOF LEFT JOIN fitted f ON p.league = f.league AND p.idx > f.c,
+CTE["fitted"] = (["outs"], _chain("idx").format(me="fitted"))
+CTE["gfitted"] = (["outs"], _chain("gidx").format(me="gfitted"))
+CTE["book"] = (["outs", "fitted"], """
+  SELECT p.match_id, p.league, p.idx, p.seq, f.k AS serves, x.market, x.l, x.y FROM outs p ASOF LEFT JOIN fitted f ON p.league = f.league AND p.idx > f.c,
     LATERAL (VALUES ('1X2', [ln(greatest(p1, 1e-12)), ln(greatest(px, 1e-12)), ln(greatest(p2, 1e-12))], CASE WHEN ft_home > ft_away THEN 1 WHEN ft_home < ft_away THEN 3 ELSE 2 END),
       ('over_under_2.5', [ln(greatest(po, 1e-12)), ln(greatest(pu, 1e-12))], CASE WHEN ft_home + ft_away > 2.5 THEN 1 ELSE 2 END)) x(market, l, y)""")
 CTE["trained"] = (["book"], f"""
-  SELECT f.league, f.k AS fit, b.market, b.l, b.y FROM fitted f JOIN preds p ON p.league = f.league AND p.idx = f.c
+  SELECT f.league, f.k AS fit, b.market, b.l, b.y FROM fitted f JOIN outs p ON p.league = f.league AND p.idx = f.c
     JOIN book b ON b.league = f.league AND b.seq <= p.seq AND b.seq > p.seq - {rolling.WINDOW}""")
 # the mean likelihood is convex in 1/T, so its slope is cut in half again and again
 CTE["halved"] = (["trained"], """
@@ -69,7 +70,7 @@ def w13_rolling_calibration(spark, d):
 
 
 @query("w13_pooled_refits", sql("gfitted", """
-SELECT p.match_id, f.k AS serves, p.gidx IN (SELECT c FROM gfitted) AS refit FROM preds p ASOF LEFT JOIN gfitted f ON p.league = f.league AND p.gidx > f.c"""))
+SELECT p.match_id, f.k AS serves, p.gidx IN (SELECT c FROM gfitted) AS refit FROM outs p ASOF LEFT JOIN gfitted f ON p.league = f.league AND p.gidx > f.c"""))
 def w13_pooled_refits(spark, d):
     """Refits of each league's calibrator when the distance between them is counted on the timeline of all leagues."""
     rows = tl.with_row_index(given(spark, d).select("match_id", "league", "kickoff", "gidx"), "kickoff", "match_id", "league", "seq")
@@ -93,24 +94,37 @@ def u3_calibrated_losses(spark, d):
     return bt.losses(cal).select("league", "n", r6("brier", "brier"), r6("logloss", "logloss"))
 
 
-CTE["opening"] = (["odds"], """
-  SELECT match_id, market, selection, decimal_odds AS odds FROM (SELECT match_id, replace(market, 'OU_', 'over_under_') AS market, selection, decimal_odds, row_number() OVER (
-    PARTITION BY match_id, market, selection ORDER BY CASE source WHEN 'B365' THEN 0 WHEN 'B365C' THEN 5 WHEN 'PSC' THEN 6 ELSE 99 END, odds_id) AS rn FROM odds) z WHERE rn = 1""")
-
-
-@query("u3_bets_by_threshold", sql("calibrated opening", """,
+def _bet_sql(sources):
+    """Bets at the price whose source comes first in the list, as ROI by threshold."""
+    rank = " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(sources))
+    return f""",
  t AS (SELECT * FROM (VALUES (0.0e0), (0.01e0), (0.02e0), (0.03e0), (0.05e0), (0.08e0)) v(threshold)),
- b AS (SELECT league, market, prob * odds - 1 AS edge, odds, won FROM calibrated JOIN opening USING (match_id, market, selection) WHERE prob * odds - 1 > 0),
+ price AS (SELECT match_id, market, selection, decimal_odds AS odds FROM (SELECT match_id, replace(market, 'OU_', 'over_under_') AS market, selection, decimal_odds, row_number() OVER (
+    PARTITION BY match_id, market, selection ORDER BY CASE source {rank} ELSE 99 END, odds_id) AS rn FROM odds) z WHERE rn = 1),
+ b AS (SELECT league, market, prob * odds - 1 AS edge, odds, won FROM calibrated JOIN price USING (match_id, market, selection) WHERE prob * odds - 1 > 0),
  g AS (SELECT DISTINCT league, market FROM b)
 SELECT g.league, g.market, t.threshold, count(b.edge) AS n, round(avg(CASE WHEN won THEN 1e0 WHEN NOT won THEN 0e0 END), 6) AS win_rate, round(avg(CASE WHEN won THEN odds - 1 ELSE -1 END) FILTER (WHERE b.edge IS NOT NULL), 6) AS roi
-FROM g CROSS JOIN t LEFT JOIN b ON b.league = g.league AND b.market = g.market AND b.edge > t.threshold GROUP BY g.league, g.market, t.threshold"""))
-def u3_bets_by_threshold(spark, d):
-    """Bets of calibrated predictions at opening prices: ROI per league, market and edge threshold."""
+FROM g CROSS JOIN t LEFT JOIN b ON b.league = g.league AND b.market = g.market AND b.edge > t.threshold GROUP BY g.league, g.market, t.threshold"""
+
+
+def _bets(spark, d, priority):
     cal, _ = bt.calibrate(given(spark, d))
-    g = ev.roi_by_threshold(bt.bets(cal, D.odds(spark, d)), group=["league", "market"])
+    g = ev.roi_by_threshold(bt.bets(cal, D.odds(spark, d), priority=priority), group=["league", "market"])
     return g.select("league", "market", "threshold", "n", r6("win_rate", "win_rate"), r6("roi", "roi"))
 
 
+@query("u3_bets_by_threshold", sql("calibrated odds", _bet_sql(["B365", "B365C", "PSC"])))
+def u3_bets_by_threshold(spark, d):
+    """Bets of calibrated predictions at opening prices: ROI per league, market and edge threshold."""
+    return _bets(spark, d, od.OPENING_PRIORITY)
+
+
+@query("u3_bets_at_closing", sql("calibrated odds", _bet_sql(["B365C", "PSC", "B365"])))
+def u3_bets_at_closing(spark, d):
+    """The same at closing prices."""
+    return _bets(spark, d, od.CLOSING_PRIORITY)
+
+
 @query("u3_reliability", sql("calibrated", """
 SELECT greatest(1, CAST(ceil(prob * 10) AS BIGINT)) AS bin, count(*) AS n, round(avg(prob), 6) AS predicted, round(avg(CASE WHEN won THEN 1e0 ELSE 0e0 END), 6) AS actual
 FROM calibrated WHERE market = '1X2' GROUP BY 1"""))

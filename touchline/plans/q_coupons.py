@@ -10,7 +10,7 @@ from touchline.operators import picks as pk
 from touchline.plans import derive as D
 from touchline.plans.oracle import CTE, hit_sql, sql
 from touchline.plans.q_evaluate import _RESULT, _bins_sql, ev
-from touchline.plans.q_features import SIG_JOIN, day
+from touchline.plans.q_features import day
 from touchline.plans.q_markets import r6
 from touchline.plans.registry import query
 
@@ -80,10 +80,10 @@ def f13_open_picks(spark, d):
                                        F.col("synthetic").cast("int").alias("synthetic"), r6("edge", "edge"), r6("composite", "composite"))
 
 
-@query("f12_context_scores", sql("strict mot form_full absn m", f""",
+@query("f12_context_scores", sql("strict sig absn m", f""",
  av AS (SELECT match_id, team_id, count(*) AS absent FROM absn GROUP BY match_id, team_id),
- x AS (SELECT s.*, {SIG_JOIN['cols']}, coalesce(va.absent, 0) AS h_abs, coalesce(vb.absent, 0) AS a_abs
-   FROM strict s JOIN m USING (match_id) {SIG_JOIN['join']}
+ x AS (SELECT s.*, g.* EXCLUDE (match_id), coalesce(va.absent, 0) AS h_abs, coalesce(vb.absent, 0) AS a_abs
+   FROM strict s JOIN m USING (match_id) JOIN sig g ON g.match_id = s.match_id
    LEFT JOIN av va ON va.match_id = s.match_id AND va.team_id = m.home_team_id LEFT JOIN av vb ON vb.match_id = s.match_id AND vb.team_id = m.away_team_id),
  y AS (SELECT *, CASE WHEN base = '1X2' AND selection = '1' THEN least(1, greatest(h_rel, h_tit, h_eur) + 0.5e0 * a_dead)
       WHEN base = '1X2' AND selection = '2' THEN least(1, greatest(a_rel, a_tit, a_eur) + 0.5e0 * h_dead)

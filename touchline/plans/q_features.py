@@ -74,15 +74,12 @@ CTE["form_full"] = (["form", "tm"], f"""
   USING (league, season, kickoff, team_id)""")
 
 
-# both sides' signals for a match row ``m`` (aliases h_/a_)
-SIG_JOIN = {
-    "cols": ", ".join(f"{p}m.relegation_risk AS {p}_rel, {p}m.title_push AS {p}_tit, {p}m.europe_push AS {p}_eur, {p}m.dead_rubber AS {p}_dead,"
-                      f" {p}m.intensity AS {p}_int, coalesce({p}f.form_delta, 0) AS {p}_fd" for p in "ha"),
-    "join": " ".join(
-        f"JOIN mot {p}m ON {p}m.league = m.league AND {p}m.season = m.season AND {p}m.kickoff = m.kickoff AND {p}m.team_id = m.{s}_team_id"
-        f" LEFT JOIN form_full {p}f ON {p}f.league = m.league AND {p}f.season = m.season AND {p}f.kickoff = m.kickoff AND {p}f.team_id = m.{s}_team_id"
-        for p, s in (("h", "home"), ("a", "away"))),
-}
+# both sides' signals of a match: each side meets the features of its kickoff once, then a match's two rows become one
+_SIGNALS = {"rel": "relegation_risk", "tit": "title_push", "eur": "europe_push", "dead": "dead_rubber", "int": "intensity", "fd": "coalesce(form_delta, 0)"}
+CTE["sig"] = (["tm", "mot", "form_full"], "SELECT match_id, " + ", ".join(
+    f"max(CASE WHEN is_home = {n} THEN {e} END) AS {p}_{c}" for p, n in (("h", 1), ("a", 0)) for c, e in _SIGNALS.items()) + """
+  FROM (SELECT match_id, is_home, league, season, kickoff, team_id FROM tm) t JOIN (SELECT * FROM mot WHERE plays) g USING (league, season, kickoff, team_id)
+    LEFT JOIN (SELECT league, season, kickoff, team_id, form_delta FROM form_full) f USING (league, season, kickoff, team_id) GROUP BY match_id""")
 
 
 @query("w1_record_before_kickoff", sql("tm", f"""
@@ -193,13 +190,10 @@ def f28_form_reasons(spark, d):
     return f.select("league", "season", day(f), "team_id", short.alias("reasons"))
 
 
-@query("f8_adjusted_rates", sql("r mot", """
-SELECT r.match_id, round(r.lam * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * h.relegation_risk) * (1 + 0.06e0 * h.title_push) * (1 + 0.04e0 * h.europe_push) * (1 - 0.1e0 * h.dead_rubber)))
-    * (1 + 0.05e0 * a.dead_rubber), 6) AS lam,
-  round(r.mu * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * a.relegation_risk) * (1 + 0.06e0 * a.title_push) * (1 + 0.04e0 * a.europe_push) * (1 - 0.1e0 * a.dead_rubber)))
-    * (1 + 0.05e0 * h.dead_rubber), 6) AS mu
-FROM r JOIN mot h ON r.league = h.league AND r.season = h.season AND r.kickoff = h.kickoff AND r.home_team_id = h.team_id
-  JOIN mot a ON r.league = a.league AND r.season = a.season AND r.kickoff = a.kickoff AND r.away_team_id = a.team_id"""))
+@query("f8_adjusted_rates", sql("r sig", """
+SELECT match_id, round(lam * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * h_rel) * (1 + 0.06e0 * h_tit) * (1 + 0.04e0 * h_eur) * (1 - 0.1e0 * h_dead))) * (1 + 0.05e0 * a_dead), 6) AS lam,
+  round(mu * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * a_rel) * (1 + 0.06e0 * a_tit) * (1 + 0.04e0 * a_eur) * (1 - 0.1e0 * a_dead))) * (1 + 0.05e0 * h_dead), 6) AS mu
+FROM r JOIN sig USING (match_id)"""))
 def f8_adjusted_rates(spark, d):
     m = D.matches(spark, d)
     both = ft.attach_sides(D.with_rates(m), ft.motivation_before(m), ft.SIGNALS, "mot")

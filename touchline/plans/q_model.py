@@ -13,7 +13,6 @@ from touchline.plans import backtest as bt
 from touchline.plans import derive as D
 from touchline.plans import predict as pr
 from touchline.plans.oracle import CTE, sql
-from touchline.plans.q_features import SIG_JOIN
 from touchline.plans.q_markets import NOW_SQL, r6
 from touchline.plans.registry import query
 from touchline.session import stored
@@ -106,14 +105,10 @@ def t8_strongest_teams(spark, d):
     return a.unionByName(b)
 
 
-CTE["adj"] = (["r", "mot"], """
-  SELECT r.match_id, r.rho, r.lam * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * h.relegation_risk) * (1 + 0.06e0 * h.title_push) * (1 + 0.04e0 * h.europe_push) * (1 - 0.1e0 * h.dead_rubber)))
-      * (1 + 0.05e0 * a.dead_rubber) AS lam,
-    r.mu * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * a.relegation_risk) * (1 + 0.06e0 * a.title_push) * (1 + 0.04e0 * a.europe_push) * (1 - 0.1e0 * a.dead_rubber)))
-      * (1 + 0.05e0 * h.dead_rubber) AS mu
-  FROM r JOIN mot h ON r.league = h.league AND r.season = h.season AND r.kickoff = h.kickoff AND r.home_team_id = h.team_id
-    JOIN mot a ON r.league = a.league AND r.season = a.season AND r.kickoff = a.kickoff AND r.away_team_id = a.team_id
-  WHERE r.status <> 'finished' AND r.kickoff >= TIMESTAMP '2001-01-01 00:00:00'""")
+CTE["adj"] = (["r", "sig"], """
+  SELECT match_id, rho, lam * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * h_rel) * (1 + 0.06e0 * h_tit) * (1 + 0.04e0 * h_eur) * (1 - 0.1e0 * h_dead))) * (1 + 0.05e0 * a_dead) AS lam,
+    mu * greatest(0.85e0, least(1.15e0, (1 + 0.08e0 * a_rel) * (1 + 0.06e0 * a_tit) * (1 + 0.04e0 * a_eur) * (1 - 0.1e0 * a_dead))) * (1 + 0.05e0 * h_dead) AS mu
+  FROM r JOIN sig USING (match_id) WHERE status <> 'finished' AND kickoff >= TIMESTAMP '2001-01-01 00:00:00'""")
 
 
 # the markets of the pair tables, for the adjusted rates of single matches
