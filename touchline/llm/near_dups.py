@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import components
-from touchline.llm.shared import pieces_of, written
+from touchline.llm.shared import pieces_of, settled, written
 from touchline.llm.words import distinct_per_row, mix, shingles_of_words, word_hashes
 
 SHINGLE = 5
@@ -54,7 +54,7 @@ def word_slots(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], rows), pa.int64())], names=["slot", "n"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(settled(work), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << SLOTS_LOG, np.int64)
     inside = found[found.slot >= 0]
     counts[inside.slot.to_numpy()] = inside.n.to_numpy()
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame, weights: np.ndarray, samples: int = SAMPLES, bands
                                                   pa.array(keys, pa.list_(pa.int64())),
                                                   pa.array(short, pa.list_(pa.int16()))], names=["doc_id", "text_key", "node", "weight", "bands", "samples"])
 
-    return _rows(docs).mapInArrow(work, SKETCH)
+    return _rows(docs).mapInArrow(settled(work), SKETCH)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
 
     both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("right")), "v") \
         .join(texts.select(F.col("node").alias("u"), F.col("text").alias("left")), "u")
-    return both.select("u", "v", "left", "right").mapInArrow(work, "u string, v string")
+    return both.select("u", "v", "left", "right").mapInArrow(settled(work), "u string, v string")
 
 
 def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

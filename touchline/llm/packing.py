@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.shared import pieces_of, written
+from touchline.llm.shared import pieces_of, settled, written
 from touchline.llm.wordids import WordIds
 
 CAPACITY = 2048
@@ -115,7 +115,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
             for a, b in pieces_of(batch["text"], 1 << 20):
                 yield _pieces(batch["doc_id"][a:b], *ids_of.rows(batch["text"][a:b]), capacity)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(settled(work), PIECES)
 
 
 def _pieces(doc_ids: pa.Array, ids: np.ndarray, off: np.ndarray, capacity: int) -> pa.RecordBatch:

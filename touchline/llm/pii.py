@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.shared import pieces_of
+from touchline.llm.shared import settled, slices
 from touchline.llm.tagger import KINDS, WINDOW, Tagger, symbols, window_rows, windows_of
 
 SAMPLE = 800          # documents the tagger is trained on, at most
@@ -256,13 +256,6 @@ def written_spans(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about ``limit`` bytes of text, so few texts are held in Python at a time."""
-    for batch in batches:
-        for a, b in pieces_of(batch["text"], limit):
-            yield batch.slice(a, b - a)
-
-
 def found(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans."""
     spread = docs.sparkSession.sparkContext.broadcast(tagger)  # 80 KB of weights
@@ -277,7 +270,7 @@ def found(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(settled(work), COLUMNS)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -312,4 +305,4 @@ def redacted(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
                 columns["n_chars"] = pa.array([n if a == b else len(b) for n, a, b in zip(kept, old, new)], columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], schema=batch.schema)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(settled(work), docs.schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.shared import settled, slices
+
 BLOCK = 1024
 LEVEL = 3
 DICTIONARY = 112_640
@@ -155,13 +157,13 @@ def scored(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spread.value
         sizes = Sizes(model)
-        for batch in batches:
+        for batch in slices(batches):
             score, bad, good = _scores(sizes, model, batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(score), pa.array((score >= threshold).astype(np.int32)),
                                               pa.array(bad), pa.array(good)], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold() == HELD_OUT, F.lit(True)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, COLUMNS)
+    return rows.mapInArrow(settled(work), COLUMNS)
 
 
 def kept(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -171,8 +173,8 @@ def kept(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = spread.value
         sizes = Sizes(model)
-        for batch in batches:
+        for batch in slices(batches):
             score, _, _ = _scores(sizes, model, batch["text"].to_pylist())
             yield batch.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(settled(work), docs.schema)
