@@ -7,10 +7,12 @@ their weighted Jaccard similarity. They form ``BANDS`` keys of ``SAMPLES // BAND
 a key are candidates, and the exact weighted Jaccard similarity of their whole texts decides.
 
 Texts with the same words are one node from the start, so copies cost one sketch row each and no pairs. In a
-bucket all members of like weight are compared with one leader, not with each other; buckets that still hold members of
-different components are compared with a second leader. Of the members that remain, two can only be alike if they
+bucket all members of like weight are compared with one leader, not with each other. Then turns follow: every bucket that
+still holds several components gets another leader, and a member is compared with the few leaders of other components
+whose sketches agree with its own most. Turns go on while they find links worth their comparisons, so a large group of near copies grows
+together before any pairs are made. Of the members that remain, two of different components can only be alike if they
 share one of the rarest shingles that make up a fifth of their weight, with enough weight behind it in both; they
-are joined on these, so a passage that many texts hold brings no pairs, and no pair that could be a link is left out.
+are joined on these, the largest component of a shingle with the others only, and no pair that could be a link is left out.
 
 Edge cases: null and empty texts are copies of each other (no words); texts of one to four words have one
 shingle; rows with equal ids are told apart by their text; a null doc_id is a row like others and sorts
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import components
@@ -37,6 +39,9 @@ SLOTS_LOG = 16
 POOL = 1 << 14
 RARE_LOG = 18
 AGREE = 36            # of 64 samples: at similarity 0.8 fewer agree once in a million pairs
+LIKELY = 46           # agreeing samples from which on a turn compares a node with a leader
+BEST = 3              # leaders a node is compared with in a turn
+WORTH = 8             # turns go on while more than one in so many comparisons is a link
 SKETCH = "doc_id long, text_key long, node string, weight double, bands array<long>, samples array<short>"
 
 
@@ -183,6 +188,11 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
     return both.select("u", "v", "left", "right").mapInArrow(settled(work), "u string, v string")
 
 
+def agreeing(a: str, b: str) -> Column:
+    """How many of two texts' samples are equal."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+
+
 def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of every node that is linked to another; ``rows``: the stored sketches."""
     nodes = rows.groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands"), F.first("samples").alias("samples"), F.min(F.struct("doc_id", "text_key")).alias("one"))
@@ -196,27 +206,43 @@ def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: flo
         return F.least(a, b) >= (threshold - 1e-4) * F.greatest(a, b)
 
     wanted = written(nodes.join(members.select("node").distinct(), "node").select("node", "one", "samples"))
-    ids = wanted.select("node", F.col("one.doc_id").alias("d"), F.col("one.text_key").alias("k"))
+    # a list of ids that grows with the corpus is never broadcast, however short it is here
+    ids = wanted.select("node", F.col("one.doc_id").alias("d"), F.col("one.text_key").alias("k")).hint("merge")
     texts = written(_rows(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["node"]).select("node", "text"))
-    links = written(verified(members.where(F.expr("node <> leader") & weighty("weight", "leader_weight")).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), texts, weights, threshold))
-    found = written(components(links))
+    tried = written(members.where(F.expr("node <> leader") & weighty("weight", "leader_weight")).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
+    found = written(components(written(verified(tried, texts, weights, threshold))))
+    done = members.select("key", F.col("leader").alias("node")).distinct()
 
-    def open_members(done: DataFrame) -> DataFrame:
+    def open_members() -> DataFrame:
         """Members not yet compared with all others of their bucket, where the bucket still holds several components."""
         left = members.join(done, ["key", "node"], "left_anti").join(found, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
-        several = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("node").alias("second")).where("a <> b").drop("a", "b")
-        return left.join(several, "key")
-
-    done = members.select("key", F.col("leader").alias("node")).distinct()
-    open_ = written(open_members(done))
-    second = open_.where("node = second").select("key", F.col("root").alias("second_root"), F.col("weight").alias("second_weight"))
-    pairs = open_.where("node <> second").join(second, "key").where(F.expr("root <> second_root") & weighty("weight", "second_weight")).select(F.col("second").alias("u"), F.col("node").alias("v")).distinct()
-    links = written(links.unionByName(verified(pairs, texts, weights, threshold)))
-    found = written(components(links))
-    rest = open_members(done.unionByName(open_.select("key", F.col("second").alias("node")).distinct()))
-    rest = written(rest.select("node", "root").distinct().join(wanted.select("node", "samples"), "node"))
-    links = links.unionByName(verified(rare_pairs(rest, texts, weights, threshold), texts, weights, threshold))
-    return components(links)
+        several = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        return written(left.join(several, "key"))
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return written(pairs.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
+
+    open_, turn = open_members(), 0
+    while True:
+        turn += 1
+        held = open_.join(wanted.select("node", "samples"), "node")
+        first = held.groupBy("key").agg(F.min_by(F.struct("node", "root", "weight", "samples"), F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node"))).alias("f")) \
+            .select("key", F.col("f.node").alias("u"), F.col("f.root").alias("u_root"), F.col("f.weight").alias("u_weight"), F.col("f.samples").alias("u_samples"))
+        met = held.join(first, "key").where(F.expr("root <> u_root") & weighty("weight", "u_weight")).withColumn("n", agreeing("samples", "u_samples")).where(F.col("n") >= LIKELY)
+        best = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "u")), asc=False), 1, BEST).alias("best"))  # a node has at most BANDS leaders
+        pairs = untried(best.select(F.col("node").alias("v"), F.explode("best.u").alias("u")))
+        links = written(verified(pairs, texts, weights, threshold))
+        n_pairs, n_links = pairs.count(), links.count()
+        if n_links:
+            found = written(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)))
+            open_ = open_members()
+        tried = tried.unionByName(pairs)
+        if n_links * WORTH <= n_pairs:
+            break
+    rest = written(open_.select("node", "root").distinct().join(wanted.select("node", "samples"), "node"))
+    links = verified(untried(rare_pairs(rest, texts, weights, threshold)), texts, weights, threshold)
+    return components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
 
 
 def rare_pairs(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -229,7 +255,7 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold
     what similarity t means.
     """
     spark = rest.sparkSession
-    own = texts.join(rest.select("node"), "node")
+    own = texts.join(rest.select("node", "root"), "node")
     spread = spark.sparkContext.broadcast(weights)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,17 +283,17 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold
                 before = total[:-1] - total[off[:-1]][row]
                 whole = (total[off[1:]] - total[off[:-1]])[row]
                 keep = np.flatnonzero(before <= (1 - threshold) * whole + 1e-4 * whole)
-                yield pa.RecordBatch.from_arrays([batch["node"][a:b].take(pa.array(row[keep])), pa.array(e[keep].view(np.int64)),
-                                                  pa.array((whole - before)[keep]), pa.array(whole[keep])], names=["node", "rare", "behind", "weight"])
-
-    held = own.select("node", "text").mapInArrow(prefixes, "node string, rare long, behind double, weight double")
-    several = held.groupBy("rare").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rare")
-    rows = written(held.join(several, "rare").join(rest, "node"))
-    a, b = rows.alias("a"), rows.alias("b")
-    agree = F.aggregate(F.zip_with("a.samples", "b.samples", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+                yield pa.RecordBatch.from_arrays([batch["node"][a:b].take(pa.array(row[keep])), batch["root"][a:b].take(pa.array(row[keep])), pa.array(e[keep].view(np.int64)),
+                                                  pa.array((whole - before)[keep]), pa.array(whole[keep])], names=["node", "root", "rare", "behind", "weight"])
+
+    held = written(own.select("node", "root", "text").mapInArrow(settled(prefixes), "node string, root string, rare long, behind double, weight double"))
+    main = held.groupBy("rare", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("rare").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k"))
+    rows = written(held.join(main.where("k > 1").drop("k"), "rare").join(rest.select("node", "samples"), "node"))
+    a, b = rows.where("root <> main").alias("a"), rows.alias("b")
     enough = F.least("a.behind", "b.behind") >= (threshold / (1 + threshold) - 1e-4) * (F.col("a.weight") + F.col("b.weight"))
-    return a.join(b, (F.col("a.rare") == F.col("b.rare")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & enough & (agree >= AGREE)) \
-        .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    return a.join(b, (F.col("a.rare") == F.col("b.rare")) & (F.col("a.root") != F.col("b.root")) & once & enough & (agreeing("a.samples", "b.samples") >= AGREE)) \
+        .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def _classed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -291,6 +317,6 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
     others = written(rows.join(kept, "root").where(~F.col("kept").eqNullSafe(F.struct("doc_id", "text_key"))).select(F.col("doc_id").alias("other_id"), F.col("text_key").alias("other_key")).distinct())
     doc_id, key = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    left = docs.join(others, doc_id.eqNullSafe(others["other_id"]) & (key == others["other_key"]), "left_anti")
+    left = docs.join(others.hint("merge"), doc_id.eqNullSafe(others["other_id"]) & (key == others["other_key"]), "left_anti")
     again = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if again else left  # only repeated rows need the extra shuffle
