@@ -133,3 +133,24 @@ def test_report_follows_from_calibrated_rows(spark):
     assert rep.loc["overall", "n"] == rep.drop("overall")["n"].sum() == rated.count()
     assert rep.loc["overall", "bets"] == placed.count() > 0 and placed.filter("edge <= 0").isEmpty()
     assert (rep.drop("overall")["fits"] > 3).all()
+
+
+def test_fits_from_changes_equal_fits_from_fold_tables(spark, monkeypatch):
+    """Several parts of folds, several times of day; what is sent to the fits is far less than a pair table a fold."""
+    monkeypatch.setattr(fit, "FOLDS", 16)
+    rng, rows = np.random.default_rng(9), []
+    for i in range(900):
+        g = int(rng.integers(0, 2))
+        h, a = rng.choice(5 if i < 300 else 9, 2, replace=False)
+        t = pd.Timestamp("2020-01-01") + pd.Timedelta(hours=24 * (i // 4) + int(rng.choice([12, 18])))
+        rows.append((i, f"L{g}", t.to_pydatetime(), int(10 * g + h), int(10 * g + a), int(rng.poisson(1.6)), int(rng.poisson(1.2))))
+    m = spark.createDataFrame(rows, "match_id long, league string, kickoff timestamp_ntz, home_team_id long, away_team_id long, ft_home int, ft_away int")
+    m = m.selectExpr("*", "'finished' AS status", "CAST(NULL AS DOUBLE) AS xg_home", "CAST(NULL AS DOUBLE) AS xg_away")
+    for pooled, solve in ((False, fit.fit_folds), (True, fit.fit_pooled)):
+        num = bt.numbered(m, pooled=pooled, min_train=60, refit_every=20).cache()
+        tables, changes = fit.fold_stats(num, 0.004), fit.fold_changes(num, 0.004)
+        assert 3 * changes.count() < 2 * tables.count()
+        want, got = (solve(x).toPandas().set_index(["grp", "fold", "team_id"]) for x in (tables, changes))
+        assert len(want) == len(got) and set(want.index) == set(got.index)
+        for c in ("attack", "defence", "gamma", "delta", "rho"):
+            assert (got[c] - want[c].reindex(got.index)).abs().max() < 1e-6, c

@@ -35,7 +35,7 @@ def walk_forward(matches: DataFrame, *, pooled: bool = False, min_train: int = M
     rows = stored(rows)
     enough = rows.groupBy("grp").agg(F.max("idx").alias("_last")).filter(F.col("_last") + 1 >= min_train + LEAST_TESTS)
     rows = rows.join(enough.select("grp"), "grp", "left_semi")
-    stats = fit.fold_stats(rows, xi)
+    stats = fit.fold_changes(rows, xi)
     params = fit.fit_pooled(stats, l2) if pooled else fit.fit_folds(stats, l2)
     return fit.with_fitted_rates(rows.filter("fold >= 0"), params)
 
