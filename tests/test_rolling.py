@@ -7,7 +7,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from touchline.operators import fit, rolling, timeline
+from touchline.operators import calibrate, fit, rolling, timeline
 from touchline.plans import backtest as bt
 from touchline.plans import derive as D
 
@@ -154,3 +154,18 @@ def test_fits_from_changes_equal_fits_from_fold_tables(spark, monkeypatch):
         assert len(want) == len(got) and set(want.index) == set(got.index)
         for c in ("attack", "defence", "gamma", "delta", "rho"):
             assert (got[c] - want[c].reindex(got.index)).abs().max() < 1e-6, c
+
+
+def test_temperatures_side_by_side_equal_the_aggregate(spark):
+    rng, rows = np.random.default_rng(6), []
+    for n in range(400):
+        p, q = rng.dirichlet([2, 1, 2]), rng.dirichlet([3, 2])
+        rows.append(("L", n, n, [("1X2", [float(x) for x in p], int(rng.integers(1, 4))), ("over_under_2.5", [float(x) for x in q], int(rng.choice(2, p=q)) + 1)]))
+    df = spark.createDataFrame(rows, "league string, seq long, idx long, books array<struct<market: string, p: array<double>, y: int>>")
+    marked = rolling.refits(df, "league", "seq", "idx", 40, 15).cache()
+    long = rolling.training_rows(marked, "league", "seq", 120).select("league", "fit", F.inline("books"))
+    want = {(r.market, r.fit): (r["T"], r.n) for r in calibrate.fit_temperature(long, ["league", "market", "fit"]).collect()}
+    found = rolling.temperatures(marked, "league", "seq", 120)
+    got = {(r.market, r.fit): (r["T"], r.n) for r in found.collect()}
+    assert set(got) == set(want) and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], rel=1e-5) for k in want)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]  # no row is copied to every fit that reads it

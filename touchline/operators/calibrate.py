@@ -140,3 +140,36 @@ def fit_temperature(df: DataFrame, keys, passes: int = 3, points: int = 16, lo:
     x = df.join(near, keys).selectExpr(*keys, "_b", "n", f"{total('')} AS _z", f"{total(' * {q}')} AS _m", f"{total(' * {q} * {q}')} AS _v", "ly AS _y")
     g = x.groupBy(*keys, "_b", "n").agg(F.expr("sum(_m / _z - _y) AS _d"), F.expr("sum(_v / _z - (_m / _z) * (_m / _z)) AS _dd"))
     return g.selectExpr(*keys, f"1D / least({1 / lo!r}D, greatest({1 / hi!r}D, _b - coalesce(try_divide(_d, _dd), 0D))) AS T", "n")
+
+
+def log_probabilities(values: np.ndarray, at: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Logs of the values at these places, as ``_with_logs`` takes them; unused places count nothing."""
+    p = np.nan_to_num(values.astype(float), nan=1e-12)[np.where(use, at, 0)]
+    return np.where(use, np.log(np.maximum(p, 1e-12)), -1e100)
+
+
+def temperatures_of(logs: np.ndarray, true: np.ndarray, use: np.ndarray, lo: float = 0.05, hi: float = 20.0) -> np.ndarray:
+    """The temperature of ``fit_temperature`` for several groups side by side: logs (group, row, outcome), true log (group, row).
+
+    The likelihood is convex in 1/T: Newton steps inside a bracket that its slope narrows.
+    """
+    a, b, x = np.full(len(logs), 1 / hi), np.full(len(logs), 1 / lo), np.ones(len(logs))
+    flat = None
+    for _ in range(80):
+        w = np.exp(x[:, None, None] * logs)
+        z = w.sum(axis=2)
+        m = (w * logs).sum(axis=2) / z
+        d = np.where(use, m - true, 0).sum(axis=1)
+        dd = np.where(use, (w * logs * logs).sum(axis=2) / z - m * m, 0).sum(axis=1)
+        if flat is None:
+            flat = (np.abs(d) < 1e-12) & (dd < 1e-12)  # every temperature is as good: the lowest, as the grid has it
+        a, b = np.where(d < 0, x, a), np.where(d < 0, b, x)
+        with np.errstate(all="ignore"):
+            new = x - d / dd
+        new = np.where(np.abs(new - x) < 1e-12, x, np.where((new > a) & (new < b), new, (a + b) / 2))
+        new = np.where(d == 0, x, new)
+        done = np.abs(new - x).max(initial=0) < 1e-13
+        x = new
+        if done:
+            break
+    return np.where(flat, lo, 1 / x)

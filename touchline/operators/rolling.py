@@ -8,11 +8,13 @@ more with their true entry. So no task holds more than one block of predictions,
 """
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from touchline.operators.calibrate import fit_temperature
-from touchline.session import stored
+from touchline.operators.calibrate import log_probabilities, temperatures_of
 
 MINIMUM, EVERY, WINDOW = 100, 50, 500
 BLOCK = 16_384  # positions of the timeline in a block, more than EVERY
@@ -32,7 +34,7 @@ def refits(preds: DataFrame, group, seq: str, clock: str, minimum: int = MINIMUM
     group = [group] if isinstance(group, str) else list(group)
     if block < every:
         raise ValueError("a block holds at least the distance between two refits")
-    types = dict(preds.dtypes)
+    types, columns = dict(preds.dtypes), preds.columns
     named = ", ".join(f"{g} {types[g]}" for g in group)
     rows = preds.withColumn("_block", F.floor(F.col(clock) / F.lit(block)).cast("long"))
 
@@ -66,27 +68,27 @@ def refits(preds: DataFrame, group, seq: str, clock: str, minimum: int = MINIMUM
     tables = ready.groupBy(*group, "_block").applyInPandas(states, f"{named}, _block long, wait long, free long, n long")
     entry = tables.groupBy(*group).applyInPandas(compose, f"{named}, _block long, wait long, before long")
 
-    def read(key, pdf):
-        pdf = pdf.sort_values(clock)
-        x, able = pdf[clock].to_numpy(np.int64), pdf[seq].to_numpy() >= minimum - 1
+    def read(key, table):
+        order = np.argsort(table[clock].to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        x, able = table[clock].to_numpy().astype(np.int64), table[seq].to_numpy() >= minimum - 1
         ready_at = np.flatnonzero(able)
         fit = np.zeros(len(x), bool)
         if len(ready_at):
             follow = _chain(x[ready_at], every)
-            i = int(np.searchsorted(x[ready_at], int(key[-1]) * block + int(pdf.wait.iloc[0])))
+            i = int(np.searchsorted(x[ready_at], key[-1].as_py() * block + table["wait"][0].as_py()))
             while i < len(ready_at):
                 fit[ready_at[i]] = True
                 i = int(follow[i])
-        serves = int(pdf.before.iloc[0]) + np.cumsum(fit) - fit - 1
-        pdf["serves"] = pd.array(np.where(serves < 0, 0, serves), dtype="Int64")
-        pdf.loc[serves < 0, "serves"] = pd.NA
-        pdf["refit"] = fit
-        return pdf.drop(columns=["_block", "wait", "before"])
+        serves = table["before"][0].as_py() + np.cumsum(fit) - fit - 1
+        table = table.select(columns)
+        return table.append_column("serves", pa.array(serves, pa.int64(), mask=serves < 0)).append_column("refit", pa.array(fit))
 
     # a block before the group's first possible refit has no entry and serves nothing
     opened = rows.join(entry, [*group, "_block"], "left").fillna({"wait": 0, "before": 0})
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in preds.dtypes), "serves long", "refit boolean"])
-    return opened.select(*preds.columns, "_block", "wait", "before").groupBy(*group, "_block").applyInPandas(read, schema)
+    schema = StructType([*preds.schema.fields, StructField("serves", LongType()), StructField("refit", BooleanType())])
+    # Arrow tables, so columns that only pass through are never made into Python objects
+    return opened.select(*columns, "_block", "wait", "before").groupBy(*group, "_block").applyInArrow(read, schema)
 
 
 def training_rows(marked: DataFrame, group, seq: str, window: int = WINDOW) -> DataFrame:
@@ -103,11 +105,48 @@ def training_rows(marked: DataFrame, group, seq: str, window: int = WINDOW) -> D
 
 
 def temperatures(marked: DataFrame, group, seq: str, window: int = WINDOW) -> DataFrame:
-    """(group..., market, fit, T, n) from rows with ``books``: an array of (market, p: probabilities, y: number of the true one, from 1)."""
+    """(group..., market, fit, T, n) from rows with ``books``: an array of (market, p: probabilities, y: number of the true one, from 1).
+
+    A fit's rows are those of ``training_rows``. A task holds the fits of one stretch of ``window`` predictions, with these and
+    the stretch before, so a row is sent twice whatever the number of fits, and all fits of a stretch are solved side by side.
+    """
     group = [group] if isinstance(group, str) else list(group)
-    rows = training_rows(marked.select(*group, seq, "serves", "refit", "books"), group, seq, window)
-    flat = rows.select(*group, "fit", F.inline("books"))
-    return fit_temperature(stored(flat), [*group, "market", "fit"])
+    types = dict(marked.dtypes)
+    schema = pa.schema([(c, t) for c, t in zip([*group, "market", "fit", "T", "n"], [*(to_arrow_type(marked.schema[g].dataType) for g in group), pa.string(), pa.int64(), pa.float64(), pa.int64()])])
+
+    def solve(key, table):
+        table = table.take(pa.array(np.argsort(table[seq].to_numpy(), kind="stable"))).combine_chunks()
+        at, stretch = table[seq].to_numpy().astype(np.int64), key[-1].as_py()
+        ends = np.flatnonzero(table["refit"].to_numpy(zero_copy_only=False).astype(bool) & (at // window == stretch))
+        if not len(ends):
+            return schema.empty_table()
+        fit, out = [0 if x is None else x + 1 for x in table["serves"].take(pa.array(ends)).to_pylist()], []
+        books = table["books"].combine_chunks()
+        books = books.chunk(0) if isinstance(books, pa.ChunkedArray) else books
+        of = np.repeat(np.arange(len(at)), np.diff(books.offsets.to_numpy()))
+        flat = books.flatten()
+        names, p, y = flat.field("market"), flat.field("p"), flat.field("y").to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = names.dictionary_encode()
+        size, values = np.diff(p.offsets.to_numpy()), p.flatten().to_numpy(zero_copy_only=False)
+        first = np.append(0, np.cumsum(size))[:-1]
+        for m, market in enumerate(codes.dictionary.to_pylist()):
+            mine = np.flatnonzero(codes.indices.to_numpy(zero_copy_only=False) == m)
+            slot = np.arange(size[mine].max())
+            logs = log_probabilities(values, first[mine][:, None] + slot, slot < size[mine][:, None])
+            true, pos = logs[np.arange(len(mine)), y[mine] - 1], at[of[mine]]
+            lo, hi = np.searchsorted(pos, at[ends] - window, "right"), np.searchsorted(pos, at[ends], "right")
+            pick = lo[:, None] + np.arange((hi - lo).max())
+            use = pick < hi[:, None]
+            pick = np.where(use, pick, 0)
+            t = temperatures_of(logs[pick], true[pick], use)
+            out += [(market, f, float(v), int(n)) for f, v, n in zip(fit, t, hi - lo) if n]
+        cols = [pa.array([k.as_py()] * len(out), schema.field(i).type) for i, k in enumerate(key[:-1])]
+        return pa.Table.from_arrays([*cols, *(pa.array([r[i] for r in out], schema.field(len(group) + i).type) for i in range(4))], schema=schema)
+
+    rows = marked.select(*group, seq, "serves", "refit", "books").dropna(subset=group)
+    rows = rows.withColumn("_part", F.explode(F.expr(f"array_distinct(array({seq} DIV {window}, ({seq} + {window - 1}) DIV {window}))")))
+    named = ", ".join(f"`{g}` {types[g]}" for g in group)
+    return rows.groupBy(*group, "_part").applyInArrow(solve, f"{named}, market string, fit long, T double, n long")
 
 
 def calibrated(marked: DataFrame, fits: DataFrame, group, market: str = "market") -> DataFrame:
