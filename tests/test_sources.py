@@ -59,3 +59,16 @@ def test_curve_store_and_missing_curve(spark, tmp_path):
     sy.save_curve(spark.createDataFrame([("A", 0.2, 0.1, 40), ("A", 0.6, 0.5, 40)], "market string, x double, y double, n_train long"), str(tmp_path / "c"))
     out = sorted(r.prob for r in cal.apply_curve(probs, sy.load_curve(spark, str(tmp_path / "c"))).collect())
     assert [round(x, 9) for x in out] == [0.2, 0.5]
+
+
+def test_lines_of_one_file_are_not_dealt_by_file(spark):
+    """The header reaches every task, and so do the league names; only the count at the end may shuffle by a key of theirs."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = [("f.csv", "Div,Date,Time,HomeTeam,AwayTeam")] + [("f.csv", f"{c},01/02/2024,20:00,A{i},B{i}") for i, c in enumerate(["E0", "D1", "ZZ"] * 3)]
+        got = landed.main_fixtures(spark.createDataFrame(lines, "file string, line string"))
+        assert {(r.league, r.home_team) for r in got.collect()} == {("E0", "A0"), ("D1", "A1"), ("E0", "A3"), ("D1", "A4"), ("E0", "A6"), ("D1", "A7")}
+        assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and "ShuffledHashJoin" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -67,7 +67,8 @@ def named_lines(lines: DataFrame, required) -> DataFrame:
     is_header = F.size(F.array_except(need, F.col("fields"))) == 0
     # one header per file: a table as small as the list of files
     header = cells.filter(is_header).groupBy("file").agg(F.max("fields").alias("header"))
-    body = cells.filter(~is_header).join(header, "file")
+    # sent to every task: dealt by file, the lines of one large file would end in one task
+    body = cells.filter(~is_header).join(F.broadcast(header), "file")
     return body.filter(F.size("fields") <= F.size("header")).select("file", "header", "fields")
 
 
@@ -131,7 +132,7 @@ def main_fixtures(lines: DataFrame, codes=None) -> DataFrame:
     known = catalog(lines.sparkSession).filter("format = 'main'").select(F.col("code").alias("league"))
     m = x.select(field("Div").alias("league"), times.kickoff(field("Date"), F.coalesce(field("Time"), F.lit(""))).alias("kickoff"),
                  field("HomeTeam").alias("home_team"), field("AwayTeam").alias("away_team"))
-    m = m.join(known, "league", "left_semi").dropna(subset=["home_team", "away_team", "kickoff"])
+    m = m.join(F.broadcast(known), "league", "left_semi").dropna(subset=["home_team", "away_team", "kickoff"])
     m = m.filter(F.col("league").isin(list(codes))) if codes else m
     return m.withColumns({"season": times.season_of(F.col("kickoff")), "status": F.lit("scheduled")})
 
@@ -142,7 +143,7 @@ def new_fixtures(lines: DataFrame, codes=None) -> DataFrame:
     known = catalog(lines.sparkSession).filter("format = 'new'").select(F.lower("country").alias("c"), F.col("code").alias("league"))
     m = x.select(F.lower(field("Country")).alias("c"), times.kickoff(field("Date"), F.coalesce(field("Time"), F.lit(""))).alias("kickoff"),
                  field("Home").alias("home_team"), field("Away").alias("away_team"), field("Season").alias("s"))
-    m = m.join(known, "c").dropna(subset=["home_team", "away_team", "kickoff"])
+    m = m.join(F.broadcast(known), "c").dropna(subset=["home_team", "away_team", "kickoff"])
     m = m.filter(F.col("league").isin(list(codes))) if codes else m
     return m.select("league", F.coalesce("s", F.year("kickoff").cast("string")).alias("season"), "kickoff", "home_team", "away_team",
                     F.lit("scheduled").alias("status"))
