@@ -226,29 +226,18 @@ def _newton(n, nl, ix, s, l2, start=None, rho=None):
 CELLS = 1 << 19  # numbers of one array of a batch of folds, at most (one fold may hold more)
 
 
-def solve_many(n, nl, ix, s, here, l2, start=None, rho=None):
-    """``_newton`` in batches; without ``start``, later folds begin at the first one's solution, for the teams they have."""
+def solve_many(n, nl, ix, s, l2, start=None, rho=None):
+    """``_newton`` in batches. Without ``start`` every fold begins at the fixed start, so its optimum depends on its own rows alone."""
     many, m = len(s[0]), 2 * n + 2 * nl + 1
     theta, value, its = np.empty((many, m)), np.empty(many), np.empty(many, int)
-    size, a, known = max(1, CELLS // max(m * m, len(ix[0]), 1)), 0, start is not None
+    size = max(1, CELLS // max(m * m, len(ix[0]), 1))
     with np.errstate(all="ignore"):
-        while a < many:
-            b = min(many, a + size) if known or a else a + 1
-            at = slice(a, b)
-            first = start[at] if known else None if not a else np.where(_present(n, nl, ix, here[at]), theta[0], 0)
-            theta[at], value[at], its[at] = _newton(n, nl, ix, [x[at] for x in s], l2, first, None if rho is None else rho[at])
-            a = b
+        for a in range(0, many, size):
+            at = slice(a, a + size)
+            theta[at], value[at], its[at] = _newton(n, nl, ix, [x[at] for x in s], l2, None if start is None else start[at], None if rho is None else rho[at])
     return theta, value, its
 
 
-def _present(n, nl, ix, here):
-    """Which parameters a fold has rows for; the leagues' and rho always count."""
-    out = np.ones((len(here), 2 * n + 2 * nl + 1), bool)
-    teams = _teams_of(n, ix, here)
-    out[:, :n] = out[:, n:2 * n] = teams
-    return out
-
-
 def _teams_of(n, ix, here):
     out = np.zeros((len(here), n), bool)
     fold, pair = np.nonzero(here)
@@ -258,10 +247,10 @@ def _teams_of(n, ix, here):
 
 def solve_pairs(pdf: pd.DataFrame, l2: float, start: np.ndarray | None = None, rho: float | None = None):
     """Bounded damped Newton on the pair statistics of one fold; ``rho`` holds the shared parameter at a value."""
-    _, teams, leagues, ix, s, here = _tables(pdf.assign(fold=0))
+    _, teams, leagues, ix, s, _ = _tables(pdf.assign(fold=0))
     n, nl = len(teams), len(leagues)
     start = None if start is None or len(start) != 2 * n + 2 * nl + 1 else start[None]
-    theta, value, it = solve_many(n, nl, ix, s, here, l2, start, None if rho is None else np.array([rho]))
+    theta, value, it = solve_many(n, nl, ix, s, l2, start, None if rho is None else np.array([rho]))
     return teams, leagues, theta[0], float(value[0]), int(it[0]), ix, tuple(x[0] for x in s)
 
 
@@ -341,7 +330,7 @@ def fit_folds(stats: DataFrame, l2: float = 2.0) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         folds, teams, leagues, ix, s, here = _tables(pdf)
         n, nl = len(teams), len(leagues)
-        theta, value, it = solve_many(n, nl, ix, s, here, l2)
+        theta, value, it = solve_many(n, nl, ix, s, l2)
         att, dfn = theta[:, :n].copy(), theta[:, n:2 * n].copy()
         gam, dlt = theta[:, 2 * n:2 * n + nl], theta[:, 2 * n + nl:2 * n + 2 * nl].copy()
         mine, lg = _teams_of(n, ix, here), np.zeros(att.shape, int)
@@ -384,7 +373,7 @@ def _league_block(l2: float):
         at = np.searchsorted(folds, state["fold"].to_numpy(np.int64))
         s, here, rho = [x[at] for x in s], here[at], state["rho"].to_numpy(float)
         start = None if state["theta"].isna().any() else np.stack(state["theta"].to_list()).astype(float)
-        theta, value, it = solve_many(n, 1, ix, s, here, l2, start, rho)
+        theta, value, it = solve_many(n, 1, ix, s, l2, start, rho)
         slope, curve = np.empty(len(at)), np.empty(len(at))
         each, size = np.arange(2 * n + 2), max(1, CELLS // (2 * n + 3) ** 2)
         for a in range(0, len(at), size):
