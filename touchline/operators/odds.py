@@ -1,5 +1,5 @@
 """Price series: one best or latest price per selection, margins, probability-price joins."""
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import naming
@@ -53,14 +53,34 @@ def expected_count(market: Column) -> Column:
     return F.coalesce(naming.lookup(market, EXPECTED_SELECTIONS), F.lit(2))
 
 
-def with_overround(best: DataFrame) -> DataFrame:
-    """Add ``overround``: sum of 1/odds of the market, 1.0 unless every selection is priced."""
-    w = Window.partitionBy("match_id", "market")
-    priced = F.count(F.when(F.col("odds") > 0, 1)).over(w)
-    total = F.sum(F.when(F.col("odds") > 0, F.lit(1.0) / F.col("odds"))).over(w)
-    # one hash by match serves this window and any other window by match behind it
-    return best.repartition("match_id").withColumn(
-        "overround", F.when(priced >= expected_count(F.col("market")), total).otherwise(F.lit(1.0)))
+def price_lists(best: DataFrame, markets=None, borrow: bool = False) -> DataFrame:
+    """(match_id, prices): the prices of a match as one row, from one price row per selection as ``best_prices`` gives them.
+
+    ``prices`` holds odds and margin by the selection's place in ``book_columns(markets)``, and in the bits of ``has`` which places have a
+    price row. A margin is the sum of 1/odds of the market, 1.0 unless every selection is priced; with ``borrow`` a double
+    chance without its own takes two thirds of the 1X2 margin. Every part is a plain hash aggregate, so nothing is sorted or collected.
+    """
+    pairs = mk.book_columns(markets)
+    names = list(dict.fromkeys(["1X2", *(m for m, _ in pairs)]))
+    listed = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    known = best.filter(F.col("match_id").isNotNull() & F.col("market").isin(names)).selectExpr(
+        "match_id", "odds", f"CAST(array_position({listed(names)}, market) AS INT) AS m",
+        f"CAST(coalesce(array_position({listed(f'{m}|{s}' for m, s in pairs)}, concat(market, '|', selection)), 0) AS INT) AS pos")
+    sums = [F.expr(x) for i in range(1, len(names) + 1) for x in (
+        f"count_if(m = {i} AND odds > 0) AS _n{i}", f"sum(IF(m = {i} AND odds > 0, 1D / odds, NULL)) AS _s{i}")]
+    odds = [F.expr(f"max(IF(pos = {k}, odds, NULL)) AS _o{k}") for k in range(1, len(pairs) + 1)]
+    per = known.groupBy("match_id").agg(F.expr("bit_or(IF(pos > 0, shiftleft(1L, pos - 1), 0L)) AS has"), F.expr("count_if(m = 1) AS _one"), *odds, *sums)
+    margin = {n: f"IF(_n{i} >= {EXPECTED_SELECTIONS.get(n, 2)}, _s{i}, 1D)" for i, n in enumerate(names, 1)}
+    if borrow and "double_chance" in margin:
+        own = margin["double_chance"]
+        margin["double_chance"] = f"IF({own} = 1D, IF(_one > 0, {margin['1X2']} * 2 / 3, 1D), {own})"
+    return per.selectExpr("match_id", f"struct(has, array({', '.join(f'_o{k}' for k in range(1, len(pairs) + 1))}) AS odds,"
+                                      f" array({', '.join(margin[m] for m, _ in pairs)}) AS margin) AS prices")
+
+
+def with_prices(matches: DataFrame, best: DataFrame, markets=None, how: str = "inner", borrow: bool = False) -> DataFrame:
+    """Rows of a match with its prices, joined before the rows are expanded into selections: one narrow row a match is sorted."""
+    return matches.join(price_lists(best, markets, borrow), "match_id", how)
 
 
 def overrounds(best: DataFrame) -> DataFrame:
@@ -77,7 +97,9 @@ def double_chance_overround(overround: DataFrame) -> DataFrame:
         F.when(F.col("overround") == 0, 1.0).otherwise(F.col("overround") * 2 / 3).alias("overround"))
 
 
-def priced(probs: DataFrame, best: DataFrame, how: str = "inner") -> DataFrame:
-    """Market probabilities with their price; both sides share one spelling of the market."""
-    b = best.select("match_id", "market", "selection", *[c for c in best.columns if c in ("odds", "overround")])
-    return probs.join(b, ["match_id", "market", "selection"], how)
+def priced(probs: DataFrame, how: str = "inner") -> DataFrame:
+    """Selections (long rows that carry ``prices`` and ``ord``) with odds and overround of their price; ``left`` keeps those without one."""
+    keep = [f"`{c}`" for c in probs.columns if c != "prices"]
+    has = "(shiftright(prices.has, ord - 1) & 1L) = 1L"
+    rows = probs if how == "left" else probs.filter(has)
+    return rows.selectExpr(*keep, f"IF({has}, prices.odds[ord - 1], NULL) AS odds", f"IF({has}, prices.margin[ord - 1], NULL) AS overround")

@@ -26,23 +26,14 @@ def candidates(matches: DataFrame, best: DataFrame) -> DataFrame:
     A double chance uses its own margin when fully priced, else two thirds of the 1X2 margin.
     """
     wanted = [m for m in mk.ENUMERATED if m != "odd_even"]
-    probs = mk.long_book(matches.select("match_id", "league", "kickoff", "ft_home", "ft_away", "lam", "mu", "rho"), wanted)
-    b = od.with_overround(best)
-    one = F.max(F.when(F.col("market") == "1X2", F.col("overround"))).over(_by_match())
-    vig = F.when((F.col("market") == "double_chance") & (F.col("overround") == 1.0), F.coalesce(one * 2 / 3, F.lit(1.0))) \
-        .otherwise(F.col("overround"))
-    x = od.priced(probs, b.withColumn("overround", vig)).filter("odds > 1.01")
+    m = matches.select("match_id", "league", "kickoff", "ft_home", "ft_away", "lam", "mu", "rho")
+    x = od.priced(mk.long_book(od.with_prices(m, best, wanted, borrow=True), wanted)).filter("odds > 1.01")
     e = value.fair_edge(F.col("prob"), F.lit(1.0) / F.col("odds"), F.col("overround"))
     h = settle.hit(F.col("market"), F.col("selection"), F.col("ft_home"), F.col("ft_away"))
     return x.select("match_id", "league", "kickoff", "market", "selection", "prob", "odds", e.alias("edge"), h.alias("hit")) \
         .filter("hit IS NOT NULL")
 
 
-def _by_match():
-    from pyspark.sql import Window
-    return Window.partitionBy("match_id")
-
-
 def motivation_score() -> str:
     """SQL text over market, selection, h_*/a_* signals."""
     h = "greatest(h_relegation_risk, h_title_push, h_europe_push)"
@@ -177,7 +168,8 @@ def enumerate_picks(matches: DataFrame, best: DataFrame, curve: DataFrame | None
         named = {f for p in policy.values() for f in p[0]}
         families = named if families is None else named & set(families)
     wanted = [m for m in mk.ENUMERATED if families is None or _family(m, compat_base_market) in families]
-    probs = mk.long_book(pool, wanted)
+    how = "inner" if require_edge else "left"
+    probs = mk.long_book(od.with_prices(pool, best, wanted, how), wanted)
     probs = probs.withColumn("base", naming.base_market(F.col("market"), compat_base_market))
     if require_edge:
         probs = probs.filter(F.expr(f"array_contains({_policy(0, policy, 'array()')}, base)"))
@@ -185,7 +177,7 @@ def enumerate_picks(matches: DataFrame, best: DataFrame, curve: DataFrame | None
         probs = calibrate.apply_curve(probs, curve, "prob")
     floor = f"greatest({min_prob}D, {_policy(2, policy, '0D')})" if require_edge else f"{min_prob}D"
     probs = probs.filter(F.expr(f"prob >= {floor}"))
-    x = od.priced(probs, od.with_overround(best), "inner" if require_edge else "left")
+    x = od.priced(probs, how)
     x = x.withColumn("synthetic", F.col("odds").isNull())
     x = x.selectExpr(
         *[f"`{c}`" for c in x.columns if c not in ("odds", "overround")], "coalesce(odds, 1D / prob) AS odds",

@@ -63,8 +63,11 @@ def calibrate(rated: DataFrame, *, minimum: int = rolling.MINIMUM, every: int =
 def bets(cal: DataFrame, odds: DataFrame, least: float = 0.0, priority=od.OPENING_PRIORITY) -> DataFrame:
     """One bet per priced selection whose calibrated edge is above ``least``; ``priority`` names opening or closing prices."""
     sel = F.create_map(*[x for m, s in BOOKS.items() for x in (F.lit(m), F.array(*map(F.lit, s)))])[F.col("market")]
-    long = cal.select("match_id", "league", "kickoff", "ft_home", "ft_away", "market", F.inline(F.arrays_zip(sel.alias("selection"), F.col("p").alias("prob"))))
-    x = od.priced(long, od.best_prices(odds, priority, tie="first")).withColumn("edge", F.expr("prob * odds - 1D")).filter(F.col("edge") > least)
+    rows = od.with_prices(cal.select("match_id", "league", "kickoff", "ft_home", "ft_away", "market", "p"), od.best_prices(odds, priority, tie="first"), list(BOOKS))
+    long = rows.select("match_id", "league", "kickoff", "ft_home", "ft_away", "market", "prices", F.inline(F.arrays_zip(sel.alias("selection"), F.col("p").alias("prob"))))
+    place = F.array(*[F.lit(f"{m}|{s}") for m, s in mk.book_columns(list(BOOKS))])
+    long = long.withColumn("ord", F.array_position(place, F.concat_ws("|", "market", "selection")).cast("int"))
+    x = od.priced(long).withColumn("edge", F.expr("prob * odds - 1D")).filter(F.col("edge") > least)
     return x.withColumn("hit", settle.hit(F.col("market"), F.col("selection"), F.col("ft_home"), F.col("ft_away")))
 
 

@@ -29,9 +29,13 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+ROWS_A_TASK = 100_000  # derived matches in one partition, so what a task sorts or hashes does not grow with the input
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Derived rows dealt out by their key, so one large input file feeds every core and later joins by match find them in place."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // ROWS_A_TASK)), key)
 
 
 def now(text: str = NOW) -> Column:

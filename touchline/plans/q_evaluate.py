@@ -11,7 +11,7 @@ from touchline.operators import timeline as tl
 from touchline.plans import derive as D
 from touchline.plans.oracle import CTE, hit_sql, sql
 from touchline.plans.q_features import day
-from touchline.plans.q_markets import r6
+from touchline.plans.q_markets import book, r6
 from touchline.plans.registry import query
 from touchline.session import stored
 
@@ -52,7 +52,7 @@ def cands(spark, d):
 
 
 def bets(spark, d):
-    x = od.priced(mk.long_book(played(spark, d), ["1X2", "over_under_2.5"]), od.best_prices(D.odds(spark, d)))
+    x = book(played(spark, d), od.best_prices(D.odds(spark, d)), ["1X2", "over_under_2.5"])
     return x.select("match_id", "league", "kickoff", "market", "selection", "prob", "odds", F.expr("prob * odds - 1D").alias("edge"),
                     settle.hit(F.col("market"), F.col("selection"), F.col("ft_home"), F.col("ft_away")).alias("hit"))
 

@@ -22,16 +22,26 @@ def upcoming(spark, d):
 
 @query("m0_upcoming_value", sql("mp best", f"""
 SELECT match_id, league, market, selection, round(prob, 6) AS prob, odds, round(prob * odds - 1, 6) AS edge,
+def book(matches, best, markets, how="inner"):
+    """The long book of ``matches`` with prices."""
+    return od.priced(mk.long_book(od.with_prices(matches, best, markets, how), markets), how)
+
+
+def priced_book(spark, d):
+    """Every selection of every match that has a price."""
+    odds = D.odds(spark, d)
+    return book(D.rates(spark, d), od.best_prices(odds), od.priced_markets(odds))
+
+
   CASE WHEN prob >= 0.7e0 AND prob * odds - 1 >= 0.03e0 THEN 'banko_value'
        WHEN prob >= 0.35e0 AND prob < 0.7e0 AND prob * odds - 1 >= 0.05e0 THEN 'kombine_value' ELSE 'no_value' END AS tag
 FROM mp JOIN best USING (match_id, market, selection)
 WHERE status = 'scheduled' AND kickoff > {NOW_SQL} AND prob * odds > 1"""))
 def m0_upcoming_value(spark, d):
-    probs = mk.long_book(D.with_rates(upcoming(spark, d)).select("match_id", "league", "lam", "mu", "rho"),
-                         ["1X2", "over_under_2.5"])
+    m = D.with_rates(upcoming(spark, d)).select("match_id", "league", "lam", "mu", "rho")
     e = value.edge(F.col("prob"), F.col("odds"))
     return (
-        od.priced(probs, od.best_prices(D.odds(spark, d)))
+        book(m, od.best_prices(D.odds(spark, d)), ["1X2", "over_under_2.5"])
         .withColumn("e", e).filter("e > 0")
         .select("match_id", "league", "market", "selection", r6("prob", "prob"), "odds", r6("e", "edge"),
                 value.tag(F.col("prob"), F.col("e")).alias("tag"))
@@ -214,17 +224,15 @@ SELECT match_id, market, selection, round(prob, 6) AS prob, odds
 FROM mp LEFT JOIN best USING (match_id, market, selection)
 WHERE market IN ('1X2', 'double_chance', 'btts', 'odd_even') OR market LIKE 'over_under_%'"""))
 def j3_probs_with_prices(spark, d):
-    probs = mk.long_book(D.rates(spark, d), mk.ENUMERATED)
-    return od.priced(probs, od.best_prices(D.odds(spark, d)), "left").select(
-        "match_id", "market", "selection", r6("prob", "prob"), "odds")
+    return book(D.rates(spark, d), od.best_prices(D.odds(spark, d)), mk.ENUMERATED, "left").select(
+        "match_id", "market", "selection", p6("prob"), "odds")
 
 
 @query("f4_edges", sql("mp best overround", """
 SELECT match_id, market, selection, round(prob * odds - 1, 6) AS raw_edge, round(prob / ((1 / odds) / vig) - 1, 6) AS fair_edge
 FROM mp JOIN best USING (match_id, market, selection) JOIN overround USING (match_id, market)"""))
 def f4_edges(spark, d):
-    probs = mk.long_book(D.rates(spark, d), od.priced_markets(D.odds(spark, d)))
-    x = od.priced(probs, od.with_overround(od.best_prices(D.odds(spark, d))))
+    x = priced_book(spark, d)
     return x.select("match_id", "market", "selection", r6(value.edge(F.col("prob"), F.col("odds")), "raw_edge"),
                     r6(value.fair_edge(F.col("prob"), F.lit(1.0) / F.col("odds"), F.col("overround")), "fair_edge"))
 
@@ -234,7 +242,7 @@ SELECT tag, count(*) AS n FROM (SELECT CASE WHEN prob >= 0.7e0 AND prob * odds -
        WHEN prob >= 0.35e0 AND prob < 0.7e0 AND prob * odds - 1 >= 0.05e0 THEN 'kombine_value' ELSE 'no_value' END AS tag
 FROM mp JOIN best USING (match_id, market, selection)) z GROUP BY tag"""))
 def f5_value_tags(spark, d):
-    x = od.priced(mk.long_book(D.rates(spark, d), od.priced_markets(D.odds(spark, d))), od.best_prices(D.odds(spark, d)))
+    x = priced_book(spark, d)
     t = value.tag(F.col("prob"), value.edge(F.col("prob"), F.col("odds")))
     return x.groupBy(t.alias("tag")).agg(F.count("*").alias("n"))
 
@@ -244,7 +252,7 @@ SELECT match_id, market, selection, round(CASE WHEN odds - 1 <= 0 THEN 0 ELSE gr
   round_even(1000 * 0.25e0 * greatest(0, ((odds - 1) * prob - (1 - prob)) / (odds - 1)), 2) AS stake
 FROM mp JOIN best USING (match_id, market, selection)"""))
 def f6_kelly(spark, d):
-    x = od.priced(mk.long_book(D.rates(spark, d), od.priced_markets(D.odds(spark, d))), od.best_prices(D.odds(spark, d)))
+    x = priced_book(spark, d)
     k = value.kelly(F.col("prob"), F.col("odds"))
     return x.select("match_id", "market", "selection", r6(k, "kelly"), value.kelly_stake(F.col("prob"), F.col("odds"), F.lit(1000.0), F.lit(0.25)).alias("stake"))
 
@@ -256,7 +264,7 @@ SELECT match_id, market, selection, round(prob, 6) AS model_prob, odds, round(pr
   FROM mp JOIN best USING (match_id, market, selection)) z WHERE tag = 'banko_value'"""))
 def p10_value_view(spark, d, mode="banko"):
     """Mode all / banko / kombine of the value surface."""
-    x = od.priced(mk.long_book(D.rates(spark, d), od.priced_markets(D.odds(spark, d))), od.best_prices(D.odds(spark, d)))
+    x = priced_book(spark, d)
     e = value.edge(F.col("prob"), F.col("odds"))
     x = x.withColumn("edge", e).withColumn("tag", value.tag(F.col("prob"), F.col("edge")))
     x = x.filter(F.col("tag") != "no_value") if mode == "all" else x.filter(F.col("tag") == f"{mode}_value")
@@ -286,7 +294,4 @@ def f16_market_names(spark, d):
 SELECT match_id, market, selection, round(q / sum(q) OVER (PARTITION BY match_id, market), 6) AS prob
 FROM (SELECT *, pow(greatest(prob, 1e-12), 1 / 1.8e0) AS q FROM mp) z"""))
 def f30_temperature_apply(spark, d):
-    from pyspark.sql import Window
-    p = mk.long_book(D.rates(spark, d))
-    w = Window.partitionBy("match_id", "market")
-    return p.select("match_id", "market", "selection", r6(goals.temperature(F.col("prob"), F.lit(1.8), w), "prob"))
+    return mk.sharpened_book(D.rates(spark, d), 1.8).select("match_id", "market", "selection", p6("prob"))
