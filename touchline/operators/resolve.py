@@ -115,17 +115,26 @@ def interval_join(rows: DataFrame, matches: DataFrame, keys, hours: int, *, stri
     """First match per row among those with equal ``keys`` and kickoffs within ``hours``.
 
     Rows are put into their own and both neighbouring time buckets, which makes the window an
-    equi-join; ``rank`` is the list of SQL texts that orders candidates.
+    equi-join; ``rank`` is the list of SQL texts over a row's columns that orders candidates, ties go to the smallest match_id.
     """
     keys = list(keys)
     b = window_buckets(F.col("kickoff"), hours)
-    left = rows.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
-    right = matches.select(*keys, "match_id", F.col("kickoff").alias("match_kickoff"), b.alias("_b"))
+    right = matches.select(*keys, "match_id", F.col("kickoff").alias("match_kickoff"))
+    left = rows
+    if rank is not None:
+        # rows that share keys and kickoff share their first match, and of matches that do so only the first counts:
+        # clocks meet clocks, whatever number of rows and matches stand behind them
+        right = right.groupBy(*keys, "match_kickoff").agg(F.expr("min(struct(match_id)).match_id AS match_id"))
+        left = rows.select(*keys, "kickoff").distinct()
+    left = left.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
+    right = right.withColumn("_b", window_buckets(F.col("match_kickoff"), hours))
     gap = F.abs(F.unix_micros(F.col("kickoff").cast("timestamp")) - F.unix_micros(F.col("match_kickoff").cast("timestamp")))
     limit = F.lit(hours * 3_600_000_000)
     j = left.join(right, [*keys, "_b"]).withColumn("gap", gap).filter(F.col("gap") < limit if strict else F.col("gap") <= limit)
-    return j.drop("_b", "gap") if rank is None else j.groupBy("row_id").agg(
-        F.expr(f"min(struct({', '.join(rank)}, match_id)).match_id AS match_id"))
+    if rank is None:
+        return j.drop("_b", "gap")
+    first = j.groupBy(*keys, "kickoff").agg(F.expr("min(struct(match_id)).match_id AS match_id"))
+    return rows.join(first, [*keys, "kickoff"]).groupBy("row_id").agg(F.expr(f"min(struct({', '.join(rank)}, match_id)).match_id AS match_id"))
 
 
 def by_team(matches: DataFrame) -> DataFrame:
