@@ -202,7 +202,25 @@ def top_scores(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def cells(df: DataFrame) -> DataFrame:
-    """Long score matrix (keys..., i, j, p): 121 rows per match, made inside the row."""
+    """Long score matrix (keys..., i, j, p): 121 rows per match, made inside the row.
+
+    Home goals are expanded first, away goals second: eleven terms each, short code that the JVM compiles.
+    """
+    keep = [f"`{c}`" for c in df.columns]
+    low = lambda i, j: f"d{i}{j}" if (i, j) in LOW else "0D"
+    homes = ", ".join(f"struct({i} AS i, h{i} AS _h, {low(i, 0)} AS _d0, {low(i, 1)} AS _d1)" for i in range(N + 1))
+    away = f"array({', '.join(f'a{j}' for j in range(N + 1))})"
+    by_home = with_goal_vectors(df).selectExpr(*keep, f"{away} AS _a", f"inline(array({homes}))")
+    return by_home.selectExpr(*keep, "i", "_h", "_d0", "_d1", "posexplode(_a) AS (j, _p)").selectExpr(
+        *keep, "i", "j", "_h * _p + CASE j WHEN 0 THEN _d0 WHEN 1 THEN _d1 ELSE 0D END AS p")
+
+
+def sharpened_book(df: DataFrame, t: float) -> DataFrame:
+    """The long book with p^(1/t) rescaled to sum to one over each market of a ``match_id``.
+
+    The sums run over one row a match (rows that share a match_id share them too), before the row is expanded into selections.
+    """
+    pairs = book_columns()
     keep = [f"`{c}`" for c in df.columns]
     items = ", ".join(f"struct({i} AS i, {j} AS j, {_cell(i, j)} AS p)" for i in range(N + 1) for j in range(N + 1))
     return with_goal_vectors(df).selectExpr(*keep, f"inline(array({items}))")

@@ -8,6 +8,12 @@ from touchline.plans import derive as D
 from touchline.plans.oracle import sql
 from touchline.plans.registry import query
 
+def p6(name):
+    """``round(name, 6)`` of a double column, to the last bit: by plain arithmetic, and by decimals only next to a tie or from a thousand up."""
+    y = f"({name} * 1e6D)"
+    return F.expr(f"IF(abs({name}) < 1e3D AND abs({y} - floor({y}) - 0.5D) > 1e-4D, floor({y} + 0.5D) / 1e6D, round({name}, 6))").alias(name)
+
+
 NOW_SQL = f"TIMESTAMP '{D.NOW}'"
 
 
@@ -62,7 +68,7 @@ def f1_poisson_rates(spark, d):
 SELECT match_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(p, 6) AS p
 FROM m JOIN pair_cells USING (home_team_id, away_team_id)"""))
 def f2_score_matrix(spark, d):
-    return mk.cells(D.rates(spark, d)).select("match_id", "i", "j", r6("p", "p"))
+    return mk.cells(D.rates(spark, d)).select("match_id", "i", "j", p6("p"))
 
 
 @query("j25_cells_per_match", sql("m pair_cells", """
