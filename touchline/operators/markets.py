@@ -173,9 +173,12 @@ def long_book(df: DataFrame, markets=None) -> DataFrame:
     An unpivot, not an exploded array: it plans as Expand, which copies no arrays and keeps the
     optimizer from carrying the long sums through every filter above it.
     """
-    names = [f"{m}|{s}" for m, s in book_columns(markets)]
-    keep = [f"`{c}`" for c in df.columns]
-    rows = wide_book(df).unpivot(df.columns, [f"`{n}`" for n in names], "_v", "prob")
+    return unpivoted(wide_book(df), df.columns, book_columns(markets))
+
+
+def unpivoted(wide: DataFrame, keys, pairs) -> DataFrame:
+    names = [f"{m}|{s}" for m, s in pairs]
+    rows = wide.unpivot(keys, [f"`{n}`" for n in names], "_v", "prob")
     order = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
     return rows.selectExpr(*keep, "substring_index(_v, '|', 1) AS market", "substring_index(_v, '|', -1) AS selection", "prob",
                            f"CAST(array_position({order}, _v) AS INT) AS ord")
@@ -222,8 +225,12 @@ def sharpened_book(df: DataFrame, t: float) -> DataFrame:
     """
     pairs = book_columns()
     keep = [f"`{c}`" for c in df.columns]
-    items = ", ".join(f"struct({i} AS i, {j} AS j, {_cell(i, j)} AS p)" for i in range(N + 1) for j in range(N + 1))
-    return with_goal_vectors(df).selectExpr(*keep, f"inline(array({items}))")
+    # sorted while rows are narrow; the window below finds them in order
+    w = wide_book(df.sortWithinPartitions("match_id")).selectExpr(*keep, *[f"pow(greatest(`{m}|{s}`, 1e-12D), 1D / {t}D) AS `{m}|{s}`" for m, s in pairs])
+    by_market = {m: _sum(f"`{x}|{s}`" for x, s in pairs if x == m) for m, _ in pairs}
+    w = w.selectExpr("*", *[f"sum({q}) OVER (PARTITION BY match_id) AS `{m}`" for m, q in by_market.items()])
+    w = w.selectExpr(*keep, *[f"`{m}|{s}` / `{m}` AS `{m}|{s}`" for m, s in pairs])
+    return unpivoted(w, df.columns, pairs)
 
 
 def payload_json(df: DataFrame) -> DataFrame:
