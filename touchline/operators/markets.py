@@ -180,7 +180,7 @@ def unpivoted(wide: DataFrame, keys, pairs) -> DataFrame:
     names = [f"{m}|{s}" for m, s in pairs]
     rows = wide.unpivot(keys, [f"`{n}`" for n in names], "_v", "prob")
     order = "array(" + ", ".join(f"'{n}'" for n in names) + ")"
-    return rows.selectExpr(*keep, "substring_index(_v, '|', 1) AS market", "substring_index(_v, '|', -1) AS selection", "prob",
+    return rows.selectExpr(*[f"`{c}`" for c in keys], "substring_index(_v, '|', 1) AS market", "substring_index(_v, '|', -1) AS selection", "prob",
                            f"CAST(array_position({order}, _v) AS INT) AS ord")
 
 
@@ -254,7 +254,7 @@ def payload_probs(df: DataFrame, payload: str = "payload") -> DataFrame:
     """The way back: flat numeric markets of a stored payload as long rows."""
     keep = [c for c in df.columns if c != payload]
     entries = df.select(*keep, F.explode(F.from_json(payload, "map<string,string>")).alias("market", "body"))
-    flat = entries.withColumn("m", F.from_json("body", "map<string,double>"))
-    numeric = F.col("m").isNotNull() & ~F.exists(F.map_values("m"), lambda v: v.isNull())
-    return flat.filter(F.col("body").startswith("{") & numeric).select(
-        *keep, "market", F.explode("m").alias("selection", "prob"))
+    # each body is parsed once (a filter on the parsed map would parse it again), lists and objects of objects not at all
+    parsed = "IF(startswith(body, '{') AND (NOT contains(body, '\":{') OR contains(body, '\\\\')), from_json(body, 'map<string,double>'), NULL)"
+    numeric = f"transform(array({parsed}), m -> IF(exists(map_values(m), v -> v IS NULL), NULL, m))[0]"
+    return entries.selectExpr(*[f"`{c}`" for c in keep], "market", f"explode({numeric}) AS (selection, prob)")

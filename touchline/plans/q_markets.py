@@ -22,12 +22,6 @@ def r6(c, name=None):
     return F.round(c, 6).alias(name) if name else F.round(c, 6)
 
 
-def upcoming(spark, d):
-    return D.matches(spark, d).filter((F.col("status") == "scheduled") & (F.col("kickoff") > D.now()))
-
-
-@query("m0_upcoming_value", sql("mp best", f"""
-SELECT match_id, league, market, selection, round(prob, 6) AS prob, odds, round(prob * odds - 1, 6) AS edge,
 def book(matches, best, markets, how="inner"):
     """The long book of ``matches`` with prices."""
     return od.priced(mk.long_book(od.with_prices(matches, best, markets, how), markets), how)
@@ -39,6 +33,12 @@ def priced_book(spark, d):
     return book(D.rates(spark, d), od.best_prices(odds), od.priced_markets(odds))
 
 
+def upcoming(spark, d):
+    return D.matches(spark, d).filter((F.col("status") == "scheduled") & (F.col("kickoff") > D.now()))
+
+
+@query("m0_upcoming_value", sql("mp best", f"""
+SELECT match_id, league, market, selection, round(prob, 6) AS prob, odds, round(prob * odds - 1, 6) AS edge,
   CASE WHEN prob >= 0.7e0 AND prob * odds - 1 >= 0.03e0 THEN 'banko_value'
        WHEN prob >= 0.35e0 AND prob < 0.7e0 AND prob * odds - 1 >= 0.05e0 THEN 'kombine_value' ELSE 'no_value' END AS tag
 FROM mp JOIN best USING (match_id, market, selection)
@@ -187,7 +187,7 @@ SELECT match_id, market, selection, round(prob, 6) AS prob FROM mp WHERE market
 def p12_flat_payload_markets(spark, d):
     """Read the stored document back: only flat numeric maps are markets."""
     doc = mk.payload_json(D.rates(spark, d)).select("match_id", "payload")
-    return mk.payload_probs(doc).select("match_id", "market", "selection", r6("prob", "prob"))
+    return mk.payload_probs(doc).select("match_id", "market", "selection", p6("prob"))
 
 
 @query("w7_best_price_last_wins", sql("best", "SELECT match_id, market, selection, odds FROM best"))
