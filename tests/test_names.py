@@ -54,3 +54,14 @@ def test_ladder_equals_all_pairs(spark, cutoff, loose):
             want[(lg, s)] = (keys[lg][best[1]], "fuzzy")
     assert got == want
     assert any(m == "fuzzy" for _, m in got.values())
+
+
+def test_ladder_reads_its_names_once(spark, tmp_path):
+    """Containment and similarity start from stored spellings and keys: the tables behind them are not computed again in each step."""
+    spark.createDataFrame([("L0", s) for s in spellings(2)], "league string, name string").write.parquet(f"{tmp_path}/names")
+    spark.createDataFrame([(i, c, "L0") for i, c in enumerate(D.CLUBS)], "team_id long, name string, league string").write.parquet(f"{tmp_path}/clubs")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    out = rs.resolve(read("names"), read("clubs"), literal_rows(spark, list(D.ALIASES.items()), "alias, name"), cutoff=0.72, containment=True)
+    files = [f.rsplit("/", 2)[-2] for f in out.inputFiles()]
+    assert files and not {"names", "clubs"} & set(files)
+    assert out.count() == out.select("name").distinct().count() > 0

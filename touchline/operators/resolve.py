@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from touchline.functions import naming
+from touchline.session import stored
 
 STRICT_CUTOFF, SECOND_CUTOFF, LOOSE_CUTOFF = 0.88, 0.86, 0.72
 RESERVE_SUFFIX = r"\s(W|Res\.?|II|B)$"
@@ -50,7 +51,10 @@ def team_keys(teams: DataFrame, block: str = "league") -> DataFrame:
 
 def resolve_exact(names: DataFrame, teams: DataFrame, aliases: DataFrame, block: str = "league") -> DataFrame:
     """(block, name, team_id, method) of distinct names by alias, then by normalised name."""
-    keys = team_keys(teams, block)
+    return _exact(names, team_keys(teams, block), aliases, block)
+
+
+def _exact(names: DataFrame, keys: DataFrame, aliases: DataFrame, block: str) -> DataFrame:
     n = names.select(block, "name").distinct().join(aliases.select(F.col("alias").alias("name"), F.col("name").alias("plain")), "name", "left")
     n = n.select(block, "name", naming.feed_name(F.col("plain")).alias("k1"), naming.feed_name(F.col("name")).alias("k2"))
     a = keys.select(block, F.col("key").alias("k1"), F.col("team_id").alias("t1"))
@@ -76,9 +80,12 @@ def _contained(left: DataFrame, keys: DataFrame, block: str, least: int) -> Data
 
 def resolve(names: DataFrame, teams: DataFrame, aliases: DataFrame, *, block: str = "league", cutoff: float = STRICT_CUTOFF,
             containment: bool = False) -> DataFrame:
-    """The full ladder: alias, exact, optional containment (3 letters up), then similarity."""
-    exact = resolve_exact(names, teams, aliases, block)
-    keys = team_keys(teams, block)
+    """The full ladder: alias, exact, optional containment (3 letters up), then similarity.
+
+    Every step reads the distinct spellings and team keys again, so both are stored: the tables behind them are read once.
+    """
+    keys = stored(team_keys(teams, block))
+    exact = stored(_exact(names, keys, aliases, block))
     done = exact.filter("team_id IS NOT NULL").select(block, "name", "team_id", "method")
     left = exact.filter("team_id IS NULL AND norm <> ''").select(block, "name", "norm")
     if containment:
