@@ -105,6 +105,34 @@ def test_rare_shingles_find_every_link(spark):
     assert {(r["u"], r["v"]) for r in near_dups.verified(pairs, table, weights).collect()} == want
 
 
+def test_a_group_of_near_copies_is_not_met_in_pairs(spark, monkeypatch):
+    """Copies of one text with two to seven edits each: most pairs are less alike than the threshold, and few of these are compared."""
+    base, rng, texts = prose(9, 300).split(), np.random.default_rng(3), []
+    for i in range(300):
+        own = list(base)
+        for j, at in enumerate(rng.choice(300, 2 + i % 6, replace=False)):
+            own[at] = f"edit{i}x{j}"
+        texts.append(" ".join(own))
+    compared, plain = [], near_dups.verified
+
+    def verified(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(near_dups, "verified", verified)
+    docs = spark.createDataFrame(rows(texts), COLUMNS)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs).collect()}
+    e, w, off, _ = near_dups.weighted_sets(pa.array(texts), near_dups.slot_weights(docs))
+    sets = [(e[off[i]:off[i + 1]], w[off[i]:off[i + 1]]) for i in range(len(texts))]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if root[i] != root[j] and near_dups.weighted_jaccard(sets[i], sets[j]) >= 0.8:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert got == dict(enumerate(root))
+    assert sum(compared) < 14 * len(texts), compared
+
+
 def test_near_duplicates_on_odd_rows(spark):
     df, data = odd(spark)
     got = [(r["doc_id"], r["class_id"], r["class_size"]) for r in near_dups.classes(df).collect()]

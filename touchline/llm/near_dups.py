@@ -13,6 +13,8 @@ whose sketches agree with its own most. Turns go on while they find links worth
 together before any pairs are made. Of the members that remain, two of different components can only be alike if they
 share one of the rarest shingles that make up a fifth of their weight, with enough weight behind it in both; they
 are joined on these, the largest component of a shingle with the others only, and no pair that could be a link is left out.
+That join is made in ``ROUNDS``, pairs whose sketches agree most first: what they link is one component in the next round, so
+a large group of near copies meets itself a few times a member, not in all pairs.
 
 Edge cases: null and empty texts are copies of each other (no words); texts of one to four words have one
 shingle; rows with equal ids are told apart by their text; a null doc_id is a row like others and sorts
@@ -42,6 +44,7 @@ AGREE = 36            # of 64 samples: at similarity 0.8 fewer agree once in a m
 LIKELY = 46           # agreeing samples from which on a turn compares a node with a leader
 BEST = 3              # leaders a node is compared with in a turn
 WORTH = 8             # turns go on while more than one in so many comparisons is a link
+ROUNDS = (56, 52, AGREE)  # agreeing samples from which on the join on rare shingles makes a pair, round after round
 SKETCH = "doc_id long, text_key long, node string, weight double, bands array<long>, samples array<short>"
 
 
@@ -241,12 +244,24 @@ def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: flo
         if n_links * WORTH <= n_pairs:
             break
     rest = written(open_.select("node", "root").distinct().join(wanted.select("node", "samples"), "node"))
-    links = verified(untried(rare_pairs(rest, texts, weights, threshold)), texts, weights, threshold)
-    return components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+    held = rare_rows(rest, texts, weights, threshold)
+    for agree in ROUNDS:
+        now = held.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = untried(pairs_of(now, threshold, agree))
+        links = written(verified(pairs, texts, weights, threshold))
+        if not links.isEmpty():
+            found = written(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)))
+        tried = tried.unionByName(pairs)
+    return found
 
 
 def rare_pairs(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (u, v) of nodes of different components that share a shingle of both their prefixes and whose sketches agree.
+    """Pairs (u, v) of nodes of different components that share a shingle of both their prefixes and whose sketches agree."""
+    return pairs_of(rare_rows(rest, texts, weights, threshold), threshold, AGREE)
+
+
+def rare_rows(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """Stored rows (node, root, samples, rare, behind, weight), one for each shingle of a text's prefix that several components hold.
 
     A text's prefix are its rarest shingles, just over 1 - threshold of its weight: texts that are as alike as the
     threshold share more weight than lies outside a prefix. Any order common to all texts will do; shingles are
@@ -287,12 +302,22 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold
                                                   pa.array((whole - before)[keep]), pa.array(whole[keep])], names=["node", "root", "rare", "behind", "weight"])
 
     held = written(own.select("node", "root", "text").mapInArrow(settled(prefixes), "node string, root string, rare long, behind double, weight double"))
+    return written(_shared(held).drop("main").join(rest.select("node", "samples"), "node"))
+
+
+def _shared(held: DataFrame) -> DataFrame:
+    """The rows whose shingle several components hold, with the component that holds it most often."""
     main = held.groupBy("rare", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("rare").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("k"))
-    rows = written(held.join(main.where("k > 1").drop("k"), "rare").join(rest.select("node", "samples"), "node"))
+    return held.join(main.where("k > 1").drop("k"), "rare")
+
+
+def pairs_of(held: DataFrame, threshold: float, agree: int) -> DataFrame:
+    """Pairs (u, v) of ``rare_rows``: nodes of different components with enough weight behind a common shingle, ``agree`` samples equal."""
+    rows = written(_shared(held))
     a, b = rows.where("root <> main").alias("a"), rows.alias("b")
     enough = F.least("a.behind", "b.behind") >= (threshold / (1 + threshold) - 1e-4) * (F.col("a.weight") + F.col("b.weight"))
     once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
-    return a.join(b, (F.col("a.rare") == F.col("b.rare")) & (F.col("a.root") != F.col("b.root")) & once & enough & (agreeing("a.samples", "b.samples") >= AGREE)) \
+    return a.join(b, (F.col("a.rare") == F.col("b.rare")) & (F.col("a.root") != F.col("b.root")) & once & enough & (agreeing("a.samples", "b.samples") >= agree)) \
         .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
