@@ -1,6 +1,7 @@
 """Near copies, repeated passages, benchmark leaks, chats, fingerprints, packing: against brute force on small tables."""
 import hashlib
 import itertools
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -15,6 +16,7 @@ from samples import COLUMNS, nothing, odd, prose, rows
 from touchline.llm import bottomk, chat_collapse, chunk_dedup, components, decontaminate, near_dups, packing, queries
 from touchline.llm.shared import documents
 from touchline.llm.wordids import WordIds
+from touchline.session import SHUFFLE_CLEANUP, shared_folder
 
 
 def grouped(pairs, nodes):
@@ -461,3 +463,25 @@ def test_packing_of_odd_rows(spark):
     df, data = odd(spark)
     checked_packing(packing.packed_documents(df, queries.TOKENIZER).collect(), [(r[0], r[1]) for r in data])
     assert packing.packed_documents(nothing(spark), queries.TOKENIZER).count() == 0
+
+
+def test_near_dedup_leaves_few_files(spark):
+    """Shuffle files go as their query ends, tables of the turns as the classes are known."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffles():
+        return {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    def tables():
+        folder = shared_folder(spark).removeprefix("file:")
+        return {f for f in os.listdir(folder) if f.startswith("touchline-")} if os.path.isdir(folder) else set()
+
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    texts = [" ".join(words[k:] + words[:k]) for k in range(12)] + [" ".join(words) + " more"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    setting = spark.conf.get(SHUFFLE_CLEANUP)
+    old_shuffles, old_tables = shuffles(), tables()
+    kept = near_dups.one_of_each(docs).count()
+    assert 0 < kept <= 13 and spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert len(tables() - old_tables) <= 20
+    assert len({f.split("_")[1] for f in shuffles() - old_shuffles}) <= 25

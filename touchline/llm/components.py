@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.shared import written
+from touchline.llm.shared import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("u <> v").select("u", "v").distinct())
     mark = None
     while True:
-        now = written(_small(_large(now)))
+        last, now = now, written(_small(_large(now)))
+        discard(last)
         # a sum of hashes in two halves: equal before and after means that no edge moved
         h = F.xxhash64("u", "v")
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftright(h, 32))).first())

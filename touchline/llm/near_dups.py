@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import components
-from touchline.llm.shared import pieces_of, settled, written
+from touchline.llm.shared import discard, pieces_of, settled, written
 from touchline.llm.words import distinct_per_row, mix, shingles_of_words, word_hashes
 
 SHINGLE = 5
@@ -213,7 +213,9 @@ def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: flo
     ids = wanted.select("node", F.col("one.doc_id").alias("d"), F.col("one.text_key").alias("k")).hint("merge")
     texts = written(_rows(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).dropDuplicates(["node"]).select("node", "text"))
     tried = written(members.where(F.expr("node <> leader") & weighty("weight", "leader_weight")).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
-    found = written(components(written(verified(tried, texts, weights, threshold))))
+    links = written(verified(tried, texts, weights, threshold))
+    found = written(components(links))
+    passing = [members, wanted, texts, tried, links]  # tables that nothing reads once the classes are known
     done = members.select("key", F.col("leader").alias("node")).distinct()
 
     def open_members() -> DataFrame:
@@ -237,7 +239,9 @@ def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: flo
         pairs = untried(best.select(F.col("node").alias("v"), F.explode("best.u").alias("u")))
         links = written(verified(pairs, texts, weights, threshold))
         n_pairs, n_links = pairs.count(), links.count()
+        passing += [pairs, links]
         if n_links:
+            passing += [found, open_]
             found = written(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)))
             open_ = open_members()
         tried = tried.unionByName(pairs)
@@ -245,13 +249,17 @@ def linked(docs: DataFrame, weights: np.ndarray, rows: DataFrame, threshold: flo
             break
     rest = written(open_.select("node", "root").distinct().join(wanted.select("node", "samples"), "node"))
     held = rare_rows(rest, texts, weights, threshold)
+    passing += [open_, rest, held]
     for agree in ROUNDS:
         now = held.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = untried(pairs_of(now, threshold, agree))
         links = written(verified(pairs, texts, weights, threshold))
+        passing += [pairs, links]
         if not links.isEmpty():
+            passing.append(found)
             found = written(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links)))
         tried = tried.unionByName(pairs)
+    discard(*passing)
     return found
 
 
@@ -302,7 +310,9 @@ def rare_rows(rest: DataFrame, texts: DataFrame, weights: np.ndarray, threshold:
                                                   pa.array((whole - before)[keep]), pa.array(whole[keep])], names=["node", "root", "rare", "behind", "weight"])
 
     held = written(own.select("node", "root", "text").mapInArrow(settled(prefixes), "node string, root string, rare long, behind double, weight double"))
-    return written(_shared(held).drop("main").join(rest.select("node", "samples"), "node"))
+    out = written(_shared(held).drop("main").join(rest.select("node", "samples"), "node"))
+    discard(held)
+    return out
 
 
 def _shared(held: DataFrame) -> DataFrame:
@@ -326,7 +336,9 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weights = slot_weights(docs)
     rows = written(sketches(docs, weights))
     roots = linked(docs, weights, rows, threshold)
-    return written(rows.select("doc_id", "text_key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    out = written(rows.select("doc_id", "text_key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    discard(rows, roots)
+    return out
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,9 +8,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from touchline.session import discard
 from touchline.session import stored as written
 
-__all__ = ["documents", "pieces_of", "settled", "slices", "written"]
+__all__ = ["discard", "documents", "pieces_of", "settled", "slices", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

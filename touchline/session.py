@@ -1,5 +1,7 @@
 """Session defaults the operators rely on (cluster settings win when present)."""
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -40,14 +42,46 @@ def shared_folder(spark: SparkSession) -> str:
     return own.get() if own.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/touchline-stored"
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside remove their shuffle files as they end; else these stay until the driver collects garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df):
     """Cut lineage, always: a Parquet table in the shared folder, deleted when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/touchline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``stored`` returned and that nothing reads any more."""
+    for df in tables:
+        place, files = _place(df.sparkSession, df._stored_at)
+        files.delete(place, True)
 
 
 def literal_rows(spark: SparkSession, rows, columns: str):
