@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bottomk, chat_collapse, chunk_dedup, decontaminate, langid, near_dups, packing, pii, pseudo_likelihood, quality, resample, \
+from touchline.llm import bottomk, chat_collapse, chunk_dedup, decontaminate, langid, masked_tokens, near_dups, packing, pii, pseudo_likelihood, quality, resample, \
     secrets, spelling
 from touchline.llm.shared import documents
 
@@ -41,7 +41,7 @@ def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return pseudo_likelihood.scored(docs, pseudo_likelihood.learn(docs))
+    return masked_tokens.scored(docs, pseudo_likelihood.learn(docs), TOKENIZER)
 
 
 def op8_segmentation_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
