@@ -10,7 +10,7 @@ where p' is the same for the next shorter context: four ids, two, none, and last
 (``pseudo_likelihood``) over the vocabulary, so no token of any script is without weight. A document's score is the sum of log p.
 
 Tables of counts have no fixed size. Documents are tokenised once into stored chunks; a chunk sends its distinct windows, packed, to the
-parts that own their contexts, gets log-free answers in the same order back and sums them by document. A context meets in one part, at
+parts that own their contexts, gets probabilities in the same order back and sums them by document. A context meets in one part, at
 most once a chunk and token; the number of parts grows with the number of tokens.
 
 Edge cases: a null or empty text has no tokens, sum 0 and mean 0; repeated rows are scored each, and see each other; other columns are ignored.
@@ -32,8 +32,8 @@ from touchline.llm.words import mix
 
 EDGE = 0xFFFF          # stands beyond a text's ends
 DISCOUNT = 0.75
-CHUNK = 1 << 23        # bytes of text
-PART_LOG = 21          # a part is made for so many tokens (log)
+CHUNK = 1 << 22        # bytes of text
+PART_LOG = 20          # a part is made for so many tokens (log)
 LEAST = 1e-3           # share of the last distribution that is the same for every id
 CHUNKS = "chunk long, doc_id array<long>, size array<int>, ids binary, n long"
 BLOBS = "chunk long, wide boolean, part int, data binary"
@@ -58,6 +58,14 @@ def chunks(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(settled(work), CHUNKS)
 
 
+def _ordered(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The order by two keys, the second of so many bits: two sorts of 64-bit numbers take a fraction of a stable sort by both."""
+    order = np.argsort(first)
+    ahead = first[order]
+    run = np.cumsum(np.append(False, ahead[1:] != ahead[:-1])[:len(ahead)]).astype(np.uint64)
+    return order[np.argsort(run << np.uint64(bits) | second[order].astype(np.uint64))]
+
+
 class Windows:
     """The distinct windows of a chunk: ``near`` is (l1, r1, token) and ``far`` (l2, r2); equal windows stand once, with their count."""
 
@@ -68,7 +76,8 @@ class Windows:
         padded[at] = flat
         near = padded[at - 1] << np.uint64(32) | padded[at + 1] << np.uint64(16) | flat
         far = (padded[at - 2] << np.uint64(16) | padded[at + 2]).astype(np.uint32)
-        order = np.lexsort((far, near))
+        del at, padded
+        order = _ordered(near, far, 32)
         near, far = near[order], far[order]
         short = np.append(True, near[1:] != near[:-1])[:len(near)]
         long = short | np.append(True, far[1:] != far[:-1])[:len(near)]
@@ -135,7 +144,7 @@ def asked(stored: DataFrame, parts: int) -> DataFrame:
 
 def left_out(context: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) for every row of counts: p = a + b p' for one occurrence of the token that is left out."""
-    order = np.lexsort((token, context))
+    order = _ordered(context, token, 16)
     c, t = context[order], token[order]
     new = np.append(True, c[1:] != c[:-1])[:len(c)]
     first = new | np.append(True, t[1:] != t[:-1])[:len(c)]
