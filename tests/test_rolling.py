@@ -1,13 +1,15 @@
 """Rolling calibration and pooled fits against plain sequential readings."""
 import random
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from touchline.operators import calibrate, fit, rolling, timeline
+from touchline.operators import calibrate, fit, neighbours, rolling, timeline
 from touchline.plans import backtest as bt
 from touchline.plans import derive as D
 
@@ -169,3 +171,74 @@ def test_temperatures_side_by_side_equal_the_aggregate(spark):
     got = {(r.market, r.fit): (r["T"], r.n) for r in found.collect()}
     assert set(got) == set(want) and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], rel=1e-5) for k in want)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]  # no row is copied to every fit that reads it
+
+
+def long_walk(spark, matches=1100):
+    """Numbered rows of two leagues at two times of day; the second league and some teams begin late."""
+    rng, rows = np.random.default_rng(21), []
+    for i in range(matches):
+        g = int(rng.integers(0, 2)) if i > matches // 3 else 0
+        h, a = rng.choice(5 if i < matches // 2 else 7, 2, replace=False)
+        t = pd.Timestamp("2020-01-01") + pd.Timedelta(hours=24 * (i // 5) + int(rng.choice([12, 18])))
+        rows.append((i, f"L{g}", t.to_pydatetime(), int(10 * g + h), int(10 * g + a), int(rng.poisson(1.5)), int(rng.poisson(1.2))))
+    m = spark.createDataFrame(rows, "match_id long, league string, kickoff timestamp_ntz, home_team_id long, away_team_id long, ft_home int, ft_away int")
+    return m.selectExpr("*", "'finished' AS status", "CAST(NULL AS DOUBLE) AS xg_home", "CAST(NULL AS DOUBLE) AS xg_away")
+
+
+def test_neighbouring_folds_reach_what_each_reaches_alone(spark, monkeypatch):
+    num = bt.numbered(long_walk(spark), pooled=True, min_train=100, refit_every=20).cache()
+    changes = fit.fold_changes(num, 0.004, 24).cache()
+    want = fit.fit_folds(fit.fold_stats(num, 0.004)).toPandas().set_index(["fold", "team_id"])  # one dense Newton over all leagues
+    found = fit.fit_pooled(changes)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    parts = [pa.Table.from_pandas(x, preserve_index=False) for _, x in changes.toPandas().groupby("part")]
+    assert len(parts) == 3
+
+    def here():
+        x = pd.concat([neighbours._part(2.0)((pa.scalar("all"), None), t).to_pandas() for t in parts]).explode("teams", ignore_index=True)
+        return pd.concat([x.drop(columns="teams"), pd.DataFrame(x["teams"].to_list())], axis=1)
+
+    ways = [found.toPandas(), here()]
+    assert 2 * ways[1].groupby("fold").iterations.first().median() < 30
+    monkeypatch.setattr(neighbours, "CELLS", 1)  # runs of one fold
+    ways.append(here())
+    monkeypatch.undo()
+    monkeypatch.setattr(neighbours, "STEPS", 1)  # nothing is solved from its neighbour
+    ways.append(here())
+    for x in ways:
+        got = x.set_index(["fold", "team_id"])
+        assert len(got) == len(want) == len(set(got.index)) and set(got.index) == set(want.index)
+        assert (got["league"] == want["league"].reindex(got.index)).all()
+        for c in ("attack", "defence", "gamma", "delta", "rho", "nll"):
+            assert (got[c] - want[c].reindex(got.index)).abs().max() < 2e-5, c
+
+
+def test_neighbours_at_the_bound_of_rho(spark):
+    num = bt.numbered(long_walk(spark, 400).withColumn("ft_away", F.expr("IF(ft_home > 0, 0, 1)")).withColumn("ft_home", F.expr("least(ft_home, 1)")), pooled=True, min_train=100, refit_every=20)
+    changes = fit.fold_changes(num, 0.004).cache()
+    want, got = (x.toPandas().set_index(["fold", "team_id"]) for x in (fit.fit_folds(changes), fit.fit_pooled(changes)))
+    assert (want["rho"] > 0.49).any() and set(got.index) == set(want.index)
+    for c in ("attack", "defence", "gamma", "delta", "rho"):
+        assert (got[c] - want[c].reindex(got.index)).abs().max() < 2e-5, c
+
+
+def test_slope_along_rho_is_that_of_the_optimum():
+    """With the weight of many matches a fit stops a little off its optimum; the slope along rho must not show it, or rho never settles."""
+    stats = pair_table(1)
+    stats[fit.STATS] *= 1e5
+    at = lambda theta: fit._league_block(2.0)(("all", 0, "L0"), stats, pd.DataFrame({"fold": [0], "theta": [theta], "rho": [-0.1], "lo": [-0.5], "hi": [0.5]})).iloc[0]
+    best = at(at(None)["theta"])
+    for seed in range(5):
+        off = best["theta"] + np.append(np.random.default_rng(seed).uniform(-3e-9, 3e-9, len(best["theta"]) - 1), 0)
+        got = at(off)
+        assert (got["theta"] == off).all() and abs(got["slope"] - best["slope"]) < 0.01 * fit.RHO_STEP * best["curve"]
+
+
+def test_rows_of_a_walk_are_not_dealt_out_by_their_group_alone(spark):
+    """All rows of a pooled walk-forward are one group."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bt.walk_forward(long_walk(spark, 300), pooled=True, min_train=100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [grp#" in plan and not re.search(r"SortMergeJoin \[grp#\d+\],", plan)

@@ -154,13 +154,20 @@ def temperatures_of(logs: np.ndarray, true: np.ndarray, use: np.ndarray, lo: flo
     The likelihood is convex in 1/T: Newton steps inside a bracket that its slope narrows.
     """
     a, b, x = np.full(len(logs), 1 / hi), np.full(len(logs), 1 / lo), np.ones(len(logs))
-    flat = None
+    flat, outcomes = None, [np.ascontiguousarray(logs[:, :, k]) for k in range(logs.shape[2])]
     for _ in range(80):
-        w = np.exp(x[:, None, None] * logs)
-        z = w.sum(axis=2)
-        m = (w * logs).sum(axis=2) / z
+        z, m, v = np.zeros_like(true), np.zeros_like(true), np.zeros_like(true)
+        for q in outcomes:  # added up one after the other: sums over a short last axis are slow
+            w = np.exp(x[:, None] * q)
+            z += w
+            w *= q
+            m += w
+            w *= q
+            v += w
+        m /= z
         d = np.where(use, m - true, 0).sum(axis=1)
-        dd = np.where(use, (w * logs * logs).sum(axis=2) / z - m * m, 0).sum(axis=1)
+        v /= z
+        dd = np.where(use, v - m * m, 0).sum(axis=1)
         if flat is None:
             flat = (np.abs(d) < 1e-12) & (dd < 1e-12)  # every temperature is as good: the lowest, as the grid has it
         a, b = np.where(d < 0, x, a), np.where(d < 0, b, x)

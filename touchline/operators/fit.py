@@ -294,26 +294,28 @@ def _tables(pdf: pd.DataFrame):
 FOLDS = 64  # neighbouring folds that are solved side by side
 
 
-def fold_changes(rows: DataFrame, xi: float) -> DataFrame:
+def fold_changes(rows: DataFrame, xi: float, folds: int | None = None) -> DataFrame:
     """The statistics of ``fold_stats`` as changes, for the fits: what grows is a row a match, not a pair table a fold.
 
-    Folds come in parts of FOLDS. A part opens with the undecayed sums before it and holds what each fold adds; a clock row a
+    Folds come in parts of ``folds`` (FOLDS). A part opens with the undecayed sums before it and holds what each fold adds; a clock row a
     (fold, league) has the fold's time of day ``tod`` and the decay of earlier (``early``) and later (``late``) times of day.
     """
+    folds = folds or FOLDS
     starts = _starts(rows).selectExpr("grp", "fold", "tod_t", f"exp({-xi}D * day_t) AS early", f"exp({-xi}D * day_t) * exp({xi}D) AS late")
-    last = starts.groupBy("grp").agg(F.max("fold").alias("last_fold"))
+    # a row a group, so rows are not dealt out by their group, which may be all of them
+    last = F.broadcast(starts.groupBy("grp").agg(F.max("fold").alias("last_fold")))
     pair = ["grp", "league", "home_team_id", "away_team_id", "tod"]
-    inc = stored(_increments(rows, xi, pair).join(last, "grp").filter("fold <= last_fold").selectExpr("*", f"fold DIV {FOLDS} AS part"))
+    inc = stored(_increments(rows, xi, pair).join(last, "grp").filter("fold <= last_fold").selectExpr("*", f"fold DIV {folds} AS part"))
     parts = inc.groupBy(*pair, "part", "last_fold").agg(*[F.sum(s).alias(s) for s in STATS])
     first = parts.groupBy(*pair, "last_fold").agg(F.min("part").alias("first_part"))
-    grid = first.selectExpr(*pair, f"explode(sequence(first_part, last_fold DIV {FOLDS})) AS part", *[f"0D AS {s}" for s in STATS])
+    grid = first.selectExpr(*pair, f"explode(sequence(first_part, last_fold DIV {folds})) AS part", *[f"0D AS {s}" for s in STATS])
     dense = parts.drop("last_fold").unionByName(grid).repartition(*pair).groupBy(*pair, "part").agg(*[F.sum(s).alias(s) for s in STATS])
     run = f"OVER (PARTITION BY {', '.join(pair)} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    opening = dense.selectExpr(*pair, f"part * {FOLDS} AS fold", "part", *[f"sum({s}) {run} AS {s}" for s in STATS], f"row_number() OVER (PARTITION BY {', '.join(pair)} ORDER BY part) AS _n")
+    opening = dense.selectExpr(*pair, f"part * {folds} AS fold", "part", *[f"sum({s}) {run} AS {s}" for s in STATS], f"row_number() OVER (PARTITION BY {', '.join(pair)} ORDER BY part) AS _n")
     changes = inc.drop("last_fold").unionByName(opening.filter("_n > 1").drop("_n")).selectExpr("*", "CAST(NULL AS DOUBLE) AS early", "CAST(NULL AS DOUBLE) AS late")
-    leagues = inc.groupBy("grp", "league").agg(F.min("fold").alias("first_fold"))
+    leagues = F.broadcast(inc.groupBy("grp", "league").agg(F.min("fold").alias("first_fold")))
     clocks = starts.join(leagues, "grp").filter("fold >= first_fold").selectExpr(
-        "grp", "league", "CAST(NULL AS BIGINT) AS home_team_id", "CAST(NULL AS BIGINT) AS away_team_id", "tod_t AS tod", "fold", f"fold DIV {FOLDS} AS part", *[f"0D AS {s}" for s in STATS], "early", "late")
+        "grp", "league", "CAST(NULL AS BIGINT) AS home_team_id", "CAST(NULL AS BIGINT) AS away_team_id", "tod_t AS tod", "fold", f"fold DIV {folds} AS part", *[f"0D AS {s}" for s in STATS], "early", "late")
     return changes.unionByName(clocks)
 
 
@@ -357,11 +359,41 @@ def fit_folds(stats: DataFrame, l2: float = 2.0) -> DataFrame:
     return _in_parts(stats).repartition(n, "grp", "part").groupBy("grp", "part").applyInPandas(run, "grp string, " + PARAM_SCHEMA)
 
 
+POOLED_FOLDS, PART_ROWS = 512, 1 << 20  # folds in a part of a pooled walk-forward; rows of a part whose leagues are solved together, at most
 RHO_STEP, RHO_ROUNDS = 1e-9, 60  # the shared parameter is found when it moves less; rounds, at most (halving alone needs 30)
 _BLOCK = ("grp string, part long, league string, fold long, teams array<long>, here array<boolean>, theta array<double>, rho double, lo double, hi double,"
           " value double, slope double, curve double, iterations int")
 
 
+def _at_rho(n, ix, s, l2, start, rho):
+    """One league's own parameters in several folds at a given rho: (theta, value, slope and curvature along rho, iterations).
+
+    The slope is that of the parameters' own optimum: what is left of their gradient, small as it is, would be more than a step of
+    RHO_STEP where a fold has the weight of a million matches.
+    """
+    theta, value, it = solve_many(n, 1, ix, s, l2, start, rho)
+    many = len(theta)
+    slope, curve = np.empty(many), np.empty(many)
+    each, size = np.arange(2 * n + 2), max(1, CELLS // (2 * n + 3) ** 2)
+    for a in range(0, many, size):
+        own = theta[a:a + size]
+        g, h = _gradient_hessian(own, n, 1, ix, [x[a:a + size] for x in s], l2)
+        free = np.ones((len(own), 2 * n + 2), bool)  # a parameter at its bound does not follow rho
+        for c, (lo, hi) in ((2 * n, GAMMA_BOUNDS), (2 * n + 1, DELTA_BOUNDS)):
+            free[:, c] = (lo < own[:, c]) & (own[:, c] < hi)
+        cross = np.where(free, h[:, -1, :-1], 0)
+        inner = np.where(free[:, :, None] & free[:, None, :], h[:, :-1, :-1], 0)
+        inner[:, each, each] += ~free
+        try:
+            follow = np.linalg.solve(inner, cross[:, :, None])[:, :, 0] if l2 > 0 else None
+        except np.linalg.LinAlgError:
+            follow = None
+        if follow is None:
+            follow = np.stack([np.linalg.lstsq(i, c, rcond=None)[0] for i, c in zip(inner, cross)])
+        slope[a:a + size], curve[a:a + size] = g[:, -1] - (follow * np.where(free, g[:, :-1], 0)).sum(axis=1), h[:, -1, -1] - (cross * follow).sum(axis=1)
+    return theta, value, slope, curve, it
+
+
 def _league_block(l2: float):
     """One league's own parameters in each fold of a part at a given rho, and how their best likelihood moves with rho."""
     def run(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
@@ -373,25 +405,7 @@ def _league_block(l2: float):
         at = np.searchsorted(folds, state["fold"].to_numpy(np.int64))
         s, here, rho = [x[at] for x in s], here[at], state["rho"].to_numpy(float)
         start = None if state["theta"].isna().any() else np.stack(state["theta"].to_list()).astype(float)
-        theta, value, it = solve_many(n, 1, ix, s, l2, start, rho)
-        slope, curve = np.empty(len(at)), np.empty(len(at))
-        each, size = np.arange(2 * n + 2), max(1, CELLS // (2 * n + 3) ** 2)
-        for a in range(0, len(at), size):
-            own = theta[a:a + size]
-            g, h = _gradient_hessian(own, n, 1, ix, [x[a:a + size] for x in s], l2)
-            free = np.ones((len(own), 2 * n + 2), bool)  # a parameter at its bound does not follow rho
-            for c, (lo, hi) in ((2 * n, GAMMA_BOUNDS), (2 * n + 1, DELTA_BOUNDS)):
-                free[:, c] = (lo < own[:, c]) & (own[:, c] < hi)
-            cross = np.where(free, h[:, -1, :-1], 0)
-            inner = np.where(free[:, :, None] & free[:, None, :], h[:, :-1, :-1], 0)
-            inner[:, each, each] += ~free
-            try:
-                follow = np.linalg.solve(inner, cross[:, :, None])[:, :, 0] if l2 > 0 else None
-            except np.linalg.LinAlgError:
-                follow = None
-            if follow is None:
-                follow = np.stack([np.linalg.lstsq(i, c, rcond=None)[0] for i, c in zip(inner, cross)])
-            slope[a:a + size], curve[a:a + size] = g[:, -1], h[:, -1, -1] - (cross * follow).sum(axis=1)
+        theta, value, slope, curve, it = _at_rho(n, ix, s, l2, start, rho)
         return pd.DataFrame({"grp": key[0], "part": key[1], "league": key[2], "fold": state["fold"].to_numpy(), "teams": [teams] * len(at), "here": list(_teams_of(n, ix, here)),
                              "theta": list(theta), "rho": rho, "lo": state["lo"].to_numpy(), "hi": state["hi"].to_numpy(), "value": value, "slope": slope, "curve": curve, "iterations": it})[names]
 
@@ -399,7 +413,23 @@ def _league_block(l2: float):
 
 
 def fit_pooled(stats: DataFrame, l2: float = 2.0) -> DataFrame:
-    """Fits of several leagues that share rho, by block elimination: parameters as of ``fit_folds``.
+    """Fits of several leagues that share rho: parameters as of ``fit_folds``.
+
+    Parts of changes between folds are walked through (``neighbours.walk``), a task holding the changes of one part, as long as none
+    has more than PART_ROWS rows. Fold tables and larger parts go league by league.
+    """
+    from touchline.operators import neighbours  # it builds on this module
+
+    if "early" in stats.columns:
+        stats = stored(stats)
+        largest = stats.groupBy("grp", "part").count().agg(F.max("count")).first()[0] or 0
+        if largest <= PART_ROWS:
+            return neighbours.fit_parts(stats, l2)
+    return _fit_by_league(stats, l2)
+
+
+def _fit_by_league(stats: DataFrame, l2: float) -> DataFrame:
+    """Pooled fits by block elimination.
 
     Leagues meet in rho alone. Given rho, every (fold, league) is solved by itself, and its likelihood's slope and curvature
     along rho (its own parameters eliminated) are three numbers; their sums give each fold's Newton step on rho, kept inside a

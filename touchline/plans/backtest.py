@@ -34,8 +34,8 @@ def walk_forward(matches: DataFrame, *, pooled: bool = False, min_train: int = M
     rows = numbered(matches, pooled=pooled, min_train=min_train, refit_every=refit_every, xg_mode=xg_mode)
     rows = stored(rows)
     enough = rows.groupBy("grp").agg(F.max("idx").alias("_last")).filter(F.col("_last") + 1 >= min_train + LEAST_TESTS)
-    rows = rows.join(enough.select("grp"), "grp", "left_semi")
-    stats = fit.fold_changes(rows, xi)
+    rows = rows.join(F.broadcast(enough.select("grp")), "grp", "left_semi")  # a row a group: all rows may be one group
+    stats = fit.fold_changes(rows, xi, fit.POOLED_FOLDS if pooled else None)
     params = fit.fit_pooled(stats, l2) if pooled else fit.fit_folds(stats, l2)
     return fit.with_fitted_rates(rows.filter("fold >= 0"), params)
 
@@ -63,7 +63,8 @@ def calibrate(rated: DataFrame, *, minimum: int = rolling.MINIMUM, every: int =
 def bets(cal: DataFrame, odds: DataFrame, least: float = 0.0, priority=od.OPENING_PRIORITY) -> DataFrame:
     """One bet per priced selection whose calibrated edge is above ``least``; ``priority`` names opening or closing prices."""
     sel = F.create_map(*[x for m, s in BOOKS.items() for x in (F.lit(m), F.array(*map(F.lit, s)))])[F.col("market")]
-    rows = od.with_prices(cal.select("match_id", "league", "kickoff", "ft_home", "ft_away", "market", "p"), od.best_prices(odds, priority, tie="first"), list(BOOKS))
+    own = cal.select("match_id", "league", "kickoff", "ft_home", "ft_away", "market", "p").hint("merge")  # prices are a row a match, whatever their estimated size
+    rows = od.with_prices(own, od.best_prices(odds, priority, tie="first"), list(BOOKS))
     long = rows.select("match_id", "league", "kickoff", "ft_home", "ft_away", "market", "prices", F.inline(F.arrays_zip(sel.alias("selection"), F.col("p").alias("prob"))))
     place = F.array(*[F.lit(f"{m}|{s}") for m, s in mk.book_columns(list(BOOKS))])
     long = long.withColumn("ord", F.array_position(place, F.concat_ws("|", "market", "selection")).cast("int"))
